@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, secrets, sharding, token_counts
+from docloom.llm import hmm, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity
+from docloom.llm.texts import fold
 from docloom.sources.tables import read_table
 
 
@@ -14,6 +15,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return _scored(docs, toxicity.toxicity(docs, model), 0.5)
+
+
+def _scored(docs: DataFrame, score: Column, least: float) -> DataFrame:
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.interleave(read_table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -23,6 +35,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return _scored(docs, quality.quality(docs, model), 0.3)
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
@@ -34,10 +65,56 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op6_hmm": op6_hmm,
+    "op7_quality": op7_quality,
+    "op8_topk": op8_topk,
+    "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
 
 #: DuckDB SQL with the same rows as the query of that name.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+        ), w AS (
+            SELECT *, [5, 2, 1][(place % 3 + 1)::INTEGER]::DOUBLE AS weight, (source_size * 2)::DOUBLE AS cap,
+                (sum(source_size) OVER ())::DOUBLE * 1.5 AS budget FROM s
+        ), r AS (
+            SELECT *, budget - coalesce(sum(cap) OVER f, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS sharing FROM w
+            WINDOW f AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), l AS (
+            SELECT *, min(CASE WHEN rest * weight / sharing < cap THEN {'ratio': cap / weight, 'place': place, 'rest': rest, 'sharing': sharing} END) OVER () AS at FROM r
+        ), t AS (
+            SELECT source, source_size, place, budget, CASE WHEN at IS NULL THEN cap ELSE least(cap, at.rest * weight / at.sharing) END AS target FROM l
+        ), q AS (
+            SELECT d.doc_id, d.size, t.source_size, t.place, t.target, t.budget,
+                row_number() OVER (ORDER BY t.place, md5('23:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || d.size), d.doc_id, d.size) AS pos,
+                sum(d.size) OVER (PARTITION BY t.place ORDER BY md5('23:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || d.size), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS inside
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), e AS (
+            SELECT q.*, pass, (pass * source_size + inside)::DOUBLE / target AS finish FROM q CROSS JOIN (VALUES (0), (1)) AS p(pass) WHERE size > 0
+        ), m AS (
+            SELECT pos, size, floor(budget)::BIGINT AS budget, coalesce(sum(size) OVER (ORDER BY finish, place, pass, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e
+        ), k AS (
+            SELECT pos, sum(greatest(0, least(size, budget - before)))::BIGINT AS taken FROM m GROUP BY pos
+        )
+        SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken FROM q LEFT JOIN k ON q.pos = k.pos
+    """,
+    "op8_topk": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+    """,
+}
