@@ -89,9 +89,9 @@ ORACLES: dict[str, str] = {
             SELECT *, budget - coalesce(sum(cap) OVER f, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER f, 0) AS sharing FROM w
             WINDOW f AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), l AS (
-            SELECT *, min(CASE WHEN rest * weight / sharing < cap THEN {'ratio': cap / weight, 'place': place, 'rest': rest, 'sharing': sharing} END) OVER () AS at FROM r
+            SELECT *, min(CASE WHEN rest * weight / sharing < cap THEN {'ratio': cap / weight, 'place': place, 'rest': rest, 'sharing': sharing} END) OVER () AS level FROM r
         ), t AS (
-            SELECT source, source_size, place, budget, CASE WHEN at IS NULL THEN cap ELSE least(cap, at.rest * weight / at.sharing) END AS target FROM l
+            SELECT source, source_size, place, budget, CASE WHEN level IS NULL THEN cap ELSE least(cap, level.rest * weight / level.sharing) END AS target FROM l
         ), q AS (
             SELECT d.doc_id, d.size, t.source_size, t.place, t.target, t.budget,
                 row_number() OVER (ORDER BY t.place, md5('23:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || d.size), d.doc_id, d.size) AS pos,
