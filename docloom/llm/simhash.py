@@ -46,8 +46,8 @@ def fingerprints_of(texts: list[bytes], words: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprint(words: int = 3) -> "function":
-    """An Arrow UDF column: UTF-8 bytes to the fingerprint as a signed long."""
+def fingerprint(words: int = 3):
+    """An Arrow UDF: UTF-8 bytes to the fingerprint as a signed long."""
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -179,25 +179,27 @@ def _below(end: int) -> tuple[int, int]:
     return (end, end + _DEPTH) if end < 64 else (0, _DEPTH)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 3, row_key: str | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, component, row_key) for every row of ``docs``.
 
     Fingerprints at BUDGET or fewer differing bits are linked; a component's id
-    is its smallest doc_id. Copies share a fingerprint and meet as one node.
-    Texts without words (null, empty, blank) have fingerprint zero and link like
-    any other; null ids keep their row and count last for the smallest id;
-    repeated rows come back as often as they came; an empty table gives an empty
-    result; other columns are not read.
+    is its smallest doc_id, and ``component`` is a fingerprint that stands for
+    it. Copies share a fingerprint and meet as one node. Texts without words
+    (null, empty, blank) have fingerprint zero and link like any other; null
+    ids keep their row and count last for the smallest id; repeated rows come
+    back as often as they came; an empty table gives an empty result. Other
+    columns are not read, but for ``row_key``, which the result carries.
     """
-    rows = materialize(docs.select("doc_id", fingerprint(words)(utf8()).alias("fp")), "fingerprints")
+    key = F.col(row_key) if row_key else F.lit("")
+    rows = materialize(docs.select("doc_id", fingerprint(words)(utf8()).alias("fp"), key.alias("row_key")), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(fingerprint_links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # only fingerprints with links need their component's least id
-    linked = named.filter("root <> fp").select("root").distinct()
-    least = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
+    # only components with links need the least id of several fingerprints
+    linked = roots.filter("root <> node").select(F.col("root").alias("component")).distinct()
+    least = named.join(linked, "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component", "left").select("fp", "component", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "component", "row_key")
 
 
 def fingerprint_hex(fp: Column) -> Column:

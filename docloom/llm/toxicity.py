@@ -68,6 +68,7 @@ class ToxicityModel:
     config: ToxicityConfig
     evidence: np.ndarray  # per bucket, float32
     bias: float
+    base: float  # log odds of the label in the sample, for texts without words
 
     def words(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -88,15 +89,15 @@ def _passages(counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def train(texts: list[str], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fit embeddings and softmax together by full-batch Adam; documents without words only move the bias."""
+    """Fit embeddings and softmax together by full-batch Adam; documents without words take no part."""
     ids: dict[str, int] = {}
     tokens = [[ids.setdefault(w, len(ids)) for w in t.lower().split()] for t in texts]
     keep = [i for i, t in enumerate(tokens) if t]
     labels = np.asarray(labels, np.float64)
+    rate = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-3), 1 - 1e-3)
+    base = float(np.log(rate / (1 - rate)))
     if not keep or labels[keep].min() == labels[keep].max():
-        rate = float(labels.mean()) if len(labels) else 0.0
-        rate = min(max(rate, 1e-3), 1 - 1e-3)
-        return ToxicityModel(c, np.zeros(c.buckets, np.float32), float(np.log(rate / (1 - rate))))
+        return ToxicityModel(c, np.zeros(c.buckets, np.float32), base, base)
     counts = np.array([len(tokens[i]) for i in keep])
     flat = np.concatenate([np.array(tokens[i]) for i in keep])
     y = labels[keep]
@@ -138,7 +139,7 @@ def train(texts: list[str], labels: np.ndarray, c: ToxicityConfig = ToxicityConf
         z, u, b = (x - np.float32(c.rate) * (m / np.float32(1 - 0.9 ** step)) / (np.sqrt(v / np.float32(1 - 0.99 ** step)) + np.float32(1e-8)) for x, (m, v) in zip((z, u, b), moments))
     evidence = np.zeros(c.buckets, np.float32)
     evidence[used] = z @ u
-    return ToxicityModel(c, evidence, float(b))
+    return ToxicityModel(c, evidence, float(b), base)
 
 
 def scores(model: ToxicityModel, texts: list[str], known: dict[str, float]) -> np.ndarray:
@@ -147,7 +148,7 @@ def scores(model: ToxicityModel, texts: list[str], known: dict[str, float]) -> n
     fresh = list({w for t in tokens for w in t if w not in known})
     known.update(zip(fresh, model.words(fresh).tolist()))
     counts = np.array([len(t) for t in tokens], np.int64)
-    logit = np.full(len(texts), model.bias)
+    logit = np.where(counts > 0, model.bias, model.base)
     some = np.flatnonzero(counts)
     if len(some):
         values = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(counts.sum()))
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, c: ToxicityConfig = ToxicityConfig()
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> Column:
-    """The score of ``docs``' text column, 0 to 1. Null and empty texts get the model's base rate.
+    """The score of ``docs``' text column, 0 to 1. Null, empty and blank texts get the sample's base rate.
 
     Every text is read whole, however long. The score depends on the text
     alone, so repeated rows score alike; the table may be empty and may have
