@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ FOLDS = 5
 _WORDS = 1_000_000
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], max_chars: int) -> tuple[list[str], np.ndarray]:
-    """At most ``rows[y]`` texts of each label y, of ``max_chars`` characters at most, from the learning folds.
+def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], max_chars: int, train: Callable[[list[str], np.ndarray], object]):
+    """``train(texts, labels)`` in one task, on at most ``rows[y]`` texts of each label y, of ``max_chars`` characters at most.
 
     Rows whose crc32(doc_id) mod FOLDS is 0 are held out and never read as
     labels. The sample is the first rows by a hash of the id, so it does not
-    depend on the order of the tables; null ids and labels take no part.
+    depend on the order of the tables; null ids and labels take no part. Texts
+    go from the scan to the task that trains; only the model, whose size is
+    fixed, comes to the driver.
     """
     usable = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).filter(
         F.col("id").isNotNull() & F.col("y").isin(list(rows)) & (fold("id", FOLDS) != 0)).distinct()
@@ -30,10 +33,16 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
     for y, n in rows.items():
         part = usable.filter(F.col("y") == y).orderBy(key, "id").limit(n)
         wanted = part if wanted is None else wanted.union(part)
-    # Bounded by sum(rows.values()).
+    # Bounded by sum(rows.values()); ids that several documents share are bounded by the limit below.
     found = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(wanted), F.col("doc_id") == F.col("id"))
-    got = sorted(found.select("id", "y", "text").limit(2 * sum(rows.values())).collect(), key=lambda r: (r[0], r[1], r[2]))
-    return [r[2] for r in got], np.array([r[1] for r in got], np.float64)
+    sample = found.select("id", "y", "text").limit(2 * sum(rows.values()))
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["id", "y", "text"])
+        return pd.DataFrame({"model": [pickle.dumps(train(sample["text"].tolist(), sample["y"].to_numpy(np.float64)))]})
+
+    model = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").first()
+    return pickle.loads(model[0]) if model else train([], np.zeros(0))
 
 
 def score_column(score: Callable[[list, dict], np.ndarray], text: Column, limit: int = 1 << 20) -> Column:

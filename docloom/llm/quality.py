@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from docloom.llm.labelled import sample_labelled, score_column
+from docloom.llm.labelled import fit_on_sample, score_column
 from docloom.llm.texts import utf8
 
 _BINS = 8
@@ -154,9 +154,8 @@ def scores(model: QualityModel, texts: list[bytes], known: dict[bytes, int]) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, c: QualityConfig = QualityConfig()) -> QualityModel:
-    """Train on a bounded sample of the labelled rows of the learning folds (see sample_labelled)."""
-    texts, y = sample_labelled(docs, labels, "quality", {0: c.rows // 2, 1: c.rows // 2}, c.max_chars)
-    return train([t.encode() for t in texts], y, c)
+    """Train on a bounded sample of the labelled rows of the learning folds (see fit_on_sample)."""
+    return fit_on_sample(docs, labels, "quality", {0: c.rows // 2, 1: c.rows // 2}, c.max_chars, lambda texts, y: train([t.encode() for t in texts], y, c))
 
 
 def quality(docs: DataFrame, model: QualityModel) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters;
@@ -35,3 +35,19 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         held += n
     if begin < len(sizes):
         yield batch.slice(begin)
+
+
+def most_frequent(counted: DataFrame, count: str, size: int) -> DataFrame:
+    """The rows with the largest counts, at most ``size``: all those above the least count that keeps them within it.
+
+    Found from how many rows have which count (few values, however many rows),
+    so no task and not the driver ever sorts or gathers candidates.
+    """
+    having = sorted(counted.groupBy(count).agg(F.count(F.lit(1))).collect(), reverse=True)
+    least, held = None, 0
+    for value, n in having:
+        held += n
+        if held > size:
+            break
+        least = value
+    return counted.filter(F.col(count) >= F.lit(least)) if least is not None else counted.limit(0)

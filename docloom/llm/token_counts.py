@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm.texts import blocks, utf8
+from docloom.llm.texts import blocks, most_frequent, utf8
 from docloom.sources.tables import materialize
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -66,7 +66,7 @@ def frequent_pretokens(docs: DataFrame, path: str, size: int, sample_rows: int)
     if n > sample_rows:
         sample = sample.sample(sample_rows / n, seed=7)
     words = sample.mapInArrow(_sampled_words(path), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in words.orderBy(F.desc("n"), "pretoken").limit(size).collect()]
+    top = sorted(r[0] for r in most_frequent(materialize(words, "words"), "n", size).collect())
     return dict(zip(top, Splitter(path).pieces(top), strict=True))
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.labelled import sample_labelled, score_column
+from docloom.llm.labelled import fit_on_sample, score_column
 
 _EDGES = ".,;:!?\"'()[]{}«»“”„…*_-–—#~|<>/\\"
 
@@ -31,14 +31,14 @@ class ToxicityConfig:
     buckets: int = 1 << 18
     dim: int = 16
     shortest: int = 3
-    longest: int = 5
+    longest: int = 6
     window: int = 2
     steps: int = 50
     rate: float = 0.1
-    decay: float = 1e-4
+    decay: float = 0.1
     #: Bounds of the training sample: rows of each label, and characters of a text.
-    rows_per_label: tuple[int, int] = (4_000, 2_500)
-    max_chars: int = 10_000
+    rows_per_label: tuple[int, int] = (3_000, 2_000)
+    max_chars: int = 8_000
     seed: int = 5
 
 
@@ -160,8 +160,8 @@ def scores(model: ToxicityModel, texts: list[str], known: dict[str, float]) -> n
 
 
 def fit(docs: DataFrame, labels: DataFrame, c: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Train on a bounded sample of the labelled rows of the learning folds (see sample_labelled)."""
-    return train(*sample_labelled(docs, labels, "toxic", dict(enumerate(c.rows_per_label)), c.max_chars), c)
+    """Train on a bounded sample of the labelled rows of the learning folds (see fit_on_sample)."""
+    return fit_on_sample(docs, labels, "toxic", dict(enumerate(c.rows_per_label)), c.max_chars, lambda texts, y: train(texts, y, c))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> Column:
