@@ -6,9 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from docloom.functions.identity import chunk_id, content_checksum
 from docloom.functions.text import word_count
@@ -126,11 +127,30 @@ def _merge_undersized(clusters: list[range], counts: np.ndarray, unit: np.ndarra
         near[max(j - 1, 0):j + 2] = [affinity(clusters[i], clusters[i + 1]) for i in (j - 1, j) if 0 <= i < len(clusters) - 1]
 
 
-def bounded_clusters(vectors: np.ndarray, counts: np.ndarray, numbers: np.ndarray, c: ChunkingConfig) -> np.ndarray:
-    """Cluster numbers after the token bounds are enforced; maximum strict, minimum where neighbours fit."""
-    if not len(numbers):
-        return numbers
+def cluster_fold(unit: np.ndarray, c: ChunkingConfig) -> np.ndarray:
+    """The same rule as cluster_numbers, over unit vectors in numpy: for documents whose vectors are at hand in a task."""
+    out = np.zeros(len(unit), np.int32)
+    start, least = 0, np.inf
+    for i in range(1, len(unit)):
+        sims = unit[start:i] @ unit[i]
+        size = i - start
+        bar = c.hard_threshold if size == 1 else max(c.hard_threshold, least * c.similarity_coefficient / (1 + np.exp(1 - size)))
+        best = c.initialization_constant * sims[0] if size == 1 else sims.max()
+        if best > bar:
+            least = min(least, sims.min())
+            out[i] = out[i - 1]
+        else:
+            start, least = i, np.inf
+            out[i] = out[i - 1] + 1
+    return out
+
+
+def bounded_clusters(vectors: np.ndarray, counts: np.ndarray, c: ChunkingConfig) -> np.ndarray:
+    """Cluster numbers of a document's units after the token bounds are enforced; maximum strict, minimum where neighbours fit."""
+    if not len(vectors):
+        return np.zeros(0, np.int32)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    numbers = cluster_fold(unit, c)
     close = np.concatenate([[0.0], (unit[1:] * unit[:-1]).sum(axis=1)])  # of each unit to the one before
     starts = np.flatnonzero(np.concatenate([[True], np.diff(numbers) != 0]))
     runs = [range(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(numbers)])]
@@ -141,18 +161,27 @@ def bounded_clusters(vectors: np.ndarray, counts: np.ndarray, numbers: np.ndarra
     return out
 
 
-def bounded(vectors: Column, counts: Column, numbers: Column, c: ChunkingConfig) -> Column:
-    """array<struct<first, size>>: the runs of units that are chunks."""
-    @F.pandas_udf("array<struct<first:int,size:int>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for v, n, k in batches:
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())]))
+
+
+def bounded(docs: DataFrame, c: ChunkingConfig) -> DataFrame:
+    """(document_id, document_version, units, runs): the runs of units that are chunks, from their vectors and token counts.
+
+    The units pass through as Arrow columns; only the numbers become Python objects.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for vs, ns, ks in zip(v, n, k):
-                sizes = np.bincount(bounded_clusters(np.array([list(x) for x in vs], float), np.array(ns), np.array(ks), c)) if len(ks) else []
-                firsts = np.cumsum(sizes) - sizes if len(ks) else []
-                out.append([{"first": int(f), "size": int(s)} for f, s in zip(firsts, sizes)])
-            yield pd.Series(out)
-    return run(vectors, counts, numbers)
+            for v, n in zip(*(b.column(x).to_pylist() for x in ("vectors", "tokens"))):
+                sizes = np.bincount(bounded_clusters(np.array(v, float), np.array(n), c)) if v else np.zeros(0, int)
+                out.append([{"first": int(f), "size": int(s)} for f, s in zip(np.cumsum(sizes) - sizes, sizes)])
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in _KEPT], pa.array(out, _RUNS)], names=[*_KEPT, "runs"])
+
+    schema = docs.select(*_KEPT).schema.add("runs", ArrayType(StructType().add("first", "integer").add("size", "integer")))
+    return docs.select(*_KEPT, "vectors", "tokens").mapInArrow(run, schema)
+
+
+_KEPT = ("document_id", "document_version", "units")
 
 
 def hashed_embeddings(texts: Column, dimensions: int = 32) -> Column:
@@ -193,9 +222,8 @@ def chunk_documents(docs: DataFrame, c: ChunkingConfig = ChunkingConfig(), name:
     d = docs.withColumn("units", split_oversized(c.max_tokens))
     d = d.withColumn("vectors", hashed_embeddings(F.transform("units", lambda u: u["text"])))
     d = d.withColumn("tokens", F.transform("units", lambda u: word_count(u["text"])))
-    d = d.withColumn("numbers", cluster_numbers(F.col("vectors"), c))
-    d = d.withColumn("runs", bounded(F.col("vectors"), F.col("tokens"), F.col("numbers"), c))
-    d = d.select("document_id", "document_version", "units", F.posexplode_outer("runs").alias("chunk_index", "run")).filter("run is not null")  # outer: no filter on the UDF is inferred
+    d = bounded(d, c)
+    d = d.select("document_id", "document_version", "units", F.posexplode("runs").alias("chunk_index", "run"))
     d = d.withColumn("us", F.slice("units", F.col("run.first") + 1, F.col("run.size")))
     us = F.col("us")
     content = F.concat(us[0]["text"], F.array_join(F.transform(F.slice(us, 2, F.size(us)), lambda u: F.concat(u["separator"], u["text"])), ""))
