@@ -80,6 +80,42 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _found(pattern: str) -> str:
+    """A list of {s, e, v} of all matches of ``pattern`` in t, cut at marks put around them."""
+    parts = f"string_split(regexp_replace(t, {_text(pattern)}, chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+    return f"""list_transform([{parts}], lambda p: list_transform(range(2, len(p) + 1, 2), lambda i: {{
+        's': list_sum(list_transform(p[1:i - 1], lambda x: length(x)))::BIGINT, 'e': list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT, 'v': p[i]}}))[1]"""
+
+
+def _secrets_sql() -> str:
+    """Every window is counted afresh here, which the scaled integer sums make the same."""
+    terms = f"[{', '.join(map(str, secrets._terms()))}]"
+    most = " ".join(f"WHEN regexp_full_match(m.v, {_text(p)}) THEN {secrets._most(b)}" for p, b in secrets.CLASSES)
+    window = f"substr(m.v, i + 1, {secrets.WINDOW})"
+    total = f"list_sum(list_transform(list_distinct(string_split({window}, '')), lambda ch: {terms}[length({window}) - length(replace({window}, ch, '')) + 1]))"
+    kinds = "['assign', 'access', 'hex', 'entropy']"
+    span = lambda l: f"array_to_string(list_transform(list_sort({l}), lambda x: {kinds}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    base = lambda k: f"list_transform(l{k}, lambda m: {{'s': m.s, 'k': {k}, 'e': m.e}})"
+    return f"""
+        WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+        f AS (
+            SELECT doc_id, list_filter({_found(secrets.ASSIGN)}, lambda m: length(regexp_extract(m.v, {_text(secrets.ASSIGN)}, 2)) >= 8) AS l0,
+                {_found(secrets.ACCESS)} AS l1, {_found(secrets.HEX)} AS l2,
+                list_filter({_found(secrets.CANDIDATE)}, lambda m: NOT regexp_full_match(m.v, {_text(secrets.ALLOW)})) AS c FROM d
+        ), w AS (
+            SELECT *, list_filter(list_transform(c, lambda m: {{'s': m.s, 'at': list_filter(range(0, length(m.v) - {secrets.WINDOW - 1}), lambda i: {total} <= CASE {most} END)}}), lambda h: len(h.at) > 0) AS h FROM f
+        ), s AS (
+            SELECT doc_id, l0, l1, l2, {base(0)} || {base(1)} || {base(2)} AS fixed,
+                list_transform(h, lambda y: {{'s': y.s + y.at[1], 'k': 3, 'e': y.s + y.at[-1] + {secrets.WINDOW}}}) AS added FROM w
+        )
+        SELECT doc_id, len(l0) AS n_assign, len(l1) AS n_access, len(l2) AS n_hex, sha256({span("fixed")}) AS base_sha256, {span("fixed || added")} AS spans FROM s
+    """
+
+
 #: DuckDB SQL with the same rows as the query of that name.
 ORACLES: dict[str, str] = {
     "op5_mixing": r"""
@@ -122,4 +158,5 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
     """,
+    "op10_secrets": _secrets_sql(),
 }
