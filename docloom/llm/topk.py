@@ -33,7 +33,8 @@ class SortedLists:
         query's component makes the product largest, twice as deep each time;
         every vector met for the first time is scored in full. No vector unmet
         can score more than the sum of the products at the depth reached, so
-        the search stops as soon as that bound is below the kth score.
+        the search stops as soon as that bound is below the kth score, or
+        every vector has been met.
         """
         n, dims = self.vectors.shape
         used = np.flatnonzero(query)
@@ -46,8 +47,9 @@ class SortedLists:
             if len(used):
                 span = np.arange(depth, deeper)
                 at = np.where(falling, n - 1 - span[:, None], span[:, None])
-                new = np.unique(self.lists[at, used])
-                new = new[~met[new]]
+                fresh = np.zeros(n, bool)
+                fresh[self.lists[at, used]] = True
+                new = np.flatnonzero(fresh & ~met)
                 bound = int(self.values[at[-1], used] @ query[used])
             else:
                 new, bound = np.arange(n), 0
@@ -60,7 +62,7 @@ class SortedLists:
                 # positions follow the ids, so equal scores go to the smaller id
                 top = np.lexsort((best, -score))[:k]
                 best, score = best[top], score[top]
-            if len(best) == k and bound < score.min():
+            if met.all() or len(best) == k and bound < score.min():
                 break
         top = np.lexsort((best, -score))[:k]
         return best[top], score[top]
