@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from docloom.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from docloom.sources.tables import materialize, read_table
 
 
@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id, among rows of one id the smallest content key."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the smallest doc_id, among rows of one id the smallest content key."""
     keyed, name = _keyed(docs)
-    rows = simhash.near_duplicates(keyed, row_key=name)
+    rows = near_copies.first_rows(keyed, name)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first"))
     kept = keyed.join(first.select(F.col("first.row_key").alias(name)), name, "left_semi")
     return kept.dropDuplicates([name]).select(docs.columns)
@@ -62,7 +62,7 @@ STAGES = [
     ("shards", shard),
 ]
 
-#: Trained scores and XXH64 fingerprints are beyond SQL; the tests hold the stages against brute force.
+#: Trained scores and MinHash bands of XXH64 are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
