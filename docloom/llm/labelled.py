@@ -17,12 +17,14 @@ FOLDS = 5
 _WORDS = 1_000_000
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], max_chars: int, train: Callable[[list[str], np.ndarray], object]):
-    """``train(texts, labels)`` in one task, on at most ``rows[y]`` texts of each label y, of ``max_chars`` characters at most.
+def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], max_chars: int, train: Callable[[list[str], np.ndarray, np.ndarray], object]):
+    """``train(texts, labels, totals)`` in one task, on at most ``rows[y]`` texts of each label y, of ``max_chars`` characters at most.
 
     Rows whose crc32(doc_id) mod FOLDS is 0 are held out and never read as
     labels. The sample is the first rows by a hash of the id, so it does not
-    depend on the order of the tables; null ids and labels take no part. Texts
+    depend on the order of the tables; null ids and labels take no part.
+    ``totals`` are the counts of labels 0 and 1 over all labelled rows of the
+    learning folds, so that ``train`` can undo what the bounds do to the shares. Texts
     go from the scan to the task that trains; only the model, whose size is
     fixed, comes to the driver.
     """
@@ -37,12 +39,15 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int
     found = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(wanted), F.col("doc_id") == F.col("id"))
     sample = found.select("id", "y", "text").limit(2 * sum(rows.values()))
 
+    counted = dict(docs.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(usable, "id").groupBy("y").agg(F.sum("n")).collect())
+    totals = np.array([counted.get(0, 0), counted.get(1, 0)], np.float64)
+
     def run(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["id", "y", "text"])
-        return pd.DataFrame({"model": [pickle.dumps(train(sample["text"].tolist(), sample["y"].to_numpy(np.float64)))]})
+        return pd.DataFrame({"model": [pickle.dumps(train(sample["text"].tolist(), sample["y"].to_numpy(np.float64), totals))]})
 
     model = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "model binary").first()
-    return pickle.loads(model[0]) if model else train([], np.zeros(0))
+    return pickle.loads(model[0]) if model else train([], np.zeros(0), totals)
 
 
 def score_column(score: Callable[[list, dict], np.ndarray], text: Column, limit: int = 1 << 20) -> Column:

@@ -109,14 +109,21 @@ class QualityModel:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, c: QualityConfig = QualityConfig()) -> QualityModel:
-    """Fit by mini-batch AdaGrad on the logistic loss; without both labels only the bias is set."""
+def train(texts: list[bytes], labels: np.ndarray, c: QualityConfig = QualityConfig(), totals: np.ndarray | None = None) -> QualityModel:
+    """Fit by mini-batch AdaGrad on the logistic loss; without both labels only the bias is set.
+
+    With ``totals``, the counts of labels 0 and 1 that the texts were sampled
+    from, each row weighs as its label's share there over that in the sample.
+    """
     labels = np.asarray(labels, np.float64)
     rng = np.random.default_rng(c.seed)
-    rate = min(max(float(labels.mean()), 1e-3), 1 - 1e-3) if len(labels) else 0.5
+    held = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
+    totals = held if totals is None else np.asarray(totals, np.float64)
+    rate = min(max(float(totals[1] / totals.sum()), 1e-3), 1 - 1e-3) if totals.sum() else 0.5
     model = QualityModel(c, float(np.log(rate / (1 - rate))), np.zeros(c.width), rng.normal(0, 0.01, (c.width, c.rank)))
     if not len(labels) or labels.min() == labels.max():
         return model
+    weight = (totals / totals.sum() / (held / held.sum()))[labels.astype(int)]
     row, feature, value = features(texts, c, {})
     begin = np.searchsorted(row, np.arange(len(texts) + 1))
     bias, w, v = model.bias, model.linear, model.vectors
@@ -132,7 +139,7 @@ def train(texts: list[bytes], labels: np.ndarray, c: QualityConfig = QualityConf
             sums = np.stack([np.bincount(r, parts[:, f], minlength=len(picked)) for f in range(c.rank)], axis=1)
             squares = np.bincount(r, (parts ** 2).sum(axis=1), minlength=len(picked))
             logit = bias + np.bincount(r, w[i] * x, minlength=len(picked)) + 0.5 * ((sums ** 2).sum(axis=1) - squares)
-            g = 1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels[picked]
+            g = weight[picked] * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels[picked])
             own, where = np.unique(i, return_inverse=True)
             gx = g[r] * x / len(picked)
             dw = np.bincount(where, gx) + c.decay * w[own]
@@ -155,7 +162,7 @@ def scores(model: QualityModel, texts: list[bytes], known: dict[bytes, int]) ->
 
 def fit(docs: DataFrame, labels: DataFrame, c: QualityConfig = QualityConfig()) -> QualityModel:
     """Train on a bounded sample of the labelled rows of the learning folds (see fit_on_sample)."""
-    return fit_on_sample(docs, labels, "quality", {0: c.rows // 2, 1: c.rows // 2}, c.max_chars, lambda texts, y: train([t.encode() for t in texts], y, c))
+    return fit_on_sample(docs, labels, "quality", {0: c.rows // 2, 1: c.rows // 2}, c.max_chars, lambda texts, y, totals: train([t.encode() for t in texts], y, c, totals))
 
 
 def quality(docs: DataFrame, model: QualityModel) -> Column:

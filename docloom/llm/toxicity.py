@@ -68,7 +68,7 @@ class ToxicityModel:
     config: ToxicityConfig
     evidence: np.ndarray  # per bucket, float32
     bias: float
-    base: float  # log odds of the label in the sample, for texts without words
+    base: float  # log odds of the label over all that the sample is from, for texts without words
 
     def words(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -88,13 +88,18 @@ def _passages(counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
     return start[doc] + begin, start[doc] + np.minimum(begin + window, counts[doc]), doc
 
 
-def train(texts: list[str], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fit embeddings and softmax together by full-batch Adam; documents without words take no part."""
+def train(texts: list[str], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig(), totals: np.ndarray | None = None) -> ToxicityModel:
+    """Fit embeddings and softmax together by full-batch Adam; documents without words take no part.
+
+    The loss is balanced; the base rate is that of ``totals``, the counts of
+    labels 0 and 1 that the texts were sampled from.
+    """
     ids: dict[str, int] = {}
     tokens = [[ids.setdefault(w, len(ids)) for w in t.lower().split()] for t in texts]
     keep = [i for i, t in enumerate(tokens) if t]
     labels = np.asarray(labels, np.float64)
-    rate = min(max(float(labels.mean()) if len(labels) else 0.0, 1e-3), 1 - 1e-3)
+    totals = np.array([(labels == 0).sum(), (labels == 1).sum()]) if totals is None else totals
+    rate = min(max(float(totals[1] / totals.sum()) if totals.sum() else 0.0, 1e-3), 1 - 1e-3)
     base = float(np.log(rate / (1 - rate)))
     if not keep or labels[keep].min() == labels[keep].max():
         return ToxicityModel(c, np.zeros(c.buckets, np.float32), base, base)
@@ -161,11 +166,11 @@ def scores(model: ToxicityModel, texts: list[str], known: dict[str, float]) -> n
 
 def fit(docs: DataFrame, labels: DataFrame, c: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows of the learning folds (see fit_on_sample)."""
-    return fit_on_sample(docs, labels, "toxic", dict(enumerate(c.rows_per_label)), c.max_chars, lambda texts, y: train(texts, y, c))
+    return fit_on_sample(docs, labels, "toxic", dict(enumerate(c.rows_per_label)), c.max_chars, lambda texts, y, totals: train(texts, y, c, totals))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> Column:
-    """The score of ``docs``' text column, 0 to 1. Null, empty and blank texts get the sample's base rate.
+    """The score of ``docs``' text column, 0 to 1. Null, empty and blank texts get the base rate of the learning folds.
 
     Every text is read whole, however long. The score depends on the text
     alone, so repeated rows score alike; the table may be empty and may have
