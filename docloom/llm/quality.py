@@ -42,9 +42,8 @@ class QualityConfig:
     batch: int = 256
     rate: float = 0.05
     decay: float = 1e-5
-    #: Bounds of the training sample: rows, and characters of a text.
+    #: Bound of the training sample: rows, half of them of each label.
     rows: int = 8_000
-    max_chars: int = 8_000
     seed: int = 3
 
     @property
@@ -109,8 +108,13 @@ class QualityModel:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, c: QualityConfig = QualityConfig(), totals: np.ndarray | None = None) -> QualityModel:
-    """Fit by mini-batch AdaGrad on the logistic loss; without both labels only the bias is set.
+def features_of(text: bytes, c: QualityConfig) -> tuple[np.ndarray, np.ndarray]:
+    _, feature, value = features([text], c, {})
+    return feature, value
+
+
+def train(made: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, c: QualityConfig = QualityConfig(), totals: np.ndarray | None = None) -> QualityModel:
+    """Fit by mini-batch AdaGrad on the logistic loss over the features of texts; without both labels only the bias is set.
 
     With ``totals``, the counts of labels 0 and 1 that the texts were sampled
     from, each row weighs as its label's share there over that in the sample.
@@ -124,12 +128,12 @@ def train(texts: list[bytes], labels: np.ndarray, c: QualityConfig = QualityConf
     if not len(labels) or labels.min() == labels.max():
         return model
     weight = (totals / totals.sum() / (held / held.sum()))[labels.astype(int)]
-    row, feature, value = features(texts, c, {})
-    begin = np.searchsorted(row, np.arange(len(texts) + 1))
+    feature, value = (np.concatenate(x) for x in zip(*made))
+    begin = np.concatenate([[0], np.cumsum([len(f) for f, _ in made])])
     bias, w, v = model.bias, model.linear, model.vectors
     gw, gv, gb = np.full(c.width, 1e-6), np.full((c.width, c.rank), 1e-6), 1e-6
     for _ in range(c.epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(made))
         for at in range(0, len(order), c.batch):
             picked = order[at:at + c.batch]
             sizes = begin[picked + 1] - begin[picked]
@@ -162,7 +166,7 @@ def scores(model: QualityModel, texts: list[bytes], known: dict[bytes, int]) ->
 
 def fit(docs: DataFrame, labels: DataFrame, c: QualityConfig = QualityConfig()) -> QualityModel:
     """Train on a bounded sample of the labelled rows of the learning folds (see fit_on_sample)."""
-    return fit_on_sample(docs, labels, "quality", {0: c.rows // 2, 1: c.rows // 2}, c.max_chars, lambda texts, y, totals: train([t.encode() for t in texts], y, c, totals))
+    return fit_on_sample(docs, labels, "quality", {0: c.rows // 2, 1: c.rows // 2}, lambda text: features_of(text.encode("utf-8", "replace"), c), lambda made, y, totals: train(made, y, c, totals))
 
 
 def quality(docs: DataFrame, model: QualityModel) -> Column:

@@ -1,11 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the embeddings of its hashed character n-grams,
-a passage's vector the mean of its words', and a softmax layer over the two
-labels reads the passage. A document is scored by its passages: the labels are
-known per document only, so training pools the passages' evidence softly and
-scoring takes the passage that speaks most for the label. Misspellings share
-most n-grams, and so most of their vector, with the words seen in training.
+a text's vector the mean of the vectors of all its words, and a softmax layer
+over the two labels reads it. Misspellings share most n-grams, and so most of
+their vector, with the words seen in training.
+
+An average over a long text keeps what few words say only if the many others
+say nothing: a penalty on the length of each embedding draws those of n-grams
+without evidence to zero, and n-grams of few training texts have none.
 
 Evidence is linear in the embeddings up to the softmax, so a trained model is
 one number per n-gram bucket (the embedding times the difference of the softmax
@@ -15,6 +17,7 @@ columns) and a bias: 1 MB at 2**18 buckets, whatever the corpus.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,16 +32,16 @@ _EDGES = ".,;:!?\"'()[]{}«»“”„…*_-–—#~|<>/\\"
 @dataclass(frozen=True)
 class ToxicityConfig:
     buckets: int = 1 << 18
-    dim: int = 16
+    dim: int = 8
     shortest: int = 3
     longest: int = 6
-    window: int = 2
-    steps: int = 50
-    rate: float = 0.1
-    decay: float = 0.1
-    #: Bounds of the training sample: rows of each label, and characters of a text.
+    steps: int = 150
+    rate: float = 0.2
+    #: Weight of the sum of the embeddings' lengths, and the training texts that a bucket must occur in.
+    sparsity: float = 2e-5
+    least_texts: int = 5
+    #: Bounds of the training sample: rows of each label.
     rows_per_label: tuple[int, int] = (3_000, 2_000)
-    max_chars: int = 8_000
     seed: int = 5
 
 
@@ -52,17 +55,16 @@ def ngrams(word: str, c: ToxicityConfig) -> list[int]:
     return out
 
 
+def word_counts(text: str) -> dict[str, int]:
+    return dict(Counter(text.lower().split()))
+
+
 def _bags(words: list[str], c: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
     grams = [ngrams(w, c) for w in words]
     sizes = np.fromiter(map(len, grams), np.int64, len(grams))
     return np.fromiter((g for bag in grams for g in bag), np.int64, int(sizes.sum())), sizes
 
 
-def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Mean of each run of ``values``; all runs have members."""
-    return np.add.reduceat(values, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
-
-
 @dataclass(frozen=True)
 class ToxicityModel:
     config: ToxicityConfig
@@ -74,74 +76,53 @@ class ToxicityModel:
         if not words:
             return np.zeros(0)
         flat, sizes = _bags(words, self.config)
-        return _means(self.evidence[flat].astype(np.float64), sizes)
+        return np.add.reduceat(self.evidence[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes
 
 
-def _passages(counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, past the last token, document) of the passages: windows at half steps, a short document whole."""
-    half = max(1, window // 2)
-    n = np.where(counts <= window, 1, -(-(counts - window) // half) + 1)
-    doc = np.repeat(np.arange(len(counts)), n)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    start = np.cumsum(counts) - counts
-    begin = np.minimum(nth * half, np.maximum(counts[doc] - window, 0))
-    return start[doc] + begin, start[doc] + np.minimum(begin + window, counts[doc]), doc
-
-
-def train(texts: list[str], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig(), totals: np.ndarray | None = None) -> ToxicityModel:
-    """Fit embeddings and softmax together by full-batch Adam; documents without words take no part.
+def train(bags: list[dict[str, int]], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig(), totals: np.ndarray | None = None) -> ToxicityModel:
+    """Fit embeddings and softmax together by full-batch Adam on the word counts of texts; texts without words take no part.
 
     The loss is balanced; the base rate is that of ``totals``, the counts of
     labels 0 and 1 that the texts were sampled from.
     """
-    ids: dict[str, int] = {}
-    tokens = [[ids.setdefault(w, len(ids)) for w in t.lower().split()] for t in texts]
-    keep = [i for i, t in enumerate(tokens) if t]
     labels = np.asarray(labels, np.float64)
     totals = np.array([(labels == 0).sum(), (labels == 1).sum()]) if totals is None else totals
-    rate = min(max(float(totals[1] / totals.sum()) if totals.sum() else 0.0, 1e-3), 1 - 1e-3)
-    base = float(np.log(rate / (1 - rate)))
+    share = min(max(float(totals[1] / totals.sum()) if totals.sum() else 0.0, 1e-3), 1 - 1e-3)
+    base = float(np.log(share / (1 - share)))
+    keep = [i for i, bag in enumerate(bags) if bag]
     if not keep or labels[keep].min() == labels[keep].max():
         return ToxicityModel(c, np.zeros(c.buckets, np.float32), base, base)
-    counts = np.array([len(tokens[i]) for i in keep])
-    flat = np.concatenate([np.array(tokens[i]) for i in keep])
-    y = labels[keep]
-    grams, sizes = _bags(list(ids), c)
-    word_of_gram, share = np.repeat(np.arange(len(ids)), sizes), np.repeat(1 / sizes, sizes)
-    begin, end, doc = _passages(counts, c.window)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
-    width = (end - begin).astype(np.float64)
+    y, n = labels[keep], len(keep)
+    # (text, word, share of the text's words) and (word, bucket, share of the word's n-grams)
+    ids: dict[str, int] = {}
+    sizes = np.array([len(bags[i]) for i in keep])
+    word = np.fromiter((ids.setdefault(w, len(ids)) for i in keep for w in bags[i]), np.int64, int(sizes.sum()))
+    text = np.repeat(np.arange(n), sizes)
+    times = np.fromiter((k for i in keep for k in bags[i].values()), np.float64, len(word))
+    times /= np.bincount(text, times)[text]
+    grams, grams_of = _bags(list(ids), c)
+    owner = np.repeat(np.arange(len(ids)), grams_of)
+    part = 1 / grams_of[owner]
+    # only buckets of enough texts have a row of embeddings
+    in_texts = np.bincount(grams, np.bincount(word, minlength=len(ids))[owner], minlength=c.buckets)
+    some = in_texts[grams] >= c.least_texts
+    used, grams = np.unique(grams[some], return_inverse=True)
+    owner, part = owner[some], part[some]
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(c.seed)
-    # only the buckets that occur have a row of embeddings while training
-    used, grams = np.unique(grams, return_inverse=True)
-    z, u, b = rng.normal(0, 0.1, (len(used), c.dim)).astype(np.float32), rng.normal(0, 0.5, c.dim).astype(np.float32), 0.0
+    z, u, b = rng.normal(0, 0.01, (len(used), c.dim)).astype(np.float32), rng.normal(0, 0.5, c.dim).astype(np.float32), 0.0
     moments = [[np.zeros_like(z), np.zeros_like(z)], [np.zeros_like(u), np.zeros_like(u)], [0.0, 0.0]]
     for step in range(1, c.steps + 1):
-        word = np.bincount(word_of_gram, (z @ u)[grams] * share, minlength=len(ids))
-        sums = np.concatenate([[0.0], np.cumsum(word[flat])])
-        passage = (sums[end] - sums[begin]) / width
-        # soft maximum over a document's passages, harder with every step
-        sharp = 1.0 + 7.0 * step / c.steps
-        top = np.maximum.reduceat(passage, first)
-        e = np.exp(sharp * (passage - top[doc]))
-        pool = e / np.add.reduceat(e, first)[doc]
-        logit = np.add.reduceat(pool * passage, first) + b
-        g = weight * (1 / (1 + np.exp(-logit)) - y)
-        at_passage = g[doc] * pool * (1 + sharp * (passage - (logit - b)[doc])) / width
-        at_token = np.zeros(len(flat) + 1)
-        np.add.at(at_token, begin, at_passage)
-        np.add.at(at_token, end, -at_passage)
-        at_word = np.bincount(flat, np.cumsum(at_token)[:-1], minlength=len(ids))
-        at_gram = np.bincount(grams, at_word[word_of_gram] * share, minlength=len(used)).astype(np.float32)
-        slopes = [np.outer(at_gram, u) + np.float32(c.decay / len(y)) * z, at_gram @ z, g.sum()]
-        moved = []
-        for (m, v), d in zip(moments, slopes):
-            m = 0.9 * m + 0.1 * d
-            v = 0.99 * v + 0.01 * d * d
-            moved.append([m, v])
-        moments = moved
-        z, u, b = (x - np.float32(c.rate) * (m / np.float32(1 - 0.9 ** step)) / (np.sqrt(v / np.float32(1 - 0.99 ** step)) + np.float32(1e-8)) for x, (m, v) in zip((z, u, b), moments))
+        said = np.bincount(owner, (z @ u)[grams] * part, minlength=len(ids))
+        logit = np.bincount(text, said[word] * times, minlength=n) + b
+        g = weight * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y)
+        at_word = np.bincount(word, g[text] * times, minlength=len(ids))
+        at_gram = np.bincount(grams, at_word[owner] * part, minlength=len(used)).astype(np.float32)
+        length = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-3)
+        slopes = [np.outer(at_gram, u) + np.float32(c.sparsity) * z / length, at_gram @ z, g.sum()]
+        moments = [[0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d] for (m, v), d in zip(moments, slopes)]
+        rate = np.float32(c.rate * min(1.0, 2 * (1 - (step - 1) / c.steps)))
+        z, u, b = (x - rate * (m / np.float32(1 - 0.9 ** step)) / (np.sqrt(v / np.float32(1 - 0.99 ** step)) + np.float32(1e-8)) for x, (m, v) in zip((z, u, b), moments))
     evidence = np.zeros(c.buckets, np.float32)
     evidence[used] = z @ u
     return ToxicityModel(c, evidence, float(b), base)
@@ -153,20 +134,14 @@ def scores(model: ToxicityModel, texts: list[str], known: dict[str, float]) -> n
     fresh = list({w for t in tokens for w in t if w not in known})
     known.update(zip(fresh, model.words(fresh).tolist()))
     counts = np.array([len(t) for t in tokens], np.int64)
-    logit = np.where(counts > 0, model.bias, model.base)
-    some = np.flatnonzero(counts)
-    if len(some):
-        values = np.fromiter((known[w] for t in tokens for w in t), np.float64, int(counts.sum()))
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        begin, end, doc = _passages(counts[some], model.config.window)
-        best = np.maximum.reduceat((sums[end] - sums[begin]) / (end - begin), np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1]))
-        logit[some] += best
+    said = np.bincount(np.repeat(np.arange(len(texts)), counts), np.fromiter((known[w] for t in tokens for w in t), np.float64, int(counts.sum())), minlength=len(texts))
+    logit = np.where(counts > 0, model.bias + said / np.maximum(counts, 1), model.base)
     return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, c: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Train on a bounded sample of the labelled rows of the learning folds (see fit_on_sample)."""
-    return fit_on_sample(docs, labels, "toxic", dict(enumerate(c.rows_per_label)), c.max_chars, lambda texts, y, totals: train(texts, y, c, totals))
+    return fit_on_sample(docs, labels, "toxic", dict(enumerate(c.rows_per_label)), word_counts, lambda bags, y, totals: train(bags, y, c, totals))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> Column:
