@@ -94,23 +94,32 @@ def _found(pattern: str) -> str:
 def _secrets_sql() -> str:
     """Every window is counted afresh here, which the scaled integer sums make the same."""
     terms = f"[{', '.join(map(str, secrets._terms()))}]"
-    most = " ".join(f"WHEN regexp_full_match(m.v, {_text(p)}) THEN {secrets._most(b)}" for p, b in secrets.CLASSES)
-    window = f"substr(m.v, i + 1, {secrets.WINDOW})"
+    window = f"substr(v, i + 1, {secrets.WINDOW})"
     total = f"list_sum(list_transform(list_distinct(string_split({window}, '')), lambda ch: {terms}[length({window}) - length(replace({window}, ch, '')) + 1]))"
+    most = " ".join(f"WHEN regexp_full_match({window}, '{p}') THEN {secrets._most(b)}" for p, b in (
+        ("[^A-Za-z]*", secrets.NO_LETTER), ("[^0-9]*", secrets.NO_DIGIT), ("[0-9A-Fa-f]*", secrets.HEXADECIMAL), ("[0-9A-Za-z]*", secrets.ALPHANUMERIC)))
+    filler = f"repeat('{secrets.ALLOWED}', length(p))"
+    cut = f"string_split(regexp_replace(m.v, {_text(secrets.UUID)}, chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+    joined = f"array_to_string(list_transform({cut}, lambda p, i: CASE WHEN i % 2 = 0 THEN {filler} ELSE p END), '')"
+    masked = f"array_to_string(list_transform(regexp_extract_all({joined}, {_text(secrets.PIECES)}), lambda p: CASE WHEN regexp_matches(p, {_text(secrets.ALLOW)}) THEN {filler} ELSE p END), '')"
     kinds = "['assign', 'access', 'hex', 'entropy']"
     span = lambda l: f"array_to_string(list_transform(list_sort({l}), lambda x: {kinds}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
     base = lambda k: f"list_transform(l{k}, lambda m: {{'s': m.s, 'k': {k}, 'e': m.e}})"
     return f"""
-        WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+        WITH d AS (SELECT doc_id, row_number() OVER () AS nth, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
         f AS (
-            SELECT doc_id, list_filter({_found(secrets.ASSIGN)}, lambda m: length(regexp_extract(m.v, {_text(secrets.ASSIGN)}, 2)) >= 8) AS l0,
-                {_found(secrets.ACCESS)} AS l1, {_found(secrets.HEX)} AS l2,
-                list_filter({_found(secrets.CANDIDATE)}, lambda m: NOT regexp_full_match(m.v, {_text(secrets.ALLOW)})) AS c FROM d
+            SELECT doc_id, nth, list_filter({_found(secrets.ASSIGN)}, lambda m: length(regexp_extract(m.v, {_text(secrets.ASSIGN)}, 2)) >= 8) AS l0,
+                {_found(secrets.ACCESS)} AS l1, {_found(secrets.HEX)} AS l2, {_found(secrets.CANDIDATE)} AS c FROM d
+        ), v AS (
+            SELECT nth, s, {masked} AS v FROM (SELECT nth, m, m.s AS s FROM (SELECT nth, unnest(c) AS m FROM f))
+        ), i AS (
+            SELECT nth, s, v, unnest(range(0, length(v) - {secrets.WINDOW - 1})) AS i FROM v
         ), w AS (
-            SELECT *, list_filter(list_transform(c, lambda m: {{'s': m.s, 'at': list_filter(range(0, length(m.v) - {secrets.WINDOW - 1}), lambda i: {total} <= CASE {most} END)}}), lambda h: len(h.at) > 0) AS h FROM f
+            SELECT nth, s, min(i) AS low, max(i) AS high FROM i WHERE NOT contains({window}, '{secrets.ALLOWED}') AND {total} <= CASE {most} ELSE {secrets._most(secrets.ANY)} END GROUP BY nth, s
+        ), h AS (
+            SELECT nth, list({{'s': s + low, 'k': 3, 'e': s + high + {secrets.WINDOW}}}) AS added FROM w GROUP BY nth
         ), s AS (
-            SELECT doc_id, l0, l1, l2, {base(0)} || {base(1)} || {base(2)} AS fixed,
-                list_transform(h, lambda y: {{'s': y.s + y.at[1], 'k': 3, 'e': y.s + y.at[-1] + {secrets.WINDOW}}}) AS added FROM w
+            SELECT doc_id, l0, l1, l2, {base(0)} || {base(1)} || {base(2)} AS fixed, coalesce(added, []) AS added FROM f LEFT JOIN h USING (nth)
         )
         SELECT doc_id, len(l0) AS n_assign, len(l1) AS n_access, len(l2) AS n_hex, sha256({span("fixed")}) AS base_sha256, {span("fixed || added")} AS spans FROM s
     """

@@ -18,13 +18,22 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Characters in an entropy window; a candidate has at least as many.
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
-#: Character classes from narrow to wide, with the entropy (bits a character) from which a window counts.
-CLASSES = (("[0-9A-Fa-f]+", 3.0), ("[0-9A-Za-z]+", 3.8), ("[0-9A-Za-z+/=_-]+", 3.9))
-#: Candidates that are no secrets: UUIDs, samples and fillers, names in words without digits.
-ALLOW = r"(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|.*(?i:example|sample|placeholder|dummy|xxxx|abcdefgh|01234567).*|[^0-9]*|[^A-Za-z]*)"
+#: Entropy (bits a character) from which a window counts, by the character class that holds it: hexadecimal, letters
+#: and digits, all of a candidate's characters; stricter without a letter and without a digit, as numbers and words are.
+HEXADECIMAL, ALPHANUMERIC, ANY, NO_LETTER, NO_DIGIT = 3.0, 3.8, 3.9, 3.2, 4.0
+#: Allow-list: UUIDs, and what lies between two of "=", "/", "_" and "-" with a sample's name or a filler in it.
+UUID = r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
+PIECES = r"[A-Za-z0-9+]+|[=/_,-]+"
+ALLOW = r"(?i:example|sample|placeholder|dummy|xxxx|abcdefgh|01234567)"
+#: What allowed characters are replaced by; no window counts that holds it.
+ALLOWED = ","
 
 _MARK = "\u0001"
 _SCALE = 1_000_000
+#: Parts of a text that are put into one array at a time.
+_PARTS = 256
+#: Counts of a window's characters lie twelve to a long; the codes of candidates are from 43 to 122.
+_FIRST, _SLOT, _BITS = 43, 12, 5
 
 
 def _terms() -> list[int]:
@@ -42,7 +51,8 @@ def matches(text: Column, pattern: str) -> Column:
 
     The text is cut at marks put around each match; a mark that is already in
     the text is first replaced by another control character, which no pattern
-    here can match and which keeps every position.
+    here can match and which keeps every position. Arrays grow by copies, so
+    the parts go through small arrays, and the work stays in proportion to the text.
     """
     parts = F.split(F.regexp_replace(F.translate(text, _MARK, "\u0002"), pattern, f"{_MARK}$0{_MARK}"), _MARK)
     found = "array<struct<start:int,end:int,value:string>>"
@@ -53,59 +63,88 @@ def matches(text: Column, pattern: str) -> Column:
         hit = F.array(F.struct(at.alias("start"), end.alias("end"), part.alias("value")))
         return F.struct(end.alias("at"), (~odd).alias("odd"), F.when(odd, F.concat(out, hit)).otherwise(out).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(found).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(found))
+    def some(acc, few):
+        begin = F.struct(acc["at"].alias("at"), F.lit(False).alias("odd"), F.array().cast(found).alias("out"))
+        # a lambda's argument is bound once
+        return F.transform(F.array(F.aggregate(few, begin, step)), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
 
+    def folded(p):
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _PARTS).cast("int")), lambda g: F.slice(p, g * _PARTS + 1, _PARTS))
+        return F.flatten(F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{found}>").alias("out")), some)["out"])
 
-def _windows(value: Column, most: Column) -> Column:
-    """array<int>: the starts of the windows of ``value`` whose sum of c*log2(c) is at most ``most``.
+    return F.when(text.rlike(pattern), F.transform(F.array(parts), folded)[0]).otherwise(F.array().cast(found))
+
+
+def _masked(value: Column) -> Column:
+    """The candidate with every allowed character replaced."""
+    cut = F.split(F.regexp_replace(value, UUID, f"{_MARK}$0{_MARK}"), _MARK)
+    value = F.array_join(F.transform(cut, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(ALLOWED), F.length(p))).otherwise(p)), "")
+    pieces = F.regexp_extract_all(value, F.lit(PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(ALLOW), F.repeat(F.lit(ALLOWED), F.length(p))).otherwise(p)), "")
+
+
+def _kind(code: int) -> int:
+    """Six bits each: whether the character is allowed, not hexadecimal, a sign, a digit, a letter."""
+    c = chr(code)
+    sound = c.isalnum() or c in "+/=_-"
+    of = (not sound, c not in "0123456789abcdefABCDEF", sound and not c.isalnum(), c.isdigit(), c.isalpha())
+    return sum(int(x) << 6 * i for i, x in enumerate(of))
+
+
+def _bounds(window: Column) -> Column:
+    """Whether a window of this sum of c * log2(c) and these kinds counts."""
+    of = lambda i: F.shiftright(window["kinds"], 6 * i).bitwiseAND(F.lit(63))
+    most = F.when(of(0) > 0, -1)
+    for holds, bits in ((of(4) == 0, NO_LETTER), (of(3) == 0, NO_DIGIT), (of(1) == 0, HEXADECIMAL), (of(2) == 0, ALPHANUMERIC)):
+        most = most.when(holds, _most(bits))
+    return (window["n"] >= WINDOW) & (window["sum"] <= most.otherwise(_most(ANY)))
+
+
+def _windows(value: Column) -> Column:
+    """struct<first, last>: starts of the first and the last window of ``value`` that counts; null without one.
 
     The counts of the characters in the window are carried along: a step takes
     one character in and one out, and the sum changes by the differences of
     their two terms only.
     """
-    terms = F.array(*[F.lit(t).cast("long") for t in _terms()])
-    term = lambda c: F.element_at(terms, c + 1)
+    terms = _terms()
+    grows = F.array(*[F.lit(t - f).cast("long") for f, t in zip([0, *terms], terms)])  # by the count that is reached
+    kinds = F.array(*[F.lit(_kind(i)).cast("long") for i in range(128)])
     codes = F.transform(F.split(value, ""), F.ascii)
-    empty = F.array_repeat(F.lit(0), 128)
-
-    def step(acc, i):
-        code_in = F.element_at(codes_of(acc), i + 1)
-        leaving = i >= WINDOW
-        code_out = F.when(leaving, F.element_at(codes_of(acc), F.greatest(i - WINDOW + 1, F.lit(1)))).otherwise(F.lit(-1))
-        return _slide(acc, i, code_in, code_out, leaving)
-
-    def codes_of(acc):
-        return acc["codes"]
-
-    def _slide(acc, i, code_in, code_out, leaving):
-        counts = acc["counts"]
-        lost = F.when(leaving, F.element_at(counts, code_out + 1)).otherwise(F.lit(0))
-        gained = F.element_at(counts, code_in + 1) - F.when(code_in == code_out, F.lit(1)).otherwise(F.lit(0))
-        total = acc["sum"] + F.when(leaving, term(lost - 1) - term(lost)).otherwise(F.lit(0)) + term(gained + 1) - term(gained)
-        fresh = F.transform(counts, lambda c, j: c + F.when(j == code_in, 1).otherwise(0) - F.when(j == code_out, 1).otherwise(0))
-        full = i >= WINDOW - 1
-        out = F.when(full & (total <= most), F.concat(acc["out"], F.array((i - (WINDOW - 1)).cast("int")))).otherwise(acc["out"])
-        return F.struct(acc["codes"].alias("codes"), fresh.alias("counts"), total.alias("sum"), out.alias("out"))
-
-    begin = F.struct(codes.alias("codes"), empty.alias("counts"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), begin, step, lambda acc: acc["out"])
+    slot = lambda c: F.floor((c - _FIRST) / _SLOT).cast("int")
+    shift = lambda c: (c - _FIRST) % _SLOT * _BITS
+    facts = F.transform(codes, lambda c: F.struct(slot(c).alias("slot"), shift(c).alias("shift"), F.element_at(kinds, c + 1).alias("kinds")))
+    pairs = lambda f: F.transform(f, lambda x, i: F.struct(x.alias("come"), F.try_element_at(f, F.when(i >= WINDOW, i - WINDOW + 1)).alias("go")))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"])
+
+    def after(acc):
+        """The marks of the window that ends here, taken before the next step moves it on."""
+        counts = _bounds(acc)
+        start = acc["n"] - WINDOW
+        return (F.when(acc["first"] >= 0, acc["first"]).when(counts, start).otherwise(-1).alias("first"), F.when(counts, start).otherwise(acc["last"]).alias("last"))
+
+    def step(acc, pair):
+        come, go = pair["come"], pair["go"]
+        held = lambda x: F.call_function("shiftright", F.element_at(acc["counts"], x["slot"] + 1), x["shift"]).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+        same = (come["slot"] == go["slot"]) & (come["shift"] == go["shift"])
+        total = acc["sum"] - F.when(go.isNotNull(), F.element_at(grows, held(go) + 1)).otherwise(0)
+        total = total + F.element_at(grows, held(come) + 2 - F.when(same, 1).otherwise(0))
+        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == come["slot"], one(come)).otherwise(0) - F.when(j == go["slot"], one(go)).otherwise(0))
+        return F.struct(
+            counts.alias("counts"), total.alias("sum"), (acc["kinds"] + come["kinds"] - F.coalesce(go["kinds"], F.lit(0))).alias("kinds"),
+            (acc["n"] + 1).alias("n"), *after(acc))
+
+    zero = F.lit(0).cast("long")
+    begin = F.struct(F.array_repeat(zero, (128 - _FIRST) // _SLOT + 1).alias("counts"), zero.alias("sum"), zero.alias("kinds"), F.lit(0).alias("n"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    whole = lambda f: F.aggregate(pairs(f), begin, step, lambda acc: F.struct(*after(acc)))
+    return F.get(F.filter(F.transform(F.array(facts), whole), lambda x: x["first"] >= 0), 0)
 
 
 def entropy_spans(text: Column) -> Column:
     """array<struct<start, end>>: from the first to the last counting window of each candidate."""
-    strings = F.filter(matches(text, CANDIDATE), lambda m: ~m["value"].rlike(f"^{ALLOW}$"))
-
-    def limit(value):
-        out = F.lit(None).cast("long")
-        for pattern, bits in reversed(CLASSES):
-            out = F.when(value.rlike(f"^{pattern}$"), F.lit(_most(bits)).cast("long")).otherwise(out)
-        return out
-
-    hits = F.transform(strings, lambda m: F.struct(m["start"].alias("start"), _windows(m["value"], limit(m["value"])).alias("at")))
-    hits = F.filter(hits, lambda h: F.size(h["at"]) > 0)
-    return F.transform(hits, lambda h: F.struct(
-        (h["start"] + F.element_at(h["at"], 1)).alias("start"), (h["start"] + F.element_at(h["at"], -1) + WINDOW).alias("end")))
+    hits = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), _windows(_masked(m["value"])).alias("at")))
+    hits = F.filter(hits, lambda h: h["at"].isNotNull())
+    return F.transform(hits, lambda h: F.struct((h["start"] + h["at"]["first"]).alias("start"), (h["start"] + h["at"]["last"] + WINDOW).alias("end")))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -113,8 +152,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     ``kind`` indexes KINDS; positions are code points, ends exclusive. The
     three base kinds are the fixed patterns with their least lengths; the
-    fourth is the sliding-window entropy of candidate strings, an allow-list
-    taken out. Null and empty texts have no secrets; null or repeated ids keep
+    fourth is the sliding-window entropy of candidate strings, windows that
+    hold characters of the allow-list left out. Work and memory follow the
+    length of the text, also of one that is a single candidate. Null and empty texts have no secrets; null or repeated ids keep
     their rows; an empty table gives an empty result; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
