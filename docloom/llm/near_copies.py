@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from docloom.llm.components import connected_components
+from docloom.llm.simhash import hashes_of
 from docloom.llm.texts import utf8
 from docloom.sources.tables import materialize
 
@@ -35,12 +36,7 @@ _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingles_of(text: bytes) -> np.ndarray:
     """XXH64 of the text's shingles in order, repeats and all; a text of fewer words is one shingle, one without words has none."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = [b" ".join(tokens)] if len(tokens) < WORDS else map(b" ".join, zip(*[tokens[j:] for j in range(WORDS)]))
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(s, SEED) for s in joined), np.uint64)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes_of(text, WORDS)])
 
 
 def bands_of(shingles: np.ndarray) -> list[int]:

@@ -1,4 +1,4 @@
-"""Global positions and running sums without a one-task window."""
+"""Global positions and running sums without a one-task window, and joins that hot keys do not skew."""
 
 from __future__ import annotations
 
@@ -38,3 +38,21 @@ def positions(df: DataFrame, order: list[str], running: str | None = None, name:
         inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("before", F.col("_sum0") + F.coalesce(F.sum(running).over(inside), F.lit(0)))
     return out.drop("_part", "_row", "_n0", "_sum0")
+
+
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this, whatever the table.
+HOT = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with one fact per key.
+
+    The facts of hot keys, fewer than HOT rows, are broadcast; all other keys
+    are shuffled. ``rows`` is read three times, so pass a materialized table.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    hot = spark.createDataFrame(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > total).select(key).collect(), rows.select(key).schema)
+    hot = F.broadcast(hot)
+    few = rows.join(hot, key, "left_anti").join(facts, key)
+    return few.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key))

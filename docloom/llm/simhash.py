@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
-from docloom.llm.texts import blocks, utf8
+from docloom.llm.ranking import join_facts
+from docloom.llm.texts import token_runs, utf8
 from docloom.sources.tables import materialize
 
 SEED = 42
@@ -21,84 +22,76 @@ BUDGET = 2
 CUTS = ((0, 22), (22, 43), (43, 64))
 #: Buckets larger than this are split into node pairs of a deeper trie level before they reach a task.
 BUCKET = 2048
+#: Node pairs that are taken down at once, and fingerprints that one traversal reads.
 _FRONTIER = 1 << 20
+_ROWS = 1 << 16
+
+
+def hashes_of(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles in order, repeats and all, in slices; a text of fewer words is one shingle, one without words has none."""
+    digest = xxhash.xxh64_intdigest
+    for run in token_runs(text, words - 1):
+        shingles = [b" ".join(run)] if len(run) < words else map(b" ".join, zip(*[run[j:] for j in range(words)]))
+        yield np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
 
 
 def fingerprints_of(texts: list[bytes], words: int = 3) -> np.ndarray:
     """SimHash of each text: bit b is 1 if more than half of the shingles' hashes have it; 0 without words."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    digest = xxhash.xxh64_intdigest
-    for i, text in enumerate(texts):
-        tokens = text.lower().split()
-        if not tokens:
-            continue
-        shingles = [b" ".join(tokens)] if len(tokens) < words else list(map(b" ".join, zip(*[tokens[j:] for j in range(words)])))
-        hashes += [digest(s, SEED) for s in shingles]
-        counts[i] = len(shingles)
     out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        begin = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        sums = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
-        out[some] = np.packbits(sums * 2 > counts[some, None], axis=1).view(">u8").ravel()
+    for i, text in enumerate(texts):
+        n, sums = 0, np.zeros(64, np.int64)
+        for hashes in hashes_of(text, words):
+            n += len(hashes)
+            sums += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(sums * 2 > n).view(">u8")[0]
     return out
 
 
 def fingerprint(words: int = 3):
-    """An Arrow UDF: UTF-8 bytes to the fingerprint as a signed long."""
+    """An Arrow UDF: UTF-8 bytes to the fingerprint as a signed long. Memory follows the longest text, not its shingles."""
     @F.pandas_udf("long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = np.zeros(len(texts), np.uint64)
-            begin = held = 0
-            sizes = texts.str.len().to_numpy()
-            for i in range(len(texts) + 1):
-                if i == len(texts) or held and held + sizes[i] > 2 << 20:
-                    out[begin:i] = fingerprints_of(texts.iloc[begin:i].tolist(), words)
-                    begin, held = i, 0
-                held += sizes[i] if i < len(texts) else 0
-            yield pd.Series(out.view(np.int64))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(fingerprints_of(texts.tolist(), words).view(np.int64))
     return run
 
 
-def _pairs(left: np.ndarray, right: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) of all pairs of two sorted fingerprint arrays within the budget.
+def _pairs(values: np.ndarray, roots: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of all pairs within the budget below pairs of trie nodes.
 
-    Both arrays are read as binary tries whose nodes are runs of equal prefixes.
-    Node pairs are taken down together, level by level: children on the same
-    side keep the bits that differ so far, children on opposite sides add one,
-    and pairs over the budget are pruned. The frontier is worked on in bounded
-    pieces, depth first. If both arrays are the same object, each pair comes once.
+    A node is a run of ``values`` that is sorted and distinct in itself, read as
+    a binary trie; ``roots`` are the node pairs to begin with, as rows (begin,
+    end, begin, end), and a node paired with itself gives each of its pairs
+    once. Node pairs are taken down together, level by level: children on the
+    same side keep the bits that differ so far, children on opposite sides add
+    one, and pairs over the budget are pruned. Two nodes of one fingerprint
+    each are compared at once. The frontier is worked on in bounded pieces,
+    depth first.
     """
-    same = left is right
-    stack = [(0, np.array([[0, len(left), 0, len(right), 0]], np.int64))]
+    ones: dict[int, np.ndarray] = {}
+    stack = [(0, np.column_stack([roots, np.zeros(len(roots), np.int64)]))]
     while stack:
         level, nodes = stack.pop()
         if len(nodes) > _FRONTIER:
             half = len(nodes) // 2
             stack += [(level, nodes[half:]), (level, nodes[:half])]
             continue
-        if level == 64:
-            # leaves hold one fingerprint each: the arrays are distinct
-            keep = nodes[nodes[:, 0] < nodes[:, 2]] if same else nodes
-            if len(keep):
-                yield keep[:, 0], keep[:, 2]
+        single = (nodes[:, 1] - nodes[:, 0] == 1) & (nodes[:, 3] - nodes[:, 2] == 1)
+        i, j = nodes[single, 0], nodes[single, 2]
+        near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+        if near.any():
+            yield i[near], j[near]
+        nodes = nodes[~single]
+        if not len(nodes):
             continue
-        bit = np.uint64(63 - level)
-        prefix_one = lambda a: np.concatenate([[0], np.cumsum((a >> bit) & np.uint64(1))]).astype(np.int64)
-        ones_l = prefix_one(left)
-        ones_r = ones_l if same else prefix_one(right)
+        if level not in ones:
+            ones[level] = np.concatenate([[0], np.cumsum((values >> np.uint64(63 - level)) & np.uint64(1))]).astype(np.int64)
+        before = ones[level]
         # inside a node rows are sorted and share the prefix, so zeros come first
         a0, a1, b0, b1, d = nodes.T
-        am, bm = a1 - (ones_l[a1] - ones_l[a0]), b1 - (ones_r[b1] - ones_r[b0])
-        down = [(a0, am, b0, bm, d), (am, a1, bm, b1, d), (a0, am, bm, b1, d + 1), (am, a1, b0, bm, d + 1)]
-        if same:
-            # a node with itself: one order of its two sides is enough
-            own = (a0 == b0) & (a1 == b1)
-            down[3] = tuple(x[~own] for x in down[3])
-        found = np.concatenate([np.stack(x, axis=1) for x in down])
+        am, bm = a1 - (before[a1] - before[a0]), b1 - (before[b1] - before[b0])
+        other = ~((a0 == b0) & (a1 == b1))  # a node with itself: one order of its two sides is enough
+        found = np.concatenate([np.stack(x, axis=1) for x in (
+            (a0, am, b0, bm, d), (am, a1, bm, b1, d), (a0, am, bm, b1, d + 1), tuple(x[other] for x in (am, a1, b0, bm, d + 1)))])
         found = found[(found[:, 0] < found[:, 1]) & (found[:, 2] < found[:, 3]) & (found[:, 4] <= budget)]
         if len(found):
             stack.append((level + 1, found))
@@ -120,20 +113,47 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _bucket_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links inside one bucket's node pair, as a spanning forest: (a, b) signed fingerprints."""
-    values = rows["fp"].to_numpy().view(np.uint64)
-    side = rows["side"].to_numpy()
-    left = np.unique(values[side != 1])
-    if (side == 2).all():
-        names, found = left, _pairs(left, left, BUDGET)
-    else:
-        right = np.unique(values[side == 1])
-        names = np.concatenate([left, right])
-        found = ((i, j + len(left)) for i, j in _pairs(left, right, BUDGET))
-    root = _forest(len(names), found)
-    linked = np.flatnonzero(root != np.arange(len(names)))
-    return pd.DataFrame({"a": names[linked].view(np.int64), "b": names[root[linked]].view(np.int64)})
+_KEY = ("cut", "value", "low", "high")
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _bucket_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """Links inside the node pairs of many buckets, as a spanning forest: (a, b) signed fingerprints."""
+    values = fp.view(np.uint64)
+    order = np.lexsort((values, side, group))
+    group, side, values = group[order], side[order], values[order]
+    begin = np.concatenate([[0], np.flatnonzero((np.diff(group) != 0) | (np.diff(side) != 0)) + 1])
+    end = np.concatenate([begin[1:], [len(values)]])
+    alone = np.flatnonzero(side[begin] == 2)
+    first = np.flatnonzero((side[begin[:-1]] == 0) & (side[begin[1:]] == 1) & (group[begin[:-1]] == group[begin[1:]]))
+    left, right = np.concatenate([alone, first]), np.concatenate([alone, first + 1])
+    root = _forest(len(values), _pairs(values, np.stack([begin[left], end[left], begin[right], end[right]], axis=1), BUDGET))
+    linked = np.flatnonzero(root != np.arange(len(values)))
+    return pa.RecordBatch.from_arrays([pa.array(values[linked].view(np.int64)), pa.array(values[root[linked]].view(np.int64))], schema=_LINKS)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition sorted by bucket and node pair: whole groups are gathered into traversals of about _ROWS fingerprints."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size, last, number = 0, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in _KEY], axis=1).astype(np.int64)
+        new = np.concatenate([[last is None or bool((key[0] != last).any())], (key[1:] != key[:-1]).any(axis=1)])
+        group = number + np.cumsum(new)
+        number, last = int(group[-1]), key[-1]
+        rows = (group, batch.column("side").to_numpy(), batch.column("fp").to_numpy())
+        starts = np.flatnonzero(new)
+        if size + len(group) >= _ROWS and len(starts):
+            cut = int(starts[-1])  # the last group may go on in the next batch
+            held.append(tuple(x[:cut] for x in rows))
+            yield _bucket_links(*map(np.concatenate, zip(*held)))
+            held, size, rows = [], 0, tuple(x[cut:] for x in rows)
+        held.append(rows)
+        size += len(rows[0])
+    if size:
+        yield _bucket_links(*map(np.concatenate, zip(*held)))
 
 
 def _bits(fp: Column, begin: int, end: int) -> Column:
@@ -148,9 +168,10 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     so each goes to that many buckets, one per block value: the subtrie below
     that block, rotated to the front. A bucket of more than BUCKET fingerprints
     is split at a deeper level: its fingerprints go to one group per pair of
-    nodes of that level whose prefixes are within the budget. Each group
-    traverses its node pairs (see _pairs) and returns a spanning forest of its
-    links, never all pairs. All buckets are searched; none is capped.
+    nodes of that level whose prefixes are within the budget. A task takes the
+    groups of its partition down together (see _pairs) and returns a spanning
+    forest of their links, never all pairs. All buckets are searched; none is
+    capped.
     """
     cuts = F.array(*[F.struct(F.lit(i).alias("cut"), _bits(F.col("fp"), b, e).alias("value"), _bits(F.col("fp"), *_below(e)).alias("below")) for i, (b, e) in enumerate(CUTS)])
     keyed = fingerprints.select("fp", F.explode(cuts).alias("k")).select("fp", "k.*")
@@ -167,7 +188,8 @@ def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
     placed = placed.select(
         "fp", "cut", "value", F.least("node", other).alias("low"), F.greatest("node", other).alias("high"),
         F.when(F.col("mask") == 0, 2).when(F.col("node") < other, 0).otherwise(1).alias("side"))
-    return placed.groupBy("cut", "value", "low", "high").applyInPandas(_bucket_links, "a long, b long")
+    n = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_links, "a long, b long")
 
 
 #: Levels below a block that a large bucket may be split at.
@@ -179,27 +201,24 @@ def _below(end: int) -> tuple[int, int]:
     return (end, end + _DEPTH) if end < 64 else (0, _DEPTH)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, row_key: str | None = None) -> DataFrame:
-    """(doc_id, fp, component_id, component, row_key) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``.
 
     Fingerprints at BUDGET or fewer differing bits are linked; a component's id
-    is its smallest doc_id, and ``component`` is a fingerprint that stands for
-    it. Copies share a fingerprint and meet as one node. Texts without words
-    (null, empty, blank) have fingerprint zero and link like any other; null
-    ids keep their row and count last for the smallest id; repeated rows come
-    back as often as they came; an empty table gives an empty result. Other
-    columns are not read, but for ``row_key``, which the result carries.
+    is its smallest doc_id. Copies share a fingerprint and meet as one node, and
+    fingerprints that many rows share are joined back by broadcast (see
+    join_facts). Texts without words (null, empty, blank) have fingerprint zero
+    and link like any other; null ids keep their row and count last for the
+    smallest id; repeated rows come back as often as they came; texts of any
+    length are read whole, in slices; an empty table gives an empty result.
+    Other columns are not read.
     """
-    key = F.col(row_key) if row_key else F.lit("")
-    rows = materialize(docs.select("doc_id", fingerprint(words)(utf8()).alias("fp"), key.alias("row_key")), "fingerprints")
+    rows = materialize(docs.select("doc_id", fingerprint(words)(utf8()).alias("fp")), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(fingerprint_links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp"))
-    # only components with links need the least id of several fingerprints
-    linked = roots.filter("root <> node").select(F.col("root").alias("component")).distinct()
-    least = named.join(linked, "component", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component", "left").select("fp", "component", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "component", "row_key")
+    named = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp")).select("fp", "component", "least"), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return join_facts(rows, join_facts(named, least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_WORDS = re.compile(WORD.encode())
+
+
+def token_runs(text: bytes, overlap: int, size: int = 1 << 16) -> Iterator[list[bytes]]:
+    """The words of a text, ASCII letters lowered, in runs of about ``size``; each run begins with the last ``overlap`` words of the one before."""
+    text = text.lower()
+    if len(text) < 1 << 20:
+        if words := text.split():
+            yield words
+        return
+    found, held = (m[0] for m in _WORDS.finditer(text)), []
+    while fresh := list(islice(found, size)):
+        held += fresh
+        yield held
+        held = held[len(held) - overlap:] if overlap < len(held) else held
+
+
 def utf8(text: str = "text") -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -40,12 +59,14 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 def most_frequent(counted: DataFrame, count: str, size: int) -> DataFrame:
     """The rows with the largest counts, at most ``size``: all those above the least count that keeps them within it.
 
-    Found from how many rows have which count (few values, however many rows),
-    so no task and not the driver ever sorts or gathers candidates.
+    Found from how many rows have which count, counts of a 256th of a power of
+    two together: at most 64 * 256 rows, however large the table, so no task and
+    not the driver ever sorts or gathers candidates.
     """
-    having = sorted(counted.groupBy(count).agg(F.count(F.lit(1))).collect(), reverse=True)
+    scale = F.floor(F.log2(F.col(count).cast("double")) * 256)
+    having = sorted(counted.groupBy(scale.alias("scale")).agg(F.min(count), F.count(F.lit(1))).collect(), reverse=True)
     least, held = None, 0
-    for value, n in having:
+    for _, value, n in having:
         held += n
         if held > size:
             break

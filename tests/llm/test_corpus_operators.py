@@ -164,8 +164,10 @@ def test_trie_join(seed, n):
     centres = [rng.getrandbits(64) for _ in range(4)]
     values = {rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for _ in range(n)}
     a = np.array(sorted(values), np.uint64)
-    got = sorted((int(i), int(j)) for x, y in simhash._pairs(a, a, 2) for i, j in zip(x, y))
-    assert got == [(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if (int(a[i]) ^ int(a[j])).bit_count() <= 2]
+    pairs = lambda *roots: sorted(tuple(sorted((int(i), int(j)))) for x, y in simhash._pairs(a, np.array(roots), 2) for i, j in zip(x, y))
+    half, n = len(a) // 2, len(a)
+    assert sorted(pairs((0, half, 0, half), (half, n, half, n)) + pairs((0, half, half, n))) == pairs((0, n, 0, n))
+    assert pairs((0, n, 0, n)) == [(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if (int(a[i]) ^ int(a[j])).bit_count() <= 2]
 
 
 def test_top_k(spark):
