@@ -8,6 +8,7 @@ threshold holds for items of any length.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,10 +17,14 @@ from itertools import chain, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from docloom.llm.texts import blocks, utf8
+from docloom.sources.tables import materialize
 
 WORDS = re.compile(r"\w+")
 SHINGLE = 5
@@ -63,17 +68,13 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return question, answer
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    """Distinct runs of SHINGLE words; fewer words are one shingle, none have none."""
-    if len(words) < SHINGLE:
-        return {tuple(words)} if words else set()
-    return set(zip(*[words[i:] for i in range(SHINGLE)]))
+def shingles(words: list[str]) -> np.ndarray:
+    """Hashes of the distinct runs of SHINGLE words, sorted; fewer words have none."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(run)) for run in zip(*[words[i:] for i in range(SHINGLE)])), np.uint64))
 
 
-def _ranges(begin: np.ndarray, owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The members of the run begin[key]..begin[key + 1] of each key, beside the key's owner."""
-    size = begin[key + 1] - begin[key]
-    return np.repeat(owner, size), np.arange(size.sum()) + np.repeat(begin[key] - (np.cumsum(size) - size), size)
+def _share(part: np.ndarray, have: np.ndarray) -> float:
+    return len(np.intersect1d(part, have, assume_unique=True)) / len(part) if len(part) else 1.0
 
 
 class BlockMaxIndex:
@@ -83,45 +84,63 @@ class BlockMaxIndex:
         self.config = c
         self.ids = [i for i, _ in items]
         self.parts = [tuple(map(shingles, question_and_answer(t))) for _, t in items]
-        self.sizes = np.array([len(words_of(t)) for _, t in items], np.int64)
         self.terms = {t: i for i, t in enumerate(sorted({t for _, t, _ in postings}))}
-        self.step = max(16, int(self.sizes.max(initial=1)))
+        self.step = max([16, *(len(words_of(t)) for _, t in items)])
         term = np.array([self.terms[t] for _, t, _ in postings], np.int64)
         item = np.array([i for i, _, _ in postings], np.int64)
         impact = np.array([x for _, _, x in postings])
         order = np.lexsort((item, term))
-        self.term, self.item, self.impact = term[order], item[order], impact[order]
-        self.begin = np.searchsorted(self.term, np.arange(len(self.terms) + 1))
+        term, self.item, self.impact = term[order], item[order], impact[order]
+        #: Postings as one sorted list of term * items + item, so that any list is entered at any item by bisection.
+        self.post = term * len(items) + self.item
+        self.begin = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.n_blocks = max(1, -(-len(items) // c.block))
         self.most = np.zeros(len(self.terms))
-        np.maximum.at(self.most, self.term, self.impact)
-        # per term and block, sparse: key = term * n_blocks + block
-        key, first = np.unique(self.term * self.n_blocks + self.item // c.block, return_index=True)
-        self.block_begin = np.searchsorted(key // self.n_blocks, np.arange(len(self.terms) + 1))
-        self.block_of = key % self.n_blocks
-        self.block_most = np.maximum.reduceat(self.impact, first) if len(key) else np.zeros(0)
-
-    def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all items that score at least the threshold on the distinct terms of n passages.
-
-        The sum of a passage's block maxima bounds every item of a block; only
-        blocks whose bound reaches the threshold are opened and their items scored.
+        np.maximum.at(self.most, term, self.impact)
+        # per term and block, sparse: term * n_blocks + block
+        self.block, first = np.unique(term * self.n_blocks + self.item // c.block, return_index=True)
+        self.block_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+
+    def _found(self, keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
+    def candidates(self, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all items that score at least the threshold, from the distinct terms t of passages p.
+
+        Block-max WAND, all passages a step at a time. The cursors of a passage
+        are ordered by their items; the pivot is the first item at which the
+        terms' overall maxima reach the threshold, so no item before it can. If
+        the maxima of the pivot's block do not reach it either, the cursors up to
+        the pivot skip to the end of the block or the next cursor, else the pivot
+        is scored and passed.
         """
-        least, out = self.config.threshold - 1e-9, []
-        wide = max(1, (1 << 21) // max(self.n_blocks, len(self.ids)))  # passages at a time
-        cuts = np.searchsorted(passage, np.arange(0, n + wide, wide))
-        for low, (begin, end) in zip(range(0, n, wide), zip(cuts, cuts[1:])):
-            p, t, k = passage[begin:end] - low, term[begin:end], min(wide, n - low)
-            own, at = _ranges(self.block_begin, p, t)
-            bounds = np.bincount(own * self.n_blocks + self.block_of[at], self.block_most[at], minlength=k * self.n_blocks)
-            opened = bounds >= least
-            worth = opened.reshape(k, -1).any(axis=1)[p]
-            own, at = _ranges(self.begin, p[worth], t[worth])
-            into = opened[own * self.n_blocks + self.item[at] // self.config.block]
-            own, at = own[into], at[into]
-            scores = np.bincount(own * len(self.ids) + self.item[at], self.impact[at], minlength=k * len(self.ids))
-            hits = np.flatnonzero(scores >= least)
-            out.append((hits // len(self.ids) + low, hits % len(self.ids), scores[hits]))
+        least, n, out = self.config.threshold - 1e-9, len(self.ids), []
+        at, end = self.begin[t], self.begin[t + 1]
+        while len(at):
+            d = self.item[at]
+            order = np.lexsort((d, p))
+            p, t, at, end, d = (x[order] for x in (p, t, at, end, d))
+            starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(p)]]))
+            total = np.cumsum(self.most[t])
+            total -= np.repeat(total[starts] - self.most[t[starts]], sizes)
+            short = np.add.reduceat(total < least, starts)
+            open_ = short < sizes  # passages without a pivot are done
+            pivot = d[np.where(open_, starts + short, 0)]
+            nth = np.repeat(np.arange(len(starts)), sizes)
+            moves = open_[nth] & (d <= pivot[nth])
+            beyond = np.minimum.reduceat(np.where(d > pivot[nth], d, n), starts)
+            own, terms = nth[moves], t[moves]
+            block = pivot // self.config.block
+            worth = np.bincount(own, self._found(self.block, terms * self.n_blocks + block[own], self.block_most), minlength=len(starts)) >= least
+            scores = np.bincount(own, np.where(worth[own], self._found(self.post, terms * n + pivot[own], self.impact), 0.0), minlength=len(starts))
+            hit = np.flatnonzero(worth & (scores >= least))
+            out.append((p[starts[hit]], pivot[hit], scores[hit]))
+            to = np.where(worth, pivot + 1, np.minimum(np.minimum((block + 1) * self.config.block, beyond), n))
+            at[moves] = np.searchsorted(self.post, terms * n + to[own])
+            keep = open_[nth] & (at < end)
+            p, t, at, end = p[keep], t[keep], at[keep], end[keep]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, float]]:
@@ -150,59 +169,76 @@ class BlockMaxIndex:
         of, term = pair // (len(self.terms) + 1), pair % (len(self.terms) + 1) - 1
         kept = (np.bincount(of, self.most[term], minlength=len(hot)) >= self.config.threshold - 1e-9)[of]
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p, item, score in zip(*(x.tolist() for x in self.candidates(of[kept], term[kept], len(hot)))):
+        for p, item, score in zip(*(x.tolist() for x in self.candidates(of[kept], term[kept]))):
             p = int(hot[p])
             d = int(text[p])
             if score <= found.get((d, item), (-1.0,))[0]:
                 continue
             # one step more to either side: copies with words put in stay in view
             have = shingles(tokens[d][max(0, int(begin[p] - start[d]) - self.step):int(end[p] - start[d]) + self.step])
-            question, answer = self.parts[item]
-            q = len(question & have) / len(question) if question else 1.0
-            a = len(answer & have) / len(answer) if answer else 1.0
+            q, a = (_share(part, have) for part in self.parts[item])
             if min(q, a) >= self.config.overlap:
                 found[d, item] = (score, q, a)
         for (d, item), values in found.items():
             yield d, item, *values
 
 
-def item_impacts(items: DataFrame, c: DecontaminationConfig) -> DataFrame:
-    """(item_id, term, impact): BM25 impacts over the item's own score, from the counts of all items."""
-    @F.udf("array<string>")
-    def split(text):
-        return words_of(text or "")
+@F.pandas_udf(ArrayType(StringType()))
+def _split(texts: pd.Series) -> pd.Series:
+    return texts.map(words_of)
+
 
-    terms = items.select("item_id", split("text").alias("ws")).filter(F.size("ws") > 0)
-    lengths = terms.select("item_id", F.size("ws").alias("dl"))
+def item_impacts(items: DataFrame, c: DecontaminationConfig) -> DataFrame:
+    """(key, term, impact) of items (key, words): BM25 impacts over the item's own score, from the counts of all items."""
+    lengths = items.select("key", F.size("words").alias("dl"))
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    tf = terms.select("item_id", F.explode("ws").alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = items.select("key", F.explode("words").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / F.lit(mean or 1.0)))
-    raw = tf.join(df, "term").join(lengths, "item_id").select("item_id", "term", (idf * saturated).alias("raw"))
-    own = raw.groupBy("item_id").agg(F.sum("raw").alias("own"))
-    return raw.join(own, "item_id").select("item_id", "term", (F.col("raw") / F.col("own")).alias("impact"))
+    raw = tf.join(df, "term").join(lengths, "key").select("key", "term", (idf * saturated).alias("raw"))
+    own = raw.groupBy("key").agg(F.sum("raw").alias("own"))
+    return raw.join(own, "key").select("key", "term", (F.col("raw") / F.col("own")).alias("impact"))
 
 
-def build_shards(items: DataFrame, c: DecontaminationConfig = DecontaminationConfig()) -> Iterator[BlockMaxIndex]:
-    """Indexes over all items, each of a bounded number of postings; impacts come from the counts of all items."""
-    numbered = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id is not null").groupBy("item_id", "text").count()
+def build_shards(items: DataFrame, c: DecontaminationConfig = DecontaminationConfig()) -> list[DataFrame]:
+    """Indexes over all items as tables of one row (index: binary), each of about ``postings`` postings; impacts come from the counts of all items.
+
+    Tasks build the indexes, one shard each, and write them to the shared folder.
+    """
+    text = F.coalesce("text", F.lit(""))
     # rows with one id but other texts are items of their own: they are told apart by their text
-    keyed = numbered.select(F.sha2(F.concat_ws(":", F.col("item_id").cast("string"), "text"), 256).alias("key"), "item_id", "text")
-    impacts = item_impacts(keyed.select(F.col("key").alias("item_id"), "text"), c).withColumnRenamed("item_id", "key").persist()
-    try:
-        shards = max(1, math.ceil(impacts.count() / c.postings))
-        shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-        for s in range(shards):
-            rows = sorted(keyed.filter(shard == s).collect(), key=lambda r: (r[1], r[2]))
-            place = {r[0]: i for i, r in enumerate(rows)}
-            got = impacts.filter(shard == s).collect()
-            yield BlockMaxIndex([(r[1], r[2]) for r in rows], [(place[k], t, x) for k, t, x in got], c)
-    finally:
-        impacts.unpersist()
-
-
-def _search(index):
+    keyed = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).filter("item_id is not null").distinct()
+    keyed = keyed.withColumn("key", F.sha2(F.concat_ws(":", F.col("item_id").cast("string"), "text"), 256)).withColumn("words", _split("text"))
+    keyed = materialize(keyed.filter(F.size("words") >= SHINGLE), "items")
+    lists = item_impacts(keyed, c).groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("impact").alias("impacts"))  # one item's
+    rows = materialize(keyed.join(lists, "key").select("key", "item_id", "text", "terms", "impacts"), "impacts")
+    total = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
+    shards = math.ceil(total / c.postings)
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["item_id", "text"])
+        postings = [(i, t, x) for i, (terms, impacts) in enumerate(zip(rows["terms"], rows["impacts"])) for t, x in zip(terms, impacts)]
+        index = BlockMaxIndex(list(zip(rows["item_id"].tolist(), rows["text"])), postings, c)
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "index": [pickle.dumps(index)]})
+
+    if not shards:
+        return []
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    built = materialize(rows.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, index binary"), "index")
+    return [built.filter(F.col("shard") == s).select("index") for s in range(shards)]
+
+
+def _held(spark: SparkSession, shard: DataFrame) -> Broadcast | None:
+    """A finished shard for all workers; bounded by ``postings``."""
+    row = shard.first()
+    return spark.sparkContext.broadcast(pickle.loads(row[0])) if row else None
+
+
+_SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+
+
+def _search(index: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: BlockMaxIndex = index.value
         for batch in batches:
@@ -218,38 +254,45 @@ def _search(index):
 def find_leaks(docs: DataFrame, items: DataFrame, c: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document that holds a test item.
 
-    Every passage of every whole text queries the index of all items. Null and
-    empty texts hold nothing; null document ids are kept, null item ids take no
-    part; items without words match nothing; repeated documents are reported
+    Every passage of every whole text queries the index of all items; a scan of
+    the documents has one shard of the index in memory, so there is one scan for
+    each ``postings`` postings. Null and empty texts hold nothing; null document
+    ids are kept, null item ids take no part, nor do items of fewer than SHINGLE
+    words, which any text may hold by chance; repeated documents are reported
     each, repeated items once; empty tables give an empty result; other columns
     are not read. Items of one part only (fewer than 2 * SHINGLE words) are
-    verified by that part.
+    verified by that part. Memory follows the longest text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = spark.createDataFrame([], schema)
-    for index in build_shards(items, c):
-        if index.ids:
-            # Bounded by `postings` a shard.
-            out = out.union(rows.mapInArrow(_search(spark.sparkContext.broadcast(index)), schema))
+    out = spark.createDataFrame([], _SCHEMA)
+    for shard in build_shards(items, c):
+        if index := _held(spark, shard):
+            out = out.union(rows.mapInArrow(_search(index), _SCHEMA))
     return out
 
 
-def leaking(docs: DataFrame, items: DataFrame, c: DecontaminationConfig = DecontaminationConfig()) -> Column:
-    """A boolean column over ``docs``: whether the text holds any test item (see find_leaks)."""
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(i) for i in build_shards(items, c) if i.ids]
-
+def _leaks(index: Broadcast, text: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = np.zeros(len(texts), bool)
-            for at in range(0, len(texts), 256):
-                part = texts.iloc[at:at + 256].tolist()
-                for index in held:
-                    for d, *_ in index.value.search(part):
-                        out[at + d] = True
+            cuts = np.flatnonzero(np.diff(np.cumsum(texts.str.len().to_numpy()) >> 20)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+                for d, *_ in index.value.search(texts.iloc[begin:end].tolist()):
+                    out[begin + d] = True
             yield pd.Series(out)
+    return run(F.coalesce(text, F.lit("")))
+
 
-    return run(F.coalesce(docs["text"], F.lit("")))
+def without_leaks(docs: DataFrame, items: DataFrame, c: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item (see find_leaks), with all their columns.
+
+    The shards of the index are applied one after the other, each to what the
+    ones before it left.
+    """
+    for n, shard in enumerate(build_shards(items, c)):
+        if index := _held(docs.sparkSession, shard):
+            docs = materialize(docs, "clean") if n else docs
+            docs = docs.filter(~_leaks(index, docs["text"]))
+    return docs

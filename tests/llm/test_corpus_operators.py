@@ -196,11 +196,12 @@ def test_decontamination(spark, docs, empty):
     rows = [(i, t) for i, t in enumerate(texts)]
     want = set()
     for d, t in rows:
-        have = decontaminate.shingles(decontaminate.words_of(t))
+        runs = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        have = runs(decontaminate.words_of(t))
         for i, item in items:
-            if i is None or not decontaminate.words_of(item or ""):
+            if i is None or len(decontaminate.words_of(item or "")) < 5:
                 continue
-            parts = [decontaminate.shingles(p) for p in decontaminate.question_and_answer(item)]
+            parts = [runs(p) for p in decontaminate.question_and_answer(item)]
             if all(not p or len(p & have) / len(p) >= 0.8 for p in parts):
                 want.add((d, i))
     table = spark.createDataFrame(items, "item_id long, text string")
@@ -208,10 +209,29 @@ def test_decontamination(spark, docs, empty):
     for config in (decontaminate.DecontaminationConfig(), small):
         got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), table, config).collect()}
         assert got == want
+        clean = decontaminate.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), table, config)
+        assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert decontaminate.find_leaks(empty, table).count() == 0 and decontaminate.find_leaks(docs, table.filter("false")).count() == 0
     assert decontaminate.find_leaks(docs, table).count() == 0
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 40), st.sampled_from([1, 3, 16]))
+def test_wand_skips_nothing_above_the_threshold(seed, n, block):
+    rng = random.Random(seed)
+    items = [(i, f"item {i} of five words") for i in range(n)]
+    postings = [(i, f"t{j}", rng.random() / 3) for i in range(n) for j in range(12) if rng.random() < .5]
+    index = decontaminate.BlockMaxIndex(items, postings, decontaminate.DecontaminationConfig(block=block))
+    asked = [(p, f"t{j}") for p in range(6) for j in range(12) if rng.random() < .5 and f"t{j}" in index.terms]
+    got = {(p, i): s for p, i, s in zip(*index.candidates(np.array([p for p, _ in asked], int), np.array([index.terms[t] for _, t in asked], int)))}
+    want = Counter()
+    for p, t in asked:
+        for i, u, x in postings:
+            if t == u:
+                want[p, i] += x
+    assert got == {k: pytest.approx(s) for k, s in want.items() if s >= .5}
+
+
 def test_hidden_markov_model(spark, docs, empty):
     rng = random.Random(2)
     english, german = [f"e{i}" for i in range(40)], [f"d{i}ß" for i in range(40)]
