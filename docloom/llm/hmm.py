@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +38,8 @@ class HmmConfig:
     symbols: int = 16_000
     frequent: int = 100_000
     smoothing: float = 0.1
-    #: Training reads a text in pieces of so many tokens, all tokens once a round.
-    piece: int = 64
-    #: Texts of the learning folds that the first states are drawn from.
-    seeds: int = 400
+    #: Frequent words whose meeting in texts makes the first states.
+    anchors: int = 256
     seed: int = 1
 
 
@@ -92,7 +91,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _class_sizes(skip: int):
+def _class_sizes():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
@@ -111,7 +110,7 @@ def build_lexicon(counts: DataFrame, c: HmmConfig) -> Lexicon:
     top = sorted(most_frequent(words, "c", c.frequent).collect(), key=lambda r: (-r[1], bytes(r[0])))
     own = [(int(r[1]), bytes(r[0])) for r in top[:c.symbols]]
     class_total, class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in words.mapInArrow(_class_sizes(0), "of long, total long, distinct long").groupBy("of").agg(F.sum("total"), F.sum("distinct")).collect():
+    for r in words.mapInArrow(_class_sizes(), "of long, total long, distinct long").groupBy("of").agg(F.sum("total"), F.sum("distinct")).collect():
         class_total[r[0]], class_distinct[r[0]] = r[1], r[2]
     for n, w in own:  # words with a symbol of their own are not in a class
         class_total[word_class(w)] -= n
@@ -169,20 +168,20 @@ class Hmm:
     step: np.ndarray  # K x K
     emit: np.ndarray  # symbols x K
 
-    def stationary(self) -> np.ndarray:
-        p = self.first
-        for _ in range(200):
-            p = p @ self.step
-        return p / p.sum()
-
 
 def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     raw = part.column("seq").to_pylist()
     return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), np.array([len(r) // 2 for r in raw], np.int64)
 
 
-def _matrix(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray):
+#: Texts of more tokens are gathered, so that the steps they need beyond the others are taken together; and the tokens
+#: that are worked on, and the steps' worth of tokens that are kept, at once.
+_LONG, _TOKENS, _KEPT_STEPS = 1 << 11, 1 << 20, 1 << 19
+
+
+def _matrix(flat: np.ndarray, sizes: np.ndarray):
     """Runs by falling length: their order, and for step t the symbols of the runs that still go on."""
+    start = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
     start, sizes = start[order], sizes[order]
     longest = int(sizes[0]) if len(sizes) else 0
@@ -190,124 +189,193 @@ def _matrix(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray):
     return order, going, lambda t: flat[start[:going[t]] + t]
 
 
+def _forward(model: Hmm, alpha: np.ndarray | None, n: int, symbols: np.ndarray):
+    """One scaled step of the n runs that go on: (alpha, emissions, scales); no alpha is the first step."""
+    emit = model.emit[symbols]
+    a = (np.repeat(model.first[None], n, axis=0) if alpha is None else alpha[:n] @ model.step) * emit
+    scale = a.sum(axis=1, keepdims=True)
+    return a / scale, emit, scale
+
+
 def log10_likelihoods(model: Hmm, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 P(sequence) of each run of ``flat``, by the forward recursion scaled at every step."""
-    out = np.zeros(len(sizes))
-    start = np.cumsum(sizes) - sizes
-    order, going, at = _matrix(flat, start, sizes)
-    logs = np.zeros(len(sizes))
-    alpha = None
+    order, going, at = _matrix(flat, sizes)
+    logs, out, alpha = np.zeros(len(sizes)), np.zeros(len(sizes)), None
     for t, n in enumerate(going):
-        alpha = (np.repeat(model.first[None], n, axis=0) if t == 0 else alpha[:n] @ model.step) * model.emit[at(t)]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        logs[:n] += np.log10(scale)
+        alpha, _, scale = _forward(model, alpha, n, at(t))
+        logs[:n] += np.log10(scale[:, 0])
     out[order] = logs
     return out
 
 
-def expected_counts(model: Hmm, flat: np.ndarray, sizes: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected first states, transitions and emissions of the runs, read in pieces.
+def expected_counts(model: Hmm, flat: np.ndarray, sizes: np.ndarray, kept: int = _KEPT_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected first states, transitions and emissions of whole runs, by the forward and backward recursions.
 
-    A piece that continues a text starts from the stationary distribution and
-    adds nothing to the first states.
+    The forward recursion keeps its state at the borders of stretches of steps
+    with about ``kept`` tokens each; the backward one takes the stretches from
+    the last to the first and makes each anew from its border. So memory is
+    bounded for runs of any length, and nothing is cut.
     """
     k = len(model.first)
-    n_pieces = -(-sizes // piece)
-    doc = np.repeat(np.arange(len(sizes)), n_pieces)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
-    start = (np.cumsum(sizes) - sizes)[doc] + nth * piece
-    length = np.minimum(sizes[doc] - nth * piece, piece)
-    order, going, at = _matrix(flat, start, length)
-    begins = np.where((nth[order] == 0)[:, None], model.first[None], model.stationary()[None])
-    alphas, emits, scales, symbols = [], [], [], []
-    for t, n in enumerate(going):
-        s = at(t)
-        e = model.emit[s]
-        a = (begins if t == 0 else alphas[-1][:n] @ model.step) * e
-        c = a.sum(axis=1, keepdims=True)
-        a /= c
-        alphas.append(a)
-        emits.append(e)
-        scales.append(c)
-        symbols.append(s)
-    steps = np.zeros((k, k))
-    gammas = [None] * len(going)
-    beta = np.ones((0, k))
-    for t in range(len(going) - 1, -1, -1):
-        n = going[t]
-        b = np.ones((n, k))
-        if t + 1 < len(going):
-            m = going[t + 1]
-            ahead = emits[t + 1] * beta / scales[t + 1]
-            steps += alphas[t][:m].T @ ahead
-            b[:m] = ahead @ model.step.T
-        gammas[t] = alphas[t] * b
-        beta = b
-    first = gammas[0][nth[order] == 0].sum(axis=0) if len(going) else np.zeros(k)
-    emissions = np.zeros((len(model.emit), k))
-    if len(going):
-        symbol, gamma = np.concatenate(symbols), np.concatenate(gammas)
+    order, going, at = _matrix(flat, sizes)
+    first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
+    if not len(going):
+        return first, steps, emissions
+    stretch = np.cumsum(going) // kept
+    begins = np.flatnonzero(np.concatenate([[True], stretch[1:] != stretch[:-1]])).tolist()
+    ends = [*begins[1:], len(going)]
+    borders, alpha = [], None
+    for begin, end in zip(begins, ends):
+        borders.append(alpha)
+        if end < len(going):  # the last stretch is made below
+            for t in range(begin, end):
+                alpha, *_ = _forward(model, alpha, going[t], at(t))
+    ahead, beyond = None, 0  # emission times beta over scale of the step after, and its runs
+    for begin, end, alpha in zip(reversed(begins), reversed(ends), reversed(borders)):
+        made = []
+        for t in range(begin, end):
+            symbols = at(t)
+            made.append((symbols, *_forward(model, alpha, going[t], symbols)))
+            alpha = made[-1][1]
+        gammas = [None] * len(made)
+        for i in range(len(made) - 1, -1, -1):
+            _, alpha, emit, scale = made[i]
+            beta = np.ones_like(alpha)
+            if beyond:
+                steps += alpha[:beyond].T @ ahead
+                beta[:beyond] = ahead @ model.step.T
+            gammas[i] = alpha * beta
+            ahead, beyond = emit * beta / scale, len(alpha)
+        symbol, gamma = np.concatenate([m[0] for m in made]), np.concatenate(gammas)
         for j in range(k):
-            emissions[:, j] = np.bincount(symbol, gamma[:, j], minlength=len(model.emit))
+            emissions[:, j] += np.bincount(symbol, gamma[:, j], minlength=len(model.emit))
+        if begin == 0:
+            first = gammas[0].sum(axis=0)
     return first, steps * model.step, emissions
 
 
-def _expect(model, piece: int):
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks of about _TOKENS tokens, short texts with short ones and long with long."""
+    long, held = [], 0
+    for batch in batches:
+        for part in blocks(batch, "seq", 2 * _TOKENS):
+            far = pc.greater(pc.binary_length(part.column("seq")), 2 * _LONG)
+            if (some := part.filter(far)).num_rows:
+                long.append(some)
+                held += pc.sum(pc.binary_length(some.column("seq"))).as_py() // 2
+            if (rest := part.filter(pc.invert(far))).num_rows:
+                yield rest
+            if held >= _TOKENS:
+                yield pa.Table.from_batches(long).combine_chunks().to_batches()[0]
+                long, held = [], 0
+    if long:
+        yield pa.Table.from_batches(long).combine_chunks().to_batches()[0]
+
+
+def _summed(rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(rows[:, j]) for j in range(rows.shape[1])]], names=["at", *[f"s{j}" for j in range(rows.shape[1])]])
+
+
+def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Hmm = model.value
         k = len(m.first)
         first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
-        for batch in batches:
-            for part in blocks(batch, "seq", 1 << 20):
-                f, s, e = expected_counts(m, *_sequences(part), piece)
-                first, steps, emissions = first + f, steps + s, emissions + e
+        for part in _gathered(batches):
+            f, s, e = expected_counts(m, *_sequences(part))
+            first, steps, emissions = first + f, steps + s, emissions + e
         some = np.flatnonzero(emissions.any(axis=1))
         # symbols from 0, then transitions from -1 - state, then first states at -1 - K
-        at = np.concatenate([some, -1 - np.arange(k), [-1 - k]])
-        rows = np.concatenate([emissions[some], steps, first[None]])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(rows[:, j]) for j in range(k)]], names=["at", *[f"s{j}" for j in range(k)]])
+        yield _summed(np.concatenate([emissions[some], steps, first[None]]), np.concatenate([some, -1 - np.arange(k), [-1 - k]]))
     return run
 
 
-def _first_model(encoded: DataFrame, lex: Lexicon, unigram: np.ndarray) -> Hmm:
-    """States drawn from groups of a bounded sample of texts, mixed with the symbols' frequencies."""
+def _meetings(anchors: int):
+    """How many texts hold both of two frequent words, as rows (at, s0, ...)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((anchors, anchors))
+        for batch in batches:
+            for part in blocks(batch, "seq", 2 * _TOKENS):
+                flat, sizes = _sequences(part)
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                some = flat < anchors
+                has = np.zeros((len(sizes), anchors), np.float32)
+                has[text[some], flat[some]] = 1
+                both += has.T @ has
+        yield _summed(both, np.arange(anchors))
+    return run
+
+
+def _groups(both: np.ndarray, k: int) -> np.ndarray:
+    """The anchors in k groups of those that meet the same others; -1 for words that no text holds."""
+    some = np.flatnonzero(both.diagonal() > 0)
+    out = np.full(len(both), -1)
+    if len(some) < k:
+        return out
+    share = both[some][:, some] / both.diagonal()[some]
+    share = np.log(share / share.mean(axis=0) + 1e-2)
+    share -= share.mean(axis=1, keepdims=True)
+    share /= np.maximum(np.linalg.norm(share, axis=1, keepdims=True), 1e-9)
+    centres = [0]
+    while len(centres) < k:
+        centres.append(int((share @ share[centres].T).max(axis=1).argmin()))
+    heart = share[centres]
+    for _ in range(20):
+        group = (share @ heart.T).argmax(axis=1)
+        heart = np.stack([share[group == j].sum(axis=0) if (group == j).any() else heart[j] for j in range(k)])
+        heart /= np.maximum(np.linalg.norm(heart, axis=1, keepdims=True), 1e-9)
+    out[some] = group
+    return out
+
+
+def _by_group(groups: np.ndarray, k: int, n_symbols: int):
+    """Symbol counts of the texts whose anchors are mostly of one group, as rows (at, s0, ...); ties go to the first group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n_symbols * k)
+        for batch in batches:
+            for part in blocks(batch, "seq", 2 * _TOKENS):
+                flat, sizes = _sequences(part)
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                some = np.flatnonzero(flat < len(groups))
+                some = some[groups[flat[some]] >= 0]
+                votes = np.bincount(text[some] * k + groups[flat[some]], minlength=len(sizes) * k).reshape(-1, k)
+                counts += np.bincount(flat * k + votes.argmax(axis=1)[text], minlength=len(counts))
+        counts = counts.reshape(n_symbols, k)
+        some = np.flatnonzero(counts.any(axis=1))
+        yield _summed(counts[some], some)
+    return run
+
+
+def _table(training: DataFrame, kernel, width: int) -> list:
+    """The kernel's rows summed across partitions; one row per symbol at most, so bounded by the configuration."""
+    schema = "at long, " + ", ".join(f"s{j} double" for j in range(width))
+    return training.mapInArrow(kernel, schema).groupBy("at").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)]).collect()
+
+
+def _first_model(training: DataFrame, lex: Lexicon, unigram: np.ndarray) -> Hmm:
+    """States from all texts: frequent words are grouped by the words they meet, texts by their words' groups."""
     c, k = lex.config, lex.config.states
-    rng = np.random.default_rng(c.seed)
-    sample = encoded.filter("not held_out").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "n_tokens").select(F.substring("seq", 1, 4000).alias("seq")).limit(c.seeds).collect()
-    texts = [np.frombuffer(bytes(r[0]), np.uint16).astype(np.int64) for r in sample]
-    emit = unigram[:, None] * rng.uniform(0.8, 1.2, (len(unigram), k))
-    if len(texts) >= k:
-        bags = np.stack([np.sqrt(np.bincount(t, minlength=len(unigram)).astype(np.float32)) for t in texts])
-        bags -= bags.mean(axis=0) * (bags.sum(axis=1, keepdims=True) / max(float(bags.sum(axis=1).mean()), 1e-9))
-        bags /= np.maximum(np.linalg.norm(bags, axis=1, keepdims=True), 1e-9)
-        centres = [0]
-        while len(centres) < k:
-            centres.append(int((bags @ bags[centres].T).max(axis=1).argmin()))
-        heart = bags[centres]
-        for _ in range(8):
-            group = (bags @ heart.T).argmax(axis=1)
-            heart = np.stack([bags[group == j].sum(axis=0) if (group == j).any() else heart[j] for j in range(k)])
-            heart /= np.maximum(np.linalg.norm(heart, axis=1, keepdims=True), 1e-9)
-        for j in range(k):
-            own = np.bincount(np.concatenate([t for t, g in zip(texts, group) if g == j] or [np.zeros(0, np.int64)]), minlength=len(unigram))
-            emit[:, j] = 0.5 * emit[:, j] + 0.5 * (own + 50 * unigram) / (own.sum() + 50)
-    emit /= emit.sum(axis=0)
+    both = np.zeros((c.anchors, c.anchors))
+    for at, *values in _table(training, _meetings(c.anchors), c.anchors):
+        both[at] = values
+    own = np.zeros((len(unigram), k))
+    for at, *values in _table(training, _by_group(_groups(both, k), k, len(unigram)), k):
+        own[at] = values
+    noise = unigram[:, None] * np.random.default_rng(c.seed).uniform(0.8, 1.2, (len(unigram), k))
+    emit = 0.5 * noise / noise.sum(axis=0) + 0.5 * (own + 50 * unigram[:, None]) / (own.sum(axis=0) + 50)
     step = np.full((k, k), 0.05 / max(k - 1, 1)) + np.eye(k) * (0.95 - 0.05 / max(k - 1, 1))
-    return Hmm(np.full(k, 1 / k), step / step.sum(axis=1, keepdims=True), emit)
+    return Hmm(np.full(k, 1 / k), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def baum_welch(encoded: DataFrame, lex: Lexicon, unigram: np.ndarray) -> Hmm:
-    """Rounds over all texts of the learning folds; each round's counts are summed across partitions."""
+    """Rounds over all whole texts of the learning folds; each round's counts are summed across partitions."""
     k = lex.config.states
-    model = _first_model(encoded, lex, unigram)
-    schema = "at long, " + ", ".join(f"s{j} double" for j in range(k))
     training = encoded.filter("not held_out").select("seq")
+    model = _first_model(training, lex, unigram)
     for _ in range(lex.config.rounds):
         held = encoded.sparkSession.sparkContext.broadcast(model)
-        summed = training.mapInArrow(_expect(held, lex.config.piece), schema).groupBy("at").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).collect()
         first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((lex.n_symbols, k))
-        for at, *values in summed:  # one row per symbol and state: bounded
+        for at, *values in _table(training, _expect(held), k):
             if at >= 0:
                 emissions[at] = values
             elif at >= -k:
@@ -323,10 +391,9 @@ def baum_welch(encoded: DataFrame, lex: Lexicon, unigram: np.ndarray) -> Hmm:
 
 def _likelihoods(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "seq", 8 << 20):
-                scores = log10_likelihoods(model.value, *_sequences(part))
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in _KEPT], pa.array(scores)], names=[*_KEPT, "hidden"])
+        for part in _gathered(batches):
+            scores = log10_likelihoods(model.value, *_sequences(part))
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in _KEPT], pa.array(scores)], names=[*_KEPT, "hidden"])
     return run
 
 
@@ -340,6 +407,8 @@ def score_texts(docs: DataFrame, c: HmmConfig = HmmConfig()) -> DataFrame:
     whole texts. Null and empty texts are the end token alone; a null id counts
     as the empty text (held out); repeated rows are learned from and scored
     each; an empty table gives an empty result; other columns are not read.
+    Texts of any length are learned from and scored whole, memory follows the
+    longest text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", FOLDS) == 0).alias("held_out"), utf8().alias("utf8"))

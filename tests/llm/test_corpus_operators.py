@@ -264,8 +264,50 @@ def test_forward_recursion_is_exact():
                 p *= m.step[a, b] * m.emit[x, b]
             total += p
         assert got == pytest.approx(np.log10(total))
-    first, steps, emissions = hmm.expected_counts(m, flat, sizes, 64)
-    assert first.sum() == pytest.approx(3) and steps.sum() == pytest.approx(sizes.sum() - 3) and emissions.sum() == pytest.approx(sizes.sum())
+
+
+def hidden_model(rng, k, v):
+    norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
+    return hmm.Hmm(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((v, k)), 0))
+
+
+@pytest.mark.parametrize("kept", [1, 7, 10_000])
+def test_expected_counts_of_whole_texts(kept):
+    """Every path of short runs, weighed by its probability; one long run in stretches as in one."""
+    rng = np.random.default_rng(9)
+    m = hidden_model(rng, 2, 4)
+    sizes = np.array([5, 1, 6, 3])
+    flat = rng.integers(0, 4, sizes.sum())
+    first, steps, emissions = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
+    for s in np.split(flat, np.cumsum(sizes)[:-1]):
+        weights = {}
+        for path in np.ndindex(*(2,) * len(s)):
+            p = m.first[path[0]] * m.emit[s[0], path[0]]
+            for a, b, x in zip(path, path[1:], s[1:]):
+                p *= m.step[a, b] * m.emit[x, b]
+            weights[path] = p
+        total = sum(weights.values())
+        for path, p in weights.items():
+            first[path[0]] += p / total
+            for a, b in zip(path, path[1:]):
+                steps[a, b] += p / total
+            for x, a in zip(s, path):
+                emissions[x, a] += p / total
+    for got, want in zip(hmm.expected_counts(m, flat, sizes, kept), (first, steps, emissions)):
+        assert got == pytest.approx(want)
+    long = rng.integers(0, 4, 5_000)
+    for got, want in zip(hmm.expected_counts(m, long, np.array([5_000]), max(kept, 7)), hmm.expected_counts(m, long, np.array([5_000]))):
+        assert got == pytest.approx(want)
+
+
+def test_rounds_raise_the_likelihood(spark):
+    rng = random.Random(12)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[(i + j // 40) % 3]) for j in range(rng.choice([3, 30, 5_000 if i % 40 == 0 else 90])))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = lambda n: sum(r.score for r in hmm.score_texts(docs, hmm.HmmConfig(states=3, symbols=100, frequent=100, anchors=16, rounds=n)).collect() if not r.held_out)
+    scores = [learned(n) for n in (0, 1, 3)]
+    assert scores == sorted(scores) and scores[2] > scores[0]
 
 
 def labelled(spark, n, make):
