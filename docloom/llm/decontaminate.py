@@ -40,7 +40,7 @@ class DecontaminationConfig:
     #: Share of the shingles of the question, and of the answer, that must be found in the document.
     overlap: float = 0.8
     #: Items in a block of the index, and postings in a shard of it (the part that is in memory at once).
-    block: int = 16
+    block: int = 4
     postings: int = 2_000_000
 
 
@@ -97,26 +97,43 @@ class BlockMaxIndex:
         self.n_blocks = max(1, -(-len(items) // c.block))
         self.most = np.zeros(len(self.terms))
         np.maximum.at(self.most, term, self.impact)
-        # per term and block, sparse: term * n_blocks + block
+        # per term and block, sparse: term * n_blocks + block, the blocks of a term in a run
         self.block, first = np.unique(term * self.n_blocks + self.item // c.block, return_index=True)
         self.block_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.block_begin = np.searchsorted(self.block, np.arange(len(self.terms) + 1) * self.n_blocks)
+
+    def next_open(self, p: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+        """n x (n_blocks + 1): the first block from each block on whose maxima over the passage's terms reach the threshold; n_blocks without one."""
+        size = self.block_begin[t + 1] - self.block_begin[t]
+        at = np.arange(size.sum()) + np.repeat(self.block_begin[t] - (np.cumsum(size) - size), size)
+        bounds = np.bincount(np.repeat(p, size) * self.n_blocks + self.block[at] % self.n_blocks, self.block_most[at], minlength=n * self.n_blocks).reshape(n, -1)
+        out = np.full((n, self.n_blocks + 1), self.n_blocks)
+        out[:, :-1] = np.where(bounds >= self.config.threshold - 1e-9, np.arange(self.n_blocks), self.n_blocks)
+        return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
+
+    def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all items that score at least the threshold, from the distinct terms of n passages, sorted by passage."""
+        wide, out = max(1, (1 << 21) // self.n_blocks), []  # passages at a time
+        cuts = np.searchsorted(passage, np.arange(0, n + wide, wide))
+        for low, (begin, end) in zip(range(0, n, wide), zip(cuts, cuts[1:])):
+            p, items, scores = self._wand(passage[begin:end] - low, term[begin:end], min(wide, n - low))
+            out.append((p + low, items, scores))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
-    def _found(self, keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], 0.0)
-
-    def candidates(self, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all items that score at least the threshold, from the distinct terms t of passages p.
+    def _wand(self, p: np.ndarray, t: np.ndarray, n_passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block-max WAND, all passages a step at a time.
 
-        Block-max WAND, all passages a step at a time. The cursors of a passage
-        are ordered by their items; the pivot is the first item at which the
-        terms' overall maxima reach the threshold, so no item before it can. If
-        the maxima of the pivot's block do not reach it either, the cursors up to
-        the pivot skip to the end of the block or the next cursor, else the pivot
-        is scored and passed.
+        The cursors of a passage are ordered by their items; the pivot is the
+        first item at which the terms' overall maxima reach the threshold, so no
+        item before it can. If its block cannot reach it (see next_open), the
+        cursors up to the pivot skip to the next block that can, or the next
+        cursor if that comes before; else the pivot is scored and passed.
         """
-        least, n, out = self.config.threshold - 1e-9, len(self.ids), []
-        at, end = self.begin[t], self.begin[t + 1]
+        least, n, step = self.config.threshold - 1e-9, len(self.ids), self.config.block
+        opens = self.next_open(p, t, n_passages)
+        at, end = np.searchsorted(self.post, t * n + np.minimum(opens[p, 0] * step, n)), self.begin[t + 1]
+        keep, out = at < end, []
+        p, t, at, end = p[keep], t[keep], at[keep], end[keep]
         while len(at):
             d = self.item[at]
             order = np.lexsort((d, p))
@@ -132,12 +149,15 @@ class BlockMaxIndex:
             moves = open_[nth] & (d <= pivot[nth])
             beyond = np.minimum.reduceat(np.where(d > pivot[nth], d, n), starts)
             own, terms = nth[moves], t[moves]
-            block = pivot // self.config.block
-            worth = np.bincount(own, self._found(self.block, terms * self.n_blocks + block[own], self.block_most), minlength=len(starts)) >= least
-            scores = np.bincount(own, np.where(worth[own], self._found(self.post, terms * n + pivot[own], self.impact), 0.0), minlength=len(starts))
-            hit = np.flatnonzero(worth & (scores >= least))
+            block = opens[p[starts], pivot // step]
+            worth = block == pivot // step
+            # a cursor that stands at the pivot brings its impact there, one before it what its list has there
+            wanted = terms * n + pivot[own]
+            found = np.where(d[moves] == pivot[own], at[moves], np.minimum(np.searchsorted(self.post, wanted), len(self.post) - 1))
+            scores = np.bincount(own, np.where(self.post[found] == wanted, self.impact[found], 0.0), minlength=len(starts))
+            hit = np.flatnonzero(open_ & worth & (scores >= least))
             out.append((p[starts[hit]], pivot[hit], scores[hit]))
-            to = np.where(worth, pivot + 1, np.minimum(np.minimum((block + 1) * self.config.block, beyond), n))
+            to = np.where(worth, pivot + 1, np.minimum(np.minimum(block * step, beyond), n))
             at[moves] = np.searchsorted(self.post, terms * n + to[own])
             keep = open_[nth] & (at < end)
             p, t, at, end = p[keep], t[keep], at[keep], end[keep]
@@ -169,7 +189,7 @@ class BlockMaxIndex:
         of, term = pair // (len(self.terms) + 1), pair % (len(self.terms) + 1) - 1
         kept = (np.bincount(of, self.most[term], minlength=len(hot)) >= self.config.threshold - 1e-9)[of]
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p, item, score in zip(*(x.tolist() for x in self.candidates(of[kept], term[kept]))):
+        for p, item, score in zip(*(x.tolist() for x in self.candidates(of[kept], term[kept], len(hot)))):
             p = int(hot[p])
             d = int(text[p])
             if score <= found.get((d, item), (-1.0,))[0]:

@@ -223,7 +223,7 @@ def test_wand_skips_nothing_above_the_threshold(seed, n, block):
     postings = [(i, f"t{j}", rng.random() / 3) for i in range(n) for j in range(12) if rng.random() < .5]
     index = decontaminate.BlockMaxIndex(items, postings, decontaminate.DecontaminationConfig(block=block))
     asked = [(p, f"t{j}") for p in range(6) for j in range(12) if rng.random() < .5 and f"t{j}" in index.terms]
-    got = {(p, i): s for p, i, s in zip(*index.candidates(np.array([p for p, _ in asked], int), np.array([index.terms[t] for _, t in asked], int)))}
+    got = {(p, i): s for p, i, s in zip(*index.candidates(np.array([p for p, _ in asked], int), np.array([index.terms[t] for _, t in asked], int), 6))}
     want = Counter()
     for p, t in asked:
         for i, u, x in postings:
