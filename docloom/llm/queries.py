@@ -156,16 +156,18 @@ ORACLES: dict[str, str] = {
         )
         SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken FROM q LEFT JOIN k ON q.pos = k.pos
     """,
-    "op8_topk": """
-        WITH v AS (
-            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    "op8_topk": f"""
+        WITH a AS (
+            SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), v AS (
+            SELECT * FROM a WHERE coalesce(list_max(list_transform(v, lambda x: abs(x))), 0) ** 2 * len(v) < {topk.LARGEST}
         ), p AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+            SELECT q.nth AS query_nth, q.vec_id AS query_id, c.nth, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.nth <> c.nth AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
         )
         SELECT query_id, rank::INTEGER AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_nth ORDER BY score DESC, vec_id, nth) AS rank FROM p) WHERE rank <= 5
     """,
     "op10_secrets": _secrets_sql(),
 }

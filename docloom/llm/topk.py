@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docloom.sources.tables import materialize
 
 SCALE = 256
+#: The square of a vector's largest component, times its dimension, is below this, so that inner products fit a long.
+LARGEST = float(1 << 62)
 #: Vectors in a candidate block, and queries that are held against a block at once.
 BLOCK = 4096
 QUERIES = 2048
@@ -20,14 +22,14 @@ QUERIES = 2048
 class SortedLists:
     """Candidate vectors of a block with one list per dimension, sorted by that component."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.rows, self.ids, self.vectors = rows[order], ids[order], vectors[order]
         self.lists = np.argsort(self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.lists, axis=0)
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (position, score) for one query, ties to the smaller id, its own id left out.
+    def search(self, query_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (position, score) for one query, ties to the smaller id, its own row left out.
 
         Sorted access goes down all lists together, from the end at which the
         query's component makes the product largest, twice as deep each time;
@@ -55,7 +57,7 @@ class SortedLists:
                 new, bound = np.arange(n), 0
             met[new] = True
             depth = deeper
-            new = new[self.ids[new] != query_id]
+            new = new[self.rows[new] != query_row]
             best = np.concatenate([best, new])
             score = np.concatenate([score, self.vectors[new] @ query])
             if len(best) > k:
@@ -70,36 +72,40 @@ class SortedLists:
 
 def _search_block(k: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(rows):
-            lists = SortedLists(rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list()))
-            for query_id, query in zip(queries["vec_id"].to_numpy(), queries["v"]):
-                best, score = lists.search(query_id, np.asarray(query), k)
-                out.append((np.full(len(best), query_id), lists.ids[best], score))
-        a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+            lists = SortedLists(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list()))
+            for query_row, query_id, query in zip(queries["row"].to_numpy(), queries["vec_id"].to_numpy(), queries["v"]):
+                best, score = lists.search(query_row, np.asarray(query), k)
+                out.append((np.full(len(best), query_row), np.full(len(best), query_id), lists.rows[best], lists.ids[best], score))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        return pd.DataFrame(dict(zip(("query_row", "query_id", "row", "vec_id", "score"), columns)))
     return run
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x); vectors that take no part are left out."""
+    """(row, vec_id, v): components as floor(scale * x) and a key of each row's own; vectors that take no part are left out."""
     part = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    return part.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & sound).select(
-        "vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v")).distinct()
+    part = part.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & sound).select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
+    largest = F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))), F.lit(0.0))
+    return part.filter(largest * largest * F.size("v") < F.lit(LARGEST)).withColumn("row", F.monotonically_increasing_id())
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, by integer inner product.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates are
-    all rows but those of the query's own id; equal scores go to the smaller
-    vec_id. Rows with a null id, and vectors that are null or hold null or
-    non-finite components, take no part; equal rows count once; vectors are
-    compared with those of their own dimension only; an empty table gives an
-    empty result; other columns are not read.
-
-    Candidates are dealt by a hash of the id into blocks of about BLOCK
+    Queries are the rows whose vec_id is divisible by ``every``; candidates of
+    a query are all rows but itself; equal scores go to the smaller vec_id.
+    Rows with one vec_id are rows of their own: each is a query with k results
+    and a candidate of the others, whether their vectors are equal or not. Rows
+    with a null id, and vectors that are null or hold null or non-finite
+    components, take no part, nor do vectors with a component so large that an
+    inner product might not fit a long; vectors are compared with those of
+    their own dimension only; an empty table gives an empty result; other
+    columns are not read.
+
+    Candidates are dealt by a hash of the row into blocks of about BLOCK
     vectors and queries into blocks of about QUERIES, whose number follows the
     table's size; each pair of blocks is one group, bounded in size, and gives
     at most k rows a query.
@@ -108,11 +114,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     blocks, query_blocks = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(n_queries / QUERIES))
     dealt = rows.withColumn("dim", F.size("v"))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    candidates = dealt.select("dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vec_id", "v")
-    queries = dealt.filter(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "vec_id", "v")
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    query_block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int")
+    candidates = dealt.select("dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "row", "vec_id", "v")
+    queries = dealt.filter(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "row", "vec_id", "v")
     keys = ("dim", "block", "query_block")
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(_search_block(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(_search_block(k), "query_row long, query_id long, row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -173,15 +173,17 @@ def test_trie_join(seed, n):
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist(), "x") for i in range(300)]
-    rows += [(300, rows[1][1], "x"), (301, None, "x"), (302, [float("nan")] * 8, "x"), (303, [None] * 8, "x"), (None, rows[2][1], "x"), rows[7], (350, [0.0] * 8, "x")]
+    rows += [(300, rows[1][1], "x"), (301, None, "x"), (302, [float("nan")] * 8, "x"), (303, [None] * 8, "x"), (None, rows[2][1], "x"), (350, [0.0] * 8, "x")]
+    rows += [rows[7], (50, rng.normal(size=8).tolist(), "x"), rows[100], (9, [1e30] * 8, "x"), (400, [-3e15] * 8, "x"), (10, [2.0] * 3, "x"), (11, [], "x")]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = sorted(map(tuple, topk.top_k(d).collect()))
-    usable = {i: np.floor(256 * np.array(v)).astype(int) for i, v, _ in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()}
-    want = []
-    for q in (i for i in usable if i % 50 == 0):
-        best = sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    got = Counter(map(tuple, topk.top_k(d).collect()))
+    usable = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if i is not None and v is not None and None not in v and not np.isnan(v).any() and max(map(abs, v), default=0) < 1e10]
+    want = Counter()
+    for n, (q, a) in enumerate(usable):
+        if q % 50 == 0:
+            best = sorted((-int(a @ b), i) for m, (i, b) in enumerate(usable) if m != n and len(a) == len(b))[:5]
+            want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    assert got == want
     assert topk.top_k(d.filter("false")).count() == 0
 
 
