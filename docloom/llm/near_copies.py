@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from docloom.llm.components import connected_components
+from docloom.llm.ranking import join_facts
 from docloom.llm.simhash import hashes_of
 from docloom.llm.texts import utf8
 from docloom.sources.tables import materialize
@@ -26,8 +27,8 @@ from docloom.sources.tables import materialize
 SEED = 42
 WORDS = 5
 BANDS, ROWS = 24, 4
-#: Classes of a band value that are compared in one group; larger ones are dealt into blocks, and pairs of blocks are groups.
-BLOCK = 256
+#: Classes of either side that are compared in one group, and classes that are held against one copy of their leader.
+BLOCK, FOLLOWERS = 256, 4096
 _PIECE = 4096
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,65 +71,104 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def _group_links(classes: list[int], sides: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs: pairs that are connected already are not compared again."""
-    sets = [np.unique(shingles_of(t)) for t in texts]
-    root, out = list(range(len(sets))), []
-    for i in range(len(sets)):
-        for j in range(i):
-            # a block's own pairs are another group's
-            if root[i] != root[j] and (sides[i] == 2 or sides[i] != sides[j]) and similar(sets[i], sets[j]):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-                out.append((classes[i], classes[j]))
-    return out
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-_KEY = ("band", "value", "low", "high")
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _arrow(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_LINKS)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[bool, list]]:
+    """(whether a group begins, values) of the rows of a partition that is sorted by group; texts stay in Arrow till asked for."""
+    last = None
+    for batch in batches:
+        keys = zip(*(batch.column(k).to_pylist() for k in key))
+        for k, *row in zip(keys, *(batch.column(c).to_pylist() for c in columns), batch.column("text")):
+            yield k != last, row
+            last = k
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of all groups of a partition sorted by group: one call for the partition, one group in memory."""
-    def rows():
-        for batch in batches:
-            yield from zip(zip(*(batch.column(k).to_pylist() for k in _KEY)), *(batch.column(k).to_pylist() for k in ("class", "side")), batch.column("text"))
+def _leader_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of classes to the leader in front of their group: one text is held beside the current one."""
+    links, leader, held = [], None, None
+    for begins, (name, text) in _groups(batches, ("leader", "block"), ("class",)):
+        shingles = np.unique(shingles_of(text.as_py()))
+        if begins:
+            leader, held = name, shingles
+        elif similar(held, shingles):
+            links.append((leader, name))
+        if len(links) > 10_000:
+            yield _arrow(links)
+            links = []
+    yield _arrow(links)
 
-    def arrow(links):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_LINKS)
 
-    key, held, links = None, [], []
-    for k, *row in rows():
-        if k != key:
-            if held:
-                links += _group_links(*map(list, zip(*held)))
-            key, held = k, []
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the two sides of each group that join components: what is connected already is not compared."""
+    links, left, root = [], [], {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for begins, (side, name, component, text) in _groups(batches, ("bucket", "block", "other"), ("side", "class", "component")):
+        if begins:
+            left, root = [], {}
             if len(links) > 10_000:
-                yield arrow(links)
+                yield _arrow(links)
                 links = []
-        held.append((row[0], row[1], row[2].as_py()))
-    if held:
-        links += _group_links(*map(list, zip(*held)))
-    yield arrow(links)
+        shingles = np.unique(shingles_of(text.as_py()))
+        if side == 0:  # the sides come in order
+            left.append((name, component, shingles))
+            continue
+        for other, of, known in left:
+            a, b = find(component), find(of)
+            if a != b and similar(known, shingles):
+                root[max(a, b)] = min(a, b)
+                links.append((name, other))
+    yield _arrow(links)
 
 
 def _class_links(classes: DataFrame, docs: DataFrame, row_key: str) -> DataFrame:
-    """(a, b) links that connect the similar classes (columns class, bands, row_key); ``docs`` has their texts."""
-    keyed = classes.select("class", F.posexplode("bands").alias("band", "value"))
-    met = keyed.groupBy("band", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("_min"), F.max("class").alias("_max"), F.bit_xor(F.xxhash64("class")).alias("_mix")).filter("n > 1")
-    # the same classes often meet in many bands: once is enough
-    met = met.groupBy("n", "_min", "_max", "_mix").agg(F.min(F.struct("band", "value")).alias("k")).select("k.*", "n")
-    met = materialize(keyed.join(met, ["band", "value"]), "met")
-    texts = met.select("class").distinct().join(classes.select("class", "row_key"), "class").join(
-        docs.select(F.col(row_key).alias("row_key"), utf8().alias("text")), "row_key").dropDuplicates(["class"]).select("class", "text")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = met.withColumn("block", F.pmod(F.xxhash64("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    placed = dealt.select(
-        "class", "band", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.join(texts, "class").repartition(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_links, "a long, b long")
+    """(a, b) links that connect the similar classes (columns class, bands, row_key); ``docs`` has their texts.
+
+    Classes that share a band value meet in a bucket. First each is held
+    against the least class of its buckets, which settles families of near
+    copies in as many comparisons as they have members. Only buckets that still
+    hold several components are searched further: the classes outside the
+    bucket's largest component against all of it, in pairs of blocks.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        wanted = rows.select("class").distinct().join(classes.select("class", "row_key"), "class")
+        texts = wanted.join(docs.select(F.col(row_key).alias("row_key"), utf8().alias("text")), "row_key").dropDuplicates(["class"]).select("class", "text")
+        return rows.join(texts, "class")
+
+    def dealt(rows: DataFrame, kernel, key: list[str], then: list[str]) -> DataFrame:
+        return with_text(rows).repartition(n, *key).sortWithinPartitions(*key, *then).mapInArrow(kernel, "a long, b long")
+
+    keyed = materialize(classes.select("class", F.explode(F.transform("bands", lambda v, i: F.xxhash64(i, v))).alias("bucket")), "keyed")
+    buckets = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("leader")).filter("n > 1"), "buckets")
+    met = materialize(join_facts(keyed, buckets, "bucket", "n"), "met")
+    pairs = materialize(met.filter("class <> leader").select("leader", "class").distinct(), "pairs")
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(FOLLOWERS)).alias("blocks"))
+    leaders = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("class"), F.lit(0).alias("at"))
+    followers = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("class"), "blocks").alias("block"), "class", F.lit(1).alias("at"))
+    links = materialize(dealt(leaders.union(followers), _leader_links, ["leader", "block"], ["at"]), "links")
+
+    named = met.join(connected_components(links).withColumnRenamed("node", "class"), "class", "left")
+    named = materialize(named.select("class", "bucket", F.coalesce("root", "class").alias("component")), "named")
+    members = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    rest = members.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    rest = materialize(rest.select("bucket", "n", F.col("most.component").alias("largest"), F.ceil((F.col("n") - F.col("most.m")) / F.lit(BLOCK)).alias("blocks"), F.ceil(F.col("n") / F.lit(BLOCK)).alias("others")), "open")
+    open_ = join_facts(named, rest, "bucket", "n")
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    left = open_.filter("component <> largest").select("bucket", F.pmod(F.xxhash64("class"), "blocks").alias("block"), each("others").alias("other"), F.lit(0).alias("side"), "class", "component")
+    right = open_.select("bucket", each("blocks").alias("block"), F.pmod(F.xxhash64("class", F.lit(1)), "others").alias("other"), F.lit(1).alias("side"), "class", "component")
+    return links.union(dealt(left.union(right), _block_links, ["bucket", "block", "other"], ["side"]))
 
 
 def first_rows(docs: DataFrame, row_key: str) -> DataFrame:

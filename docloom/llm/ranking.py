@@ -44,15 +44,14 @@ def positions(df: DataFrame, order: list[str], running: str | None = None, name:
 HOT = 1000
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Inner join of many rows with one fact per key.
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of many rows with one fact per key; column ``n`` of the facts counts the rows of their key.
 
     The facts of hot keys, fewer than HOT rows, are broadcast; all other keys
-    are shuffled. ``rows`` is read three times, so pass a materialized table.
+    are shuffled. Both sides are read more than once, so pass materialized tables.
     """
-    spark = rows.sparkSession
     total = rows.count()
-    hot = spark.createDataFrame(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > total).select(key).collect(), rows.select(key).schema)
+    hot = facts.sparkSession.createDataFrame(facts.filter(F.col(n) * HOT > total).select(key).collect(), rows.select(key).schema)
     hot = F.broadcast(hot)
     few = rows.join(hot, key, "left_anti").join(facts, key)
     return few.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key))

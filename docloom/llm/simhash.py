@@ -214,11 +214,12 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     Other columns are not read.
     """
     rows = materialize(docs.select("doc_id", fingerprint(words)(utf8()).alias("fp")), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = connected_components(fingerprint_links(distinct.select("fp")))
-    named = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp")).select("fp", "component", "least"), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return join_facts(rows, join_facts(named, least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), "least", "n"), "named")
+    components = materialize(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "components")
+    facts = materialize(join_facts(named, components, "component", "fps").select("fp", "component_id", "n"), "facts")
+    return join_facts(rows, facts, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -25,6 +25,7 @@ def brute_components(texts):
 @pytest.mark.parametrize("block", [4, 256])
 def test_near_duplicate_stage_keeps_one_of_each_near_copy(spark, monkeypatch, block):
     monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "FOLLOWERS", block)
     rng = random.Random(4)
     texts = [None, "", "  ", "one two", "One  TWO", "one two three"]
     for _ in range(12):
@@ -45,6 +46,23 @@ def test_near_duplicate_stage_keeps_one_of_each_near_copy(spark, monkeypatch, bl
 
 def test_large_families_are_split_and_still_joined(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 4)
+    monkeypatch.setattr(near_copies, "FOLLOWERS", 8)
     w = [f"w{i}" for i in range(200)]
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(w) + " end"), F.col("id").cast("string")).alias("text"))
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [0]
+
+
+def test_chains_that_their_leader_is_unlike(spark, monkeypatch):
+    """Each text is like its neighbours only, so links beyond the leader decide; the band values are made equal for all."""
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    texts = [" ".join(f"w{j}" for j in range(8 * i, 8 * i + 100)) for i in range(20)] + ["other words " * 5]
+    classes = [(i, t, [1, 2 + i % 2], f"k{i}") for i, t in enumerate(texts)]
+    made = spark.createDataFrame([(i, b, k) for i, _, b, k in classes], "class long, bands array<long>, row_key string")
+    docs = spark.createDataFrame([(t, k) for _, t, _, k in classes], "text string, k string")
+    links = {tuple(sorted((r.a, r.b))) for r in near_copies._class_links(made, docs, "k").collect()}
+    root = brute_components(texts)
+    assert all(root[a] == root[b] for a, b in links) and len(set(root)) == 2
+    at = list(range(len(texts)))
+    for a, b in sorted(links):
+        at = [min(at[a], at[b]) if x in (at[a], at[b]) else x for x in at]
+    assert at == root
