@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.ranking import join_facts
 from docloom.sources.tables import materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (long columns a, b); root is the least node reachable.
 
-    Hubs are only ever minimised over (map-side combine) and joined, never
-    collected; each round's links are written to the shared folder, so that
+    Hubs are only ever minimised over (map-side combine) and joined by broadcast
+    of their one row (see join_facts), never collected; each round's links are written to the shared folder, so that
     neither the plan nor the lineage grows with the rounds.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), "least")
+        large = join_facts(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
