@@ -168,6 +168,10 @@ class Hmm:
     step: np.ndarray  # K x K
     emit: np.ndarray  # symbols x K
 
+    def single(self) -> Hmm:
+        """In single precision: enough for expected counts, which are scaled at every step and summed in double."""
+        return Hmm(*(x.astype(np.float32) for x in (self.first, self.step, self.emit)))
+
 
 def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     raw = part.column("seq").to_pylist()
@@ -218,7 +222,7 @@ def expected_counts(model: Hmm, flat: np.ndarray, sizes: np.ndarray, kept: int =
     """
     k = len(model.first)
     order, going, at = _matrix(flat, sizes)
-    first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
+    first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape)
     if not len(going):
         return first, steps, emissions
     stretch = np.cumsum(going) // kept
@@ -278,9 +282,9 @@ def _summed(rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Hmm = model.value
+        m: Hmm = model.value.single()
         k = len(m.first)
-        first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
+        first, steps, emissions = np.zeros(k), np.zeros((k, k)), np.zeros(m.emit.shape)
         for part in _gathered(batches):
             f, s, e = expected_counts(m, *_sequences(part))
             first, steps, emissions = first + f, steps + s, emissions + e
