@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docloom.functions.text import strip
+
 # Fixed value: the namespace of all identifiers.
 NAMESPACE = "c77233cc-8939-4b9d-b882-5be7673cf89f"
 
@@ -35,13 +38,18 @@ def content_checksum(text: Column) -> Column:
     return F.sha2(nfc(text).cast("binary"), 256)
 
 
+def python_checksum(text: str) -> str:
+    """content_checksum for texts that are in Python already."""
+    return hashlib.sha256(unicodedata.normalize("NFC", text).encode("utf-8", "replace")).hexdigest()
+
+
 def canonical_source(identifier: Column) -> Column:
     """A relative POSIX path: trimmed, forward slashes, NFC, without empty and "." parts; null if unsafe.
 
     Unsafe are empty and absolute paths, paths that name nothing but ".", and
     any path with a ".." part.
     """
-    path = nfc(F.replace(F.trim(identifier), F.lit("\\"), F.lit("/")))
+    path = nfc(F.replace(strip(identifier), F.lit("\\"), F.lit("/")))
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
     safe = ~path.startswith("/") & (F.size(parts) > 0) & ~F.array_contains(parts, "..")
     return F.when(safe, F.array_join(parts, "/"))

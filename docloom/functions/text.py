@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.isspace() has it: Unicode white space and the four ASCII separators.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NOT_SPACE = r"[^\p{IsWhite_Space}\x1c-\x1f]"
 
 # Element types by layout label; labels that carry no text are dropped, all others are "other".
 ELEMENT_TYPES = {
@@ -43,8 +44,8 @@ def flatten_html(html: Column) -> Column:
 
 def first_heading(markdown: Column) -> Column:
     """Text of the first level-1 heading without a trailing {anchor}; null without one."""
-    title = F.regexp_extract(markdown, r"(?dm)^#[\s\x1c-\x1f]+(.+?)(?:\s*\{[^}]*\})?\s*$", 1)
-    return F.nullif(strip(title), F.lit(""))
+    line = F.regexp_extract(markdown, r"(?dm)^#[\s\x1c-\x1f]+(.+)$", 1)
+    return F.nullif(strip(F.regexp_replace(strip(line), r"(?s)(?<=.)\{[^}]*\}\z", "")), F.lit(""))
 
 
 def preview(text: Column, limit: int = 80) -> Column:
@@ -59,7 +60,7 @@ def has_word_character(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of runs of anything but white space."""
-    return F.regexp_count(text, F.lit(r"\S+"))
+    return F.regexp_count(text, F.lit(f"{NOT_SPACE}+"))
 
 
 def element_type(label: Column) -> Column:

@@ -22,10 +22,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 def vector_fault(v: Column) -> Column:
     """Why a vector cannot be used: invalid, empty or zero_length; null if it can."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import identity, text, vectors
-from docloom.operators import answers, chunking, maxmin, quality, retrieval, sentences
+from docloom.jobs import answering
+from docloom.operators import answers, chunking, documents, maxmin, quality, retrieval, sentences
 from docloom.sources.tables import read_table
 
 QUERIES = {}
@@ -70,21 +71,43 @@ def title_extract(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.first_heading(F.concat(F.lit("# "), line, F.lit(" {#top}"))).alias("title"))
 
 
-@query("element_assemble", r"""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS i FROM documents),
-    k AS (SELECT doc_id, i, trim(line) AS line FROM l WHERE trim(line) <> '')
-    SELECT doc_id, row_number() OVER w - 1 AS "order", line AS text,
-        coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start,
-        coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(line) AS char_end
-    FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-""")
+_LINES = r"""
+    l AS (SELECT doc_id, nfc_normalize(trim(line, E' \n\t\r')) AS line, i FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) AS i FROM documents)),
+    k AS (SELECT doc_id, i, line FROM l WHERE regexp_matches(line, '[\p{L}\p{N}]')),
+    e AS (
+        SELECT doc_id, (row_number() OVER w - 1)::INTEGER AS "order", CASE WHEN i % 7 = 1 THEN 'title' ELSE 'paragraph' END AS element_type, line AS text,
+            coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS char_start
+        FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+    )
+"""
+
+
+def _line_elements(spark, sf_dir) -> DataFrame:
+    """The lines of the documents as layout items, every seventh from the first on a title, mapped to elements."""
+    none = lambda kind: F.lit(None).cast(kind)
+    items = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_identifier"), F.posexplode(F.split("text", "\n")).alias("item_order", "text"))
+    return documents.map_items(items.select(
+        "source_identifier", "item_order", F.when(F.col("item_order") % 7 == 0, "title").otherwise("text").alias("label"), "text", none("int").alias("level"), none("int").alias("tree_level"),
+        none("array<int>").alias("pages"), none("boolean").alias("enumerated"), none("string").alias("marker"), none("string").alias("language"), none("int").alias("rows"), none("int").alias("columns")))
+
+
+@query("element_assemble", f"""WITH {_LINES} SELECT doc_id, "order", element_type, text, char_start, char_start + length(text)::INTEGER AS char_end FROM e""")
 def element_assemble(spark, sf_dir):
-    """Lines as elements with their offsets in the joined text, folded inside the row."""
-    lines = F.filter(F.transform(F.split("text", "\n"), text.strip), lambda x: x != "")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    starts = F.aggregate(lines, begin, lambda acc, x: F.struct((acc["at"] + F.length(x) + 2).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(lines.alias("t"), starts.alias("s"))).alias("order", "z"))
-    return rows.select("doc_id", F.col("order").cast("long").alias("order"), F.col("z.t").alias("text"), F.col("z.s").alias("char_start"), (F.col("z.s") + F.length("z.t")).alias("char_end"))
+    return _line_elements(spark, sf_dir).select(F.col("source_identifier").cast("long").alias("doc_id"), "order", "element_type", "text", "char_start", "char_end")
+
+
+@query("document_assemble", f"""
+    WITH {_LINES}, a AS (SELECT doc_id, string_agg(text, E'\n\n' ORDER BY "order") AS text, count(*) AS n, min_by(text, "order") FILTER (element_type = 'title') AS title FROM e GROUP BY doc_id)
+    SELECT d.doc_id, a.title, sha256(coalesce(a.text, '')) AS document_version, coalesce(a.n, 0)::INTEGER AS n_elements,
+        CASE WHEN d.doc_id % 11 = 0 THEN 'encrypted_pdf' WHEN d.doc_id % 13 = 0 THEN 'conversion_failed' WHEN a.n IS NULL THEN CASE WHEN d.doc_id % 2 = 0 THEN 'scanned_pdf' ELSE 'textless_pdf' END END AS reason
+    FROM documents d LEFT JOIN a USING (doc_id)
+""")
+def document_assemble(spark, sf_dir):
+    """The elements of each source joined to its document, or the reason it is rejected for."""
+    i = F.col("doc_id")
+    profiles = _documents(spark, sf_dir).select(i.cast("string").alias("source_identifier"), (i % 11 == 0).alias("encrypted"), F.when(i % 13 == 0, "Failure").alias("status"), (i % 2 == 0).alias("has_images"))
+    made = documents.assemble(_line_elements(spark, sf_dir), profiles)
+    return made.select(F.col("source_identifier").cast("long").alias("doc_id"), "title", "document_version", F.size("elements").alias("n_elements"), "reason")
 
 
 @query("element_type_histogram", """
@@ -112,31 +135,45 @@ def preview(spark, sf_dir):
     ) GROUP BY reason
 """)
 def mime_gate_rejects(spark, sf_dir):
-    from docloom.operators.documents import source_reason
-
     pages = read_table(spark, sf_dir, "pages").select(
         "page_id", F.when(F.col("page_id") % 3 == 0, "Application/PDF").otherwise("text/html").alias("mime"),
         F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(".PDF"))).otherwise(F.col("url")).alias("path"))
-    reason = source_reason(F.col("mime"), F.col("path"), F.col("page_id") % 7 != 0)
+    reason = documents.source_reason(F.col("mime"), F.col("path"), F.col("page_id") % 7 != 0)
     return pages.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_SENTENCES = r"""
-    p AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS pieces FROM documents),
+#: Line breaks and blank lines that the tables do not hold, put in between sentences.
+_BROKEN = r"replace(replace(text, '. ', E'.  \n\n \n'), ', ', E',\n ')"
+
+
+def _broken():
+    return F.replace(F.replace("text", F.lit(". "), F.lit(".  \n\n \n")), F.lit(", "), F.lit(",\n "))
+
+
+def _sentences_sql(text: str) -> str:
+    return r"""
+    p AS (SELECT doc_id, regexp_extract_all(%s, '\s*\S+') AS pieces FROM documents),
     w AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM p),
     e AS (
-        SELECT doc_id, i, piece, regexp_extract(trim(piece, E' \n\t\r'), '^(.*?[.!?])["''’”)\]}]*$', 1) AS until FROM w
+        SELECT doc_id, i, piece, regexp_extract(trim(piece, E' \n\t\r'), '^(.*?[.!?])["\'\'’”)\]}]*$', 1) AS until FROM w
     ), f AS (
         SELECT *, lower(regexp_extract(until, '([A-Za-z][A-Za-z.]*\.)$', 1)) AS run FROM e
     ), g AS (
-        SELECT doc_id, i, piece, until <> '' AND NOT (until LIKE '%.' AND (regexp_matches(run, '^[a-z]\.$') OR run IN
+        SELECT doc_id, i, piece, until <> '' AND NOT (until LIKE '%%.' AND (regexp_matches(run, '^[a-z]\.$') OR run IN
             ('dr.', 'e.g.', 'etc.', 'fig.', 'i.e.', 'jr.', 'mr.', 'mrs.', 'ms.', 'no.', 'prof.', 'sr.', 'st.', 'u.s.', 'vs.'))) AS ends FROM f
+    ), b AS (
+        SELECT *, i > 1 AND (lag(ends) OVER (PARTITION BY doc_id ORDER BY i) OR regexp_matches(piece, '^\s*\n\s*\n')) AS starts FROM g
     ), n AS (
-        SELECT doc_id, i, piece, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS sentence_index FROM g
+        SELECT doc_id, i, piece, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::INTEGER AS sentence_index FROM b
+    ), j AS (
+        SELECT doc_id, sentence_index, string_agg(piece, '' ORDER BY i) AS spaced FROM n GROUP BY doc_id, sentence_index
     ), s AS (
-        SELECT doc_id, sentence_index, trim(string_agg(piece, '' ORDER BY i), E' \n\t\r') AS sentence FROM n GROUP BY doc_id, sentence_index
+        SELECT doc_id, sentence_index, regexp_extract(spaced, '^\s*') AS gap, trim(spaced, E' \n\t\r') AS sentence FROM j
     )
-"""
+    """.replace("\\'", "'") % text
+
+
+_SENTENCES = _sentences_sql("text")
 
 
 @query("sentence_split", f"WITH {_SENTENCES} SELECT doc_id, sentence_index, sentence FROM s")
@@ -144,6 +181,13 @@ def sentence_split(spark, sf_dir):
     return sentences.sentence_rows(_documents(spark, sf_dir))
 
 
+@query("sentence_gaps", f"WITH {_sentences_sql(_BROKEN)} SELECT doc_id, sentence_index, gap, sentence FROM s")
+def sentence_gaps(spark, sf_dir):
+    """Sentences and the white space in front of each, with line breaks and blank lines between them."""
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(sentences.spaced_sentences(_broken())).alias("sentence_index", "s")).select(
+        "doc_id", "sentence_index", "s.gap", F.col("s.text").alias("sentence"))
+
+
 @query("sentence_stats", f"""
     WITH {_SENTENCES}, c AS (SELECT doc_id, count(*) AS k, max(length(sentence)) AS longest FROM s GROUP BY doc_id)
     SELECT lang, sum(k)::BIGINT AS n_sentences, max(longest)::BIGINT AS longest, count(*) AS n_docs FROM c JOIN documents USING (doc_id) GROUP BY lang
@@ -158,14 +202,16 @@ def token_count(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).alias("token_count"))
 
 
-@query("forced_token_split", r"""
-    WITH w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS l FROM documents))
-    SELECT doc_id, (i // 100)::INTEGER AS piece, string_agg(word, ' ' ORDER BY i) AS content FROM w GROUP BY doc_id, i // 100
+@query("forced_token_split", rf"""
+    WITH t AS (SELECT doc_id, trim({_BROKEN}, E' \n\t\r') AS t FROM documents), l AS (SELECT doc_id, regexp_extract_all(t, '(?:\S+\s*){{1,100}}') AS l FROM t),
+    w AS (SELECT doc_id, len(l) > 1 AS forced, unnest(l) AS piece, unnest(list_prepend(NULL, l[:-2])) AS before, generate_subscripts(l, 1) - 1 AS i FROM l)
+    SELECT doc_id, i::INTEGER AS piece, CASE WHEN i = 0 THEN E'\n\n' ELSE regexp_extract(before, '\s*$') END AS separator, trim(piece, E' \n\t\r') AS content, forced FROM w
 """)
 def forced_token_split(spark, sf_dir):
-    w = _documents(spark, sf_dir).select("doc_id", chunking.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 100).cast("int")), lambda i: F.array_join(F.slice("w", i * 100 + 1, 100), " "))
-    return w.select("doc_id", F.posexplode(pieces).alias("piece", "content"))
+    """Each document as one unit, cut into runs of 100 words by position."""
+    docs = _as_parsed(_documents(spark, sf_dir).withColumn("text", _broken()), "table")
+    cut = sentences.units(docs).select("document_id", F.posexplode(sentences.split_oversized(100)).alias("piece", "u"))
+    return cut.select(F.col("document_id").cast("long").alias("doc_id"), "piece", "u.separator", F.col("u.text").alias("content"), "u.forced")
 
 
 @query("fixed_window_chunks", r"""
@@ -200,17 +246,18 @@ def vector_validate(spark, sf_dir):
 
 
 def _ordered_vectors(spark, sf_dir):
-    return read_table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    """The vectors as documents of 50 units in a row."""
+    return read_table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("document"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
 @query("cosine_pairs", """
-    WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM embeddings)
-    SELECT label, vec_id, round(list_cosine_similarity(u, v), 6) AS cosine FROM v WHERE u IS NOT NULL
+    WITH v AS (SELECT vec_id // 50 AS document, vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS u FROM embeddings)
+    SELECT document, vec_id, round(list_cosine_similarity(u, v), 6) AS cosine FROM v WHERE u IS NOT NULL
 """)
 def cosine_pairs(spark, sf_dir):
-    """Each vector against the one before it in its label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return _ordered_vectors(spark, sf_dir).withColumn("u", F.lag("v").over(w)).filter("u is not null").select("label", "vec_id", F.round(vectors.cosine(F.col("u"), F.col("v")), 6).alias("cosine"))
+    """Each vector against the one before it in its document."""
+    w = Window.partitionBy("document").orderBy("vec_id")
+    return _ordered_vectors(spark, sf_dir).withColumn("u", F.lag("v").over(w)).filter("u is not null").select("document", "vec_id", F.round(vectors.cosine(F.col("u"), F.col("v")), 6).alias("cosine"))
 
 
 _LOOSE = maxmin.ChunkingConfig(hard_threshold=0.2)
@@ -218,65 +265,133 @@ _LOOSE = maxmin.ChunkingConfig(hard_threshold=0.2)
 
 @query("maxmin_clusters", """
     WITH RECURSIVE v AS (
-        SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings
+        SELECT vec_id // 50 AS document, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS i FROM embeddings
     ), r AS (
-        SELECT label, i, vec_id, [v] AS held, NULL::DOUBLE AS low, 0 AS k FROM v WHERE i = 1
+        SELECT document, i, vec_id, [v] AS held, NULL::DOUBLE AS low, 0 AS k FROM v WHERE i = 1
         UNION ALL
-        SELECT label, i, vec_id, CASE WHEN j THEN held || [v] ELSE [v] END, CASE WHEN j THEN least(low, list_min(s)) END, CASE WHEN j THEN k ELSE k + 1 END
+        SELECT document, i, vec_id, CASE WHEN j THEN held || [v] ELSE [v] END, CASE WHEN j THEN least(low, list_min(s)) END, CASE WHEN j THEN k ELSE k + 1 END
         FROM (
             SELECT *, CASE WHEN len(s) = 1 THEN 1.5 * s[1] > 0.2 ELSE list_max(s) > greatest(0.2, low * 0.9 * (1 / (1 + exp(-(len(s) - 1)::DOUBLE)))) END AS j
-            FROM (SELECT v.label, v.i, v.vec_id, v.v, r.held, r.low, r.k, list_transform(r.held, lambda h: list_cosine_similarity(h, v.v)) AS s FROM r JOIN v ON v.label = r.label AND v.i = r.i + 1)
+            FROM (SELECT v.document, v.i, v.vec_id, v.v, r.held, r.low, r.k, list_transform(r.held, lambda h: list_cosine_similarity(h, v.v)) AS s FROM r JOIN v ON v.document = r.document AND v.i = r.i + 1)
         )
     )
-    SELECT label, vec_id, k::INTEGER AS cluster FROM r
+    SELECT document, vec_id, k::INTEGER AS cluster FROM r
 """)
 def maxmin_clusters(spark, sf_dir):
-    return maxmin.cluster_rows(_ordered_vectors(spark, sf_dir), "label", "vec_id", "v", _LOOSE)
+    return maxmin.cluster_rows(_ordered_vectors(spark, sf_dir), "document", "vec_id", "v", _LOOSE)
+
+
+@query("cluster_affinity", """
+    WITH v AS (SELECT vec_id // 50 AS document, embedding::DOUBLE[] AS v, (vec_id % 50 // 5)::INTEGER AS cluster FROM embeddings)
+    SELECT a.document, a.cluster, round(max(list_cosine_similarity(a.v, b.v)), 6) AS affinity FROM v a JOIN v b ON a.document = b.document AND b.cluster = a.cluster + 1 GROUP BY a.document, a.cluster
+""")
+def cluster_affinity(spark, sf_dir):
+    """Largest cosine between neighbouring clusters of five vectors."""
+    rows = _ordered_vectors(spark, sf_dir).withColumn("cluster", F.expr("vec_id % 50 div 5"))
+    near = maxmin.neighbour_affinities(rows, "document", "vec_id", "v", "cluster")
+    return near.select("document", "cluster", F.round("affinity", 6).alias("affinity"))
 
 
-def _as_parsed(docs: DataFrame) -> DataFrame:
+def _as_parsed(docs: DataFrame, kind: str = "paragraph") -> DataFrame:
     element = F.struct(
-        identity.uuid5(F.concat(F.lit("element:"), F.col("doc_id").cast("string"))).alias("element_id"), F.lit("paragraph").alias("element_type"), F.col("text"),
+        identity.uuid5(F.concat(F.lit("element:"), F.col("doc_id").cast("string"))).alias("element_id"), F.lit(kind).alias("element_type"), F.col("text"),
         F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page_number"), F.lit(0).alias("order"))
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), identity.content_checksum(F.col("text")).alias("document_version"), F.array(element).alias("elements"))
 
 
-@query("maxmin_chunks")
+def _spread(docs: DataFrame) -> DataFrame:
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def initial_halves(texts: list[str]) -> list[list[float]]:
+    """An embedding with two directions, by whether a text begins before the letter N: SQL can follow what the chunker makes of it."""
+    return [[1.0, 0.0] if t[:1] < "N" else [0.0, 1.0] for t in texts]
+
+
+_SMALL = maxmin.ChunkingConfig(min_tokens=1, target_tokens=40, max_tokens=60)
+
+_CHUNKS = rf"""
+    WITH RECURSIVE {_sentences_sql(_BROKEN)}, q AS (
+        SELECT doc_id, sentence_index, gap, unnest(l) AS piece, unnest(list_prepend(NULL, l[:-2])) AS before, generate_subscripts(l, 1) AS part, len(l) > 1 AS forced
+        FROM (SELECT doc_id, sentence_index, gap, regexp_extract_all(sentence, '(?:\S+\s*){{1,60}}') AS l FROM s)
+    ), u AS (
+        SELECT doc_id, trim(piece, E' \n\t\r') AS text, CASE WHEN part = 1 THEN gap ELSE regexp_extract(before, '\s*$') END AS separator, forced,
+            len(regexp_extract_all(piece, '\S+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, part) - 1 AS nth FROM q
+    ), h AS (
+        SELECT *, (substr(text, 1, 1) < 'N') IS DISTINCT FROM lag(substr(text, 1, 1) < 'N') OVER (PARTITION BY doc_id ORDER BY nth) AS turns FROM u
+    ), c AS (
+        SELECT *, sum(turns::INTEGER) OVER (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS cluster FROM h
+    )
+"""
+
+
+def _chunks_sql(columns: str) -> str:
+    """Runs of units of one half are clusters; a cluster over 60 words is cut where it comes nearest to 40, else as far as fits."""
+    reach = "list_filter(ends, lambda e: total[e + 1] - total[start + 1] >= 40)"
+    nearest = f"list_sort(list_transform({reach}, lambda e: {{'d': abs(total[e + 1] - total[start + 1] - 40), 'e': e}}))[1].e"
+    stop = f"CASE WHEN total[m + 1] - total[start + 1] <= 60 THEN m WHEN len({reach}) > 0 THEN {nearest} ELSE ends[-1] END"
+    ends = "list_filter(range(start + 1, m), lambda e: total[e + 1] - total[start + 1] <= 60)"
+    recursive = _CHUNKS + f""", t AS (
+        SELECT doc_id, cluster, first, len(l) AS m, list_transform(range(0, len(l) + 1), lambda i: list_sum(list_prepend(0, l[1:i]))::BIGINT) AS total
+        FROM (SELECT doc_id, cluster, min(nth) AS first, list(n::BIGINT ORDER BY nth) AS l FROM c GROUP BY doc_id, cluster)
+    ), r AS (
+        SELECT doc_id, cluster, first, m, total, start, {stop} AS stop FROM (SELECT *, 0::BIGINT AS start, {ends.replace("start", "0")} AS ends FROM t)
+        UNION ALL
+        SELECT doc_id, cluster, first, m, total, start, {stop} FROM (SELECT doc_id, cluster, first, m, total, stop AS start, {ends.replace("start", "stop")} AS ends FROM r WHERE stop < m)
+    ), k AS (
+        SELECT doc_id, first + start AS begin_unit, first + stop AS end_unit, (row_number() OVER (PARTITION BY doc_id ORDER BY first + start) - 1)::INTEGER AS chunk_index FROM r
+    ), y AS (
+        SELECT k.doc_id, k.chunk_index, begin_unit::INTEGER AS unit_start, (end_unit - 1)::INTEGER AS unit_end, sum(n)::INTEGER AS token_count, bool_or(forced) AS forced_token_split,
+            string_agg(CASE WHEN nth = begin_unit THEN text ELSE separator || text END, '' ORDER BY nth) AS content
+        FROM k JOIN u ON u.doc_id = k.doc_id AND nth >= begin_unit AND nth < end_unit GROUP BY ALL
+    ), z AS (
+        SELECT y.*, sha256(nfc_normalize(content)) AS content_checksum, sha256(nfc_normalize({_BROKEN})) AS document_version FROM y JOIN documents USING (doc_id)
+    ), i AS (
+        SELECT *, sha1(from_hex('{identity.NAMESPACE.replace("-", "")}') || encode('chunk:' || doc_id || ':' || document_version || ':semantic_max_min:1:' || chunk_index || ':' || content_checksum)) AS h FROM z
+    ), o AS (
+        SELECT *, doc_id::VARCHAR AS document_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17])::INTEGER % 4) + 1, 1) || h[18:20] || '-' || h[21:32] AS chunk_id FROM i
+    )
+    """
+    return recursive + f"SELECT {columns} FROM o"
+
+
+def _halved(spark, sf_dir) -> DataFrame:
+    docs = _as_parsed(_spread(_documents(spark, sf_dir)).withColumn("text", _broken()))
+    return maxmin.chunk_documents(sentences.units(docs), _SMALL, embed=initial_halves)
+
+
+@query("maxmin_chunks", _chunks_sql("document_id, chunk_index, chunk_id, content, content_checksum, token_count, unit_start, unit_end, forced_token_split"))
 def maxmin_chunks(spark, sf_dir):
-    """The whole chunker with local embeddings over all documents."""
-    docs = _documents(spark, sf_dir)
-    spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return maxmin.chunk_documents(sentences.units(_as_parsed(spread)), maxmin.ChunkingConfig())
+    """The whole chunker over all documents, with line breaks put in and an embedding that SQL can follow."""
+    return _halved(spark, sf_dir).select("document_id", "chunk_index", "chunk_id", "content", "content_checksum", "token_count", "unit_start", "unit_end", "forced_token_split")
+
+
+@query("chunk_links", _chunks_sql("document_id, chunk_id, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER w AS next_chunk_id").replace("FROM o", "FROM o WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)"))
+def chunk_links(spark, sf_dir):
+    return _halved(spark, sf_dir).select("document_id", "chunk_id", "previous_chunk_id", "next_chunk_id")
+
+
+@query("maxmin_chunks_hashed")
+def maxmin_chunks_hashed(spark, sf_dir):
+    """The whole chunker with the default bounds and local embeddings over all documents."""
+    return maxmin.chunk_documents(sentences.units(_as_parsed(_spread(_documents(spark, sf_dir)))), maxmin.ChunkingConfig())
 
 
 @query("maxmin_tokens", r"SELECT doc_id::VARCHAR AS document_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS token_count, true AS bounded FROM documents WHERE len(regexp_extract_all(text, '\S+')) > 0")
 def maxmin_tokens(spark, sf_dir):
     """Chunks keep every word of a document, and none is over the maximum."""
-    return maxmin_chunks(spark, sf_dir).groupBy("document_id").agg(F.sum("token_count").alias("token_count"), F.max(F.col("token_count") <= 600).alias("bounded"))
+    return maxmin_chunks_hashed(spark, sf_dir).groupBy("document_id").agg(F.sum("token_count").alias("token_count"), F.max(F.col("token_count") <= 600).alias("bounded"))
 
 
-@query("cluster_affinity", """
-    WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 5)::INTEGER AS cluster FROM embeddings)
-    SELECT a.label, a.cluster, round(max(list_cosine_similarity(a.v, b.v)), 6) AS affinity FROM v a JOIN v b ON a.label = b.label AND b.cluster = a.cluster + 1 GROUP BY a.label, a.cluster
-""")
-def cluster_affinity(spark, sf_dir):
-    """Largest cosine between neighbouring clusters of five vectors; clusters are one row each."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = _ordered_vectors(spark, sf_dir).withColumn("cluster", F.floor((F.row_number().over(w) - 1) / 5).cast("int"))
-    c = rows.groupBy("label", "cluster").agg(F.collect_list("v").alias("left"))
-    c = c.withColumn("right", F.lead("left").over(Window.partitionBy("label").orderBy("cluster"))).filter("right is not null")
-    best = F.array_max(F.flatten(F.transform("left", lambda a: F.transform("right", lambda b: vectors.cosine(a, b)))))
-    return c.select("label", "cluster", F.round(best, 6).alias("affinity"))
-
-
-@query("chunk_links", r"""
-    WITH w AS (SELECT doc_id, unnest(range(0, 1 + (len(regexp_extract_all(text, '\S+')) - 1) // 100)) AS i FROM documents WHERE len(regexp_extract_all(text, '\S+')) > 0)
-    SELECT doc_id, i::INTEGER AS chunk_index, (lag(i) OVER p)::INTEGER AS previous_index, (lead(i) OVER p)::INTEGER AS next_index FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
-""")
-def chunk_links(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    chunks = forced_token_split(spark, sf_dir).select("doc_id", F.col("piece").alias("chunk_index"))
-    return chunks.withColumn("previous_index", F.lag("chunk_index").over(w)).withColumn("next_index", F.lead("chunk_index").over(w))
+@query("structure_tokens", r"SELECT doc_id::VARCHAR AS document_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS token_count, 1 AS paths, true AS bounded FROM documents WHERE len(regexp_extract_all(text, '\S+')) > 0")
+def structure_tokens(spark, sf_dir):
+    """Chunks of structure_recursive keep every word, lie within one section of five lines and within the maximum."""
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(
+        F.concat(F.lit("e"), i.cast("string")).alias("element_id"), F.lit("paragraph").alias("element_type"), t.alias("text"),
+        F.array(F.floor(i / 5).cast("string")).alias("heading_path"), F.lit(None).cast("int").alias("page_number"), i.alias("order")))
+    made = chunking.structure_chunks(_spread(_documents(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("document_id"), lines.alias("elements")), 60)
+    one = F.floor(F.col("first_order") / 5) == F.floor(F.col("last_order") / 5)
+    return made.groupBy("document_id").agg(F.sum("token_count").alias("token_count"), F.max(F.when(one, 1).otherwise(2)).alias("paths"), F.min(F.col("token_count") <= 60).alias("bounded"))
 
 
 @query("common_heading_path", r"""
@@ -302,10 +417,9 @@ def _search_sql(metric: str, k: int, where: str = "", threshold: str = "", cap:
     """
 
 
-def _search(spark, sf_dir, config=retrieval.RetrievalConfig(), where=None, owner=None):
+def _search(spark, sf_dir, config=retrieval.RetrievalConfig(), owner=None):
     v = read_table(spark, sf_dir, "embeddings")
-    rows = v if where is None else v.filter(where)
-    return retrieval.search(rows, v.filter("vec_id % 50 = 0"), config, owner)
+    return retrieval.search(v, v.filter("vec_id % 50 = 0"), config, owner)
 
 
 def _register_search(metric: str):
@@ -320,7 +434,8 @@ for _metric in retrieval.METRICS:
 
 @query("topk_filtered", _search_sql("cosine", 12, "AND c.label IN (1, 3, 5)"))
 def topk_filtered(spark, sf_dir):
-    return _search(spark, sf_dir, where=F.col("label").isin(1, 3, 5))
+    v = read_table(spark, sf_dir, "embeddings")
+    return retrieval.search(retrieval.metadata_filter(v, labels=[1, 3, 5]), v.filter("vec_id % 50 = 0"))
 
 
 @query("topk_threshold", _search_sql("cosine", 12, threshold="WHERE score >= 0.25"))
@@ -379,7 +494,7 @@ def upsert_latest(spark, sf_dir):
 
 @query("context_assemble", r"""
     WITH RECURSIVE t AS (
-        SELECT conv_id, turn, len(regexp_extract_all(text, '\S+'))::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations
+        SELECT conv_id, turn, len(regexp_extract_all(text, '\S+'))::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations QUALIFY i <= 100
     ), r AS (
         SELECT conv_id, 0::BIGINT AS i, []::BIGINT[] AS a, []::BIGINT[] AS b, 0::BIGINT AS total FROM (SELECT DISTINCT conv_id FROM t)
         UNION ALL
@@ -408,13 +523,11 @@ _PARSED = """
 
 
 def _ingested(spark, sf_dir) -> DataFrame:
-    from docloom.operators.documents import ingest_status
-
     d = _documents(spark, sf_dir).select(
         "doc_id", F.col("doc_id").cast("string").alias("document_id"), identity.content_checksum(F.col("text")).alias("document_version"),
         F.when(F.col("n_chars") < 100, "empty_document").alias("reason"))
     known = d.filter("doc_id % 2 = 0").select("document_id", F.when(F.col("doc_id") % 4 == 0, F.col("document_version")).otherwise("old").alias("document_version"))
-    return ingest_status(d, known)
+    return documents.ingest_status(d, known)
 
 
 @query("ingest_skip", _PARSED + "SELECT document_id, document_version FROM s WHERE status = 'completed'")
@@ -428,14 +541,58 @@ def ingest_status_counts(spark, sf_dir):
     return _ingested(spark, sf_dir).groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("constraint_audit", """
-    SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 200 THEN 'empty_content' END, CASE WHEN lang <> 'en' THEN 'language' END,
-        CASE WHEN n_chars <> length(text) THEN 'length' END, CASE WHEN (doc_id % 5 = 0) <> (doc_id % 10 = 0) THEN 'half_pages' END], lambda x: x IS NOT NULL), ',') AS violations FROM documents
-""")
+def _faults_sql(**checks: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({holds}, false) THEN '{name}' END" for name, holds in checks.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+_ELEMENT = """SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE text END AS text, CASE WHEN lang = 'en' THEN 'paragraph' ELSE lang END AS element_type, doc_id % 50 - 1 AS "order",
+    nullif(doc_id % 3, 2) AS page_number, nullif(doc_id % 5, 4) AS char_start, nullif(doc_id % 7, 6) AS char_end FROM documents"""
+
+
+@query("constraint_audit", f"""SELECT doc_id, {_faults_sql(
+    empty_text="length(text) >= 1", element_type="element_type IN ('title', 'heading', 'paragraph', 'list_item', 'table', 'caption', 'code', 'other')", negative_order='"order" >= 0',
+    page_number="page_number IS NULL OR page_number >= 1", half_span="(char_start IS NULL) = (char_end IS NULL)", span_order="char_start IS NULL OR char_end IS NULL OR char_end > char_start")}
+    AS violations FROM ({_ELEMENT})""")
 def constraint_audit(spark, sf_dir):
-    first, last = F.when(F.col("doc_id") % 5 == 0, 1), F.when(F.col("doc_id") % 10 == 0, 2)
-    faults = quality.violations(empty_content=F.length("text") >= 200, language=F.col("lang") == "en", length=F.col("n_chars") == F.length("text"), half_pages=quality.both_or_neither(first, last))
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(faults, ",").alias("violations"))
+    """Documents as elements, with faults put in."""
+    part = lambda n, none: F.nullif(F.col("doc_id") % n, F.lit(none))
+    rows = _documents(spark, sf_dir).select(
+        "doc_id", F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.col("text")).alias("text"), F.when(F.col("lang") == "en", "paragraph").otherwise(F.col("lang")).alias("element_type"),
+        (F.col("doc_id") % 50 - 1).alias("order"), part(3, 2).alias("page_number"), part(5, 4).alias("char_start"), part(7, 6).alias("char_end"))
+    return rows.select("doc_id", F.array_join(quality.element_violations(), ",").alias("violations"))
+
+
+@query("chunk_audit", f"""SELECT doc_id, {_faults_sql(
+    empty_content="length(text) >= 1", negative_index="doc_id % 40 - 1 >= 0", token_count="doc_id % 30 >= 1", half_pages="(nullif(doc_id % 5, 4) IS NULL) = (nullif(doc_id % 7, 6) IS NULL)",
+    page_order="nullif(doc_id % 5, 4) IS NULL OR nullif(doc_id % 7, 6) IS NULL OR doc_id % 7 >= doc_id % 5", self_link="doc_id % 11 <> 0 AND doc_id % 13 <> 0")} AS violations FROM documents""")
+def chunk_audit(spark, sf_dir):
+    """Documents as chunks, with faults put in."""
+    i = F.col("doc_id")
+    rows = _documents(spark, sf_dir).select(
+        "doc_id", F.col("text").alias("content"), (i % 40 - 1).alias("chunk_index"), (i % 30).alias("token_count"), F.nullif(i % 5, F.lit(4)).alias("page_start"), F.nullif(i % 7, F.lit(6)).alias("page_end"),
+        i.alias("chunk_id"), F.when(i % 11 == 0, i).otherwise(i - 1).alias("previous_chunk_id"), F.when(i % 13 == 0, i).alias("next_chunk_id"))
+    return rows.select("doc_id", F.array_join(quality.chunk_violations(), ",").alias("violations"))
+
+
+@query("outcome_audit", f"""SELECT doc_id, {_faults_sql(
+    status="lang <> 'es'", missing_document="lang = 'de' OR doc_id % 4 > 0", rejected_chunks="lang <> 'de' OR doc_id % 3 = 0")} AS violations FROM documents""")
+def outcome_audit(spark, sf_dir):
+    """Documents as outcomes of ingestion, with faults put in."""
+    i = F.col("doc_id")
+    known = F.create_map(*[F.lit(x) for x in ("en", "completed", "de", "rejected", "fr", "skipped", "es", "lost")])
+    rows = _documents(spark, sf_dir).select(
+        "doc_id", known[F.col("lang")].alias("status"), F.when(i % 4 > 0, "d").alias("document_id"), F.lit("v").alias("document_version"), (i % 3).alias("chunk_count"))
+    return rows.select("doc_id", F.array_join(quality.outcome_violations(), ",").alias("violations"))
+
+
+@query("order_audit", """
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN m = 0 THEN 'no_elements' END, CASE WHEN m > 9 THEN 'order_not_rising' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM (SELECT doc_id, len(list_filter(string_split(text, E'\n'), lambda x: length(x) > 40)) AS m FROM documents)
+""")
+def order_audit(spark, sf_dir):
+    """The long lines of a document as elements whose order starts anew after nine."""
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda t: F.length(t) > 40), lambda t, i: F.struct(t.alias("text"), (i % 9).alias("order")))
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(quality.order_violations(lines), ",").alias("violations"))
 
 
 @query("chat_messages", "SELECT conv_id, turn, 'user' AS role, text AS content FROM conversations WHERE role = 'user'")
@@ -453,3 +610,12 @@ def error_status_map(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("configuration", "timeout", "rate_limit", "other", None)])
     events = read_table(spark, sf_dir, "events").withColumn("failure", F.element_at(kinds, (F.col("user_id") % 5 + 1).cast("int")))
     return events.groupBy("event_type", answers.error_code(F.col("failure")).alias("code"), answers.error_status(F.col("failure")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("query_contexts")
+def query_contexts(spark, sf_dir):
+    """The questions of every fiftieth conversation against the chunks of all documents: sources within the budget of a context."""
+    asked = read_table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 50 = 0").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    chunks = maxmin.chunk_documents(sentences.units(_as_parsed(_spread(_documents(spark, sf_dir)))), maxmin.ChunkingConfig())
+    found = answering.contexts(asked, chunks, retrieval.RetrievalConfig(max_per_document=2), max_tokens=1000)
+    return found.select("query_id", "sources", "excluded", "token_count")

@@ -40,25 +40,43 @@ def error_status(failure: Column) -> Column:
     return F.coalesce(F.when(failure.isNotNull(), out), F.lit(200))
 
 
-def answer(queries: DataFrame, provider: Provider = echo) -> DataFrame:
-    """(query, answer, sources, code, status): a provider's failure is a row's code, not the job's end; empty queries are 422."""
+def _ask(provider: Provider, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(answer, failure) of each prompt: one call for all; if it fails they are asked one by one, so that a failure is the row's own."""
+    try:
+        got = provider(prompts)
+        if len(got) == len(prompts):
+            return [(g, None) if isinstance(g, str) else (None, "malformed") for g in got]
+        failure = "malformed"
+    except TimeoutError:
+        failure = "timeout"
+    except Exception as e:  # noqa: BLE001  reported by kind only
+        failure = getattr(e, "kind", "other")
+    return [(None, failure)] if len(prompts) == 1 else [x for p in prompts for x in _ask(provider, [p])]
+
+
+def answer(queries: DataFrame, provider: Provider = echo, batch: int = 32) -> DataFrame:
+    """(query, answer, sources, code, status) of rows (query[, prompt, sources]).
+
+    ``prompt`` is what the provider is asked, the query itself without it;
+    ``sources`` are carried to the answer, none without them and for rows that
+    failed. A provider's failure is a row's code, not the job's end; empty
+    queries are 422 and are not asked.
+    """
+    d = queries.select(
+        "query", (F.col("prompt") if "prompt" in queries.columns else F.col("query")).alias("prompt"),
+        (F.col("sources") if "sources" in queries.columns else F.array()).cast("array<string>").alias("sources"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for q in b["query"]:
-                if not q:
-                    out.append((q, None, None))
-                    continue
-                try:
-                    got = provider([q])
-                    out.append((q, got[0], None) if got and isinstance(got[0], str) else (q, None, "malformed"))
-                except TimeoutError:
-                    out.append((q, None, "timeout"))
-                except Exception as e:  # noqa: BLE001  reported by kind only
-                    out.append((q, None, getattr(e, "kind", "other")))
-            yield pd.DataFrame(out, columns=["query", "answer", "failure"])
-
-    d = queries.select("query").mapInPandas(run, "query string, answer string, failure string")
+            asked = b.index[b["query"].fillna("") != ""]
+            out = pd.DataFrame({"query": b["query"], "sources": b["sources"], "answer": None, "failure": None}, dtype=object)
+            for at in range(0, len(asked), batch):
+                part = asked[at:at + batch]
+                for i, (said, failure) in zip(part, _ask(provider, b["prompt"][part].tolist())):
+                    out.at[i, "answer"], out.at[i, "failure"] = said, failure
+            yield out
+
+    d = d.mapInPandas(run, "query string, sources array<string>, answer string, failure string")
     blank = F.coalesce(F.length("query"), F.lit(0)) == 0
-    return d.select("query", "answer", F.array().cast("array<string>").alias("sources"), error_code(F.col("failure")).alias("code"),
-                    F.when(blank, 422).otherwise(error_status(F.col("failure"))).alias("status"))
+    return d.select("query", "answer", F.when(F.col("answer").isNotNull(), F.col("sources")).otherwise(F.array().cast("array<string>")).alias("sources"),
+                    error_code(F.col("failure")).alias("code"), F.when(blank, 422).otherwise(error_status(F.col("failure"))).alias("status"))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from docloom.functions import identity, text
 from docloom.operators.markdown import render_html
@@ -15,11 +22,22 @@ PDF = ("application/pdf", "application/x-pdf")
 REASONS = ("unsupported_format", "conversion_failed", "empty_document", "encrypted_pdf", "scanned_pdf", "textless_pdf")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """The part of a file's path below the folder ``root``, which names the file whatever machine or store the folder lies on."""
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/")
+    return F.when(F.lit(folder == ""), F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+", "")).otherwise(
+        F.substring(path, F.locate(f"/{folder}/", path) + len(folder) + 2, F.length(path)))
+
+
+def as_sources(files: DataFrame, root: str, mime_type: str) -> DataFrame:
+    """(source_identifier, source_name, mime_type, content) of rows of the binaryFile source, batch or stream."""
+    return files.select(relative_path(F.col("path"), root).alias("source_identifier"), F.element_at(F.split("path", "/"), -1).alias("source_name"), F.lit(mime_type).alias("mime_type"), "content")
+
+
 def read_files(spark: SparkSession, path: str, mime_type: str, glob: str = "*") -> DataFrame:
-    """(source_identifier, source_name, mime_type, content) of all files below ``path``."""
+    """All files below the folder ``path``, identified by their path below it (see as_sources)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("source_identifier"), name.alias("source_name"), F.lit(mime_type).alias("mime_type"), "content")
+    return as_sources(files, path, mime_type)
 
 
 def decode(content: Column) -> Column:
@@ -45,13 +63,64 @@ def parse_text(files: DataFrame, parser: str, version: str = "1.0.0") -> DataFra
 
 
 def _finish(d: DataFrame, reason: Column, parser: str, version: str) -> DataFrame:
+    return _documents(d.withColumn("texts", F.array("text")), reason, parser, version)
+
+
+def _documents(d: DataFrame, reason: Column, parser: str, version: str) -> DataFrame:
+    """Documents of paragraphs (column ``texts``), numbered in order."""
     d = d.withColumn("document_id", identity.document_id(F.col("source_identifier"))).withColumn("content_checksum", identity.content_checksum(F.col("text")))
-    element = F.struct(
-        identity.element_id(F.col("document_id"), F.lit(version), F.lit(0), F.col("text")).alias("element_id"), F.lit("paragraph").alias("element_type"), F.col("text").alias("text"),
-        F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page_number"), F.lit(0).alias("order"))
+    # checksums need Python for texts outside ASCII, so they are taken of whole columns and not inside a lambda
+    d = d.withColumn("checks", F.when(F.size("texts") == 1, F.array("content_checksum")).otherwise(_checksums("texts")))
+    elements = F.transform(F.arrays_zip("texts", "checks"), lambda x, i: F.struct(
+        identity.uuid5(F.concat_ws(":", F.lit("element"), F.col("document_id"), F.lit(version), i.cast("string"), x["checks"])).alias("element_id"),
+        F.lit("paragraph").alias("element_type"), x["texts"].alias("text"), F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page_number"), i.alias("order")))
     return d.select(
         "document_id", F.col("content_checksum").alias("document_version"), "source_name", "source_identifier", "mime_type", "title", "text",
-        F.array(element).alias("elements"), "content_checksum", F.lit(parser).alias("parser_name"), F.lit(version).alias("parser_version"), reason.alias("reason"))
+        elements.alias("elements"), "content_checksum", F.lit(parser).alias("parser_name"), F.lit(version).alias("parser_version"), reason.alias("reason"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _checksums(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: [identity.python_checksum(t) for t in ts], na_action="ignore")
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_paragraphs(content: bytes) -> list[str] | None:
+    """The trimmed paragraphs of a Word file that are not blank, in order, without tables; null for what is no such file."""
+    try:
+        body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_W}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, RuntimeError, NotImplementedError, EOFError):
+        return None
+    out, open_ = [], list(reversed(body)) if body is not None else []
+    while open_:
+        node = open_.pop()
+        if node.tag == f"{_W}p":
+            parts = {f"{_W}t": lambda x: x.text or "", f"{_W}tab": lambda x: "\t", f"{_W}br": lambda x: "\n", f"{_W}cr": lambda x: "\n"}
+            if text := "".join(parts[x.tag](x) for x in node.iter() if x.tag in parts).strip():
+                out.append(text)
+        elif node.tag != f"{_W}tbl":
+            open_ += reversed(node)
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _docx(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda b: docx_paragraphs(bytes(b)), na_action="ignore")
+
+
+def parse_docx(files: DataFrame, version: str = "1.0.0") -> DataFrame:
+    """Word files as documents of one element per paragraph (see parse_text); ``reason`` is also conversion_failed for what cannot be read."""
+    fits = F.col("mime_type") == DOCX
+    d = files.withColumn("found", _docx(F.when(fits, F.col("content"))))
+    d = d.withColumn("texts", F.coalesce("found", F.array().cast("array<string>"))).withColumn("text", F.array_join("texts", "\n\n")).withColumn("title", F.lit(None).cast("string"))
+    return _documents(d, F.when(~fits, "unsupported_format").when(F.col("found").isNull(), "conversion_failed").when(F.size("texts") == 0, "empty_document"), "docx", version)
+
+
+def parse(files: DataFrame, parser: str) -> DataFrame:
+    """Files by the parser's name: txt, markdown or docx."""
+    return parse_docx(files) if parser == "docx" else parse_text(files, parser)
 
 
 def source_reason(mime: Column, path: Column, exists: Column) -> Column:
@@ -119,6 +188,25 @@ def map_items(items: DataFrame, version: str = "1.0.0") -> DataFrame:
         F.col("item.list").alias("list"), F.col("item.table").alias("table"), F.col("item.code_language").alias("code_language"), F.col("item.source_role").alias("source_role"))
 
 
+def assemble(elements: DataFrame, profiles: DataFrame, version: str = "1.0.0") -> DataFrame:
+    """One row per source of ``profiles`` (source_identifier, encrypted, status, has_images): the document that its elements make.
+
+    ``elements`` are those of map_items. The text is theirs joined by blank
+    lines, so that their offsets hold; the title is the first title element; the
+    version is the text's checksum. ``reason`` says why a source is rejected:
+    it could not be converted, or has no element.
+    """
+    one = F.struct("order", "element_id", "element_type", "text", "heading_path", "page_number", "char_start", "char_end")
+    docs = elements.groupBy("source_identifier").agg(F.array_sort(F.collect_list(one)).alias("elements"))  # one document's
+    d = profiles.join(docs, "source_identifier", "left").withColumn("elements", F.coalesce("elements", F.array().cast(docs.schema["elements"].dataType)))
+    d = d.withColumn("text", F.array_join(F.transform("elements", lambda e: e["text"]), "\n\n"))
+    titles = F.filter("elements", lambda e: e["element_type"] == "title")
+    return d.select(
+        identity.document_id(F.col("source_identifier")).alias("document_id"), "source_identifier", identity.content_checksum(F.col("text")).alias("document_version"),
+        F.get(titles, F.lit(0))["text"].alias("title"), "text", "elements", F.lit(version).alias("parser_version"),
+        profile_reason(F.col("encrypted"), F.col("status"), F.size("elements"), F.col("has_images")).alias("reason"))
+
+
 def ingest_status(documents: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
     """(document_id, document_version, status): rejected, skipped if that version is known, else completed."""
     seen = known.select("document_id", "document_version", F.lit(True).alias("seen")).distinct()

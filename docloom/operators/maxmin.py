@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import re
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from docloom.functions.identity import chunk_id, content_checksum
 from docloom.functions.text import word_count
-from docloom.functions.vectors import cosine, sigmoid
 from docloom.operators.sentences import split_oversized
 
 
@@ -43,46 +46,6 @@ class ChunkingConfig:
             raise ValueError("; ".join(faults))
 
 
-def cluster_numbers(vectors: Column, c: ChunkingConfig) -> Column:
-    """array<int>: the cluster of each vector of an ordered array<array<double>>.
-
-    A vector joins the open cluster of one if initialization_constant times
-    their cosine exceeds the hard threshold, and a larger one if its largest
-    cosine to the members exceeds both the hard threshold and the cluster's
-    least pairwise cosine scaled by the coefficient and a sigmoid of the
-    cluster's size; otherwise it opens the next cluster. All comparisons are
-    strict.
-    """
-    begin = F.struct(F.array().cast("array<array<double>>").alias("open"), F.lit(None).cast("double").alias("least"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, v):
-        sims = F.transform(acc["open"], lambda member: cosine(member, v))
-
-        def decide(s):
-            size = F.size(s)
-            bar = F.greatest(F.lit(c.hard_threshold), acc["least"] * c.similarity_coefficient * sigmoid((size - 1).cast("double")))
-            joins = F.when(size == 0, False).when(size == 1, c.initialization_constant * F.element_at(s, 1) > c.hard_threshold).otherwise(F.array_max(s) > bar)
-            n = F.when(joins, acc["n"]).otherwise(acc["n"] + 1)
-            return F.struct(
-                F.when(joins, F.concat(acc["open"], F.array(v))).otherwise(F.array(v)).alias("open"),
-                F.when(joins, F.least(acc["least"], F.array_min(s))).alias("least"),
-                n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-        # bind the similarities once: lambdas have no local names
-        return F.element_at(F.transform(F.array(sims), decide), 1)
-
-    return F.aggregate(vectors, begin, step, lambda acc: acc["out"])
-
-
-def cluster_rows(rows: DataFrame, group: str, order: str, vector: str, c: ChunkingConfig) -> DataFrame:
-    """(group, order, cluster) of vectors that lie in rows; a group is one ordered document."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))))
-    docs = rows.groupBy(group).agg(items.alias("items"))
-    numbers = cluster_numbers(F.transform("items", lambda i: i["v"]), c)
-    return docs.select(group, F.explode(F.arrays_zip(F.transform("items", lambda i: i["o"]).alias("o"), numbers.alias("c"))).alias("z")).select(
-        group, F.col("z.o").alias(order), F.col("z.c").alias("cluster"))
-
-
 def _cut_oversized(cluster: range, counts: np.ndarray, close: np.ndarray, c: ChunkingConfig) -> list[range]:
     """Cuts of one cluster into runs within max_tokens.
 
@@ -108,27 +71,56 @@ def _cut_oversized(cluster: range, counts: np.ndarray, close: np.ndarray, c: Chu
     return [*out, range(start, stop)]
 
 
+def affinity(unit: np.ndarray, left: range, right: range) -> float:
+    """The largest cosine between units of two clusters."""
+    return float((unit[left.start:left.stop] @ unit[right.start:right.stop].T).max())
+
+
 def _merge_undersized(clusters: list[range], counts: np.ndarray, unit: np.ndarray, c: ChunkingConfig) -> list[range]:
-    """Neighbours joined while a cluster is under min_tokens and the union fits: closest pair first, left before right."""
-    clusters = list(clusters)
+    """Neighbours joined while a cluster is under min_tokens and the union fits: closest pair first, left before right, then the later one.
+
+    The options lie in a heap; a join adds those of the new cluster and of its
+    neighbours, and options of clusters that are gone are passed over.
+    """
     total = np.concatenate([[0], np.cumsum(counts)])
-    size = lambda r: total[r.stop] - total[r.start]
-    affinity = lambda a, b: float((unit[a.start:a.stop] @ unit[b.start:b.stop].T).max())
-    near = [affinity(a, b) for a, b in zip(clusters, clusters[1:])]
-    while True:
-        options = []
-        for i, r in enumerate(clusters):
-            if size(r) < c.min_tokens:
-                options += [(near[j], int(j < i), i, j) for j in (i - 1, i) if 0 <= j < len(near) and size(clusters[j]) + size(clusters[j + 1]) <= c.max_tokens]
-        if not options:
-            return clusters
-        j = max(options)[3]
-        clusters[j:j + 2] = [range(clusters[j].start, clusters[j + 1].stop)]
-        near[max(j - 1, 0):j + 2] = [affinity(clusters[i], clusters[i + 1]) for i in (j - 1, j) if 0 <= i < len(clusters) - 1]
+    size = lambda r: int(total[r.stop] - total[r.start])
+    begins, ends = {r.start: r for r in clusters}, {r.stop: r for r in clusters}
+    heap: list[tuple] = []
+
+    def offer(left: range | None, right: range | None) -> None:
+        if left is None or right is None or size(left) + size(right) > c.max_tokens:
+            return
+        small = [size(r) < c.min_tokens for r in (left, right)]
+        if any(small):
+            near = affinity(unit, left, right)
+            for under, r, to_left in zip(small, (left, right), (0, 1)):
+                if under:
+                    heapq.heappush(heap, (-near, -to_left, -r.start, left.start, left.stop, right.stop))
+
+    for left, right in zip(clusters, clusters[1:]):
+        offer(left, right)
+    while heap:
+        *_, start, middle, stop = heapq.heappop(heap)
+        left, right = begins.get(start), begins.get(middle)
+        if left is None or right is None or left.stop != middle or right.stop != stop:
+            continue
+        del begins[middle], ends[middle]
+        begins[start] = ends[stop] = joined = range(start, stop)
+        offer(ends.get(start), joined)
+        offer(joined, begins.get(stop))
+    return sorted(begins.values(), key=lambda r: r.start)
 
 
 def cluster_fold(unit: np.ndarray, c: ChunkingConfig) -> np.ndarray:
-    """The same rule as cluster_numbers, over unit vectors in numpy: for documents whose vectors are at hand in a task."""
+    """The cluster of each of a document's unit vectors, in order.
+
+    A vector joins the open cluster of one if initialization_constant times
+    their cosine exceeds the hard threshold, and a larger one if its largest
+    cosine to the members exceeds both the hard threshold and the cluster's
+    least pairwise cosine scaled by the coefficient and a sigmoid of the
+    cluster's size; otherwise it opens the next cluster. All comparisons are
+    strict.
+    """
     out = np.zeros(len(unit), np.int32)
     start, least = 0, np.inf
     for i in range(1, len(unit)):
@@ -161,47 +153,166 @@ def bounded_clusters(vectors: np.ndarray, counts: np.ndarray, c: ChunkingConfig)
     return out
 
 
-_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())]))
+def cluster_rows(rows: DataFrame, group: str, order: str, vector: str, c: ChunkingConfig) -> DataFrame:
+    """(group, order, cluster) of vectors that lie in rows; a group is one document and fits a task. Unusable vectors are to be left out before."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(vector).cast("array<double>").alias("v"))))
+    docs = rows.groupBy(F.col(group).cast("long").alias(group)).agg(items.alias("items"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, items in zip(b.column(group), b.column("items")):
+                v = np.array([i["v"] for i in items.as_py()], float)
+                numbers = cluster_fold(v / np.linalg.norm(v, axis=1, keepdims=True), c)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(v), pa.int64()), pa.array([i["o"] for i in items.as_py()], pa.int64()), pa.array(numbers)], names=[group, order, "cluster"])
 
-def bounded(docs: DataFrame, c: ChunkingConfig) -> DataFrame:
-    """(document_id, document_version, units, runs): the runs of units that are chunks, from their vectors and token counts.
+    return docs.mapInArrow(run, f"{group} long, {order} long, cluster int")
+
+
+def neighbour_affinities(rows: DataFrame, group: str, order: str, vector: str, cluster: str) -> DataFrame:
+    """(group, cluster, affinity) of each cluster of a document with the one behind it; a group is one document and fits a task."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(cluster).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("v"))))
+    docs = rows.groupBy(F.col(group).cast("long").alias(group)).agg(items.alias("items"))
 
-    The units pass through as Arrow columns; only the numbers become Python objects.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v, n in zip(*(b.column(x).to_pylist() for x in ("vectors", "tokens"))):
-                sizes = np.bincount(bounded_clusters(np.array(v, float), np.array(n), c)) if v else np.zeros(0, int)
-                out.append([{"first": int(f), "size": int(s)} for f, s in zip(np.cumsum(sizes) - sizes, sizes)])
-            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in _KEPT], pa.array(out, _RUNS)], names=[*_KEPT, "runs"])
+            for key, items in zip(b.column(group).to_pylist(), b.column("items").to_pylist()):
+                v = np.array([i["v"] for i in items], float)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                numbers = np.array([i["c"] for i in items])
+                starts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(v)]
+                runs = [range(x, y) for x, y in zip(starts, starts[1:])]
+                near = [affinity(v, x, y) for x, y in zip(runs, runs[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(near), pa.int64()), pa.array(numbers[starts[:-2]], pa.int32()), pa.array(near, pa.float64())], names=[group, "cluster", "affinity"])
+
+    return docs.mapInArrow(run, f"{group} long, cluster int, affinity double")
+
+
+#: Vectors of a batch of texts, in order; and token counts of a batch of texts.
+Embed = Callable[[list[str]], Sequence[Sequence[float]]]
+Count = Callable[[list[str]], Sequence[int]]
+
+
+def hashed_embeddings(texts: list[str], dimensions: int = 32) -> np.ndarray:
+    """A deterministic local embedding: words hashed to signed dimensions. A text without words, or whose words cancel out, gets equal components."""
+    words = [_WORDS.findall(t.lower()) for t in texts]
+    hashes = np.fromiter((zlib.crc32(w.encode()) for ws in words for w in ws), np.int64)
+    at = np.repeat(np.arange(len(texts)), list(map(len, words))) * dimensions + hashes % dimensions
+    out = np.bincount(at, np.where(hashes // dimensions % 8 == 0, -1.0, 1.0), minlength=len(texts) * dimensions).reshape(-1, dimensions)
+    out[~out.any(axis=1)] = 1.0
+    return out
 
-    schema = docs.select(*_KEPT).schema.add("runs", ArrayType(StructType().add("first", "integer").add("size", "integer")))
-    return docs.select(*_KEPT, "vectors", "tokens").mapInArrow(run, schema)
 
+_WORDS = re.compile(r"\w+")
+
+
+class ProviderFault(Exception):
+    """What a provider returned cannot be used; the message is the reason."""
+
+
+def embedded(texts: list[str], embed: Embed, batch: int) -> np.ndarray:
+    """One usable vector per text, all of one dimension, from calls of at most ``batch`` texts."""
+    vectors: list = []
+    for at in range(0, len(texts), batch):
+        part = texts[at:at + batch]
+        got = embed(part)
+        if len(got) != len(part):
+            raise ProviderFault("unexpected_vector_count")
+        vectors += list(got)
+    if len({len(v) for v in vectors}) > 1:
+        raise ProviderFault("inconsistent_dimensions")
+    try:
+        out = np.array(vectors, float).reshape(len(texts), -1)
+    except (TypeError, ValueError) as e:
+        raise ProviderFault("invalid_vector") from e
+    if texts and (not out.shape[1] or not np.isfinite(out).all()):
+        raise ProviderFault("invalid_vector")
+    if not out.any(axis=1).all():
+        raise ProviderFault("zero_length_vector")
+    return out
 
-_KEPT = ("document_id", "document_version", "units")
 
+def counted(texts: list[str], count: Count) -> list[int]:
+    got = list(count(texts))
+    if len(got) != len(texts) or any(not isinstance(n, int) or isinstance(n, bool) or n < 1 for n in got):
+        raise ProviderFault("invalid_token_count")
+    return got
 
-def hashed_embeddings(texts: Column, dimensions: int = 32) -> Column:
-    """A deterministic local embedding: words hashed to signed dimensions, scaled to length 1. array<string> to array<array<double>>.
 
-    Stands for any provider that maps a batch of texts to one vector each, in order.
+def longest_prefix(text: str, ends: Sequence[int], most: int, count: Count) -> int | None:
+    """The last of the rising ``ends`` up to which the trimmed text has at most ``most`` tokens, by bisection: counts rise with the text."""
+    low, high, best = 0, len(ends) - 1, None
+    while low <= high:
+        middle = (low + high) // 2
+        if (part := text[:ends[middle]].strip()) and counted([part], count)[0] <= most:
+            best, low = ends[middle], middle + 1
+        else:
+            high = middle - 1
+    return best
+
+
+def split_by_tokens(text: str, most: int, count: Count) -> list[tuple[str, str]]:
+    """(gap, text) pieces of at most ``most`` tokens: as many whole words as fit, and of a word that does not fit as many characters."""
+    out, gap = [], ""
+    while text:
+        ends = [m.end() for m in re.finditer(r"\S+\s*", text)]
+        end = longest_prefix(text, ends, most, count) or longest_prefix(text, range(1, ends[0] + 1), most, count)
+        if end is None:
+            raise ProviderFault("character_over_maximum")
+        piece, rest = text[:end].rstrip(), text[end:].lstrip()
+        out.append((gap, piece))
+        gap, text = text[len(piece):len(text) - len(rest)], rest
+    return out
+
+
+def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32) -> DataFrame:
+    """(document_id, document_version, units, tokens, runs, fault): the runs of units that are chunks, one row per document.
+
+    ``embed`` gives the vectors of the units, asked for ``batch`` at a time.
+    Without ``count`` tokens are words and units are cut as expressions; with it
+    units are cut where they are counted. ``fault`` says why a document has no
+    runs: what a provider returned for it could not be used.
     """
-    def embed(text):
-        words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-        hashes = F.transform(words, lambda w: F.crc32(w.cast("binary")))
-        return F.element_at(F.transform(F.array(hashes), spread), 1)
+    if count is None:
+        docs = docs.withColumn("units", split_oversized(c.max_tokens))
+    kept = docs.select("document_id", "document_version", "units")
+
+    def one(units: list[dict]) -> tuple[list[dict], list[int], list[dict]]:
+        if count is not None:
+            units = [u | ({"text": t, "separator": gap if i else u["separator"], "forced": True} if cut else {}) for u in units
+                     for cut, pieces in [_pieces(u["text"], c.max_tokens, count)] for i, (gap, t) in enumerate(pieces)]
+        texts = [u["text"] for u in units]
+        tokens = counted(texts, count) if count is not None else [len(t.split()) for t in texts]
+        if not units:
+            return units, tokens, []
+        sizes = np.bincount(bounded_clusters(embedded(texts, embed, batch), np.array(tokens), c))
+        return units, tokens, [{"first": int(f), "size": int(s)} for f, s in zip(np.cumsum(sizes) - sizes, sizes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made, tokens, runs, faults = [], [], [], []
+            for units in b.column("units"):
+                try:
+                    u, t, r, fault = *one(units.as_py()), None
+                except ProviderFault as e:
+                    u, t, r, fault = [], [], [], str(e)
+                for to, x in zip((made, tokens, runs, faults), (u, t, r, fault)):
+                    to.append(x)
+            column = b.column("units") if count is None else pa.array(made, b.schema.field("units").type)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("document_id"), b.column("document_version"), column, pa.array(tokens, pa.list_(pa.int32())), pa.array(runs, _RUNS), pa.array(faults, pa.string())],
+                names=["document_id", "document_version", "units", "tokens", "runs", "fault"])
+
+    run_type = StructType().add("first", "integer").add("size", "integer")
+    schema = StructType(list(kept.schema.fields)).add("tokens", ArrayType(IntegerType())).add("runs", ArrayType(run_type)).add("fault", "string")
+    return kept.mapInArrow(run, schema)
+
+
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())]))
 
-    def spread(hashes):
-        signed = lambda h: F.when((h / dimensions).cast("long") % 8 == 0, -1.0).otherwise(1.0)
-        raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(
-            hashes, F.lit(0.0), lambda acc, h: acc + F.when(h % dimensions == d, signed(h)).otherwise(0.0)))
-        # a text without words, or whose words cancel out, still needs a usable vector
-        return F.element_at(F.transform(F.array(raw), lambda r: F.when(F.exists(r, lambda x: x != 0), r).otherwise(F.array_repeat(F.lit(1.0), dimensions))), 1)
 
-    return F.transform(texts, embed)
+def _pieces(text: str, most: int, count: Count) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether a unit is cut, and its pieces."""
+    return (False, [("", text)]) if counted([text], count)[0] <= most else (True, split_by_tokens(text, most, count))
 
 
 def common_path(paths: Column) -> Column:
@@ -213,28 +324,34 @@ def common_path(paths: Column) -> Column:
     return F.coalesce(F.aggregate(paths, paths[0], shorten), F.array().cast("array<string>"))
 
 
-def chunk_documents(docs: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: str = "semantic_max_min", version: str = "1") -> DataFrame:
+def chunk_documents(docs: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: str = "semantic_max_min", version: str = "1",
+                    embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32) -> DataFrame:
     """Chunks of documents with ``units`` (see sentences.units): one row per chunk, in the order of chunk_index.
 
     A document stays one row until its chunks are made; only the links between
-    finished chunks shuffle. A document without units has no chunks.
+    finished chunks shuffle. A document without units has no chunks, nor has one
+    for which a provider failed (see plan_chunks for its fault).
     """
-    d = docs.withColumn("units", split_oversized(c.max_tokens))
-    d = d.withColumn("vectors", hashed_embeddings(F.transform("units", lambda u: u["text"])))
-    d = d.withColumn("tokens", F.transform("units", lambda u: word_count(u["text"])))
-    d = bounded(d, c)
-    d = d.select("document_id", "document_version", "units", F.posexplode("runs").alias("chunk_index", "run"))
+    return render_chunks(plan_chunks(docs, c, embed, count, batch), c, name, version, count)
+
+
+def render_chunks(plan: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: str = "semantic_max_min", version: str = "1", count: Count | None = None) -> DataFrame:
+    """The chunks of a plan (see plan_chunks), with the counter that it was made with."""
+    d = plan.select("document_id", "document_version", "units", F.posexplode("runs").alias("chunk_index", "run"))
     d = d.withColumn("us", F.slice("units", F.col("run.first") + 1, F.col("run.size")))
     us = F.col("us")
     content = F.concat(us[0]["text"], F.array_join(F.transform(F.slice(us, 2, F.size(us)), lambda u: F.concat(u["separator"], u["text"])), ""))
     kinds = F.array_distinct(F.transform(us, lambda u: u["element_type"]))
     pages = F.filter(F.transform(us, lambda u: u["page_number"]), lambda p: p.isNotNull())
+    tokens = word_count(F.col("content"))
+    if count is not None:
+        tokens = F.pandas_udf(lambda texts: pd.Series(counted(texts.tolist(), count)), "int")("content")
     d = d.withColumn("content", content).select(
-        "document_id", "document_version", "chunk_index", "content", F.col("content").alias("embedding_text"), content_checksum(F.col("content")).alias("content_checksum"),
-        word_count(F.col("content")).alias("token_count"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"),
+        "document_id", "document_version", F.lit(None).cast("string").alias("parent_chunk_id"), "chunk_index", "content", F.col("content").alias("embedding_text"),
+        content_checksum(F.col("content")).alias("content_checksum"), tokens.alias("token_count"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"),
         F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end"), common_path(F.transform(us, lambda u: u["heading_path"])).alias("heading_path"),
         F.array_distinct(F.transform(us, lambda u: u["element_id"])).alias("element_ids"), F.array_distinct(F.transform(us, lambda u: u["element_order"])).alias("element_orders"),
-        F.size(us).alias("unit_count"), F.exists(us, lambda u: u["forced"]).alias("forced_token_split"))
+        F.col("run.first").alias("unit_start"), (F.col("run.first") + F.col("run.size") - 1).alias("unit_end"), F.exists(us, lambda u: u["forced"]).alias("forced_token_split"))
     d = d.withColumn("below_min_tokens", F.col("token_count") < c.min_tokens).withColumn("chunk_id", chunk_id(
         F.col("document_id"), F.col("document_version"), F.lit(name), F.lit(version), F.col("chunk_index"), F.col("content_checksum")))
     # links need the neighbours' ids: the only shuffle, by document, of finished chunks

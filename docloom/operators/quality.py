@@ -26,6 +26,12 @@ def element_violations() -> Column:
         page_number=F.col("page_number").isNull() | (F.col("page_number") >= 1), half_span=both_or_neither(start, end), span_order=start.isNull() | end.isNull() | (end > start))
 
 
+def order_violations(elements: Column) -> Column:
+    """Violations of a document's elements (array of structs with ``order``): none at all, or orders that are not unique and rising."""
+    rising = F.forall(F.sequence(F.lit(0), F.size(elements) - 2), lambda i: elements[i]["order"] < elements[i + 1]["order"])
+    return violations(no_elements=F.size(elements) >= 1, order_not_rising=(F.size(elements) < 2) | rising)
+
+
 def chunk_violations() -> Column:
     start, end = F.col("page_start"), F.col("page_end")
     other = [F.col(c).isNull() | (F.col(c) != F.col("chunk_id")) for c in ("previous_chunk_id", "next_chunk_id")]

@@ -9,13 +9,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docloom.functions.vectors import vector_fault
+from docloom.operators.maxmin import Embed, embedded
+from docloom.sources.tables import materialize
 
 #: Metrics and whether more is better.
 METRICS = {"cosine": True, "dot": True, "euclid": False, "manhattan": False}
 BLOCK = 8192
 QUERIES = 1024
+#: The largest top_k.
+MOST_HITS = 100
 
 
 @dataclass(frozen=True)
@@ -28,7 +33,7 @@ class RetrievalConfig:
 
     def __post_init__(self):
         faults = [what for what, bad in (
-            ("top_k must be from 1 to 100", not 1 <= self.top_k <= 100),
+            ("top_k must be from 1 to 100", not 1 <= self.top_k <= MOST_HITS),
             ("distance is unknown", self.distance not in METRICS),
             ("max_per_document must be at least 1", self.max_per_document is not None and self.max_per_document < 1),
             ("neighbors must be from 0 to 2", not 0 <= self.neighbors <= 2),
@@ -48,7 +53,7 @@ def _scores(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([np.abs(rows - q).sum(axis=1) for q in queries])
 
 
-def _search_block(metric: str, k: int, cap: bool):
+def _search_block(metric: str, k: int, cap: int | None):
     better = -1 if METRICS[metric] else 1
 
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -62,11 +67,11 @@ def _search_block(metric: str, k: int, cap: bool):
                     keep = ids != qids[at + i]
                     order = np.lexsort((ids, better * s))
                     order = order[keep[order]]
-                    if cap:  # the best k of every owner may be needed
+                    if cap is not None:
+                        # a row with k better ones within their owners' caps here has them everywhere
                         rank = pd.Series(owners[order]).groupby(owners[order]).cumcount().to_numpy()
-                        order = order[rank < k]
-                    else:
-                        order = order[:k]
+                        order = order[rank < cap]
+                    order = order[:k]
                     out["query_id"].append(np.full(len(order), qids[at + i]))
                     out["vec_id"].append(ids[order])
                     out["score"].append(s[order])
@@ -84,12 +89,12 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     column that max_per_document counts by. Unusable vectors take no part.
 
     Vectors and queries are dealt into bounded blocks; a pair of blocks is one
-    group and gives at most top_k rows a query (and owner, if capped).
+    group and gives at most top_k rows a query.
     """
     of = F.col(owner).cast("long") if owner else F.lit(0).cast("long")
     ready = lambda df, *more: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), *more).filter(
         F.col("vec_id").isNotNull() & vector_fault(F.col("v")).isNull()).withColumn("dim", F.size("v"))
-    rows, asked = ready(vectors, of.alias("owner")), ready(queries)
+    rows, asked = materialize(ready(vectors, of.alias("owner")), "vectors"), materialize(ready(queries), "queries")
     blocks, query_blocks = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
@@ -97,9 +102,8 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "vec_id", "v")
     keys = ("dim", "block", "query_block")
     capped = config.max_per_document is not None
-    keep = min(config.max_per_document, config.top_k) if capped else config.top_k
     hits = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(
-        _search_block(config.distance, keep, capped), "query_id long, vec_id long, score double, owner long")
+        _search_block(config.distance, config.top_k, config.max_per_document), "query_id long, vec_id long, score double, owner long")
     up = METRICS[config.distance]
     if config.score_threshold is not None:
         hits = hits.filter(F.col("score") >= config.score_threshold if up else F.col("score") <= config.score_threshold)
@@ -110,12 +114,24 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def embed_texts(rows: DataFrame, text: str, embed: Embed, batch: int = 32) -> DataFrame:
+    """``rows`` with ``embedding``: the vectors of a text column, asked for ``batch`` at a time; empty and null texts have none."""
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        some = texts[texts.fillna("") != ""]
+        for i, v in zip(some.index, embedded(some.tolist(), embed, batch)):
+            out.at[i] = v.tolist()
+        return out
+    return rows.withColumn("embedding", run(F.col(text)))
+
+
 def metadata_filter(rows: DataFrame, *, ids: list | None = None, sources: list[str] | None = None, languages: list[str] | None = None,
-                    date_from=None, date_to=None, date: str = "date") -> DataFrame:
+                    labels: list[int] | None = None, date_from=None, date_to=None, date: str = "date") -> DataFrame:
     """Rows that pass every given filter; None filters nothing. Plain predicates, so they reach the scan."""
     if date_from is not None and date_to is not None and date_to < date_from:
         raise ValueError("date_to must not be before date_from")
-    for column, values in (("doc_id", ids), ("source", sources), ("lang", languages)):
+    for column, values in (("doc_id", ids), ("source", sources), ("lang", languages), ("label", labels)):
         if values is not None:
             rows = rows.filter(F.col(column).isin(values))
     if date_from is not None:
@@ -137,11 +153,13 @@ def assemble_context(candidates: DataFrame, group: str, rank: str, tokens: str,
     """(group, included, excluded, token_count): greedy choice by rank within a budget of tokens and chunks.
 
     A candidate that does not fit is left out and the next one is tried. The
-    candidates of a group are a ranked list of at most top_k hits, folded in
-    one row.
+    candidates of a group are its first MOST_HITS by rank, as many as a search
+    may return, so a group of any size is folded in one small row.
     """
     if max_tokens < 1 or max_chunks < 1:
         raise ValueError("budgets must be at least 1")
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(rank))
+    candidates = candidates.select(group, rank, tokens, *({item} - {rank})).withColumn("_nth", nth).filter(F.col("_nth") <= MOST_HITS)
     listed = candidates.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("id"), F.col(tokens).cast("long").alias("n")))).alias("list"))
     kind = dict(candidates.dtypes)[item]
     begin = F.struct(F.array().cast(f"array<{kind}>").alias("included"), F.array().cast(f"array<{kind}>").alias("excluded"), F.lit(0).cast("long").alias("total"))

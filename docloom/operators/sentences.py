@@ -1,47 +1,44 @@
-"""Sentences and units of a text, word by word and without a shuffle."""
+"""Sentences and units of a text, without a shuffle; the white space between them is kept as it is."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, strip, word_count
+from docloom.functions.text import NOT_SPACE, SPACE, strip, word_count
 
 # Abbreviations that do not end a sentence.
 ABBREVIATIONS = ("dr.", "e.g.", "etc.", "fig.", "i.e.", "jr.", "mr.", "mrs.", "ms.", "no.", "prof.", "sr.", "st.", "u.s.", "vs.")
 ATOMIC_TYPES = ("title", "heading", "table", "caption", "code")
+_CLOSING = r"""["'’”)\]}]"""
 
 #: A noncharacter that marks the cuts; a text that holds it is cut there too.
 _CUT = "\ufdd0"
-_WORD = r"[^\p{IsWhite_Space}\x1c-\x1f]+"
-
-
-def ends_sentence(word: Column) -> Column:
-    """Whether a sentence ends with this word (no white space inside).
-
-    It must end in a terminator and closing punctuation; a full stop does not
-    count after a known abbreviation or a single letter.
+#: Terminator and closing punctuation before white space or the end.
+_END = rf"[.!?]{_CLOSING}*+(?={SPACE}|\z)"
+#: The same after a run of letters and dots that is an abbreviation or a single letter.
+_NO_END = rf"(?<![A-Za-z.])(\.*(?:(?i:{'|'.join(a.replace('.', '[.]') for a in ABBREVIATIONS)})|[A-Za-z]\.){_CLOSING}*+){_CUT}"
+_SPACE_IN_LINE = rf"[{SPACE[1:-1]}&&[^\n]]"
+#: White space behind a cut, or white space that holds a blank line.
+_GAP = rf"{_CUT}({SPACE}*+)|(?<!{SPACE})((?:{_SPACE_IN_LINE}*+\n){{2,}}{SPACE}*+)"
+
+
+def spaced_sentences(text: Column) -> Column:
+    """array<struct<gap, text>>: the trimmed sentences and the white space in front of each; empty for a blank or null text.
+
+    A sentence ends with a terminator and closing punctuation before white
+    space, but not with the full stop of a known abbreviation or a single
+    letter, and at a blank line. Three passes over the text mark the ends, take
+    those of abbreviations back, and put the marks in front of the white space.
     """
-    until = F.regexp_extract(word, r"""(?s)^(.*?[.!?])["'’”)\]}]*$""", 1)
-    run = F.lower(F.regexp_extract(until, r"([A-Za-z][A-Za-z.]*\.)$", 1))
-    abbreviated = until.endswith(".") & (run.isin(*ABBREVIATIONS) | run.rlike(r"^[a-z]\.$"))
-    return (until != "") & ~abbreviated
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _END, f"$0{_CUT}"), _NO_END, "$1")
+    pieces = F.split(F.regexp_replace(marked, _GAP, f"{_CUT}$1$2"), _CUT)
+    return F.filter(F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, rf"\A{SPACE}*+", 0).alias("gap"), strip(p).alias("text"))), lambda s: s["text"] != "")
 
 
 def sentences(text: Column) -> Column:
-    """array<string>: the trimmed sentences, cut after ending words and at blank lines; empty for a blank or null text."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"({SPACE}*{_WORD})"))
-
-    def marked(p):
-        def cut(piece, i):
-            # the word in front ends a sentence, or a blank line lies between
-            new = (i > 0) & (ends_sentence(strip(F.try_element_at(p, i))) | piece.rlike(rf"^{SPACE}*\n{SPACE}*\n"))
-            return F.concat(F.when(new, F.lit(_CUT)).otherwise(F.lit("")), piece)
-        return F.array_join(F.transform(p, cut), "")
-
-    # a lambda's argument is bound once; the pieces would else be found anew for every word
-    joined = F.element_at(F.transform(F.array(pieces), marked), 1)
-    return F.filter(F.transform(F.split(joined, _CUT), strip), lambda s: s != "")
+    """array<string>: the trimmed sentences of a text."""
+    return F.transform(spaced_sentences(text), lambda s: s["text"])
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
@@ -54,25 +51,29 @@ def units(elements: DataFrame) -> DataFrame:
 
     Input: (document_id, elements: array<struct<element_id, element_type, text,
     heading_path, page_number, order>>). Output adds ``units``, an array of
-    structs; the separator is a space inside an element and a blank line between
-    elements. Documents stay one row each, so nothing is shuffled.
+    structs. A unit's separator is the text between it and the unit before
+    inside an element, and a blank line between elements. Documents stay one row
+    each, so nothing is shuffled.
     """
-    texts = lambda e: F.when(e["element_type"].isin(*ATOMIC_TYPES), F.filter(F.array(strip(e["text"])), lambda t: t != "")).otherwise(sentences(e["text"]))
+    whole = lambda t: F.filter(F.array(F.struct(F.lit("").alias("gap"), strip(t).alias("text"))), lambda s: s["text"] != "")
+    texts = lambda e: F.when(e["element_type"].isin(*ATOMIC_TYPES), whole(e["text"])).otherwise(spaced_sentences(e["text"]))
     ordered = F.array_sort("elements", lambda a, b: a["order"] - b["order"])
-    made = F.flatten(F.transform(ordered, lambda e: F.transform(texts(e), lambda t, i: F.struct(
-        t.alias("text"), F.when(i == 0, "\n\n").otherwise(" ").alias("separator"), e["element_id"].alias("element_id"), e["order"].alias("element_order"),
+    made = F.flatten(F.transform(ordered, lambda e: F.transform(texts(e), lambda s, i: F.struct(
+        s["text"].alias("text"), F.when(i == 0, "\n\n").otherwise(s["gap"]).alias("separator"), e["element_id"].alias("element_id"), e["order"].alias("element_order"),
         e["element_type"].alias("element_type"), e["heading_path"].alias("heading_path"), e["page_number"].alias("page_number"), F.lit(False).alias("forced")))))
     return elements.withColumn("units", made)
 
 
+def cut_oversized(unit: Column, most: int) -> Column:
+    """A unit of more than ``most`` words as an array of units of at most ``most`` words, marked as forced; the gaps between them are separators."""
+    pieces = F.regexp_extract_all(unit["text"], F.lit(rf"(?:{NOT_SPACE}++{SPACE}*+){{1,{most}}}+"), F.lit(0))
+    gap = lambda p: F.regexp_extract(p, rf"(?<!{SPACE}){SPACE}*+\z", 0)
+    same = [unit[n].alias(n) for n in ("element_id", "element_order", "element_type", "heading_path", "page_number")]
+    cut = F.transform(F.array(pieces), lambda ps: F.transform(ps, lambda p, i: F.struct(
+        strip(p).alias("text"), F.when(i == 0, unit["separator"]).otherwise(gap(F.get(ps, i - 1))).alias("separator"), *same, F.lit(True).alias("forced"))))[0]
+    return F.when(word_count(unit["text"]) > most, cut).otherwise(F.array(unit))
+
+
 def split_oversized(most: int) -> Column:
-    """Units of more than ``most`` words cut into runs of at most ``most`` words, marked as forced."""
-    def pieces(u):
-        words = F.filter(F.split(u["text"], rf"{SPACE}+"), lambda w: w != "")
-        starts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / most).cast("int"))
-        cut = F.transform(starts, lambda i: F.struct(
-            F.array_join(F.slice(words, i * most + 1, most), " ").alias("text"), F.when(i == 0, u["separator"]).otherwise(" ").alias("separator"),
-            u["element_id"].alias("element_id"), u["element_order"].alias("element_order"), u["element_type"].alias("element_type"),
-            u["heading_path"].alias("heading_path"), u["page_number"].alias("page_number"), F.lit(True).alias("forced")))
-        return F.when(word_count(u["text"]) > most, cut).otherwise(F.array(u))
-    return F.flatten(F.transform("units", pieces))
+    """The units of the column ``units``, those of more than ``most`` words cut (see cut_oversized)."""
+    return F.flatten(F.transform("units", lambda u: cut_oversized(u, most)))

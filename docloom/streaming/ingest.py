@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.jobs.ingest import ingest
+from docloom.operators.documents import as_sources
 from docloom.operators.maxmin import ChunkingConfig
 
+_OUTCOMES = "document_id string, document_version string, source_identifier string, status string, reason string, chunk_count int"
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -18,14 +20,20 @@ def ingest_folder(spark: SparkSession, folder: str, out: str, parser: str, mime_
     Each micro-batch writes its chunks to a folder of its own below
     ``out/chunks``. Identifiers come from content and a repeated batch overwrites
     its folder, so a batch that runs again after a failure leaves the same rows.
+    Documents whose content earlier batches completed under the same path are
+    skipped.
     """
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    named = files.select(name.alias("source_identifier"), name.alias("source_name"), F.lit(mime_type).alias("mime_type"), "content")
+    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    named = as_sources(files, folder, mime_type)
 
     def write(batch: DataFrame, number: int) -> None:
-        chunks, outcomes = ingest(batch, parser, config=config)
+        # what earlier batches completed; this batch's own folder is left out, as it may be running again
+        seen = f"{out}/outcomes"
+        known = None
+        if number:
+            known = spark.read.schema(_OUTCOMES + ", batch long").parquet(seen).filter((F.col("batch") < number) & (F.col("status") == "completed"))
+        chunks, outcomes = ingest(batch, parser, known, config)
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
+        outcomes.write.mode("overwrite").parquet(f"{seen}/batch={number}")
 
     return named.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
