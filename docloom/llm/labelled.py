@@ -15,7 +15,7 @@ from docloom.sources.tables import materialize
 
 FOLDS = 5
 #: A worker forgets the words it has seen after so many, so that its memory stays bounded.
-_WORDS = 1_000_000
+_WORDS = 250_000
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], featurize: Callable[[str], object], train: Callable[[list, np.ndarray, np.ndarray], object]):

@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -55,14 +56,24 @@ def ngrams(word: str, c: ToxicityConfig) -> list[int]:
     return out
 
 
-def word_counts(text: str) -> dict[str, int]:
-    return dict(Counter(text.lower().split()))
+def word_counts(text: str) -> tuple[str, np.ndarray]:
+    """The distinct words of a text, joined by blanks, and their counts."""
+    counts = Counter(text.lower().split())
+    return " ".join(counts), np.fromiter(counts.values(), np.int32, len(counts))
 
 
 def _bags(words: list[str], c: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
-    grams = [ngrams(w, c) for w in words]
-    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-    return np.fromiter((g for bag in grams for g in bag), np.int64, int(sizes.sum())), sizes
+    """Buckets of all words' n-grams, and how many each word has; a few thousand words at a time are Python objects."""
+    flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), 4096):
+        grams = [ngrams(w, c) for w in words[at:at + 4096]]
+        sizes.append(np.fromiter(map(len, grams), np.int32, len(grams)))
+        flat.append(np.fromiter(chain.from_iterable(grams), np.int32, int(sizes[-1].sum())))
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+def _runs(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
 @dataclass(frozen=True)
@@ -76,48 +87,57 @@ class ToxicityModel:
         if not words:
             return np.zeros(0)
         flat, sizes = _bags(words, self.config)
-        return np.add.reduceat(self.evidence[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes
+        return np.add.reduceat(self.evidence[flat].astype(np.float64), _runs(sizes)) / sizes
 
 
-def train(bags: list[dict[str, int]], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig(), totals: np.ndarray | None = None) -> ToxicityModel:
+def train(bags: list[tuple[str, np.ndarray]], labels: np.ndarray, c: ToxicityConfig = ToxicityConfig(), totals: np.ndarray | None = None) -> ToxicityModel:
     """Fit embeddings and softmax together by full-batch Adam on the word counts of texts; texts without words take no part.
 
     The loss is balanced; the base rate is that of ``totals``, the counts of
-    labels 0 and 1 that the texts were sampled from.
+    labels 0 and 1 that the texts were sampled from. Sums run along arrays that
+    are sorted by what they are summed for: by word, by text and by bucket.
     """
     labels = np.asarray(labels, np.float64)
     totals = np.array([(labels == 0).sum(), (labels == 1).sum()]) if totals is None else totals
     share = min(max(float(totals[1] / totals.sum()) if totals.sum() else 0.0, 1e-3), 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
-    keep = [i for i, bag in enumerate(bags) if bag]
+    keep = [i for i, (_, counts) in enumerate(bags) if len(counts)]
     if not keep or labels[keep].min() == labels[keep].max():
         return ToxicityModel(c, np.zeros(c.buckets, np.float32), base, base)
     y, n = labels[keep], len(keep)
-    # (text, word, share of the text's words) and (word, bucket, share of the word's n-grams)
+    # (text, word, share of the text's words), in order of texts and in order of words
     ids: dict[str, int] = {}
-    sizes = np.array([len(bags[i]) for i in keep])
-    word = np.fromiter((ids.setdefault(w, len(ids)) for i in keep for w in bags[i]), np.int64, int(sizes.sum()))
-    text = np.repeat(np.arange(n), sizes)
-    times = np.fromiter((k for i in keep for k in bags[i].values()), np.float64, len(word))
-    times /= np.bincount(text, times)[text]
+    sizes = np.array([len(bags[i][1]) for i in keep])
+    word = np.fromiter((ids.setdefault(w, len(ids)) for i in keep for w in bags[i][0].split(" ")), np.int32, int(sizes.sum()))
+    texts = _runs(sizes)
+    times = np.concatenate([bags[i][1] / bags[i][1].sum() for i in keep])
+    by_word = np.argsort(word, kind="stable")
+    text_by_word, times_by_word = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_word], times[by_word]
+    in_texts = np.bincount(word, minlength=len(ids))
+    words = _runs(in_texts)
+    # (word, bucket) likewise, of the buckets of enough texts: only they have a row of embeddings
     grams, grams_of = _bags(list(ids), c)
-    owner = np.repeat(np.arange(len(ids)), grams_of)
-    part = 1 / grams_of[owner]
-    # only buckets of enough texts have a row of embeddings
-    in_texts = np.bincount(grams, np.bincount(word, minlength=len(ids))[owner], minlength=c.buckets)
-    some = in_texts[grams] >= c.least_texts
-    used, grams = np.unique(grams[some], return_inverse=True)
-    owner, part = owner[some], part[some]
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), grams_of)
+    some = np.bincount(grams, in_texts[owner], minlength=c.buckets)[grams] >= c.least_texts
+    grams, owner = grams[some], owner[some]
+    used, grams = np.unique(grams, return_inverse=True)
+    grams = grams.astype(np.int32)
+    owner_by_gram = owner[np.argsort(grams, kind="stable")]
+    buckets = _runs(np.bincount(grams, minlength=len(used)))
+    said_of, starts = np.unique(owner, return_index=True)  # words with any bucket left
+    del owner, some, by_word
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(c.seed)
     z, u, b = rng.normal(0, 0.01, (len(used), c.dim)).astype(np.float32), rng.normal(0, 0.5, c.dim).astype(np.float32), 0.0
     moments = [[np.zeros_like(z), np.zeros_like(z)], [np.zeros_like(u), np.zeros_like(u)], [0.0, 0.0]]
+    said = np.zeros(len(ids))
     for step in range(1, c.steps + 1):
-        said = np.bincount(owner, (z @ u)[grams] * part, minlength=len(ids))
-        logit = np.bincount(text, said[word] * times, minlength=n) + b
+        if len(used):
+            said[said_of] = np.add.reduceat((z @ u)[grams], starts) / grams_of[said_of]
+        logit = np.add.reduceat(said[word] * times, texts) + b
         g = weight * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y)
-        at_word = np.bincount(word, g[text] * times, minlength=len(ids))
-        at_gram = np.bincount(grams, at_word[owner] * part, minlength=len(used)).astype(np.float32)
+        at_word = np.add.reduceat(g[text_by_word] * times_by_word, words) / grams_of
+        at_gram = np.add.reduceat(at_word.astype(np.float32)[owner_by_gram], buckets) if len(used) else np.zeros(0, np.float32)
         length = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-3)
         slopes = [np.outer(at_gram, u) + np.float32(c.sparsity) * z / length, at_gram @ z, g.sum()]
         moments = [[0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d] for (m, v), d in zip(moments, slopes)]
