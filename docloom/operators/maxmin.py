@@ -211,6 +211,8 @@ class ProviderFault(Exception):
 
 def embedded(texts: list[str], embed: Embed, batch: int) -> np.ndarray:
     """One usable vector per text, all of one dimension, from calls of at most ``batch`` texts."""
+    if not texts:
+        return np.zeros((0, 0))
     vectors: list = []
     for at in range(0, len(texts), batch):
         part = texts[at:at + batch]
@@ -224,7 +226,7 @@ def embedded(texts: list[str], embed: Embed, batch: int) -> np.ndarray:
         out = np.array(vectors, float).reshape(len(texts), -1)
     except (TypeError, ValueError) as e:
         raise ProviderFault("invalid_vector") from e
-    if texts and (not out.shape[1] or not np.isfinite(out).all()):
+    if not out.shape[1] or not np.isfinite(out).all():
         raise ProviderFault("invalid_vector")
     if not out.any(axis=1).all():
         raise ProviderFault("zero_length_vector")

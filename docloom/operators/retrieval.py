@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from docloom.functions.vectors import vector_fault
-from docloom.operators.maxmin import Embed, embedded
+from docloom.operators.maxmin import Embed, ProviderFault, embedded
 from docloom.sources.tables import materialize
 
 #: Metrics and whether more is better.
@@ -115,13 +115,21 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
 
 
 def embed_texts(rows: DataFrame, text: str, embed: Embed, batch: int = 32) -> DataFrame:
-    """``rows`` with ``embedding``: the vectors of a text column, asked for ``batch`` at a time; empty and null texts have none."""
+    """``rows`` with ``embedding``: the vectors of a text column, asked for ``batch`` at a time; empty and null texts have none, nor have those whose vector cannot be used."""
+    def usable(texts: list[str]) -> list:
+        try:
+            return embedded(texts, embed, batch).tolist()
+        except ProviderFault:
+            return [None] if len(texts) == 1 else [v for t in texts for v in usable([t])]
+
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(texts: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
         some = texts[texts.fillna("") != ""]
-        for i, v in zip(some.index, embedded(some.tolist(), embed, batch)):
-            out.at[i] = v.tolist()
+        for at in range(0, len(some), batch):
+            part = some.iloc[at:at + batch]
+            for i, v in zip(part.index, usable(part.tolist())):
+                out.at[i] = v
         return out
     return rows.withColumn("embedding", run(F.col(text)))
 

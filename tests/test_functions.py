@@ -42,13 +42,13 @@ def test_checksum_is_of_the_composed_text(spark):
 
 
 def test_plain_text(spark):
-    rows = ["Hello world.   \n\n\n\nSecond line.\n", "   \n\n  \n", "a\r\nb\rc", None]
-    assert one(spark, rows, text.normalize_plain(F.col("t"))) == ["Hello world.\n\nSecond line.", "", "a\nb\nc", None]
+    rows = ["Low tide.\t \n\n\n\n\nHigh tide.\n", " \n\t\n \n", "a\r\nb\rc", None]
+    assert one(spark, rows, text.normalize_plain(F.col("t"))) == ["Low tide.\n\nHigh tide.", "", "a\nb\nc", None]
 
 
 def test_titles(spark):
-    rows = ["# My Title\n\nSome **bold** text", "# Request Body { #request-body }\n\nBody", "## Only a subheading\n", "#\n\nFoo", "no"]
-    assert one(spark, rows, text.first_heading(F.col("t"))) == ["My Title", "Request Body", None, "Foo", None]
+    rows = ["# Tide Table\n\nwith *notes*", "# Port Rules { #rules-1 }\n\nx", "## Second level\n", "#\n\nLow", "no", "# {#only}", "# a {b} {c}"]
+    assert one(spark, rows, text.first_heading(F.col("t"))) == ["Tide Table", "Port Rules", None, "Low", None, "{#only}", "a {b}"]
 
 
 def test_preview_and_labels(spark):

@@ -1,3 +1,5 @@
+import os
+
 from docloom.jobs.ingest import ingest
 from docloom.operators import documents
 from docloom.operators.maxmin import ChunkingConfig
@@ -23,11 +25,26 @@ def test_outcomes(spark, tmp_path):
     assert ingest(files, "txt", known=outcomes, config=SMALL, force=True)[0].count() == chunks.count()
 
 
+def test_a_providers_fault_rejects_its_document(spark, tmp_path):
+    write(tmp_path / "in")
+    files = documents.read_files(spark, str(tmp_path / "in"), "text/plain", "*.txt")
+    chunks, outcomes = ingest(files, "txt", config=SMALL, embed=lambda texts: [])
+    assert chunks.count() == 0 and {(r.status, r.reason) for r in outcomes.collect()} == {("rejected", "unexpected_vector_count"), ("rejected", "empty_document")}
+
+
 def test_stream_of_files(spark, tmp_path):
     write(tmp_path / "in")
     out = str(tmp_path / "out")
-    for _ in range(2):
+    for text in ("Later text here.", None):
         ingest_folder(spark, str(tmp_path / "in"), out, "txt", "text/plain", "*.txt", SMALL).awaitTermination()
-        (tmp_path / "in" / "c.txt").write_text("Later text here.")
-    chunks = spark.read.parquet(f"{out}/chunks")
+        if text:
+            (tmp_path / "in" / "more").mkdir()
+            (tmp_path / "in" / "more" / "a.txt").write_text(text)
+            # the same content again under its old path
+            (tmp_path / "in" / "a.txt").rename(tmp_path / "a")
+            (tmp_path / "in" / "a.txt").write_text((tmp_path / "a").read_text())
+            os.utime(tmp_path / "in" / "a.txt", (2_000_000_000, 2_000_000_000))
+    chunks, outcomes = spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/outcomes")
     assert chunks.select("document_id").distinct().count() == 2 and chunks.select("batch").distinct().count() == 2
+    assert {(r.source_identifier, r.status) for r in outcomes.filter("batch > 0").collect()} >= {("more/a.txt", "completed")}
+    assert chunks.count() == chunks.select("chunk_id").distinct().count()

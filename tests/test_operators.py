@@ -1,20 +1,57 @@
+import io
+import random
+import re
+import zipfile
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docloom.functions import identity
+from docloom.jobs import answering
 from docloom.operators import answers, chunking, documents, maxmin, quality, retrieval, sentences
 
 
 def split(spark, *texts):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return [r[0] for r in d.orderBy("doc_id").select(sentences.sentences(F.col("text"))).collect()]
+    return [[tuple(x) for x in r[0]] for r in d.orderBy("doc_id").select(sentences.spaced_sentences(F.col("text"))).collect()]
 
 
 def test_sentences(spark):
-    got = split(spark, "Dr. Ada measured 3.14 units. The result held! A new topic followed?", 'He said "Stop." Then left.', "One\n \ntwo", "éa. b", "ouè. b", "", None, "etc. on plan A. x")
-    assert got == [["Dr. Ada measured 3.14 units.", "The result held!", "A new topic followed?"], ['He said "Stop."', "Then left."], ["One", "two"], ["éa. b"], ["ouè.", "b"], [], [], ["etc. on plan A. x"]]
+    got = split(spark, "  Prof. Wu saw 2.5 owls.  They sat!\nWhy there?", '"Go." She went', "Up\n \ndown", "ña. b", "oñ. b", "", None, "see fig. 3 in St. Ives. y")
+    assert got == [[("  ", "Prof. Wu saw 2.5 owls."), ("  ", "They sat!"), ("\n", "Why there?")], [("", '"Go."'), (" ", "She went")], [("", "Up"), ("\n \n", "down")],
+                   [("", "ña. b")], [("", "oñ."), (" ", "b")], [], [], [("", "see fig. 3 in St. Ives."), (" ", "y")]]
+
+
+def scanned(text):
+    """Sentences by reading the text from character to character."""
+    spans, cuts, at = [], [(m.start(), m.end()) for m in re.finditer(r"\n\s*\n", text)], 0
+    for stop, after in [*cuts, (len(text), len(text))]:
+        begin = i = at
+        while i < stop:
+            end = i + 1
+            while end < stop and text[end] in "\"'’”)]}":
+                end += 1
+            run = re.search(r"[A-Za-z][A-Za-z.]*\.$", text[:i + 1])
+            short = text[i] == "." and run and (run[0].lower() in sentences.ABBREVIATIONS or len(run[0]) == 2)
+            if text[i] in ".!?" and not short and (end == stop or text[end].isspace()):
+                spans.append((begin, end))
+                begin = i = end
+            else:
+                i += 1
+        spans.append((begin, stop))
+        at = after
+    spans = [(e - len(text[b:e].lstrip()), b + len(text[b:e].rstrip())) for b, e in spans if text[b:e].strip()]
+    return [(text[spans[n - 1][1] if n else 0:b], text[b:e]) for n, (b, e) in enumerate(spans)]
+
+
+def test_sentences_of_any_text(spark):
+    rng = random.Random(3)
+    parts = ["Dr.", "e.g.", "a.", "word", "x.Mr.", "..Mr.", "3.14", "end.", "no!", '"Yes."', "U.S.)", "wait...", "é.", "\n", "  ", "\n\n", "\t\n \n", "\u00a0", "z.\n", "(No.)", "!?", "’", ".", "\x1c"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    assert split(spark, *texts) == [scanned(t) for t in texts]
 
 
 def config(**more):
@@ -46,13 +83,32 @@ def test_bounds_hold(units):
     assert (np.diff(numbers) >= 0).all() and (np.bincount(numbers, counts) <= 40).all()
 
 
-def test_expression_and_fold_agree(spark):
-    rng = np.random.default_rng(0)
-    v = rng.normal(size=(40, 3))
-    c = config(hard_threshold=0.2)
-    d = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(v)], "g int, i int, v array<double>")
-    got = [r.cluster for r in maxmin.cluster_rows(d, "g", "i", "v", c).orderBy("i").collect()]
-    assert got == maxmin.cluster_fold(v / np.linalg.norm(v, axis=1, keepdims=True), c).tolist()
+def merged_slowly(clusters, counts, unit, c):
+    """All options are looked at anew before every merge."""
+    size = lambda r: int(counts[r.start:r.stop].sum())
+    while True:
+        options = [(maxmin.affinity(unit, clusters[j], clusters[j + 1]), j < i, i, j) for i, r in enumerate(clusters) if size(r) < c.min_tokens
+                   for j in (i - 1, i) if 0 <= j < len(clusters) - 1 and size(clusters[j]) + size(clusters[j + 1]) <= c.max_tokens]
+        if not options:
+            return clusters
+        j = max(options)[3]
+        clusters = [*clusters[:j], range(clusters[j].start, clusters[j + 1].stop), *clusters[j + 2:]]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 15), st.integers(0, 3), st.booleans()), min_size=1, max_size=30))
+def test_merging_from_a_heap_is_merging_slowly(units):
+    unit = np.array([[np.cos(a), np.sin(a)] for _, a, _ in units])
+    counts, c = np.array([n for n, *_ in units]), config(min_tokens=12, target_tokens=20, max_tokens=40)
+    cuts = [0, *(i for i in range(1, len(units)) if units[i][2]), len(units)]
+    clusters = [range(a, b) for a, b in zip(cuts, cuts[1:])]
+    assert maxmin._merge_undersized(clusters, counts, unit, c) == merged_slowly(clusters, counts, unit, c)
+
+
+def test_a_long_document_is_merged_in_seconds():
+    rng = np.random.default_rng(1)
+    numbers = maxmin.bounded_clusters(rng.normal(size=(20_000, 16)), rng.integers(1, 30, 20_000), maxmin.ChunkingConfig())
+    assert len(numbers) == 20_000 and (np.bincount(numbers) > 0).all()
 
 
 @pytest.mark.parametrize("bad", [{"min_tokens": 500, "target_tokens": 400, "max_tokens": 600}, {"overlap_tokens": 1}, {"hard_threshold": 2.0}, {"similarity_coefficient": 0.0}])
@@ -73,6 +129,50 @@ def test_chunks_are_traceable(spark):
     assert made[0].heading_path == ["Top"] and [r.chunk_index for r in made] == list(range(len(made)))
 
 
+def one_paragraph(spark, *texts):
+    return sentences.units(spark.createDataFrame([(f"d{i}", "v", [("e", "paragraph", t, [], None, 0)]) for i, t in enumerate(texts)], ELEMENTS))
+
+
+def test_chunks_keep_what_lies_between_sentences(spark):
+    text = "Rain  fell.\nIt  stayed wet.\n\n \nThen sun. And\twind and more of it again."
+    whole = maxmin.chunk_documents(one_paragraph(spark, text), config(), embed=lambda ts: [[1.0]] * len(ts)).collect()
+    assert [r.content for r in whole] == [text] and whole[0].token_count == 14
+    parts = maxmin.chunk_documents(one_paragraph(spark, text), config(target_tokens=2, max_tokens=3)).orderBy("chunk_index").collect()
+    at = 0
+    for r in parts:
+        at = text.index(r.content, at) + len(r.content)
+    assert "".join("".join(r.content.split()) for r in parts) == "".join(text.split()) and any("\t" in r.content for r in parts)
+
+
+def test_token_counters_and_embeddings_are_the_callers(spark):
+    letters = lambda ts: [max(1, len(t)) for t in ts]
+    made = maxmin.chunk_documents(one_paragraph(spark, "abcdefghij kl mn. op"), config(target_tokens=5, max_tokens=6), count=letters).orderBy("chunk_index").collect()
+    assert all(len(r.content) == r.token_count <= 6 for r in made) and "".join(r.content for r in made).replace(" ", "") == "abcdefghijklmn.op"
+    calls = []
+
+    def embed(ts):
+        return [[float("nan") if "bad" in t else 1.0] for t in ts]
+
+    plan = maxmin.plan_chunks(one_paragraph(spark, "good one.", "bad one.", ""), config(), embed=embed)
+    assert {r.document_id: (r.fault, len(r.runs)) for r in plan.collect()} == {"d0": (None, 1), "d1": ("invalid_vector", 0), "d2": (None, 0)}
+    assert maxmin.embedded(list("abcde"), lambda ts: calls.append(len(ts)) or [[1.0]] * len(ts), 2).shape == (5, 1) and calls == [2, 2, 1]
+    for wrong, why in ((lambda ts: [[1.0]], "unexpected_vector_count"), (lambda ts: [[0.0]] * len(ts), "zero_length_vector"), (lambda ts: [[1.0] * (1 + len(t)) for t in ts], "inconsistent_dimensions")):
+        with pytest.raises(maxmin.ProviderFault, match=why):
+            maxmin.embedded(["a", "bc"], wrong, 32)
+    with pytest.raises(maxmin.ProviderFault):
+        maxmin.counted(["a"], lambda ts: [True])
+    with pytest.raises(maxmin.ProviderFault, match="character_over_maximum"):
+        maxmin.split_by_tokens("abc", 1, lambda ts: [2] * len(ts))
+
+
+def test_sections_are_packed(spark):
+    rows = [("d", [("e0", "heading", "Top", ["Top"], None, 0), ("e1", "paragraph", "aa bb.\ncc dd ee.  ff", ["Top"], None, 1), ("e2", "paragraph", "g h", ["Top"], None, 2), ("e3", "paragraph", "i", ["Top", "x"], None, 3)])]
+    docs = spark.createDataFrame(rows, "document_id string, elements " + ELEMENTS.split("elements ")[1])
+    got = [(r.content, r.heading_path, r.first_order, r.last_order, r.token_count) for r in chunking.structure_chunks(docs, 4).orderBy("chunk_index").collect()]
+    assert got == [("Top\n\naa bb.", ["Top"], 0, 1, 3), ("cc dd ee.  ff", ["Top"], 1, 1, 4), ("g h", ["Top"], 2, 2, 2), ("i", ["Top", "x"], 3, 3, 1)]
+    assert [r.token_count for r in chunking.structure_chunks(docs, 100).orderBy("chunk_index").collect()] == [9, 1]
+
+
 def test_heading_stack_nests_by_position(spark):
     items = [("heading", 1, "a"), ("heading", 3, "b"), ("heading", 3, "c"), ("heading", 2, "d")]
     d = spark.createDataFrame([(items,)], "items array<struct<type:string,level:int,text:string>>")
@@ -88,25 +188,58 @@ def test_layout_items(spark):
     assert [r.element_type for r in got] == ["title", "list_item", "other"]
     whole = "\n\n".join(r.text for r in got)
     assert all(whole[r.char_start:r.char_end] == r.text for r in got)
+    profiles = spark.createDataFrame([("r.pdf", False, None, True), ("none.pdf", False, "success", True), ("locked.pdf", True, None, False)], "source_identifier string, encrypted boolean, status string, has_images boolean")
+    docs = {r.source_identifier: r for r in documents.assemble(documents.map_items(spark.createDataFrame(rows, schema)), profiles).collect()}
+    assert (docs["r.pdf"].text, docs["r.pdf"].title, docs["r.pdf"].reason, len(docs["r.pdf"].elements)) == (whole, "Report", None, 3)
+    assert (docs["none.pdf"].reason, docs["locked.pdf"].reason) == ("scanned_pdf", "encrypted_pdf")
     assert got[1].list.ordinal == 3 and got[1].page_numbers == [1, 2] and got[2].source_role == "page_footer"
 
 
 def test_text_files(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes(b"Hello world.   \r\n\r\n\r\n\r\nSecond \xff line.\n")
-    (tmp_path / "b.txt").write_text("  \n \n")
-    got = {r.source_name: r for r in documents.parse_text(documents.read_files(spark, str(tmp_path), "text/plain"), "txt").collect()}
-    assert got["a.txt"].text == "Hello world.\n\nSecond � line." and got["a.txt"].reason is None and len(got["a.txt"].elements) == 1
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.txt").write_bytes(b"Warm rain.\t \r\n\r\n\r\n\r\nCold \xfe wind.\n")
+    (tmp_path / "b.txt").write_text("\t\n \n")
+    got = {r.source_identifier: r for r in documents.parse_text(documents.read_files(spark, str(tmp_path), "text/plain"), "txt").collect()}
+    assert got["x/same.txt"].text == "Warm rain.\n\nCold � wind." and got["x/same.txt"].reason is None and len(got["x/same.txt"].elements) == 1
+    assert got["x/same.txt"].document_id != got["y/same.txt"].document_id and got["x/same.txt"].source_name == "same.txt"
     assert got["b.txt"].reason == "empty_document"
     wrong = documents.parse_text(documents.read_files(spark, str(tmp_path), "application/pdf"), "txt")
     assert {r.reason for r in wrong.collect()} == {"unsupported_format"}
 
 
+@pytest.mark.parametrize("root, path, want", [("s3a://bucket/in/", "s3a://bucket/in/a/b.txt", "a/b.txt"), ("/data/in", "file:/data/in/c.txt", "c.txt"), ("hdfs://n:8020/", "hdfs://n:8020/d.txt", "d.txt")])
+def test_paths_below_a_root(spark, root, path, want):
+    assert spark.range(1).select(documents.relative_path(F.lit(path), root)).first()[0] == want
+
+
 def test_markdown_files(spark, tmp_path):
-    (tmp_path / "a.md").write_text("# My Title\n\nSome **bold** text and a list:\n\n- one\n- two\n")
-    (tmp_path / "c.md").write_text("<!-- just a comment -->")
+    (tmp_path / "m.md").write_text("# Harbour Notes\n\nTwo **old** boats:\n\n- Heron\n- Tern\n")
+    (tmp_path / "n.md").write_text("<!-- nothing to see -->")
     got = {r.source_name: r for r in documents.parse_text(documents.read_files(spark, str(tmp_path), "text/markdown"), "markdown").collect()}
-    assert got["a.md"].title == "My Title" and "**" not in got["a.md"].text and "one" in got["a.md"].text
-    assert got["c.md"].reason == "empty_document"
+    assert got["m.md"].title == "Harbour Notes" and "**" not in got["m.md"].text and "Heron" in got["m.md"].text
+    assert got["n.md"].reason == "empty_document"
+
+
+def word_file(*blocks):
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {space}><w:body>{''.join(blocks)}</w:body></w:document>")
+    return held.getvalue()
+
+
+def test_word_files(spark, tmp_path):
+    p = lambda *runs: "<w:p>" + "".join(f"<w:r><w:t>{r}</w:t></w:r>" for r in runs) + "</w:p>"
+    (tmp_path / "a.docx").write_bytes(word_file(p("  Cafe\u0301 ", "hours "), p(" "), "<w:tbl><w:tr><w:tc>" + p("cell") + "</w:tc></w:tr></w:tbl>", "<w:sdt><w:sdtContent>" + p("late") + "</w:sdtContent></w:sdt>"))
+    (tmp_path / "b.docx").write_bytes(word_file(p("")))
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    got = {r.source_name: r for r in documents.parse(documents.read_files(spark, str(tmp_path), documents.DOCX), "docx").collect()}
+    a = got["a.docx"]
+    assert (a.text, [e.text for e in a.elements], [e.order for e in a.elements], a.reason) == ("Cafe\u0301 hours\n\nlate", ["Cafe\u0301 hours", "late"], [0, 1], None)
+    want = spark.range(1).select(identity.element_id(F.lit(a.document_id), F.lit("1.0.0"), F.lit(0), F.lit("Caf\u00e9 hours"))).first()[0]
+    assert a.elements[0].element_id == want and (got["b.docx"].reason, got["c.docx"].reason) == ("empty_document", "conversion_failed")
+    assert {r.reason for r in documents.parse_docx(documents.read_files(spark, str(tmp_path), "text/plain")).collect()} == {"unsupported_format"}
 
 
 def test_windows(spark):
@@ -149,3 +282,39 @@ def test_violations_and_answers(spark):
 
     got = {r["query"]: (r.answer, r.code, r.status) for r in answers.answer(spark.createDataFrame([("hi",), ("slow",), ("",)], "query string"), slow).collect()}
     assert got == {"hi": ("echo: hi", None, 200), "slow": (None, "provider_timeout", 504), "": (None, None, 422)}
+
+
+def test_capped_search(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 4))
+    d = spark.createDataFrame([(i, x.tolist(), i % 3 if i < 60 else 7) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = [tuple(r) for r in retrieval.search(d, d.filter("vec_id < 5"), retrieval.RetrievalConfig(top_k=6, max_per_document=2), "label").orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(5):
+        scores = sorted((-round(float(v[q] @ x / np.linalg.norm(v[q]) / np.linalg.norm(x)), 6), i) for i, x in enumerate(v) if i != q)
+        held, rank = {}, 0
+        for s, i in scores:
+            owner = i % 3 if i < 60 else 7
+            held[owner] = held.get(owner, 0) + 1
+            if held[owner] <= 2 and rank < 6:
+                rank += 1
+                want.append((q, rank, i, -s))
+    assert got == want
+
+
+def test_queries_are_answered_from_chunks(spark):
+    docs = one_paragraph(spark, "Herons nest by the river.", "Bakers rise early for bread.", "Old clocks tick slowly at night.")
+    chunks = maxmin.chunk_documents(docs, config(), embed=maxmin.hashed_embeddings)
+    asked = spark.createDataFrame([("q1", "bread bakers early"), ("q2", "")], "query_id string, query string")
+    found = {r.query_id: r for r in answering.contexts(asked, chunks, max_tokens=12, max_chunks=2).collect()}
+    assert found["q1"].context.startswith("Bakers rise early for bread.") and found["q1"].token_count <= 12 and len(found["q1"].sources) == 2 and len(found["q1"].excluded) == 1
+    assert (found["q2"].context, found["q2"].sources) == ("", [])
+    got = {r["query"]: r for r in answering.answer_queries(asked, chunks, max_tokens=5).collect()}
+    assert got["bread bakers early"].answer == "echo: Bakers rise early for bread.\n\nbread bakers early" and len(got["bread bakers early"].sources) == 1
+    assert (got[""].status, got[""].sources) == (422, [])
+
+
+def test_orders_rise(spark):
+    d = spark.createDataFrame([(1, [(0,), (2,)]), (2, [(0,), (0,)]), (3, [])], "i int, elements array<struct<order:int>>")
+    assert [r[0] for r in d.orderBy("i").select(quality.order_violations(F.col("elements"))).collect()] == [[], ["order_not_rising"], ["no_elements"]]
