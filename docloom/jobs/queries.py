@@ -395,13 +395,15 @@ def structure_tokens(spark, sf_dir):
 
 
 @query("common_heading_path", r"""
-    WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+')[1:3] AS a, regexp_extract_all(text, '\S+')[4:6] AS b FROM documents)
-    SELECT doc_id, array_to_string(CASE WHEN a[1] IS DISTINCT FROM b[1] OR len(a) = 0 OR len(b) = 0 THEN [] WHEN a[2] IS DISTINCT FROM b[2] OR len(a) < 2 OR len(b) < 2 THEN a[1:1]
-        WHEN a[3] IS DISTINCT FROM b[3] OR len(a) < 3 OR len(b) < 3 THEN a[1:2] ELSE a END, '/') AS path FROM w
+    WITH w AS (SELECT doc_id, list_transform(string_split(text, E'\n'), lambda x: regexp_extract_all(x, '\S+')) AS l FROM documents),
+    m AS (SELECT doc_id, l, list_min(list_transform(l, lambda x: len(x))) AS m FROM w),
+    s AS (SELECT doc_id, l[1] AS first, list_transform(range(1, m + 1), lambda i: len(list_distinct(list_transform(l, lambda x: x[i]))) = 1) AS same FROM m)
+    SELECT doc_id, array_to_string(first[1:coalesce(nullif(list_position(same, false), 0), len(same) + 1) - 1], '/') AS path FROM s
 """)
 def common_heading_path(spark, sf_dir):
-    w = chunking.words(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", F.array_join(maxmin.common_path(F.array(F.slice(w, 1, 3), F.slice(w, 4, 3))), "/").alias("path"))
+    """The words that all lines of a document begin with, lines taken for paths."""
+    paths = F.transform(F.split("text", "\n"), chunking.words)
+    return _documents(spark, sf_dir).select("doc_id", F.array_join(maxmin.common_path(paths), "/").alias("path"))
 
 
 def _search_sql(metric: str, k: int, where: str = "", threshold: str = "", cap: int | None = None) -> str:
