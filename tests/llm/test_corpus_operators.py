@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -70,6 +71,23 @@ def test_sharding(docs, empty):
     assert sharding.interleave(empty).count() == 0
 
 
+def test_shards_by_hand(spark, docs):
+    """Rank, fraction and cut recomputed row by row; repeated rows are interchangeable."""
+    rng = random.Random(7)
+    rows = [*ROWS, *((i, f"text {i % 90}", "en", rng.choice(["a", "a", "b", None]), "", "") for i in range(100, 400))]
+    facts = [((source is None, source or ""), hashlib.md5(f"11:{'-' if i is None else i}:{crc}".encode()).hexdigest(), (i is not None, i or 0), crc, size, i)
+             for i, t, _, source, *_ in rows for crc, size in [(zlib.crc32((t or "").encode()), len((t or "").encode()) + 8)]]
+    by_source = {}
+    for fact in sorted(facts):
+        by_source.setdefault(fact[0], []).append(fact)
+    order = sorted(((2 * n + 1) / (2 * len(group)), source, n, fact) for source, group in by_source.items() for n, fact in enumerate(group))
+    want = Counter()
+    for at, (*_, fact) in enumerate(order):
+        shard = at * 5 // len(order)
+        want[(fact[5], None if fact[0][0] else fact[0][1], fact[4], fact[3], shard, at - -(-shard * len(order) // 5))] += 1
+    assert Counter(map(tuple, sharding.interleave(spark.createDataFrame(rows, DOCS), shards=5).collect())) == want
+
+
 def test_shards_match_the_mixture(spark):
     d = spark.range(2400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
     per = sharding.interleave(d, shards=24).groupBy("shard").agg(F.count_if(F.col("source") == "a").alias("a")).collect()
@@ -116,9 +134,10 @@ def test_secrets(docs, empty):
 
 def test_entropy_windows(spark):
     key = "Zx81Qp07Lm64Vb39Tt52Rk"
-    rows = [(0, f"key {key} end"), (1, "id 123e4567-e89b-12d3-a456-426614174000"), (2, "g" * 40 + "1" * 20), (3, "EXAMPLE" + key), (4, "thinglyandanatbletionand")]
+    rows = [(0, f"key {key} end"), (1, "id 123e4567-e89b-12d3-a456-426614174000"), (2, "g" * 40 + "1" * 20), (3, "EXAMPLE" + key), (4, "thinglyandanatbletionand"),
+            (5, "example_key=" + key), (6, "sample-bucket/" + key), (7, "QwErTyUiOpAsDfGhJkLzXc"), (8, "20230101123456789012345"), (9, f"{key[:11]}example{key[11:]}")]
     got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: [(4, 3, 4 + len(key))], 1: [], 2: [], 3: [], 4: []}
+    assert got == {0: [(4, 3, 4 + len(key))], 1: [], 2: [], 3: [], 4: [], 5: [(7, 3, 34)], 6: [(6, 3, 36)], 7: [(0, 3, 22)], 8: [], 9: []}
 
 
 def brute_components(prints):
@@ -355,6 +374,54 @@ def test_quality(spark, docs, empty):
     assert empty.select(quality.quality(empty, model)).count() == 0
 
 
+def test_quality_by_hand(spark, docs):
+    """Every pair of features of every text, one by one."""
+    c = quality.QualityConfig(buckets=64, rank=3)
+    rng = np.random.default_rng(3)
+    m = quality.QualityModel(c, -0.2, rng.normal(size=c.width), rng.normal(0, 0.2, (c.width, 3)))
+    got = Counter((r.doc_id, round(r.s, 9)) for r in docs.select("doc_id", quality.quality(docs, m).alias("s")).collect())
+
+    def score(text):
+        text = (text or "").encode()
+        counts = Counter(zlib.crc32(w.lower().strip(b".,;:!?\"'()")) % 64 for w in text.split())
+        total = sum(counts.values())
+        x = {f: (n / total) ** .5 for f, n in counts.items()}
+        stats = quality._statistics(text, text.split(), np.array(list(counts.values())))
+        x |= {64 + 8 * j + sum(v >= e for e in edges): .5 for j, (v, edges) in enumerate(zip(stats, quality._STATS.values()))}
+        logit = m.bias + sum(m.linear[f] * v for f, v in x.items())
+        feats = list(x.items())
+        logit += sum(float(m.vectors[f] @ m.vectors[g]) * v * w for n, (f, v) in enumerate(feats) for g, w in feats[:n])
+        return 1 / (1 + np.exp(-logit))
+
+    assert got == Counter((i, round(float(score(t)), 9)) for i, t, *_ in ROWS)
+
+
+def test_toxicity_by_hand(spark, docs):
+    c = toxicity.ToxicityConfig(buckets=1 << 8)
+    m = toxicity.ToxicityModel(c, np.random.default_rng(4).normal(size=1 << 8).astype(np.float32), 0.3, -2.0)
+
+    def score(text):
+        words = (text or "").lower().split()
+        said = [float(np.mean([m.evidence[g] for g in toxicity.ngrams(w, c)], dtype=np.float64)) for w in words]
+        return 1 / (1 + np.exp(-(m.bias + sum(said) / len(said) if words else m.base)))
+
+    got = Counter((r.doc_id, round(r.s, 9)) for r in docs.select("doc_id", toxicity.toxicity(docs, m).alias("s")).collect())
+    assert got == Counter((i, round(float(score(t)), 9)) for i, t, *_ in ROWS)
+
+
+def test_very_long_texts(spark):
+    """Over a million characters: read in slices where memory asks for it, with what a short text would give."""
+    rng = random.Random(5)
+    words_ = [f"w{rng.randint(0, 99999)}" for _ in range(200_000)]
+    item = " ".join(f"item{i}" for i in range(30)) + "? " + " ".join(f"answer{i}" for i in range(10))
+    key = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=200_000))
+    long = " ".join(words_)
+    docs = spark.createDataFrame([(1, long + " " + item), (2, key), (3, "x" * 1_100_000), (4, long)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, 7)]
+    assert {r.doc_id: r.fp % 2**64 for r in simhash.near_duplicates(docs).collect()} == {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
+    assert {r.doc_id: [tuple(x) for x in r.secrets] for r in secrets.find_secrets(docs).collect()} == {1: [], 2: [(0, 3, 200_000)], 3: [], 4: []}
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(1)
     c = quality.QualityConfig(buckets=8, rank=3)
