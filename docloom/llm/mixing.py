@@ -20,7 +20,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     ``share`` of all sizes by weight. A target stops at ``most`` times its
     source's size and the excess is shared again by weight: the level at which
     all targets are met is found in one pass over the sources sorted by
-    size / weight, the order in which they reach their limit.
+    size / weight, the order in which they reach their limit. The sources are
+    sorted in one task, one small row each: up to some millions of them, however
+    many documents they have.
     """
     by_name = Window.orderBy("no_source", "source_key")
     by_ratio = Window.orderBy("ratio", "no_source", "source_key").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 11) -> DataFrame:
     Rows are shuffled with the seed inside their source, ranked there, and
     sorted by fractional rank (rank - 1/2) / rows of the source; the sorted list
     is cut into ``shards`` runs whose row counts are at most one apart, so every
-    run holds each source in its proportion. Ties between sources follow the
+    run holds each source in its proportion. Copies of one text are dealt like
+    other rows and so lie in several shards. Ties between sources follow the
     source's name, null last. ``slot`` counts from 0 inside a shard.
 
     Ranks are global positions (see ranking.positions), so a source that holds
