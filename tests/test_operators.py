@@ -221,6 +221,16 @@ def test_markdown_files(spark, tmp_path):
     assert got["n.md"].reason == "empty_document"
 
 
+@pytest.mark.parametrize("source, want", [
+    ("a `x < y` b", "a x &lt; y b"), ("```\ncode & more\n```", "code &amp; more"), ("R&D &copy; 3 < 4", "R&amp;D &copy; 3 &lt; 4"), ("\\*no\\* *yes*", "*no* yes"),
+    ("see <https://a.b/c> now<br>here", "see https://a.b/c nowhere"), ("Head\n====\n\nbody __bold\nline__", "Head\nbody bold\nline"), ("> quoted\n> [t](u) ![i](v)", "quoted\nt "),
+    ("1. one\n2. two\n\n***\n\n    kept <raw>", "one\ntwo\n\nkept &lt;raw&gt;"), ("a | b\n--|--\n1 | 2", "a | b\n--|--\n1 | 2")])
+def test_markdown_text(spark, source, want):
+    from docloom.functions.text import flatten_html
+    from docloom.operators.markdown import to_html
+    assert spark.range(1).select(flatten_html(F.lit(to_html(source)))).first()[0] == want.strip()
+
+
 def word_file(*blocks):
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     held = io.BytesIO()
