@@ -110,6 +110,41 @@ def document_assemble(spark, sf_dir):
     return made.select(F.col("source_identifier").cast("long").alias("doc_id"), "title", "document_version", F.size("elements").alias("n_elements"), "reason")
 
 
+@query("element_listing", rf"""
+    WITH {_LINES}, f AS (SELECT *, regexp_replace(text, '\s+', ' ', 'g') AS t FROM e)
+    SELECT doc_id, "order", element_type, CASE WHEN length(t) > 40 THEN substr(t, 1, 39) || '…' ELSE t END AS preview FROM f
+""")
+def element_listing(spark, sf_dir):
+    return _line_elements(spark, sf_dir).select(F.col("source_identifier").cast("long").alias("doc_id"), "order", "element_type", text.preview(F.col("text"), 40).alias("preview"))
+
+
+@query("item_metadata", r"""
+    WITH l AS (SELECT doc_id, trim(line, E' \n\t\r') AS line, i FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS i FROM documents)),
+    k AS (SELECT *, ['title', 'heading', 'list_item', 'table', 'code', 'other'][(i % 6 + 1)::INTEGER] AS element_type FROM l WHERE i % 7 <> 6 AND regexp_matches(line, '[\p{L}\p{N}]'))
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS "order", element_type,
+        CASE WHEN element_type = 'heading' THEN CASE WHEN i % 4 >= 1 THEN i % 4 ELSE greatest(1, i % 3) END END::INTEGER AS heading_level,
+        CASE WHEN i % 5 > 0 AND (i + 1) % 3 > 0 THEN least(i % 5, (i + 1) % 3) WHEN i % 5 > 0 THEN i % 5 WHEN (i + 1) % 3 > 0 THEN (i + 1) % 3 END::INTEGER AS page_number,
+        CASE WHEN element_type = 'list_item' THEN CASE WHEN i % 4 = 0 THEN 'ordered' ELSE 'unordered' END END AS list_kind,
+        CASE WHEN element_type = 'list_item' THEN greatest(1, i % 3) END::INTEGER AS list_depth,
+        CASE WHEN element_type = 'list_item' AND i % 4 = 0 THEN i END::INTEGER AS ordinal,
+        CASE WHEN element_type = 'table' AND i - 9 >= 0 THEN i - 9 END::INTEGER AS row_count, CASE WHEN element_type = 'code' THEN 'sql' END AS code_language,
+        CASE WHEN element_type = 'other' THEN 'footnote' END AS source_role
+    FROM k
+""")
+def item_metadata(spark, sf_dir):
+    """Lines as layout items of all kinds, with the metadata that each kind keeps."""
+    i = F.col("item_order")
+    lines = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_identifier"), F.posexplode(F.split("text", "\n")).alias("item_order", "text"))
+    kinds = F.array(*[F.lit(x) for x in ("title", "section_header", "List_Item", "table", "code", "Footnote")])
+    items = lines.select(
+        "source_identifier", "item_order", F.when(i % 7 == 6, "picture").otherwise(F.element_at(kinds, i % 6 + 1)).alias("label"), "text", (i % 4).alias("level"), (i % 3).alias("tree_level"),
+        F.array(i % 5, (i + 1) % 3).alias("pages"), (i % 4 == 0).alias("enumerated"), F.concat(i.cast("string"), F.lit(".")).alias("marker"), F.lit(" sql ").alias("language"),
+        (i - 9).alias("rows"), i.alias("columns"))
+    return documents.map_items(items).select(
+        F.col("source_identifier").cast("long").alias("doc_id"), "order", "element_type", "heading_level", "page_number", "list.list_kind", "list.list_depth", "list.ordinal",
+        "table.row_count", "code_language", "source_role")
+
+
 @query("element_type_histogram", """
     WITH t AS (SELECT regexp_extract_all(html, '<(h[1-6]|p|li|table|pre)[ >]', 1) AS tags FROM pages), u AS (SELECT unnest(tags) AS tag FROM t)
     SELECT CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'p' THEN 'paragraph' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'table' THEN 'table' ELSE 'code' END AS element_type, count(*) AS n FROM u GROUP BY 1
@@ -487,6 +522,16 @@ def date_range_filter(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
 
 
+@query("metadata_filters", """
+    SELECT lang, source, count(*) AS n FROM documents WHERE doc_id IN (SELECT unnest(range(0, 5000, 3))) AND lang IN ('en', 'de') AND source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 3) GROUP BY lang, source
+""")
+def metadata_filters(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    first = [r[0] for r in docs.select("source").distinct().orderBy("source").limit(3).collect()]
+    rows = retrieval.metadata_filter(docs, ids=list(range(0, 5000, 3)), sources=first, languages=["en", "de"])
+    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("upsert_latest", """
     SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1
 """)

@@ -48,8 +48,8 @@ def decode(content: Column) -> Column:
 def parse_text(files: DataFrame, parser: str, version: str = "1.0.0") -> DataFrame:
     """Plain or Markdown files as documents of one paragraph.
 
-    Adds document_id, document_version, title, text, elements, content_checksum
-    and ``reason``: unsupported_format if the media type is not exactly the
+    Adds document_id, document_version, title, text, elements, content_checksum,
+    ``warnings`` (malformed_text where bytes had to be replaced) and ``reason``: unsupported_format if the media type is not exactly the
     parser's, empty_document if nothing is left, null for a parsed document.
     """
     kind = {"txt": PLAIN, "markdown": MARKDOWN}[parser]
@@ -58,7 +58,8 @@ def parse_text(files: DataFrame, parser: str, version: str = "1.0.0") -> DataFra
         body, title = text.normalize_plain(raw), F.lit(None).cast("string")
     else:
         body, title = text.flatten_html(render_html(raw)), text.first_heading(raw)
-    d = files.withColumn("text", body).withColumn("title", title)
+    malformed = F.when(~F.is_valid_utf8(F.col("content").cast("string")), F.array(F.lit("malformed_text")))
+    d = files.withColumn("text", body).withColumn("title", title).withColumn("warnings", F.coalesce(malformed, F.array().cast("array<string>")))
     return _finish(d, F.when(F.col("mime_type") != kind, "unsupported_format").when(F.coalesce("text", F.lit("")) == "", "empty_document"), parser, version)
 
 
@@ -76,7 +77,7 @@ def _documents(d: DataFrame, reason: Column, parser: str, version: str) -> DataF
         F.lit("paragraph").alias("element_type"), x["texts"].alias("text"), F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page_number"), i.alias("order")))
     return d.select(
         "document_id", F.col("content_checksum").alias("document_version"), "source_name", "source_identifier", "mime_type", "title", "text",
-        elements.alias("elements"), "content_checksum", F.lit(parser).alias("parser_name"), F.lit(version).alias("parser_version"), reason.alias("reason"))
+        elements.alias("elements"), "content_checksum", F.lit(parser).alias("parser_name"), F.lit(version).alias("parser_version"), "warnings", reason.alias("reason"))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -114,7 +115,7 @@ def parse_docx(files: DataFrame, version: str = "1.0.0") -> DataFrame:
     """Word files as documents of one element per paragraph (see parse_text); ``reason`` is also conversion_failed for what cannot be read."""
     fits = F.col("mime_type") == DOCX
     d = files.withColumn("found", _docx(F.when(fits, F.col("content"))))
-    d = d.withColumn("texts", F.coalesce("found", F.array().cast("array<string>"))).withColumn("text", F.array_join("texts", "\n\n")).withColumn("title", F.lit(None).cast("string"))
+    d = d.withColumn("texts", F.coalesce("found", F.array().cast("array<string>"))).withColumn("text", F.array_join("texts", "\n\n")).withColumn("title", F.lit(None).cast("string")).withColumn("warnings", F.array().cast("array<string>"))
     return _documents(d, F.when(~fits, "unsupported_format").when(F.col("found").isNull(), "conversion_failed").when(F.size("texts") == 0, "empty_document"), "docx", version)
 
 
@@ -129,9 +130,16 @@ def source_reason(mime: Column, path: Column, exists: Column) -> Column:
     return F.when(~F.coalesce(fits, F.lit(False)), "unsupported_format").when(~exists, "conversion_failed")
 
 
+def conversion_reason(status: Column, parser: str) -> Column:
+    """conversion_failed by a converter's status: for docx only "failure" fails, for pdf everything but "success"; no status is none."""
+    state = F.lower(status)
+    failed = state == "failure" if parser == "docx" else state != "success"
+    return F.when(F.coalesce(failed, F.lit(False)), "conversion_failed")
+
+
 def profile_reason(encrypted: Column, status: Column, n_elements: Column, has_images: Column) -> Column:
     """Why a PDF is rejected once it was inspected and converted; null if it is not."""
-    return (F.when(encrypted, "encrypted_pdf").when(F.lower(F.coalesce(status, F.lit("success"))) != "success", "conversion_failed")
+    return (F.when(encrypted, "encrypted_pdf").when(conversion_reason(status, "pdf").isNotNull(), "conversion_failed")
             .when((n_elements == 0) & has_images, "scanned_pdf").when(n_elements == 0, "textless_pdf"))
 
 
@@ -155,12 +163,14 @@ def map_items(items: DataFrame, version: str = "1.0.0") -> DataFrame:
     """Layout items of extracted documents as elements: one row per kept element.
 
     Input: (source_identifier, item_order, label, text, level, tree_level,
-    pages, enumerated, marker, language, rows, columns). Output: document_id,
+    pages, enumerated, marker, language, rows, columns[, table_markdown: the
+    text of a table instead of ``text``]). Output: document_id,
     order, element_id, type, text, heading path, offsets in the joined text,
     page numbers and the metadata that the type has.
     """
     kind = text.element_type(F.col("label"))
-    body = identity.nfc(text.unix_lines(F.coalesce("text", F.lit(""))))
+    given = F.when(kind == "table", F.coalesce("table_markdown", "text")).otherwise(F.col("text")) if "table_markdown" in items.columns else F.col("text")
+    body = identity.nfc(text.unix_lines(F.coalesce(given, F.lit(""))))
     d = items.withColumn("type", kind).withColumn("body", F.when(kind == "code", F.regexp_replace(body, r"\n+\z", "")).otherwise(text.strip(body)))
     d = d.filter(F.col("type").isNotNull() & text.has_word_character(F.col("body")))
     level = F.when(F.col("level") >= 1, F.col("level")).otherwise(F.greatest(F.lit(1), F.coalesce("tree_level", F.lit(1))))
@@ -208,8 +218,9 @@ def assemble(elements: DataFrame, profiles: DataFrame, version: str = "1.0.0") -
 
 
 def ingest_status(documents: DataFrame, known: DataFrame, force: bool = False) -> DataFrame:
-    """(document_id, document_version, status): rejected, skipped if that version is known, else completed."""
+    """``documents`` with ``status``: rejected, skipped if that version is known, partial with ``warnings``, else completed."""
     seen = known.select("document_id", "document_version", F.lit(True).alias("seen")).distinct()
     skip = F.lit(False) if force else F.coalesce("seen", F.lit(False))
+    partial = F.size("warnings") > 0 if "warnings" in documents.columns else F.lit(False)
     return documents.join(seen, ["document_id", "document_version"], "left").withColumn(
-        "status", F.when(F.col("reason").isNotNull(), "rejected").when(skip, "skipped").otherwise("completed")).drop("seen")
+        "status", F.when(F.col("reason").isNotNull(), "rejected").when(skip, "skipped").when(partial, "partial").otherwise("completed")).drop("seen")

@@ -10,7 +10,7 @@ from docloom.jobs.ingest import ingest
 from docloom.operators.documents import as_sources
 from docloom.operators.maxmin import ChunkingConfig
 
-_OUTCOMES = "document_id string, document_version string, source_identifier string, status string, reason string, chunk_count int"
+_OUTCOMES = "document_id string, document_version string, source_identifier string, status string, reason string, warnings array<string>, chunk_count int"
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -31,7 +31,7 @@ def ingest_folder(spark: SparkSession, folder: str, out: str, parser: str, mime_
         seen = f"{out}/outcomes"
         known = None
         if number:
-            known = spark.read.schema(_OUTCOMES + ", batch long").parquet(seen).filter((F.col("batch") < number) & (F.col("status") == "completed"))
+            known = spark.read.schema(_OUTCOMES + ", batch long").parquet(seen).filter((F.col("batch") < number) & F.col("status").isin("completed", "partial"))
         chunks, outcomes = ingest(batch, parser, known, config)
         chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         outcomes.write.mode("overwrite").parquet(f"{seen}/batch={number}")

@@ -1,8 +1,10 @@
+import json
 import os
 
 from docloom.jobs.ingest import ingest
 from docloom.operators import documents
 from docloom.operators.maxmin import ChunkingConfig
+from docloom.sources.tables import write_json
 from docloom.streaming.ingest import ingest_folder
 
 SMALL = ChunkingConfig(min_tokens=1, target_tokens=4, max_tokens=6)
@@ -32,6 +34,18 @@ def test_a_providers_fault_rejects_its_document(spark, tmp_path):
     assert chunks.count() == 0 and {(r.status, r.reason) for r in outcomes.collect()} == {("rejected", "unexpected_vector_count"), ("rejected", "empty_document")}
 
 
+def test_malformed_text_is_partial_and_written_as_json(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "m.txt").write_bytes(b"One two \xff three. Four five six.")
+    files = documents.read_files(spark, str(tmp_path / "in"), "text/plain")
+    chunks, outcomes = ingest(files, "txt", config=SMALL)
+    got = outcomes.first()
+    assert (got.status, got.warnings, got.chunk_count) == ("partial", ["malformed_text"], chunks.count()) and chunks.count() > 0
+    write_json(documents.parse(files, "txt"), f"{tmp_path}/deep/out")
+    row = json.loads(spark.read.text(f"{tmp_path}/deep/out").first()[0])
+    assert row["source_identifier"] == "m.txt" and row["title"] is None and row["elements"][0]["order"] == 0
+
+
 def test_stream_of_files(spark, tmp_path):
     write(tmp_path / "in")
     out = str(tmp_path / "out")

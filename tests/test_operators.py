@@ -325,6 +325,12 @@ def test_queries_are_answered_from_chunks(spark):
     assert (got[""].status, got[""].sources) == (422, [])
 
 
+def test_conversion_states(spark):
+    d = spark.createDataFrame([(1, None), (2, "SUCCESS"), (3, "partial_success"), (4, "Failure")], "i int, s string").orderBy("i")
+    both = d.select(*[documents.conversion_reason(F.col("s"), p).isNotNull() for p in ("pdf", "docx")]).collect()
+    assert [tuple(r) for r in both] == [(False, False), (False, False), (True, False), (True, True)]
+
+
 def test_orders_rise(spark):
     d = spark.createDataFrame([(1, [(0,), (2,)]), (2, [(0,), (0,)]), (3, [])], "i int, elements array<struct<order:int>>")
     assert [r[0] for r in d.orderBy("i").select(quality.order_violations(F.col("elements"))).collect()] == [[], ["order_not_rising"], ["no_elements"]]
