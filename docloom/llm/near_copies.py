@@ -1,7 +1,9 @@
 """Near copies: groups of texts whose five-word shingle sets have a Jaccard similarity of at least 0.8.
 
-Candidates meet in bands of MinHash values; every candidate pair is then
-checked on its whole shingle sets, so no pair below the similarity is linked.
+Candidates are what the trie join of SimHash fingerprints links (see simhash),
+and, as similar texts may differ in more bits than it can be asked for, what
+meets in bands of MinHash values. Every candidate pair is then checked on its
+whole shingle sets, so no pair below the similarity is linked.
 A pair at exactly 0.8 misses all bands with probability (1 - 0.8**4)**24 = 3e-6,
 a closer one with less.
 """
@@ -20,7 +22,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from docloom.llm.components import connected_components
 from docloom.llm.ranking import join_facts
-from docloom.llm.simhash import hashes_of
+from docloom.llm.simhash import fingerprint_links, fingerprint_of, hashes_of
 from docloom.llm.texts import utf8
 from docloom.sources.tables import materialize
 
@@ -29,7 +31,7 @@ WORDS = 5
 BANDS, ROWS = 24, 4
 #: Classes of either side that are compared in one group, and classes that are held against one copy of their leader.
 BLOCK, FOLLOWERS = 256, 256
-_PIECE = 4096
+_PIECE, _SLICE = 4096, 1 << 16
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -60,7 +62,12 @@ def _class_of(text: bytes) -> int:
 @F.pandas_udf(ArrayType(LongType()))
 def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([[_class_of(t), *bands_of(shingles_of(t))] for t in texts], dtype=object)
+        out = []
+        for t in texts:
+            shingles = shingles_of(t)
+            fp = int(fingerprint_of(shingles[at:at + _SLICE] for at in range(0, len(shingles), _SLICE)))
+            out.append([_class_of(t), fp - (1 << 64) if fp >> 63 else fp, *bands_of(shingles)])
+        yield pd.Series(out, dtype=object)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -130,14 +137,24 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _arrow(links)
 
 
-def _class_links(classes: DataFrame, docs: DataFrame, row_key: str) -> DataFrame:
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(leader, class) pairs that the trie join of the classes' fingerprints links: the least classes of linked fingerprints, and those of one fingerprint."""
+    firsts = materialize(classes.groupBy("fp").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")), "firsts")
+    a, b = firsts.select(F.col("fp").alias("a"), F.col("leader").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("leader").alias("y"))
+    near = fingerprint_links(firsts.select("fp")).join(a, "a").join(b, "b").select(F.least("x", "y").alias("leader"), F.greatest("x", "y").alias("class"))
+    return near.union(join_facts(classes.select("class", "fp"), firsts, "fp", "n").filter("class <> leader").select("leader", "class"))
+
+
+def _class_links(classes: DataFrame, docs: DataFrame, row_key: str, proposed: DataFrame | None = None) -> DataFrame:
     """(a, b) links that connect the similar classes (columns class, bands, row_key); ``docs`` has their texts.
 
-    Classes that share a band value meet in a bucket. First each is held
-    against the least class of its buckets, which settles families of near
-    copies in as many comparisons as they have members. Only buckets that still
-    hold several components are searched further: the classes outside the
-    bucket's largest component against all of it, in pairs of blocks.
+    ``proposed`` are pairs (leader, class) to be checked beside those that meet.
+
+    Classes that share a band value meet in a bucket. First each is held against
+    the least class of its buckets, which settles families of near copies in as
+    many comparisons as they have members. Only buckets that still hold several
+    components are searched further: the classes outside the bucket's largest
+    component against all of it, in pairs of blocks.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -153,7 +170,8 @@ def _class_links(classes: DataFrame, docs: DataFrame, row_key: str) -> DataFrame
     keyed = materialize(classes.select("class", F.explode(F.transform("bands", lambda v, i: F.xxhash64(i, v))).alias("bucket")), "keyed")
     buckets = materialize(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("leader")).filter("n > 1"), "buckets")
     met = materialize(join_facts(keyed, buckets, "bucket", "n"), "met")
-    pairs = materialize(met.filter("class <> leader").select("leader", "class").distinct(), "pairs")
+    pairs = met.filter("class <> leader").select("leader", "class")
+    pairs = materialize((pairs if proposed is None else pairs.union(proposed)).distinct(), "pairs")
     sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(FOLLOWERS)).alias("blocks"))
     leaders = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("class"), F.lit(0).alias("at"))
     followers = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("class"), "blocks").alias("block"), "class", F.lit(1).alias("at"))
@@ -182,6 +200,6 @@ def first_rows(docs: DataFrame, row_key: str) -> DataFrame:
     rows = docs.select("doc_id", F.col(row_key).alias("row_key"), _sketch(utf8()).alias("sketch"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "sketch")).alias("first")
     classes = materialize(rows.withColumn("class", F.col("sketch")[0]).groupBy("class").agg(first).select(
-        "class", "first.doc_id", "first.row_key", F.slice("first.sketch", 2, BANDS).alias("bands")), "classes")
-    roots = connected_components(_class_links(classes, docs, row_key)).withColumnRenamed("node", "class")
+        "class", "first.doc_id", "first.row_key", F.col("first.sketch")[1].alias("fp"), F.slice("first.sketch", 3, BANDS).alias("bands")), "classes")
+    roots = connected_components(_class_links(classes, docs, row_key, _fingerprint_pairs(classes))).withColumnRenamed("node", "class")
     return classes.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("component"), "doc_id", "row_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,16 +35,18 @@ def hashes_of(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
 
 
+def fingerprint_of(slices: Iterable[np.ndarray]) -> np.uint64:
+    """SimHash of a text's hashes: bit b is 1 if more than half of them have it; 0 without any."""
+    n, sums = 0, np.zeros(64, np.int64)
+    for hashes in slices:
+        n += len(hashes)
+        sums += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > n).view(">u8")[0]
+
+
 def fingerprints_of(texts: list[bytes], words: int = 3) -> np.ndarray:
-    """SimHash of each text: bit b is 1 if more than half of the shingles' hashes have it; 0 without words."""
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        n, sums = 0, np.zeros(64, np.int64)
-        for hashes in hashes_of(text, words):
-            n += len(hashes)
-            sums += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[i] = np.packbits(sums * 2 > n).view(">u8")[0]
-    return out
+    """SimHash of each text's shingles."""
+    return np.array([fingerprint_of(hashes_of(t, words)) for t in texts], np.uint64)
 
 
 def fingerprint(words: int = 3):
