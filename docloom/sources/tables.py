@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; in local mode, where all tasks share this machine, one of its own if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not f'{spark.conf.get("spark.master", "local")}['.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
