@@ -30,7 +30,7 @@ SEED = 42
 WORDS = 5
 BANDS, ROWS = 24, 4
 #: Classes of either side that are compared in one group, and classes that are held against one copy of their leader.
-BLOCK, FOLLOWERS = 256, 256
+BLOCK, FOLLOWERS = 256, 64
 _PIECE, _SLICE = 4096, 1 << 16
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
