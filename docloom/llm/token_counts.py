@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -45,12 +46,19 @@ class Splitter:
         return counts, len(parts) - 1
 
     def pieces(self, pretokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]
+        """Piece counts, a thousand encodings in memory at a time."""
+        return [len(e.ids) for at in range(0, len(pretokens), 1000) for e in self.tokenizer.encode_batch(pretokens[at:at + 1000], add_special_tokens=False)]
+
+
+@cache
+def _splitter(path: str) -> Splitter:
+    """One vocabulary in memory for all tasks of a worker."""
+    return Splitter(path)
 
 
 def _sampled_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen = Splitter(path), Counter()
+        splitter, seen = _splitter(path), Counter()
         for batch in batches:
             for part in blocks(batch, "utf8"):
                 for text in part.column("utf8").to_pylist():
@@ -72,9 +80,9 @@ def frequent_pretokens(docs: DataFrame, path: str, size: int, sample_rows: int)
 
 def _frequencies(path: str, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, known = Splitter(path), frequent.value
+        splitter, known = _splitter(path), frequent.value
         for batch in batches:
-            for part in blocks(batch, "utf8"):
+            for part in blocks(batch, "utf8", 1 << 20):
                 rows, base, words, counts = [], [], [], []
                 for raw in part.column("utf8").to_pylist():
                     found, total = splitter.frequencies(raw.decode("utf-8", "replace"))
@@ -98,7 +106,7 @@ def _frequencies(path: str, frequent):
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(path)
+        splitter = _splitter(path)
         for batch in batches:
             words = batch.column("pretoken").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("pretoken"), pa.array(splitter.pieces(words), pa.int64())], names=["pretoken", "pieces"])
