@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, hmm, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity
+from docloom.llm import decontaminate, hard_negatives, hmm, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, whitening
 from docloom.llm.texts import fold
 from docloom.sources.tables import read_table
 
@@ -67,6 +67,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("secrets")).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -78,8 +88,11 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -156,12 +169,10 @@ ORACLES: dict[str, str] = {
         )
         SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken FROM q LEFT JOIN k ON q.pos = k.pos
     """,
-    "op8_topk": f"""
-        WITH a AS (
+    "op8_topk": """
+        WITH v AS (
             SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), v AS (
-            SELECT * FROM a WHERE coalesce(list_max(list_transform(v, lambda x: abs(x))), 0) ** 2 * len(v) < {topk.LARGEST}
         ), p AS (
             SELECT q.nth AS query_nth, q.vec_id AS query_id, c.nth, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
             FROM v AS q JOIN v AS c ON q.nth <> c.nth AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
@@ -170,4 +181,21 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_nth ORDER BY score DESC, vec_id, nth) AS rank FROM p) WHERE rank <= 5
     """,
     "op10_secrets": _secrets_sql(),
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS nth, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.nth AS anchor, a.vec_id AS anchor_id, c.nth, c.vec_id, a.label = c.label AS alike, list_inner_product(a.v, c.v)::BIGINT AS score
+            FROM v AS a JOIN v AS c ON a.nth <> c.nth AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, nth) AS place FROM s WHERE alike) WHERE place <= 5
+        ), n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST, s.nth) AS rank
+            FROM p JOIN s ON p.anchor = s.anchor AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
 }

@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.vectors import EXACT, on_lattice, products, sound
 from docloom.sources.tables import materialize
 
 SCALE = 256
-#: The square of a vector's largest component, times its dimension, is below this, so that inner products fit a long.
-LARGEST = float(1 << 62)
 #: Vectors in a candidate block, and queries that are held against a block at once.
 BLOCK = 4096
 QUERIES = 2048
@@ -27,6 +26,7 @@ class SortedLists:
         self.rows, self.ids, self.vectors = rows[order], ids[order], vectors[order]
         self.lists = np.argsort(self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.lists, axis=0)
+        self.largest = float(np.abs(self.vectors).max()) if self.vectors.size else 0.0
 
     def search(self, query_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (position, score) for one query, ties to the smaller id, its own row left out.
@@ -41,6 +41,7 @@ class SortedLists:
         n, dims = self.vectors.shape
         used = np.flatnonzero(query)
         falling = query[used] > 0
+        exact = self.largest * float(np.abs(query).max(initial=0)) * dims < EXACT
         met = np.zeros(n, bool)
         best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth = 0
@@ -52,31 +53,38 @@ class SortedLists:
                 fresh = np.zeros(n, bool)
                 fresh[self.lists[at, used]] = True
                 new = np.flatnonzero(fresh & ~met)
-                bound = int(self.values[at[-1], used] @ query[used])
+                terms = self.values[at[-1], used] * query[used]
+                # rounding must not take the bound below what a vector can reach
+                bound = terms.sum() + (0 if exact else 1e-9 * np.abs(terms).sum())
             else:
                 new, bound = np.arange(n), 0
             met[new] = True
             depth = deeper
             new = new[self.rows[new] != query_row]
             best = np.concatenate([best, new])
-            score = np.concatenate([score, self.vectors[new] @ query])
+            score = np.concatenate([score, products(self.vectors[new], query, self.largest)])
             if len(best) > k:
                 # positions follow the ids, so equal scores go to the smaller id
-                top = np.lexsort((best, -score))[:k]
+                top = _order(best, score)[:k]
                 best, score = best[top], score[top]
             if met.all() or len(best) == k and bound < score.min():
                 break
-        top = np.lexsort((best, -score))[:k]
+        top = _order(best, score)[:k]
         return best[top], score[top]
 
 
+def _order(places: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Falling scores, ties to the smaller place; ~score is -score - 1, which every long has."""
+    return np.lexsort((places, ~scores))
+
+
 def _search_block(k: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(rows):
-            lists = SortedLists(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list()))
+            lists = SortedLists(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), np.stack(rows["v"].to_list()).astype(float))
             for query_row, query_id, query in zip(queries["row"].to_numpy(), queries["vec_id"].to_numpy(), queries["v"]):
-                best, score = lists.search(query_row, np.asarray(query), k)
+                best, score = lists.search(query_row, np.asarray(query, float), k)
                 out.append((np.full(len(best), query_row), np.full(len(best), query_id), lists.rows[best], lists.ids[best], score))
         columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
         return pd.DataFrame(dict(zip(("query_row", "query_id", "row", "vec_id", "score"), columns)))
@@ -84,12 +92,9 @@ def _search_block(k: int):
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(row, vec_id, v): components as floor(scale * x) and a key of each row's own; vectors that take no part are left out."""
-    part = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    part = part.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & sound).select("vec_id", F.transform("e", lambda x: F.floor(x * scale)).alias("v"))
-    largest = F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))), F.lit(0.0))
-    return part.filter(largest * largest * F.size("v") < F.lit(LARGEST)).withColumn("row", F.monotonically_increasing_id())
+    """(row, vec_id, v): components as floor(scale * x), in doubles, and a key of each row's own; vectors that take no part are left out."""
+    part = sound(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull()))
+    return part.select("vec_id", F.transform("embedding", lambda x: on_lattice(x, scale)).alias("v")).withColumn("row", F.monotonically_increasing_id())
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -> DataFrame:
@@ -100,10 +105,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE) -
     Rows with one vec_id are rows of their own: each is a query with k results
     and a candidate of the others, whether their vectors are equal or not. Rows
     with a null id, and vectors that are null or hold null or non-finite
-    components, take no part, nor do vectors with a component so large that an
-    inner product might not fit a long; vectors are compared with those of
-    their own dimension only; an empty table gives an empty result; other
-    columns are not read.
+    components, take no part; a score that does not fit a long counts as the
+    nearest long; vectors are compared with those of their own dimension only;
+    an empty table gives an empty result; other columns are not read.
 
     Candidates are dealt by a hash of the row into blocks of about BLOCK
     vectors and queries into blocks of about QUERIES, whose number follows the

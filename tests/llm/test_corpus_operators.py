@@ -189,20 +189,29 @@ def test_trie_join(seed, n):
     assert pairs((0, n, 0, n)) == [(i, j) for i in range(len(a)) for j in range(i + 1, len(a)) if (int(a[i]) ^ int(a[j])).bit_count() <= 2]
 
 
+def lattice(x, scale):
+    """floor(scale * x) as an integer, of the largest double at most."""
+    return int(np.floor(np.clip(float(x) * scale, -np.finfo(float).max, np.finfo(float).max)))
+
+
+def product(a, b):
+    return max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b))))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist(), "x") for i in range(300)]
     rows += [(300, rows[1][1], "x"), (301, None, "x"), (302, [float("nan")] * 8, "x"), (303, [None] * 8, "x"), (None, rows[2][1], "x"), (350, [0.0] * 8, "x")]
     rows += [rows[7], (50, rng.normal(size=8).tolist(), "x"), rows[100], (9, [1e30] * 8, "x"), (400, [-3e15] * 8, "x"), (10, [2.0] * 3, "x"), (11, [], "x")]
+    rows += [(12, [1e8] * 8, "x"), (500, [1.0] * 8, "x"), (550, [-1e307] * 8, "x")]  # products with these fit a long or are cut to it
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
-    got = Counter(map(tuple, topk.top_k(d).collect()))
-    usable = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows if i is not None and v is not None and None not in v and not np.isnan(v).any() and max(map(abs, v), default=0) < 1e10]
+    usable = [(i, [lattice(x, 256) for x in v]) for i, v, _ in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()]
     want = Counter()
     for n, (q, a) in enumerate(usable):
         if q % 50 == 0:
-            best = sorted((-int(a @ b), i) for m, (i, b) in enumerate(usable) if m != n and len(a) == len(b))[:5]
+            best = sorted((-product(a, b), i) for m, (i, b) in enumerate(usable) if m != n and len(a) == len(b))[:5]
             want.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
-    assert got == want
+    assert Counter(map(tuple, topk.top_k(d).collect())) == want
     assert topk.top_k(d.filter("false")).count() == 0
 
 
