@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, hard_negatives, hmm, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, whitening
+from docloom.llm import decontaminate, hard_negatives, hmm, html_text, mixing, quality, secrets, sharding, simhash, token_counts, topk, toxicity, whitening
 from docloom.llm.texts import fold
 from docloom.sources.tables import read_table
 
@@ -73,6 +73,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_text": op12_html_text,
     "op13_whitening": op13_whitening,
 }
 
