@@ -406,6 +406,86 @@ def chunk_links(spark, sf_dir):
     return _halved(spark, sf_dir).select("document_id", "chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
+#: Directions of length one whose cosines (1, 1/2, 0, -1/2) are exact in floating point.
+_DIRECTIONS = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.5, 0.5, 0.5, 0.5], [0.5, 0.5, -0.5, -0.5], [0.5, -0.5, 0.5, -0.5]]
+_COSINES = str([[sum(x * y for x, y in zip(a, b)) for b in _DIRECTIONS] for a in _DIRECTIONS])
+_LETTERS = maxmin.ChunkingConfig(min_tokens=80, target_tokens=200, max_tokens=300, hard_threshold=0.3)
+
+
+def initial_directions(texts: list[str]) -> list[list[float]]:
+    """An embedding with five directions, by the code point that a text begins with."""
+    return [_DIRECTIONS[ord(t[0]) % 5] for t in texts]
+
+
+def letters(texts: list[str]) -> list[int]:
+    """A counter of characters: what lies between units counts too, so counts do not add up."""
+    return [len(t) for t in texts]
+
+
+def _rendered_sql() -> str:
+    """All rules of the chunker, each step on lists of a document's units: their directions ds, where their texts begin (b) and end (e), counted from 1."""
+    size = lambda first, stop: f"(e[{stop} - 1] - b[{first}])"
+    ends = f"list_filter(range(start + 1, m), lambda x: {size('start', 'x')} <= 300)"
+    reach = f"list_filter({ends}, lambda x: {size('start', 'x')} >= 200)"
+    nearest = f"list_sort(list_transform({reach}, lambda x: {{'c': cos[ds[x - 1]][ds[x]], 'd': abs({size('start', 'x')} - 200), 'x': x}}))[1].x"
+    stop = f"CASE WHEN {size('start', 'm')} <= 300 THEN m WHEN len({reach}) > 0 THEN {nearest} ELSE ({ends})[-1] END"
+    near = "list_max(flatten(list_transform(l[j].p, lambda x: list_transform(l[j + 1].p, lambda y: cos[x][y]))))"
+    option = lambda left, at: f"{{'n': {near}, 'left': {left}, 'at': {at}, 'j': j}}"
+    small = lambda at: f"{size(f'l[{at}].a', f'l[{at}].z')} < 80"
+    tokens = "sum(length(text) + CASE WHEN nth = x.a THEN 0 ELSE length(separator) END)"
+    fits = f"{size('l[j].a', 'l[j + 1].z')} <= 300"
+    options = f"""list_filter(list_concat(
+        list_transform(range(1, len(l)), lambda j: CASE WHEN {small('j + 1')} AND {fits} THEN {option(1, 'j + 1')} END),
+        list_transform(range(1, len(l)), lambda j: CASE WHEN {small('j')} AND {fits} THEN {option(0, 'j')} END)), lambda o: o IS NOT NULL)"""
+    return rf"""
+    WITH RECURSIVE {_sentences_sql(_BROKEN)}, q AS (
+        SELECT doc_id, sentence_index, gap, unnest(l) AS piece, unnest(list_prepend(NULL, l[:-2])) AS before, generate_subscripts(l, 1) AS part
+        FROM (SELECT doc_id, sentence_index, gap, regexp_extract_all(sentence, '(?s)\S(?:.{{0,298}}\S)?(?:\s+|$)|\S{{300}}') AS l FROM s)
+    ), u AS (
+        SELECT doc_id, trim(piece, E' \n\t\r') AS text, CASE WHEN part = 1 THEN gap ELSE regexp_extract(before, '\s*$') END AS separator,
+            row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index, part) AS nth FROM q
+    ), placed AS (
+        SELECT *, sum(length(text) + CASE WHEN nth > 1 THEN length(separator) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM u
+    ), listed AS (
+        SELECT doc_id, {_COSINES}::DOUBLE[][] AS cos, list(unicode(text) % 5 + 1 ORDER BY nth) AS ds, list(stop - length(text) ORDER BY nth) AS b, list(stop ORDER BY nth) AS e FROM placed GROUP BY doc_id
+    ), folded AS (
+        SELECT doc_id, cos, ds, 1::BIGINT AS i, 0 AS k, 1 AS size, NULL::DOUBLE AS low, [ds[1]] AS held FROM listed
+        UNION ALL
+        SELECT doc_id, cos, ds, i + 1, CASE WHEN j THEN k ELSE k + 1 END, CASE WHEN j THEN size + 1 ELSE 1 END, CASE WHEN j THEN least(low, list_min(s)) END, CASE WHEN j THEN list_distinct(held || [ds[i + 1]]) ELSE [ds[i + 1]] END
+        FROM (
+            SELECT *, CASE WHEN size = 1 THEN 1.5 * s[1] > 0.3 ELSE list_max(s) > greatest(0.3, low * 0.9 / (1 + exp((1 - size)::DOUBLE))) END AS j
+            FROM (SELECT *, list_transform(held, lambda h: cos[h][ds[i + 1]]) AS s FROM folded WHERE i < len(ds))
+        )
+    ), clusters AS (
+        SELECT doc_id, cos, ds, b, e, a AS first, m FROM (SELECT doc_id, k, min(i) AS a, max(i) + 1 AS m FROM folded GROUP BY doc_id, k) JOIN listed USING (doc_id)
+    ), cuts AS (
+        SELECT doc_id, cos, ds, b, e, m, start, {stop} AS stop FROM (SELECT *, first AS start FROM clusters)
+        UNION ALL
+        SELECT doc_id, cos, ds, b, e, m, start, {stop} FROM (SELECT doc_id, cos, ds, b, e, m, stop AS start FROM cuts WHERE stop < m)
+    ), runs AS (
+        SELECT listed.*, l FROM (SELECT doc_id, list({{'a': start, 'z': stop, 'p': list_distinct(ds[start:stop - 1])}} ORDER BY start) AS l FROM cuts GROUP BY doc_id) JOIN listed USING (doc_id)
+    ), merged AS (
+        SELECT *, list_sort({options}, 'DESC')[1] AS best FROM runs
+        UNION ALL
+        SELECT *, list_sort({options}, 'DESC')[1]
+        FROM (SELECT doc_id, cos, ds, b, e, list_concat(l[:best.j - 1], [{{'a': l[best.j].a, 'z': l[best.j + 1].z, 'p': list_distinct(l[best.j].p || l[best.j + 1].p)}}], l[best.j + 2:]) AS l FROM merged WHERE best IS NOT NULL)
+    ), chunks AS (
+        SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_index, unnest(l) AS x FROM merged WHERE best IS NULL
+    )
+    SELECT u.doc_id::VARCHAR AS document_id, chunk_index::INTEGER AS chunk_index, (x.a - 1)::INTEGER AS unit_start, (x.z - 2)::INTEGER AS unit_end,
+        string_agg(CASE WHEN nth = x.a THEN text ELSE separator || text END, '' ORDER BY nth) AS content, {tokens}::INTEGER AS token_count, {tokens} < 80 AS below_min_tokens
+    FROM chunks JOIN u ON u.doc_id = chunks.doc_id AND nth >= x.a AND nth < x.z GROUP BY ALL
+    """
+
+
+@query("maxmin_rendered", _rendered_sql())
+def maxmin_rendered(spark, sf_dir):
+    """The whole chunker, merging included, with embeddings of several directions and a counter of characters of the rendered text."""
+    docs = _as_parsed(_spread(_documents(spark, sf_dir)).withColumn("text", _broken()))
+    made = maxmin.chunk_documents(sentences.units(docs), _LETTERS, embed=initial_directions, count=letters)
+    return made.select("document_id", "chunk_index", "unit_start", "unit_end", "content", "token_count", "below_min_tokens")
+
+
 @query("maxmin_chunks_hashed")
 def maxmin_chunks_hashed(spark, sf_dir):
     """The whole chunker with the default bounds and local embeddings over all documents."""

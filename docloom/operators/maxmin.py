@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,28 +45,102 @@ class ChunkingConfig:
             raise ValueError("; ".join(faults))
 
 
-def _cut_oversized(cluster: range, counts: np.ndarray, close: np.ndarray, c: ChunkingConfig) -> list[range]:
-    """Cuts of one cluster into runs within max_tokens.
+class RunCounts:
+    """Token counts of a document's runs of units as they are rendered, each asked for once.
+
+    A run is named by its first unit and the unit behind its last. Without
+    ``count`` tokens are words: where every gap ends or begins with white space
+    these add up, so sums serve. With it the text of a run is counted, many
+    runs to a call. ``rising`` says that counts do not fall when units are added
+    at the end, as those of tokenizers do not; ends are then found by bisection
+    from where the units' own counts put them.
+    """
+
+    def __init__(self, units: Sequence[dict], count: Count | None = None, rising: bool = True, batch: int = 256):
+        self.count, self.rising, self.batch = count, rising, batch
+        texts = [u["text"] for u in units]
+        gaps = ["" if not i else u["separator"] or "" for i, u in enumerate(units)]
+        if count is None and not all(g[:1].isspace() or g[-1:].isspace() for g in gaps[1:]):
+            self.count = lambda texts: [len(t.split()) for t in texts]
+        self.sizes: list[int] = [len(t.split()) for t in texts] if count is None else [n for at in range(0, len(texts), batch) for n in counted(texts[at:at + batch], count)]
+        self.total = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.known: dict[tuple[int, int], int] = {}
+        if self.count is not None:
+            self.text = "".join(g + t for g, t in zip(gaps, texts))
+            self.stops = np.cumsum([len(g) + len(t) for g, t in zip(gaps, texts)]).tolist()
+            self.starts = [stop - len(t) for stop, t in zip(self.stops, texts)]
+
+    def of(self, runs: Sequence[tuple[int, int]]) -> list[int]:
+        if self.count is None:
+            return [int(self.total[stop] - self.total[start]) for start, stop in runs]
+        new = [r for r in dict.fromkeys(runs) if r not in self.known]
+        for at in range(0, len(new), self.batch):
+            part = new[at:at + self.batch]
+            self.known.update(zip(part, counted([self.text[self.starts[start]:self.stops[stop - 1]] for start, stop in part], self.count)))
+        return [self.known[r] for r in runs]
+
+    def one(self, start: int, stop: int) -> int:
+        return self.of([(start, stop)])[0]
+
+    def last_within(self, start: int, stop: int, most: int) -> int:
+        """The last end up to ``stop`` with at most ``most`` tokens from ``start``, which itself counts as none; counts rise."""
+        if stop <= start:
+            return start
+        if self.count is None:
+            return min(stop, int(np.searchsorted(self.total, self.total[start] + most, "right")) - 1)
+        guess = min(stop, max(start + 1, int(np.searchsorted(self.total, self.total[start] + most, "right")) - 1))
+        step = 1
+        if self.one(start, guess) <= most:
+            low = guess
+            while low + step <= stop and self.one(start, low + step) <= most:
+                low, step = low + step, 2 * step
+            high = min(low + step, stop + 1)
+        else:
+            high = guess
+            while high - step > start and self.one(start, high - step) > most:
+                high, step = high - step, 2 * step
+            low = max(start, high - step)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.one(start, middle) <= most else (low, middle)
+        return low
+
+    def ends(self, start: int, stop: int, c: ChunkingConfig, rising: bool) -> tuple[np.ndarray, bool]:
+        """Ends short of ``stop`` with at most max_tokens from ``start``: those that reach the target if any does (True), else the best of the others."""
+        if rising:
+            last, below = self.last_within(start, stop - 1, c.max_tokens), self.last_within(start, stop - 1, c.target_tokens - 1)
+            return (np.arange(below + 1, last + 1), True) if below < last else (np.arange(last, last + 1)[last == start:], False)
+        found = np.arange(start + 1, stop)
+        counts = np.array(self.of([(start, e) for e in found.tolist()]))
+        found, counts = found[counts <= c.max_tokens], counts[counts <= c.max_tokens]
+        if (counts >= c.target_tokens).any():
+            return found[counts >= c.target_tokens], True
+        return found[np.lexsort((found, counts))[-1:]], False
+
+
+def _cut_oversized(cluster: range, counts: RunCounts, close: np.ndarray, c: ChunkingConfig) -> list[range]:
+    """Cuts of one cluster into runs whose text has at most max_tokens.
 
     Among the ends that reach the target, the cut goes where the neighbours are
-    least alike, then nearest to the target; if none reaches it, as far as fits.
+    least alike, then nearest to the target, then first; if none reaches it,
+    where the count is largest.
     """
     out, start, stop = [], cluster.start, cluster.stop
-    total = np.concatenate([[0], np.cumsum(counts)])
-    while total[stop] - total[start] > c.max_tokens:
-        ends = np.arange(start + 1, stop)
-        size = total[ends] - total[start]
-        ends, size = ends[size <= c.max_tokens], size[size <= c.max_tokens]
-        if not len(ends):
-            raise ValueError("a unit is larger than max_tokens")
-        reach = size >= c.target_tokens
-        if reach.any():
-            ends, size = ends[reach], size[reach]
-            best = np.lexsort((ends, abs(size - c.target_tokens), close[ends]))[0]
+    while (counts.last_within(start, stop, c.max_tokens) < stop) if counts.rising else counts.one(start, stop) > c.max_tokens:
+        for rising in (True, False) if counts.rising else (False,):
+            ends, reach = counts.ends(start, stop, c, rising)
+            if len(ends) > 1 and reach:
+                ends = ends[close[ends] == close[ends].min()]
+            if len(ends) > 1:
+                away = abs(np.array(counts.of([(start, e) for e in ends.tolist()])) - c.target_tokens)
+                ends = ends[np.lexsort((ends, away))]
+            # a counter that falls after all is met by counting every end
+            if len(ends) and counts.one(start, int(ends[0])) <= c.max_tokens:
+                break
         else:
-            best = np.lexsort((ends, size))[-1]
-        out.append(range(start, int(ends[best])))
-        start = int(ends[best])
+            raise ProviderFault("unit_over_maximum")
+        out.append(range(start, int(ends[0])))
+        start = int(ends[0])
     return [*out, range(start, stop)]
 
 
@@ -76,27 +149,28 @@ def affinity(unit: np.ndarray, left: range, right: range) -> float:
     return float((unit[left.start:left.stop] @ unit[right.start:right.stop].T).max())
 
 
-def _merge_undersized(clusters: list[range], counts: np.ndarray, unit: np.ndarray, c: ChunkingConfig) -> list[range]:
-    """Neighbours joined while a cluster is under min_tokens and the union fits: closest pair first, left before right, then the later one.
+def _merge_undersized(clusters: list[range], counts: RunCounts, unit: np.ndarray, c: ChunkingConfig) -> list[range]:
+    """Neighbours joined while a cluster is under min_tokens and the text of the union fits: closest pair first, left before right, then the later one.
 
     The options lie in a heap; a join adds those of the new cluster and of its
     neighbours, and options of clusters that are gone are passed over.
     """
-    total = np.concatenate([[0], np.cumsum(counts)])
-    size = lambda r: int(total[r.stop] - total[r.start])
     begins, ends = {r.start: r for r in clusters}, {r.stop: r for r in clusters}
     heap: list[tuple] = []
+    small = lambda r: counts.one(r.start, r.stop) < c.min_tokens
 
     def offer(left: range | None, right: range | None) -> None:
-        if left is None or right is None or size(left) + size(right) > c.max_tokens:
+        if left is None or right is None:
             return
-        small = [size(r) < c.min_tokens for r in (left, right)]
-        if any(small):
+        under = [small(left), small(right)]
+        if any(under) and counts.one(left.start, right.stop) <= c.max_tokens:
             near = affinity(unit, left, right)
-            for under, r, to_left in zip(small, (left, right), (0, 1)):
-                if under:
+            for is_small, r, to_left in zip(under, (left, right), (0, 1)):
+                if is_small:
                     heapq.heappush(heap, (-near, -to_left, -r.start, left.start, left.stop, right.stop))
 
+    counts.of([(r.start, r.stop) for r in clusters])
+    counts.of([(left.start, right.stop) for left, right in zip(clusters, clusters[1:]) if small(left) or small(right)])
     for left, right in zip(clusters, clusters[1:]):
         offer(left, right)
     while heap:
@@ -137,8 +211,8 @@ def cluster_fold(unit: np.ndarray, c: ChunkingConfig) -> np.ndarray:
     return out
 
 
-def bounded_clusters(vectors: np.ndarray, counts: np.ndarray, c: ChunkingConfig) -> np.ndarray:
-    """Cluster numbers of a document's units after the token bounds are enforced; maximum strict, minimum where neighbours fit."""
+def bounded_clusters(vectors: np.ndarray, counts: RunCounts, c: ChunkingConfig) -> np.ndarray:
+    """Cluster numbers of a document's units after the token bounds are enforced on their text; maximum strict, minimum where neighbours fit."""
     if not len(vectors):
         return np.zeros(0, np.int32)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -240,38 +314,71 @@ def counted(texts: list[str], count: Count) -> list[int]:
     return got
 
 
-def longest_prefix(text: str, ends: Sequence[int], most: int, count: Count) -> int | None:
-    """The last of the rising ``ends`` up to which the trimmed text has at most ``most`` tokens, by bisection: counts rise with the text."""
-    low, high, best = 0, len(ends) - 1, None
-    while low <= high:
+def longest_prefix(text: str, start: int, ends: Sequence[int], most: int, count: Count) -> int | None:
+    """How many of the rising ``ends`` of prefixes of text[start:] can be taken with at most ``most`` tokens, less one; None if not the first.
+
+    Steps double until the count is over the maximum, then halve: counts rise
+    with the text, so what is counted is little longer than what is returned.
+    """
+    def fits(i: int) -> bool:
+        part = text[start:ends[i]].strip()
+        return bool(part) and counted([part], count)[0] <= most
+
+    if not len(ends) or not fits(0):
+        return None
+    low, step = 0, 1
+    while low + step < len(ends) and fits(low + step):
+        low, step = low + step, 2 * step
+    high = min(low + step, len(ends))
+    while high - low > 1:
         middle = (low + high) // 2
-        if (part := text[:ends[middle]].strip()) and counted([part], count)[0] <= most:
-            best, low = ends[middle], middle + 1
-        else:
-            high = middle - 1
-    return best
+        low, high = (middle, high) if fits(middle) else (low, middle)
+    return low
 
 
 def split_by_tokens(text: str, most: int, count: Count) -> list[tuple[str, str]]:
     """(gap, text) pieces of at most ``most`` tokens: as many whole words as fit, and of a word that does not fit as many characters."""
-    out, gap = [], ""
-    while text:
-        ends = [m.end() for m in re.finditer(r"\S+\s*", text)]
-        end = longest_prefix(text, ends, most, count) or longest_prefix(text, range(1, ends[0] + 1), most, count)
-        if end is None:
-            raise ProviderFault("character_over_maximum")
-        piece, rest = text[:end].rstrip(), text[end:].lstrip()
-        out.append((gap, piece))
-        gap, text = text[len(piece):len(text) - len(rest)], rest
+    ends = [m.end() for m in re.finditer(r"\S+\s*", text)]
+    out, start, word, before = [], len(text) - len(text.lstrip()), 0, 0
+    while start < len(text):
+        place = longest_prefix(text, start, _Tail(ends, word), most, count)
+        if place is not None:
+            word += place + 1
+            stop = ends[word - 1]
+        else:
+            letters = range(start + 1, ends[word] + 1)
+            place = longest_prefix(text, start, letters, most, count)
+            if place is None:
+                raise ProviderFault("character_over_maximum")
+            stop = letters[place]
+            word += stop == ends[word]
+        piece = text[start:stop].strip()
+        begin = text.index(piece, start)
+        out.append((text[before:begin] if out else "", piece))
+        before, start = begin + len(piece), stop
     return out
 
 
-def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32) -> DataFrame:
+class _Tail(Sequence):
+    """A list from some place on, without a copy."""
+
+    def __init__(self, values: Sequence[int], start: int):
+        self.values, self.start = values, start
+
+    def __len__(self) -> int:
+        return len(self.values) - self.start
+
+    def __getitem__(self, i: int) -> int:
+        return self.values[self.start + i]
+
+
+def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32, rising: bool = True) -> DataFrame:
     """(document_id, document_version, units, tokens, runs, fault): the runs of units that are chunks, one row per document.
 
     ``embed`` gives the vectors of the units, asked for ``batch`` at a time.
     Without ``count`` tokens are words and units are cut as expressions; with it
-    units are cut where they are counted. ``fault`` says why a document has no
+    units are cut where they are counted, and a run's tokens are those of its
+    text, which need not be the sum of its units' (see RunCounts). ``fault`` says why a document has no
     runs: what a provider returned for it could not be used.
     """
     if count is None:
@@ -282,12 +389,13 @@ def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embedd
         if count is not None:
             units = [u | ({"text": t, "separator": gap if i else u["separator"], "forced": True} if cut else {}) for u in units
                      for cut, pieces in [_pieces(u["text"], c.max_tokens, count)] for i, (gap, t) in enumerate(pieces)]
-        texts = [u["text"] for u in units]
-        tokens = counted(texts, count) if count is not None else [len(t.split()) for t in texts]
+        counts = RunCounts(units, count, rising)
         if not units:
-            return units, tokens, []
-        sizes = np.bincount(bounded_clusters(embedded(texts, embed, batch), np.array(tokens), c))
-        return units, tokens, [{"first": int(f), "size": int(s)} for f, s in zip(np.cumsum(sizes) - sizes, sizes)]
+            return units, counts.sizes, []
+        sizes = np.bincount(bounded_clusters(embedded([u["text"] for u in units], embed, batch), counts, c)).tolist()
+        firsts = [int(stop) - size for stop, size in zip(np.cumsum(sizes), sizes)]
+        held = counts.of([(first, first + size) for first, size in zip(firsts, sizes)])
+        return units, counts.sizes, [{"first": first, "size": size, "tokens": n} for first, size, n in zip(firsts, sizes, held)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,12 +412,12 @@ def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embedd
                 [b.column("document_id"), b.column("document_version"), column, pa.array(tokens, pa.list_(pa.int32())), pa.array(runs, _RUNS), pa.array(faults, pa.string())],
                 names=["document_id", "document_version", "units", "tokens", "runs", "fault"])
 
-    run_type = StructType().add("first", "integer").add("size", "integer")
+    run_type = StructType().add("first", "integer").add("size", "integer").add("tokens", "integer")
     schema = StructType(list(kept.schema.fields)).add("tokens", ArrayType(IntegerType())).add("runs", ArrayType(run_type)).add("fault", "string")
     return kept.mapInArrow(run, schema)
 
 
-_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())]))
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("tokens", pa.int32())]))
 
 
 def _pieces(text: str, most: int, count: Count) -> tuple[bool, list[tuple[str, str]]]:
@@ -327,14 +435,14 @@ def common_path(paths: Column) -> Column:
 
 
 def chunk_documents(docs: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: str = "semantic_max_min", version: str = "1",
-                    embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32) -> DataFrame:
+                    embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32, rising: bool = True) -> DataFrame:
     """Chunks of documents with ``units`` (see sentences.units): one row per chunk, in the order of chunk_index.
 
     A document stays one row until its chunks are made; only the links between
     finished chunks shuffle. A document without units has no chunks, nor has one
     for which a provider failed (see plan_chunks for its fault).
     """
-    return render_chunks(plan_chunks(docs, c, embed, count, batch), c, name, version, count)
+    return render_chunks(plan_chunks(docs, c, embed, count, batch, rising), c, name, version, count)
 
 
 def render_chunks(plan: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: str = "semantic_max_min", version: str = "1", count: Count | None = None) -> DataFrame:
@@ -345,9 +453,7 @@ def render_chunks(plan: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: s
     content = F.concat(us[0]["text"], F.array_join(F.transform(F.slice(us, 2, F.size(us)), lambda u: F.concat(u["separator"], u["text"])), ""))
     kinds = F.array_distinct(F.transform(us, lambda u: u["element_type"]))
     pages = F.filter(F.transform(us, lambda u: u["page_number"]), lambda p: p.isNotNull())
-    tokens = word_count(F.col("content"))
-    if count is not None:
-        tokens = F.pandas_udf(lambda texts: pd.Series(counted(texts.tolist(), count)), "int")("content")
+    tokens = word_count(F.col("content")) if count is None else F.col("run.tokens")
     d = d.withColumn("content", content).select(
         "document_id", "document_version", F.lit(None).cast("string").alias("parent_chunk_id"), "chunk_index", "content", F.col("content").alias("embedding_text"),
         content_checksum(F.col("content")).alias("content_checksum"), tokens.alias("token_count"), F.when(F.size(kinds) == 1, kinds[0]).otherwise("mixed").alias("content_type"),

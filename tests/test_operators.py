@@ -4,10 +4,12 @@ import re
 import zipfile
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from docloom.functions import identity
 from docloom.jobs import answering
@@ -58,8 +60,12 @@ def config(**more):
     return maxmin.ChunkingConfig(**{"min_tokens": 1, "target_tokens": 20, "max_tokens": 40} | more)
 
 
+def words_of(counts):
+    return maxmin.RunCounts([{"text": " ".join(["w"] * n), "separator": " "} for n in counts])
+
+
 def runs(vectors, counts, **more):
-    numbers = maxmin.bounded_clusters(np.array(vectors, float), np.array(counts), config(**more))
+    numbers = maxmin.bounded_clusters(np.array(vectors, float), words_of(counts), config(**more))
     return np.bincount(numbers).tolist()
 
 
@@ -79,16 +85,15 @@ def test_oversized_and_undersized_clusters():
 def test_bounds_hold(units):
     vectors = np.array([[np.cos(a), np.sin(a)] for _, a in units])
     counts = np.array([n for n, _ in units])
-    numbers = maxmin.bounded_clusters(vectors, counts, config())
+    numbers = maxmin.bounded_clusters(vectors, words_of(counts), config())
     assert (np.diff(numbers) >= 0).all() and (np.bincount(numbers, counts) <= 40).all()
 
 
-def merged_slowly(clusters, counts, unit, c):
-    """All options are looked at anew before every merge."""
-    size = lambda r: int(counts[r.start:r.stop].sum())
+def merged_slowly(clusters, size, unit, c):
+    """All options are looked at anew before every merge; size(first, stop) counts a run."""
     while True:
-        options = [(maxmin.affinity(unit, clusters[j], clusters[j + 1]), j < i, i, j) for i, r in enumerate(clusters) if size(r) < c.min_tokens
-                   for j in (i - 1, i) if 0 <= j < len(clusters) - 1 and size(clusters[j]) + size(clusters[j + 1]) <= c.max_tokens]
+        options = [(maxmin.affinity(unit, clusters[j], clusters[j + 1]), j < i, i, j) for i, r in enumerate(clusters) if size(r.start, r.stop) < c.min_tokens
+                   for j in (i - 1, i) if 0 <= j < len(clusters) - 1 and size(clusters[j].start, clusters[j + 1].stop) <= c.max_tokens]
         if not options:
             return clusters
         j = max(options)[3]
@@ -102,12 +107,113 @@ def test_merging_from_a_heap_is_merging_slowly(units):
     counts, c = np.array([n for n, *_ in units]), config(min_tokens=12, target_tokens=20, max_tokens=40)
     cuts = [0, *(i for i in range(1, len(units)) if units[i][2]), len(units)]
     clusters = [range(a, b) for a, b in zip(cuts, cuts[1:])]
-    assert maxmin._merge_undersized(clusters, counts, unit, c) == merged_slowly(clusters, counts, unit, c)
+    assert maxmin._merge_undersized(clusters, words_of(counts), unit, c) == merged_slowly(clusters, lambda a, b: counts[a:b].sum(), unit, c)
+
+
+def cut_slowly(cluster, size, unit, c):
+    """Every end is counted for every cut."""
+    out, start = [], cluster.start
+    while size(start, cluster.stop) > c.max_tokens:
+        fitting = [(size(start, e), e) for e in range(start + 1, cluster.stop) if size(start, e) <= c.max_tokens]
+        far = [((unit[e - 1] * unit[e]).sum(), abs(n - c.target_tokens), e) for n, e in fitting if n >= c.target_tokens]
+        end = min(far)[-1] if far else max(fitting)[-1]
+        out.append(range(start, end))
+        start = end
+    return [*out, range(start, cluster.stop)]
+
+
+def chunked_slowly(units, vectors, count, c):
+    def size(first, stop):
+        text = "".join((u["separator"] if i else "") + u["text"] for i, u in enumerate(units[first:stop]))
+        return count([text])[0]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    numbers = maxmin.cluster_fold(unit, c)
+    starts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(units)]
+    cut = [r for a, b in zip(starts, starts[1:]) for r in cut_slowly(range(a, b), size, unit, c)]
+    return [(r.start, r.stop) for r in merged_slowly(cut, size, unit, c)], size
+
+
+def byte_pairs(texts, cache=[]):
+    if not cache:
+        cache.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return [max(1, len(e.ids)) for e in cache[0].encode_batch(texts, add_special_tokens=False)]
+
+
+def letters(texts):
+    return [max(1, len(t)) for t in texts]
+
+
+def falling(texts):
+    """A counter that falls when a run ends with x."""
+    return [max(1, len(t) - 9 * t.endswith("x")) for t in texts]
+
+
+def words_joined(texts):
+    return [max(1, len(t.split())) for t in texts]
+
+
+UNITS = st.lists(st.tuples(st.text("abx ,.\u00e9\u4e2d", min_size=1, max_size=12).map(lambda t: t.strip() or "a"), st.sampled_from(["", " ", "\n\n", "  \n "]), st.integers(0, 4)), min_size=1, max_size=25)
+
+
+@pytest.mark.parametrize("count", [letters, byte_pairs, falling, words_joined])
+@settings(max_examples=80, deadline=None)
+@given(UNITS, st.sampled_from([(1, 8, 14), (6, 12, 20), (13, 14, 30)]))
+def test_bounds_hold_for_rendered_text(count, made, bounds):
+    """No chunk is over the maximum, and chunks are those of the plain rule, which counts every run."""
+    c = maxmin.ChunkingConfig(min_tokens=bounds[0], target_tokens=bounds[1], max_tokens=bounds[2])
+    units = [{"text": t, "separator": g} for t, g, _ in made]
+    vectors = np.array([DIRECTIONS[k] for *_, k in made])
+    counts = maxmin.RunCounts(units, count, rising=count is letters or count is words_joined)
+    numbers = maxmin.bounded_clusters(vectors, counts, c)
+    stops = np.cumsum(np.bincount(numbers)).tolist()
+    want, size = chunked_slowly(units, vectors, count, c)
+    assert list(zip([0, *stops], stops)) == want
+    assert all(size(a, b) <= c.max_tokens for a, b in want)
+
+
+#: Of length one, with cosines of 1, 1/2, 0 and -1/2 that are exact.
+DIRECTIONS = [[1, 0, 0, 0], [0, 1, 0, 0], [.5, .5, .5, .5], [.5, .5, -.5, -.5], [.5, -.5, .5, -.5]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(UNITS, st.integers(9, 30))
+def test_counters_that_fall_stay_within_the_maximum_when_said_to_rise(made, most):
+    c = maxmin.ChunkingConfig(min_tokens=most // 2, target_tokens=most - 2, max_tokens=most)
+    units = [{"text": t[:9], "separator": g} for t, g, _ in made]
+    for count in (falling, byte_pairs):
+        counts = maxmin.RunCounts(units, count)
+        stops = np.cumsum(np.bincount(maxmin.bounded_clusters(np.array([DIRECTIONS[k] for *_, k in made]), counts, c))).tolist()
+        assert all(counts.one(a, b) <= most for a, b in zip([0, *stops], stops))
+
+
+def test_runs_are_counted_few_times():
+    rng, asked = np.random.default_rng(4), []
+    units = [{"text": "w" * n, "separator": " "} for n in rng.integers(1, 30, 4000).tolist()]
+    counts = maxmin.RunCounts(units, lambda ts: asked.extend(map(len, ts)) or letters(ts))
+    numbers = maxmin.bounded_clusters(np.tile([[1.0, 0.0]], (4000, 1)), counts, config(min_tokens=80, target_tokens=450, max_tokens=600))
+    assert np.bincount(numbers).min() > 10 and sum(asked) < 40 * sum(len(u["text"]) for u in units)
+    text = " ".join("v" * n for n in rng.integers(1, 9, 60_000).tolist())
+    asked.clear()
+    pieces = maxmin.split_by_tokens(text, 100, lambda ts: asked.extend(map(len, ts)) or letters(ts))
+    assert "".join(g + p for g, p in pieces) == text and max(len(p) for _, p in pieces) <= 100 and sum(asked) < 40 * len(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab \n\u00e9", max_size=60), st.integers(1, 12))
+def test_pieces_are_the_longest_that_fit(text, most):
+    pieces = maxmin.split_by_tokens(text.strip(), most, letters)
+    assert "".join(g + p for g, p in pieces) == text.strip()
+    at = 0
+    for gap, piece in pieces:
+        at += len(gap) + len(piece)
+        rest = text.strip()[at - len(piece):]
+        fitting = [m.end() for m in re.finditer(r"\S+(?=\s|$)", rest) if m.end() <= most]
+        assert len(piece) == (fitting[-1] if fitting else most)
 
 
 def test_a_long_document_is_merged_in_seconds():
     rng = np.random.default_rng(1)
-    numbers = maxmin.bounded_clusters(rng.normal(size=(20_000, 16)), rng.integers(1, 30, 20_000), maxmin.ChunkingConfig())
+    numbers = maxmin.bounded_clusters(rng.normal(size=(20_000, 16)), words_of(rng.integers(1, 30, 20_000).tolist()), maxmin.ChunkingConfig())
     assert len(numbers) == 20_000 and (np.bincount(numbers) > 0).all()
 
 
