@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import answers, retrieval
+from docloom.operators.context import assemble_context
 from docloom.operators.maxmin import Embed, hashed_embeddings
 from docloom.sources.tables import materialize
 
@@ -25,7 +26,7 @@ def contexts(queries: DataFrame, chunks: DataFrame, config: retrieval.RetrievalC
     owner = "owner" if config.max_per_document is not None else None
     hits = retrieval.search(stored, asked, config, owner).join(stored.select("vec_id", "chunk_id", "content", "token_count"), "vec_id")
     hits = materialize(hits, "hits")
-    fit = retrieval.assemble_context(hits, "query_id", "rank", "token_count", "chunk_id", max_tokens, max_chunks).withColumnRenamed("query_id", "vec_id")
+    fit = assemble_context(hits, "query_id", "rank", "token_count", "chunk_id", max_tokens, max_chunks).withColumnRenamed("query_id", "vec_id")
     texts = hits.groupBy(F.col("query_id").alias("vec_id")).agg(F.map_from_entries(F.collect_list(F.struct("chunk_id", "content"))).alias("texts"))  # top_k of one query
     none = F.array().cast("array<string>")
     d = asked.join(fit, "vec_id", "left").join(texts, "vec_id", "left").withColumn("sources", F.coalesce("included", none))

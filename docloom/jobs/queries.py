@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import identity, text, vectors
 from docloom.jobs import answering
-from docloom.operators import answers, chunking, documents, maxmin, quality, retrieval, sentences
+from docloom.operators import answers, chunking, context, documents, maxmin, quality, retrieval, sentences
 from docloom.sources.tables import read_table
 
 QUERIES = {}
@@ -621,7 +621,7 @@ def upsert_latest(spark, sf_dir):
 
 @query("context_assemble", r"""
     WITH RECURSIVE t AS (
-        SELECT conv_id, turn, len(regexp_extract_all(text, '\S+'))::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations QUALIFY i <= 100
+        SELECT conv_id, turn, len(regexp_extract_all(text, '\S+'))::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations
     ), r AS (
         SELECT conv_id, 0::BIGINT AS i, []::BIGINT[] AS a, []::BIGINT[] AS b, 0::BIGINT AS total FROM (SELECT DISTINCT conv_id FROM t)
         UNION ALL
@@ -633,10 +633,28 @@ def upsert_latest(spark, sf_dir):
 """)
 def context_assemble(spark, sf_dir):
     turns = read_table(spark, sf_dir, "conversations").withColumn("n", text.word_count(F.col("text")))
-    out = retrieval.assemble_context(turns, "conv_id", "turn", "n", "turn", max_tokens=120, max_chunks=6)
+    out = context.assemble_context(turns, "conv_id", "turn", "n", "turn", max_tokens=120, max_chunks=6)
     return out.select("conv_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("included", "excluded")], "token_count")
 
 
+@query("context_decisions", r"""
+    WITH RECURSIVE t AS (
+        SELECT source, doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents
+    ), r AS (
+        SELECT source, NULL::BIGINT AS doc_id, 0::BIGINT AS n, 0::BIGINT AS i, 0 AS taken, 0::BIGINT AS total, false AS included FROM (SELECT DISTINCT source FROM t)
+        UNION ALL
+        SELECT t.source, t.doc_id, t.n, t.i, CASE WHEN taken < 40 AND total + t.n <= 6000 THEN taken + 1 ELSE taken END, CASE WHEN taken < 40 AND total + t.n <= 6000 THEN total + t.n ELSE total END, taken < 40 AND total + t.n <= 6000
+        FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source AND t.i = r.i + 1
+    )
+    SELECT source, doc_id, n AS token_count, included, CASE WHEN included THEN total ELSE 0 END AS used FROM r WHERE i > 0
+""")
+def context_decisions(spark, sf_dir):
+    """All documents of a source as candidates for one context, however many it has."""
+    docs = _documents(spark, sf_dir).withColumn("n", text.word_count(F.col("text")).cast("long"))
+    made = context.context_decisions(docs, "source", "doc_id", "n", "doc_id", max_tokens=6000, max_chunks=40)
+    return made.select("source", F.col("item").alias("doc_id"), F.col("tokens").alias("token_count"), "included", F.coalesce("used", F.lit(0).cast("long")).alias("used"))
+
+
 @query("contextualize", r"SELECT doc_id, 'Document: ' || source || E'\n\n' || text AS embedding_text, text AS content FROM documents")
 def contextualize(spark, sf_dir):
     return chunking.contextualize(_documents(spark, sf_dir).withColumnRenamed("text", "content"), "source", "content").select("doc_id", "embedding_text", "content")

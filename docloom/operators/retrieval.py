@@ -157,32 +157,6 @@ def expand_neighbors(hits: DataFrame, chunks: DataFrame, reach: int, group: str,
     return chunks.join(around, [group, index], "left_semi")
 
 
-def assemble_context(candidates: DataFrame, group: str, rank: str, tokens: str, item: str, max_tokens: int = 6000, max_chunks: int = 6) -> DataFrame:
-    """(group, included, excluded, token_count): greedy choice by rank within a budget of tokens and chunks.
-
-    A candidate that does not fit is left out and the next one is tried. The
-    candidates of a group are its first MOST_HITS by rank, as many as a search
-    may return, so a group of any size is folded in one small row.
-    """
-    if max_tokens < 1 or max_chunks < 1:
-        raise ValueError("budgets must be at least 1")
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(rank))
-    candidates = candidates.select(group, rank, tokens, *({item} - {rank})).withColumn("_nth", nth).filter(F.col("_nth") <= MOST_HITS)
-    listed = candidates.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("id"), F.col(tokens).cast("long").alias("n")))).alias("list"))
-    kind = dict(candidates.dtypes)[item]
-    begin = F.struct(F.array().cast(f"array<{kind}>").alias("included"), F.array().cast(f"array<{kind}>").alias("excluded"), F.lit(0).cast("long").alias("total"))
-
-    def step(acc, x):
-        fits = (F.size(acc["included"]) < max_chunks) & (acc["total"] + x["n"] <= max_tokens)
-        one = F.array(x["id"])
-        return F.struct(
-            F.when(fits, F.concat(acc["included"], one)).otherwise(acc["included"]).alias("included"),
-            F.when(fits, acc["excluded"]).otherwise(F.concat(acc["excluded"], one)).alias("excluded"),
-            F.when(fits, acc["total"] + x["n"]).otherwise(acc["total"]).alias("total"))
-
-    return listed.select(group, F.aggregate("list", begin, step).alias("c")).select(group, "c.included", "c.excluded", F.col("c.total").alias("token_count"))
-
-
 def upsert(stored: DataFrame | None, batch: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """One row per key: the last writer by ``order``, the batch over what is stored."""
     rows = batch.withColumn("_new", F.lit(1))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from docloom.functions import identity
 from docloom.jobs import answering
-from docloom.operators import answers, chunking, documents, maxmin, quality, retrieval, sentences
+from docloom.operators import answers, chunking, context, documents, maxmin, quality, retrieval, sentences
 
 
 def split(spark, *texts):
@@ -366,10 +366,51 @@ def test_windows(spark):
 
 def test_context_budget(spark):
     d = spark.createDataFrame([(1, 1, 50, "a"), (1, 2, 70, "b"), (1, 3, 40, "c")], "q int, rank int, n int, id string")
-    r = retrieval.assemble_context(d, "q", "rank", "n", "id", max_tokens=100, max_chunks=2).first()
+    r = context.assemble_context(d, "q", "rank", "n", "id", max_tokens=100, max_chunks=2).first()
     assert (r.included, r.excluded, r.token_count) == (["a", "c"], ["b"], 90)
 
 
+def fitting(sizes, max_tokens, max_chunks):
+    out, used = [], 0
+    for i, n in enumerate(sizes):
+        if len(out) < max_chunks and used + n <= max_tokens:
+            out.append(i)
+            used += n
+    return out, used
+
+
+def test_contexts_are_those_of_a_plain_fold(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for g in [None, *range(60)]:
+        sizes = [rng.choice([None, -2, 0, 1, 5, 30, rng.randint(1, 200)]) for _ in range(rng.choice([1, 3, 200]))]
+        rows += [(g, None if i + 1 == len(sizes) and i else i // 2, n, f"{i:04}") for i, n in enumerate(sizes)]
+        got, used = fitting([max(n or 0, 0) for n in sizes], 150, 7)
+        want[g] = ([f"{i:04}" for i in got], [f"{i:04}" for i in range(len(sizes)) if i not in got], used)
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "included int, used int, size int, tokens string").repartition(6)
+    made = context.assemble_context(d, "included", "used", "size", "tokens", 150, 7)
+    assert made.columns == ["included", "included", "excluded", "token_count"]
+    assert {r[0]: tuple(r[1:]) for r in made.collect()} == want
+    assert context.context_decisions(d.filter("false"), "included", "used", "size", "tokens").count() == 0
+    with pytest.raises(ValueError):
+        context.context_decisions(d, "included", "used", "size", "tokens", max_chunks=0)
+
+
+def test_a_candidate_behind_many_that_are_too_large_is_found(spark):
+    rows = [(1, i, 700 if i < 120 else 10, i) for i in range(150)]
+    r = context.assemble_context(spark.createDataFrame(rows, "q int, r int, n int, i int"), "q", "r", "n", "i", 600, 6).first()
+    assert (r.included, len(r.excluded), r.token_count) == (list(range(120, 126)), 144, 60)
+
+
+def test_a_group_of_a_million_candidates(spark):
+    rows = spark.range(1_000_000).select(F.lit("one").alias("q"), (F.col("id") * 7919 % 1_000_003).alias("r"), (F.abs(F.hash("id")) % 5000 + 300).alias("n"), "id")
+    made = context.context_decisions(rows, "q", "r", "n", "id", 6000, 12)
+    found = made.agg(F.count(F.lit(1)).alias("all"), F.count_if("included").alias("taken"), F.max("used").alias("used"), F.count_distinct("item").alias("items")).first()
+    local = sorted((r.r, r.n) for r in rows.select("r", "n").collect())
+    got, used = fitting([n for _, n in local], 6000, 12)
+    assert tuple(found) == (1_000_000, len(got), used, 1_000_000)
+
+
 def test_search_leaves_out_bad_vectors_and_itself(spark):
     nan = float("nan")
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
