@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import identity, text, vectors
 from docloom.jobs import answering
 from docloom.operators import answers, chunking, context, documents, maxmin, quality, retrieval, sentences
-from docloom.sources.tables import read_table
+from docloom.sources.store import Store
+from docloom.sources.tables import read_table, shared_dir
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -521,13 +524,13 @@ def common_heading_path(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.array_join(maxmin.common_path(paths), "/").alias("path"))
 
 
-def _search_sql(metric: str, k: int, where: str = "", threshold: str = "", cap: int | None = None) -> str:
+def _search_sql(metric: str, k: int, where: str = "", threshold: str = "", cap: int | None = None, table: str = "embeddings") -> str:
     score = {"cosine": "list_cosine_similarity(q.v, c.v)", "dot": "list_inner_product(q.v, c.v)", "euclid": "list_distance(q.v, c.v)",
              "manhattan": "list_sum(list_transform(range(1, len(q.v) + 1), lambda i: abs(q.v[i] - c.v[i])))"}[metric]
     order = "DESC" if retrieval.METRICS[metric] else "ASC"
     capped = f"SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score {order}, vec_id) AS nth FROM p) WHERE nth <= {cap}" if cap else "SELECT * FROM p"
     return f"""
-        WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM {table}),
         p AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, c.label AS label, round({score}, 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 {where}) {threshold}),
         k AS ({capped})
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, vec_id) AS rank FROM k) WHERE rank <= {k}
@@ -619,6 +622,37 @@ def upsert_latest(spark, sf_dir):
     return retrieval.upsert(None, read_table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value")
 
 
+@query("store_upserts", """
+    SELECT user_id, event_id, event_type, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS nth, max(event_id % 3) OVER (PARTITION BY user_id) AS batch FROM events
+    ) WHERE nth = 1 AND (user_id % 10 <> 0 OR batch = 2)
+""")
+def store_upserts(spark, sf_dir):
+    """Three batches put into a store and read back; the second removes every tenth user, whom the third may bring back, and is repeated."""
+    events = read_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    store = Store(f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", "user_id", buckets=16)
+    last = [F.desc("ts"), F.desc("event_id")]
+    gone = events.select("user_id").filter("user_id % 10 = 0").distinct()
+    batch = lambda i: events.filter(F.col("event_id") % 3 == i)
+    store.merge(batch(0), last)
+    for _ in range(2):
+        store.merge(batch(1).filter("user_id % 10 <> 0"), last, removed=gone, batch_id="second")
+    store.merge(batch(2), last)
+    return store.read(spark).select("user_id", "event_id", "event_type", "value")
+
+
+@query("store_search", _search_sql("cosine", 5, table="(SELECT vec_id, label, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 10 <> 4)"))
+def store_search(spark, sf_dir):
+    """Vectors stored, every tenth replaced by its negative and every tenth removed, and searched where they are stored."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    store = Store(f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", buckets=16)
+    store.merge(rows, [F.col("vec_id")])
+    turned = rows.filter("vec_id % 10 = 3").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    store.merge(turned, [F.col("vec_id")], removed=rows.filter("vec_id % 10 = 4").select("vec_id"))
+    held = store.read(spark)
+    return retrieval.search(held, held.filter("vec_id % 50 = 0"), retrieval.RetrievalConfig(top_k=5))
+
+
 @query("context_assemble", r"""
     WITH RECURSIVE t AS (
         SELECT conv_id, turn, len(regexp_extract_all(text, '\S+'))::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations

@@ -5,7 +5,7 @@ from docloom.jobs.ingest import ingest
 from docloom.operators import documents
 from docloom.operators.maxmin import ChunkingConfig
 from docloom.sources.tables import write_json
-from docloom.streaming.ingest import ingest_folder
+from docloom.streaming.ingest import current_chunks, current_documents, ingest_folder, sync_folder
 
 SMALL = ChunkingConfig(min_tokens=1, target_tokens=4, max_tokens=6)
 
@@ -62,3 +62,46 @@ def test_stream_of_files(spark, tmp_path):
     assert chunks.select("document_id").distinct().count() == 2 and chunks.select("batch").distinct().count() == 2
     assert {(r.source_identifier, r.status) for r in outcomes.filter("batch > 0").collect()} >= {("more/a.txt", "completed")}
     assert chunks.count() == chunks.select("chunk_id").distinct().count()
+
+
+def test_superseded_and_removed_documents(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    arguments = (spark, str(folder), out, "txt", "text/plain", "*.txt", SMALL)
+    held = lambda: sorted(r.content for r in current_chunks(spark, out).collect())
+    states = lambda: {r.source_identifier: (r.status, r.batch) for r in current_documents(out).read(spark).collect()}
+
+    def put(name, text, second):
+        (folder / name).write_text(text)
+        os.utime(folder / name, (1_900_000_000 + second, 1_900_000_000 + second))
+
+    put("a.txt", "One two three.", 0)
+    put("b.txt", "Four five six.", 0)
+    put("c.txt", "Seven eight.", 0)
+    ingest_folder(*arguments).awaitTermination()
+    assert held() == ["Four five six.", "One two three.", "Seven eight."]
+    version = current_documents(out).version(spark)
+    # the batch once more, as if it had not been marked as done
+    (tmp_path / "out" / "progress" / "commits" / "0").rename(tmp_path / "commit")
+    for crc in (tmp_path / "out" / "progress" / "commits").glob(".0*"):
+        crc.rename(tmp_path / "crc")
+    ingest_folder(*arguments).awaitTermination()
+    assert held() == ["Four five six.", "One two three.", "Seven eight."] and current_documents(out).version(spark) == version
+    assert sync_folder(*arguments) == {"read": 0, "removed": 0} and current_documents(out).version(spark) == version
+    # a changed file, one that is rejected now, one written anew with the same text, one that is gone, and a new one
+    put("a.txt", "Another text.", 1)
+    put("c.txt", "  ", 1)
+    (folder / "b.txt").rename(tmp_path / "b")
+    put("d.txt", "Nine ten.", 1)
+    assert sync_folder(*arguments) == {"read": 3, "removed": 1}
+    assert held() == ["Another text.", "Nine ten."]
+    assert states() == {"a.txt": ("completed", "sync-2"), "b.txt": ("removed", "0"), "c.txt": ("rejected", "sync-2"), "d.txt": ("completed", "sync-2")}
+    # back to former texts; the text of d is the same
+    put("b.txt", "Four five six.", 2)
+    put("a.txt", "One two three.", 0)
+    put("d.txt", "Nine ten.", 2)
+    assert sync_folder(*arguments) == {"read": 3, "removed": 0}
+    assert held() == ["Four five six.", "Nine ten.", "One two three."]
+    assert states() == {"a.txt": ("completed", "sync-4"), "b.txt": ("completed", "sync-4"), "c.txt": ("rejected", "sync-2"), "d.txt": ("completed", "sync-2")}
+    assert sync_folder(*arguments) == {"read": 0, "removed": 0}
+    assert spark.read.parquet(f"{out}/chunks").count() == 7  # nothing is lost of former versions
