@@ -39,6 +39,8 @@ class DecontaminationConfig:
     threshold: float = 0.5
     #: Share of the shingles of the question, and of the answer, that must be found in the document.
     overlap: float = 0.8
+    #: Share of the threshold that an item's commonest terms may bring together without opening it; its other terms, the rare ones, are looked up first.
+    common: float = 0.6
     #: Items in a block of the index, and postings in a shard of it (the part that is in memory at once).
     block: int = 4
     postings: int = 2_000_000
@@ -68,22 +70,42 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return question, answer
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """Hashes of the distinct runs of SHINGLE words, sorted; fewer words have none."""
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(run)) for run in zip(*[words[i:] for i in range(SHINGLE)])), np.uint64))
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct runs of SHINGLE words, from those of the words, sorted; fewer words have none."""
+    n = max(0, len(hashes) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + n]
+    return np.unique(out)
 
 
 def _share(part: np.ndarray, have: np.ndarray) -> float:
     return len(np.intersect1d(part, have, assume_unique=True)) / len(part) if len(part) else 1.0
 
 
+def holds_run(words: list[str], run: list[str]) -> bool:
+    """Whether the words hold the run as it stands."""
+    return any(words[i:i + len(run)] == run for i, w in enumerate(words) if w == run[0])
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each of some ranges, one after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 class BlockMaxIndex:
     """Postings of one shard of items, with each term's largest impact per block of items and over all."""
 
     def __init__(self, items: list[tuple[int, str]], postings: list[tuple[int, str, float]], c: DecontaminationConfig):
         self.config = c
         self.ids = [i for i, _ in items]
-        self.parts = [tuple(map(shingles, question_and_answer(t))) for _, t in items]
+        self.parts = [tuple(shingles(word_hashes(part)) for part in question_and_answer(t)) for _, t in items]
+        #: Items too short for a shingle are verified by their words as a whole.
+        self.whole = {i: words for i, (_, t) in enumerate(items) if len(words := words_of(t)) < SHINGLE}
         self.terms = {t: i for i, t in enumerate(sorted({t for _, t, _ in postings}))}
         self.step = max([16, *(len(words_of(t)) for _, t in items)])
         term = np.array([self.terms[t] for _, t, _ in postings], np.int64)
@@ -102,36 +124,87 @@ class BlockMaxIndex:
         self.block_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.block_begin = np.searchsorted(self.block, np.arange(len(self.terms) + 1) * self.n_blocks)
 
-    def next_open(self, p: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
-        """n x (n_blocks + 1): the first block from each block on whose maxima over the passage's terms reach the threshold; n_blocks without one."""
-        size = self.block_begin[t + 1] - self.block_begin[t]
-        at = np.arange(size.sum()) + np.repeat(self.block_begin[t] - (np.cumsum(size) - size), size)
-        bounds = np.bincount(np.repeat(p, size) * self.n_blocks + self.block[at] % self.n_blocks, self.block_most[at], minlength=n * self.n_blocks).reshape(n, -1)
-        out = np.full((n, self.n_blocks + 1), self.n_blocks)
-        out[:, :-1] = np.where(bounds >= self.config.threshold - 1e-9, np.arange(self.n_blocks), self.n_blocks)
-        return np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1]
-
-    def candidates(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all items that score at least the threshold, from the distinct terms of n passages, sorted by passage."""
-        wide, out = max(1, (1 << 21) // self.n_blocks), []  # passages at a time
-        cuts = np.searchsorted(passage, np.arange(0, n + wide, wide))
-        for low, (begin, end) in zip(range(0, n, wide), zip(cuts, cuts[1:])):
-            p, items, scores = self._wand(passage[begin:end] - low, term[begin:end], min(wide, n - low))
-            out.append((p + low, items, scores))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-    def _wand(self, p: np.ndarray, t: np.ndarray, n_passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._rare(term, np.diff(self.begin)[term] if len(term) else term)
+
+    def _rare(self, term: np.ndarray, df: np.ndarray) -> None:
+        """Short lists with each item's rarest terms only, until the others together bring at most ``common`` of the threshold (``rest`` of the item)."""
+        n, most = len(self.ids), self.config.common * self.config.threshold
+        order = np.lexsort((-self.impact, df, self.item))
+        item, impact = self.item[order], self.impact[order]
+        before = np.cumsum(impact) - impact
+        first = np.searchsorted(item, np.arange(n))
+        before -= before[first[item]] if len(item) else 0
+        own = np.bincount(item, impact, minlength=n)
+        rare = np.zeros(len(term), bool)
+        rare[order] = own[item] - before > most
+        self.rest = np.maximum(0, own - np.bincount(self.item[rare], self.impact[rare], minlength=n))
+        self.rare_item, self.rare_impact = self.item[rare], self.impact[rare]
+        self.rare_begin = np.searchsorted(term[rare], np.arange(len(self.terms) + 1))
+
+    def open_blocks(self, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """passage * n_blocks + block, sorted, of the blocks that may hold an item of the threshold; terms sorted by passage.
+
+        An item can only reach it if its rare terms in the passage bring what
+        its others leave to be wished for, so only the lists of rare terms are
+        read. Their sums are first taken by a hash of passage and item, into a
+        table as large as what is read: too many may share a place, none is
+        missed. Blocks of items that are left are held against the maxima of
+        all terms.
+        """
+        least, n = self.config.threshold - 1e-9, len(self.ids)
+        size = self.rare_begin[t + 1] - self.rare_begin[t]
+        ends = np.flatnonzero(np.append(p[1:] != p[:-1], True)) + 1  # of passages
+        read, out, low = np.cumsum(size), [], 0
+        while low < len(p):
+            high = int(ends[min(np.searchsorted(read[ends - 1], (read[low - 1] if low else 0) + (1 << 20)), len(ends) - 1)])
+            part = slice(low, high)
+            at = _spread(self.rare_begin[t[part]], size[part])
+            items, impact = self.rare_item[at], self.rare_impact[at]
+            key = np.repeat(p[part], size[part]) * n + items
+            bits = max(10, int(len(key)).bit_length() + 1)
+            place = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+            keep = np.bincount(place, impact, minlength=1 << bits)[place] + self.rest[items] >= least
+            keys, which = np.unique(key[keep], return_inverse=True)
+            sums = np.bincount(which, impact[keep], minlength=len(keys))
+            keys = keys[sums + self.rest[keys % n] >= least]
+            out.append(np.unique(keys // n * self.n_blocks + keys % n // self.config.block))
+            low = high
+        opened = np.concatenate(out) if out else np.zeros(0, np.int64)
+        first, size = np.searchsorted(p, opened // self.n_blocks), np.searchsorted(p, opened // self.n_blocks, "right")
+        size -= first
+        bounds = np.zeros(len(opened))
+        for low in range(0, len(opened), 1 << 14):
+            part = slice(low, low + (1 << 14))
+            wanted = t[_spread(first[part], size[part])] * self.n_blocks + np.repeat(opened[part] % self.n_blocks, size[part])
+            at = np.minimum(np.searchsorted(self.block, wanted), len(self.block) - 1)
+            of = np.repeat(np.arange(len(opened[part])), size[part])
+            bounds[part] = np.bincount(of, np.where(self.block[at] == wanted, self.block_most[at], 0.0), minlength=len(opened[part]))
+        return opened[bounds >= least]
+
+    def candidates(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all items that score at least the threshold, from the distinct terms of passages, sorted by passage."""
+        opened = self.open_blocks(passage, term)
+        some = np.isin(passage, opened // self.n_blocks)
+        return self._wand(passage[some], term[some], opened)
+
+    def _wand(self, p: np.ndarray, t: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Block-max WAND, all passages a step at a time.
 
         The cursors of a passage are ordered by their items; the pivot is the
         first item at which the terms' overall maxima reach the threshold, so no
-        item before it can. If its block cannot reach it (see next_open), the
-        cursors up to the pivot skip to the next block that can, or the next
-        cursor if that comes before; else the pivot is scored and passed.
+        item before it can. If its block cannot reach it (see open_blocks), all
+        cursors before the next block that can skip to it; else the pivot is
+        scored and passed.
         """
         least, n, step = self.config.threshold - 1e-9, len(self.ids), self.config.block
-        opens = self.next_open(p, t, n_passages)
-        at, end = np.searchsorted(self.post, t * n + np.minimum(opens[p, 0] * step, n)), self.begin[t + 1]
+
+        def next_open(passage: np.ndarray, block: np.ndarray) -> np.ndarray:
+            """The passage's first open block from ``block`` on; n_blocks without one."""
+            at = np.searchsorted(opened, passage * self.n_blocks + block)
+            found = np.append(opened, -1)[at]
+            return np.where(found // self.n_blocks == passage, found % self.n_blocks, self.n_blocks)
+
+        at, end = np.searchsorted(self.post, t * n + np.minimum(next_open(p, np.zeros(len(p), np.int64)) * step, n)), self.begin[t + 1]
         keep, out = at < end, []
         p, t, at, end = p[keep], t[keep], at[keep], end[keep]
         while len(at):
@@ -146,19 +219,19 @@ class BlockMaxIndex:
             open_ = short < sizes  # passages without a pivot are done
             pivot = d[np.where(open_, starts + short, 0)]
             nth = np.repeat(np.arange(len(starts)), sizes)
-            moves = open_[nth] & (d <= pivot[nth])
-            beyond = np.minimum.reduceat(np.where(d > pivot[nth], d, n), starts)
-            own, terms = nth[moves], t[moves]
-            block = opens[p[starts], pivot // step]
+            block = next_open(p[starts], pivot // step)
             worth = block == pivot // step
+            to = np.where(worth, pivot + 1, np.minimum(block * step, n))
+            moves = open_[nth] & (d < to[nth])
             # a cursor that stands at the pivot brings its impact there, one before it what its list has there
-            wanted = terms * n + pivot[own]
-            found = np.where(d[moves] == pivot[own], at[moves], np.minimum(np.searchsorted(self.post, wanted), len(self.post) - 1))
+            asked = np.flatnonzero(moves & worth[nth])
+            own = nth[asked]
+            wanted = t[asked] * n + pivot[own]
+            found = np.where(d[asked] == pivot[own], at[asked], np.minimum(np.searchsorted(self.post, wanted), len(self.post) - 1))
             scores = np.bincount(own, np.where(self.post[found] == wanted, self.impact[found], 0.0), minlength=len(starts))
             hit = np.flatnonzero(open_ & worth & (scores >= least))
             out.append((p[starts[hit]], pivot[hit], scores[hit]))
-            to = np.where(worth, pivot + 1, np.minimum(np.minimum(block * step, beyond), n))
-            at[moves] = np.searchsorted(self.post, terms * n + to[own])
+            at[moves] = np.searchsorted(self.post, t[moves] * n + to[nth[moves]])
             keep = open_[nth] & (at < end)
             p, t, at, end = p[keep], t[keep], at[keep], end[keep]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -189,15 +262,19 @@ class BlockMaxIndex:
         of, term = pair // (len(self.terms) + 1), pair % (len(self.terms) + 1) - 1
         kept = (np.bincount(of, self.most[term], minlength=len(hot)) >= self.config.threshold - 1e-9)[of]
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for p, item, score in zip(*(x.tolist() for x in self.candidates(of[kept], term[kept], len(hot)))):
+        seen, hashed, have, near = (-1, -1), np.zeros(0, np.uint64), np.zeros(0, np.uint64), slice(0)
+        for p, item, score in sorted(zip(*(x.tolist() for x in self.candidates(of[kept], term[kept])))):
             p = int(hot[p])
             d = int(text[p])
             if score <= found.get((d, item), (-1.0,))[0]:
                 continue
-            # one step more to either side: copies with words put in stay in view
-            have = shingles(tokens[d][max(0, int(begin[p] - start[d]) - self.step):int(end[p] - start[d]) + self.step])
+            if (d, p) != seen:
+                hashed = hashed if d == seen[0] else word_hashes(tokens[d])
+                # one step more to either side: copies with words put in stay in view
+                near = slice(max(0, int(begin[p] - start[d]) - self.step), int(end[p] - start[d]) + self.step)
+                seen, have = (d, p), shingles(hashed[near])
             q, a = (_share(part, have) for part in self.parts[item])
-            if min(q, a) >= self.config.overlap:
+            if min(q, a) >= self.config.overlap if item not in self.whole else holds_run(tokens[d][near], self.whole[item]):
                 found[d, item] = (score, q, a)
         for (d, item), values in found.items():
             yield d, item, *values
@@ -230,7 +307,7 @@ def build_shards(items: DataFrame, c: DecontaminationConfig = DecontaminationCon
     # rows with one id but other texts are items of their own: they are told apart by their text
     keyed = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).filter("item_id is not null").distinct()
     keyed = keyed.withColumn("key", F.sha2(F.concat_ws(":", F.col("item_id").cast("string"), "text"), 256)).withColumn("words", _split("text"))
-    keyed = materialize(keyed.filter(F.size("words") >= SHINGLE), "items")
+    keyed = materialize(keyed.filter(F.size("words") > 0), "items")
     lists = item_impacts(keyed, c).groupBy("key").agg(F.collect_list("term").alias("terms"), F.collect_list("impact").alias("impacts"))  # one item's
     rows = materialize(keyed.join(lists, "key").select("key", "item_id", "text", "terms", "impacts"), "impacts")
     total = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
@@ -277,11 +354,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, c: DecontaminationConfig = Dec
     Every passage of every whole text queries the index of all items; a scan of
     the documents has one shard of the index in memory, so there is one scan for
     each ``postings`` postings. Null and empty texts hold nothing; null document
-    ids are kept, null item ids take no part, nor do items of fewer than SHINGLE
-    words, which any text may hold by chance; repeated documents are reported
-    each, repeated items once; empty tables give an empty result; other columns
-    are not read. Items of one part only (fewer than 2 * SHINGLE words) are
-    verified by that part. Memory follows the longest text.
+    ids are kept, null item ids and items without words take no part; repeated
+    documents are reported each, repeated items once; empty tables give an empty
+    result; other columns are not read. Items of one part only (fewer than
+    2 * SHINGLE words) are verified by that part, those of fewer than SHINGLE
+    words by their whole run of words, in its order. Memory follows the longest
+    text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -219,22 +221,29 @@ def test_decontamination(spark, docs, empty):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(400)] + ["the", "of", "and"] * 40
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(12, 50))) + ".\n" + " ".join(rng.choices(vocabulary, k=8)) + ".") for i in range(60)]
-    items += [(60, items[3][1]), (61, ""), (62, None), (None, "some words that have no id at all here"), (63, "two words")]
+    items += [(60, items[3][1]), (61, ""), (62, None), (None, "some words that have no id at all here"), (63, "two words"), (64, "Rare v7, Item? Here!"), (65, "lonely")]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(5, 400))) for _ in range(80)]
     for i in range(0, 80, 4):
         texts[i] += " " + items[i % 60][1].upper().replace(".", " !") + " " + texts[i + 1]
+    texts += ["rare v7 item here", "v1 Rare: v7 item here v2", "rare v7 v1 item here", "v3 lonely v4 " + texts[2], ". !"]
     rows = [(i, t) for i, t in enumerate(texts)]
     want = set()
     for d, t in rows:
         runs = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
         have = runs(decontaminate.words_of(t))
         for i, item in items:
-            if i is None or len(decontaminate.words_of(item or "")) < 5:
+            words = decontaminate.words_of(item or "")
+            if i is None or not words:
+                continue
+            if len(words) < 5:
+                if f" {' '.join(words)} " in f" {' '.join(decontaminate.words_of(t))} ":
+                    want.add((d, i))
                 continue
             parts = [runs(p) for p in decontaminate.question_and_answer(item)]
             if all(not p or len(p & have) / len(p) >= 0.8 for p in parts):
                 want.add((d, i))
     table = spark.createDataFrame(items, "item_id long, text string")
+    assert {(80, 64), (81, 64), (83, 65)} < want and not {(82, 64), (84, 65)} & want
     small = decontaminate.DecontaminationConfig(block=4, postings=300)  # several shards
     for config in (decontaminate.DecontaminationConfig(), small):
         got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), table, config).collect()}
@@ -253,7 +262,7 @@ def test_wand_skips_nothing_above_the_threshold(seed, n, block):
     postings = [(i, f"t{j}", rng.random() / 3) for i in range(n) for j in range(12) if rng.random() < .5]
     index = decontaminate.BlockMaxIndex(items, postings, decontaminate.DecontaminationConfig(block=block))
     asked = [(p, f"t{j}") for p in range(6) for j in range(12) if rng.random() < .5 and f"t{j}" in index.terms]
-    got = {(p, i): s for p, i, s in zip(*index.candidates(np.array([p for p, _ in asked], int), np.array([index.terms[t] for _, t in asked], int), 6))}
+    got = {(p, i): s for p, i, s in zip(*index.candidates(np.array([p for p, _ in asked], int), np.array([index.terms[t] for _, t in asked], int)))}
     want = Counter()
     for p, t in asked:
         for i, u, x in postings:
@@ -262,6 +271,29 @@ def test_wand_skips_nothing_above_the_threshold(seed, n, block):
     assert got == {k: pytest.approx(s) for k, s in want.items() if s >= .5}
 
 
+def test_search_costs_little_more_with_many_more_items():
+    """What is read follows the lists of rare terms, not items times passages."""
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    share = 1 / np.arange(1, 20_001)
+    text = lambda k: " ".join(words[rng.choice(20_000, k, p=share / share.sum())])
+    took = {}
+    texts = [text(400) for _ in range(60)]
+    for n in (1000, 20_000):
+        items = [text(50) for _ in range(n)]
+        texts[7] = f"{text(90)} {items[n // 2]} {text(70)}"
+        each = [Counter(decontaminate.words_of(t)) for t in items]
+        df = Counter(t for c in each for t in c)
+        raw = [{t: math.log(1 + n / df[t]) * f for t, f in c.items()} for c in each]
+        index = decontaminate.BlockMaxIndex(list(enumerate(items)), [(i, t, x / sum(r.values())) for i, r in enumerate(raw) for t, x in r.items()], decontaminate.DecontaminationConfig())
+        read = index.rare_begin[[index.terms[t] + 1 for t in " ".join(texts).split() if t in index.terms]] - index.rare_begin[[index.terms[t] for t in " ".join(texts).split() if t in index.terms]]
+        began = time.process_time()
+        assert [(d, i) for d, i, *_ in index.search(texts)] == [(7, n // 2)]
+        took[n] = time.process_time() - began
+        assert read.sum() < 0.1 * (index.begin[1:] - index.begin[:-1]).max() * sum(map(len, map(str.split, texts)))
+    assert took[20_000] < 10 * max(took[1000], 0.05)
+
+
 def test_hidden_markov_model(spark, docs, empty):
     rng = random.Random(2)
     english, german = [f"e{i}" for i in range(40)], [f"d{i}ß" for i in range(40)]
