@@ -107,7 +107,7 @@ def build_lexicon(counts: DataFrame, c: HmmConfig) -> Lexicon:
     total, distinct, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.octet_length("word") == 0, F.col("c")))).first()
     words = counts.filter(F.octet_length("word") > 0)
     # Bounded by `frequent` words.
-    top = sorted(most_frequent(words, "c", c.frequent).collect(), key=lambda r: (-r[1], bytes(r[0])))
+    top = sorted(most_frequent(words, "word", "c", c.frequent).collect(), key=lambda r: (-r[1], bytes(r[0])))
     own = [(int(r[1]), bytes(r[0])) for r in top[:c.symbols]]
     class_total, class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in words.mapInArrow(_class_sizes(), "of long, total long, distinct long").groupBy("of").agg(F.sum("total"), F.sum("distinct")).collect():

@@ -56,19 +56,28 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         yield batch.slice(begin)
 
 
-def most_frequent(counted: DataFrame, count: str, size: int) -> DataFrame:
-    """The rows with the largest counts, at most ``size``: all those above the least count that keeps them within it.
+def most_frequent(counted: DataFrame, key: str, count: str, size: int) -> DataFrame:
+    """The rows with the largest counts, at most ``size``; among the last, of like counts, those whose ``key`` has the least hash.
 
     Found from how many rows have which count, counts of a 256th of a power of
-    two together: at most 64 * 256 rows, however large the table, so no task and
-    not the driver ever sorts or gathers candidates.
+    two together, and then which hash: at most 64 * 256 and 2^12 rows, however
+    large the table, so no task and not the driver ever sorts or gathers
+    candidates. A hash that would take the number over ``size`` is left out.
     """
     scale = F.floor(F.log2(F.col(count).cast("double")) * 256)
-    having = sorted(counted.groupBy(scale.alias("scale")).agg(F.min(count), F.count(F.lit(1))).collect(), reverse=True)
-    least, held = None, 0
-    for _, value, n in having:
+    having = sorted(counted.groupBy(scale.alias("scale")).agg(F.count(F.lit(1))).collect(), reverse=True)
+    held, last = 0, None
+    for bin_, n in having:
+        if held + n > size:
+            last = bin_
+            break
         held += n
-        if held > size:
+    if last is None:
+        return counted
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 12))
+    below = 0
+    for at, n in sorted(counted.filter(scale == last).groupBy(place.alias("place")).agg(F.count(F.lit(1))).collect()):
+        if held + n > size:
             break
-        least = value
-    return counted.filter(F.col(count) >= F.lit(least)) if least is not None else counted.limit(0)
+        held, below = held + n, at + 1
+    return counted.filter((scale > last) | (scale == last) & (place < below))

@@ -74,7 +74,7 @@ def frequent_pretokens(docs: DataFrame, path: str, size: int, sample_rows: int)
     if n > sample_rows:
         sample = sample.sample(sample_rows / n, seed=7)
     words = sample.mapInArrow(_sampled_words(path), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    top = sorted(r[0] for r in most_frequent(materialize(words, "words"), "n", size).collect())
+    top = sorted(r[0] for r in most_frequent(materialize(words, "words"), "pretoken", "n", size).collect())
     return dict(zip(top, Splitter(path).pieces(top), strict=True))
 
 

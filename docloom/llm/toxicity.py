@@ -7,7 +7,7 @@ their vector, with the words seen in training.
 
 An average over a long text keeps what few words say only if the many others
 say nothing: a penalty on the length of each embedding draws those of n-grams
-without evidence to zero, and n-grams of few training texts have none.
+without evidence to zero, and n-grams of few training texts count for less.
 
 Evidence is linear in the embeddings up to the softmax, so a trained model is
 one number per n-gram bucket (the embedding times the difference of the softmax
@@ -38,9 +38,9 @@ class ToxicityConfig:
     longest: int = 6
     steps: int = 150
     rate: float = 0.2
-    #: Weight of the sum of the embeddings' lengths, and the training texts that a bucket must occur in.
+    #: Weight of the sum of the embeddings' lengths, and the number of training texts at which a bucket counts half: one of n texts counts n / (n + half_texts).
     sparsity: float = 2e-5
-    least_texts: int = 5
+    half_texts: float = 2.0
     #: Bounds of the training sample: rows of each label.
     rows_per_label: tuple[int, int] = (3_000, 2_000)
     seed: int = 5
@@ -115,36 +115,33 @@ def train(bags: list[tuple[str, np.ndarray]], labels: np.ndarray, c: ToxicityCon
     text_by_word, times_by_word = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_word], times[by_word]
     in_texts = np.bincount(word, minlength=len(ids))
     words = _runs(in_texts)
-    # (word, bucket) likewise, of the buckets of enough texts: only they have a row of embeddings
+    # (word, bucket) likewise
     grams, grams_of = _bags(list(ids), c)
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), grams_of)
-    some = np.bincount(grams, in_texts[owner], minlength=c.buckets)[grams] >= c.least_texts
-    grams, owner = grams[some], owner[some]
+    occurs = np.bincount(grams, in_texts[owner], minlength=c.buckets)
     used, grams = np.unique(grams, return_inverse=True)
-    grams = grams.astype(np.int32)
+    grams, trust = grams.astype(np.int32), (occurs[used] / (occurs[used] + c.half_texts)).astype(np.float32)
     owner_by_gram = owner[np.argsort(grams, kind="stable")]
     buckets = _runs(np.bincount(grams, minlength=len(used)))
-    said_of, starts = np.unique(owner, return_index=True)  # words with any bucket left
-    del owner, some, by_word
+    starts = _runs(grams_of)
+    del owner, occurs, by_word
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(c.seed)
     z, u, b = rng.normal(0, 0.01, (len(used), c.dim)).astype(np.float32), rng.normal(0, 0.5, c.dim).astype(np.float32), 0.0
     moments = [[np.zeros_like(z), np.zeros_like(z)], [np.zeros_like(u), np.zeros_like(u)], [0.0, 0.0]]
-    said = np.zeros(len(ids))
     for step in range(1, c.steps + 1):
-        if len(used):
-            said[said_of] = np.add.reduceat((z @ u)[grams], starts) / grams_of[said_of]
+        said = np.add.reduceat((trust * (z @ u))[grams], starts) / grams_of
         logit = np.add.reduceat(said[word] * times, texts) + b
         g = weight * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y)
         at_word = np.add.reduceat(g[text_by_word] * times_by_word, words) / grams_of
-        at_gram = np.add.reduceat(at_word.astype(np.float32)[owner_by_gram], buckets) if len(used) else np.zeros(0, np.float32)
+        at_gram = trust * np.add.reduceat(at_word.astype(np.float32)[owner_by_gram], buckets)
         length = np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-3)
         slopes = [np.outer(at_gram, u) + np.float32(c.sparsity) * z / length, at_gram @ z, g.sum()]
         moments = [[0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d] for (m, v), d in zip(moments, slopes)]
         rate = np.float32(c.rate * min(1.0, 2 * (1 - (step - 1) / c.steps)))
         z, u, b = (x - rate * (m / np.float32(1 - 0.9 ** step)) / (np.sqrt(v / np.float32(1 - 0.99 ** step)) + np.float32(1e-8)) for x, (m, v) in zip((z, u, b), moments))
     evidence = np.zeros(c.buckets, np.float32)
-    evidence[used] = z @ u
+    evidence[used] = trust * (z @ u)
     return ToxicityModel(c, evidence, float(b), base)
 
 
