@@ -11,7 +11,7 @@ from docloom.functions import identity, text, vectors
 from docloom.jobs import answering
 from docloom.operators import answers, chunking, context, documents, maxmin, quality, retrieval, sentences
 from docloom.sources.store import Store
-from docloom.sources.tables import read_table, shared_dir
+from docloom.sources.tables import materialize, read_table, shared_dir
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -68,10 +68,15 @@ def html_blank_runs(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", text.flatten_html(F.replace("html", F.lit("</p>"), F.lit("</p>\n\n\n\n"))).alias("text"))
 
 
-@query("title_extract", r"SELECT doc_id, nullif(trim(regexp_extract('# ' || split_part(text, E'\n', 1) || ' {#top}', '^#\s+(.+?)(?:\s*\{[^}]*\})?\s*$', 1)), '') AS title FROM documents")
+@query("title_extract", r"""
+    WITH m AS (SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda x, i: CASE WHEN i % 5 = doc_id % 4 + 1 THEN '## ' || x || E'\n# ' || x || ' {#top}' ELSE x END), E'.\n') AS t FROM documents)
+    SELECT doc_id, nullif(trim(regexp_extract(t, '(?m)^#\s+(.+?)(?:\s*\{[^}\n]*\})?\s*$', 1)), '') AS title FROM m
+""")
 def title_extract(spark, sf_dir):
-    line = F.element_at(F.split("text", "\n"), 1)
-    return _documents(spark, sf_dir).select("doc_id", text.first_heading(F.concat(F.lit("# "), line, F.lit(" {#top}"))).alias("title"))
+    """Whole texts, a sentence to a line, with headings put in at varying lines."""
+    i = F.col("doc_id") % 4
+    lines = F.transform(F.split("text", r"\. "), lambda x, n: F.when(n % 5 == i, F.concat(F.lit("## "), x, F.lit("\n# "), x, F.lit(" {#top}"))).otherwise(x))
+    return _documents(spark, sf_dir).select("doc_id", text.first_heading(F.array_join(lines, ".\n")).alias("title"))
 
 
 _LINES = r"""
@@ -409,6 +414,34 @@ def chunk_links(spark, sf_dir):
     return _halved(spark, sf_dir).select("document_id", "chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
+def _parents_sql() -> str:
+    """Chunks of maxmin_chunks packed into parents of at most 150 words, in order."""
+    chunks = _chunks_sql("doc_id, chunk_index, chunk_id, token_count::BIGINT AS n, unit_start, unit_end, document_version")
+    return chunks.replace("SELECT doc_id, chunk_index, chunk_id, token_count", ", oo AS (SELECT doc_id, chunk_index, chunk_id, token_count") + r""") , pr AS (
+        SELECT doc_id, chunk_index, chunk_id, n, n AS held, 0 AS parent_index FROM oo WHERE chunk_index = 0
+        UNION ALL
+        SELECT oo.doc_id, oo.chunk_index, oo.chunk_id, oo.n, CASE WHEN held + oo.n <= 150 THEN held + oo.n ELSE oo.n END, CASE WHEN held + oo.n <= 150 THEN parent_index ELSE parent_index + 1 END
+        FROM pr JOIN oo ON oo.doc_id = pr.doc_id AND oo.chunk_index = pr.chunk_index + 1
+    ), pu AS (
+        SELECT doc_id, parent_index, sum(oo.n)::INTEGER AS parent_tokens, min(unit_start) AS a, max(unit_end) AS z, count(*)::INTEGER AS children FROM pr JOIN oo USING (doc_id, chunk_index) GROUP BY doc_id, parent_index
+    ), pc AS (
+        SELECT pu.*, (SELECT sha256(nfc_normalize(string_agg(CASE WHEN nth = a THEN text ELSE separator || text END, '' ORDER BY nth))) FROM u WHERE u.doc_id = pu.doc_id AND nth BETWEEN a AND z) AS parent_checksum FROM pu
+    )
+    SELECT doc_id::VARCHAR AS document_id, chunk_index, chunk_id, parent_index, parent_tokens, children, parent_checksum FROM pr JOIN pc USING (doc_id, parent_index)
+    """
+
+
+@query("parent_chunks", _parents_sql())
+def parent_chunks(spark, sf_dir):
+    """Chunks with the parent that each is linked to, and what that parent holds."""
+    docs = _as_parsed(_spread(_documents(spark, sf_dir)).withColumn("text", _broken()))
+    plan = materialize(maxmin.plan_chunks(sentences.units(docs), _SMALL, initial_halves, parents=maxmin.ParentConfig(150)), "plan")
+    parents, children = maxmin.render_families(plan, _SMALL)
+    held = parents.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("chunk_index").alias("parent_index"), F.col("token_count").alias("parent_tokens"),
+                          F.size("child_chunk_ids").alias("children"), F.col("content_checksum").alias("parent_checksum"))
+    return children.join(held, "parent_chunk_id").select("document_id", "chunk_index", "chunk_id", "parent_index", "parent_tokens", "children", "parent_checksum")
+
+
 #: Directions of length one whose cosines (1, 1/2, 0, -1/2) are exact in floating point.
 _DIRECTIONS = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.5, 0.5, 0.5, 0.5], [0.5, 0.5, -0.5, -0.5], [0.5, -0.5, 0.5, -0.5]]
 _COSINES = str([[sum(x * y for x, y in zip(a, b)) for b in _DIRECTIONS] for a in _DIRECTIONS])
@@ -622,6 +655,13 @@ def upsert_latest(spark, sf_dir):
     return retrieval.upsert(None, read_table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value")
 
 
+@query("parent_search", _search_sql("cosine", 6, cap=1, table="(SELECT vec_id, vec_id // 5 AS label, embedding FROM embeddings)").replace("SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM", "SELECT query_id, rank::INTEGER AS rank, vec_id // 5 AS parent, vec_id, score FROM"))
+def parent_search(spark, sf_dir):
+    """Vectors as children, five to a parent: each parent once, by its nearest child."""
+    v = read_table(spark, sf_dir, "embeddings").withColumn("parent", F.expr("vec_id div 5"))
+    return retrieval.search_parents(v, v.filter("vec_id % 50 = 0"), "parent", retrieval.RetrievalConfig(top_k=6))
+
+
 @query("store_upserts", """
     SELECT user_id, event_id, event_type, value FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS nth, max(event_id % 3) OVER (PARTITION BY user_id) AS batch FROM events
@@ -743,13 +783,13 @@ def constraint_audit(spark, sf_dir):
 
 @query("chunk_audit", f"""SELECT doc_id, {_faults_sql(
     empty_content="length(text) >= 1", negative_index="doc_id % 40 - 1 >= 0", token_count="doc_id % 30 >= 1", half_pages="(nullif(doc_id % 5, 4) IS NULL) = (nullif(doc_id % 7, 6) IS NULL)",
-    page_order="nullif(doc_id % 5, 4) IS NULL OR nullif(doc_id % 7, 6) IS NULL OR doc_id % 7 >= doc_id % 5", self_link="doc_id % 11 <> 0 AND doc_id % 13 <> 0")} AS violations FROM documents""")
+    page_order="nullif(doc_id % 5, 4) IS NULL OR nullif(doc_id % 7, 6) IS NULL OR doc_id % 7 >= doc_id % 5", self_link="doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 19 <> 0")} AS violations FROM documents""")
 def chunk_audit(spark, sf_dir):
     """Documents as chunks, with faults put in."""
     i = F.col("doc_id")
     rows = _documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("content"), (i % 40 - 1).alias("chunk_index"), (i % 30).alias("token_count"), F.nullif(i % 5, F.lit(4)).alias("page_start"), F.nullif(i % 7, F.lit(6)).alias("page_end"),
-        i.alias("chunk_id"), F.when(i % 11 == 0, i).otherwise(i - 1).alias("previous_chunk_id"), F.when(i % 13 == 0, i).alias("next_chunk_id"))
+        i.alias("chunk_id"), F.when(i % 11 == 0, i).otherwise(i - 1).alias("previous_chunk_id"), F.when(i % 13 == 0, i).alias("next_chunk_id"), F.when(i % 19 == 0, i).otherwise(i + 1).alias("parent_chunk_id"))
     return rows.select("doc_id", F.array_join(quality.chunk_violations(), ",").alias("violations"))
 
 

@@ -372,52 +372,81 @@ class _Tail(Sequence):
         return self.values[self.start + i]
 
 
-def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32, rising: bool = True) -> DataFrame:
-    """(document_id, document_version, units, tokens, runs, fault): the runs of units that are chunks, one row per document.
+@dataclass(frozen=True)
+class ParentConfig:
+    """Parents of chunks: runs of whole chunks whose first units share ``depth`` headings, of at most ``max_tokens`` unless a chunk is larger by itself."""
+    max_tokens: int = 2000
+    depth: int = 1
+
+    def __post_init__(self):
+        if self.max_tokens < 1 or self.depth < 0:
+            raise ValueError("max_tokens must be at least 1 and depth at least 0")
+
+
+def parent_runs(runs: Sequence[dict], units: Sequence[dict], counts: RunCounts, parents: ParentConfig) -> list[dict]:
+    """The chunks of a document packed into parents, as runs of units and of chunks (``child``, ``children``); tokens are those of the parent's text."""
+    out: list[dict] = []
+    section = None
+    for i, run in enumerate(runs):
+        stop, own = run["first"] + run["size"], list(units[run["first"]]["heading_path"] or [])[:parents.depth]
+        if out and own == section and (n := counts.one(out[-1]["first"], stop)) <= parents.max_tokens:
+            out[-1] |= {"size": stop - out[-1]["first"], "tokens": n, "children": out[-1]["children"] + 1}
+        else:
+            out.append({"first": run["first"], "size": run["size"], "tokens": run["tokens"], "child": i, "children": 1})
+        section = own
+    return out
+
+
+def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32, rising: bool = True, parents: ParentConfig | None = None) -> DataFrame:
+    """(document_id, document_version, units, tokens, runs, parents, fault): the runs of units that are chunks, one row per document.
 
     ``embed`` gives the vectors of the units, asked for ``batch`` at a time.
     Without ``count`` tokens are words and units are cut as expressions; with it
     units are cut where they are counted, and a run's tokens are those of its
-    text, which need not be the sum of its units' (see RunCounts). ``fault`` says why a document has no
+    text, which need not be the sum of its units' (see RunCounts). ``parents``
+    are runs of chunks, none without a ParentConfig. ``fault`` says why a document has no
     runs: what a provider returned for it could not be used.
     """
     if count is None:
         docs = docs.withColumn("units", split_oversized(c.max_tokens))
     kept = docs.select("document_id", "document_version", "units")
 
-    def one(units: list[dict]) -> tuple[list[dict], list[int], list[dict]]:
+    def one(units: list[dict]) -> tuple[list[dict], list[int], list[dict], list[dict]]:
         if count is not None:
             units = [u | ({"text": t, "separator": gap if i else u["separator"], "forced": True} if cut else {}) for u in units
                      for cut, pieces in [_pieces(u["text"], c.max_tokens, count)] for i, (gap, t) in enumerate(pieces)]
         counts = RunCounts(units, count, rising)
         if not units:
-            return units, counts.sizes, []
+            return units, counts.sizes, [], []
         sizes = np.bincount(bounded_clusters(embedded([u["text"] for u in units], embed, batch), counts, c)).tolist()
         firsts = [int(stop) - size for stop, size in zip(np.cumsum(sizes), sizes)]
         held = counts.of([(first, first + size) for first, size in zip(firsts, sizes)])
-        return units, counts.sizes, [{"first": first, "size": size, "tokens": n} for first, size, n in zip(firsts, sizes, held)]
+        runs = [{"first": first, "size": size, "tokens": n} for first, size, n in zip(firsts, sizes, held)]
+        return units, counts.sizes, runs, parent_runs(runs, units, counts, parents) if parents else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made, tokens, runs, faults = [], [], [], []
+            made, tokens, runs, families, faults = [], [], [], [], []
             for units in b.column("units"):
                 try:
-                    u, t, r, fault = *one(units.as_py()), None
+                    row = *one(units.as_py()), None
                 except ProviderFault as e:
-                    u, t, r, fault = [], [], [], str(e)
-                for to, x in zip((made, tokens, runs, faults), (u, t, r, fault)):
+                    row = [], [], [], [], str(e)
+                for to, x in zip((made, tokens, runs, families, faults), row):
                     to.append(x)
             column = b.column("units") if count is None else pa.array(made, b.schema.field("units").type)
             yield pa.RecordBatch.from_arrays(
-                [b.column("document_id"), b.column("document_version"), column, pa.array(tokens, pa.list_(pa.int32())), pa.array(runs, _RUNS), pa.array(faults, pa.string())],
-                names=["document_id", "document_version", "units", "tokens", "runs", "fault"])
+                [b.column("document_id"), b.column("document_version"), column, pa.array(tokens, pa.list_(pa.int32())), pa.array(runs, _RUNS), pa.array(families, _PARENTS), pa.array(faults, pa.string())],
+                names=["document_id", "document_version", "units", "tokens", "runs", "parents", "fault"])
 
     run_type = StructType().add("first", "integer").add("size", "integer").add("tokens", "integer")
-    schema = StructType(list(kept.schema.fields)).add("tokens", ArrayType(IntegerType())).add("runs", ArrayType(run_type)).add("fault", "string")
+    parent_type = StructType(list(run_type.fields)).add("child", "integer").add("children", "integer")
+    schema = StructType(list(kept.schema.fields)).add("tokens", ArrayType(IntegerType())).add("runs", ArrayType(run_type)).add("parents", ArrayType(parent_type)).add("fault", "string")
     return kept.mapInArrow(run, schema)
 
 
 _RUNS = pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32()), ("tokens", pa.int32())]))
+_PARENTS = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "size", "tokens", "child", "children")]))
 
 
 def _pieces(text: str, most: int, count: Count) -> tuple[bool, list[tuple[str, str]]]:
@@ -467,3 +496,22 @@ def render_chunks(plan: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: s
     return d.withColumns({
         "previous_chunk_id": F.lag("chunk_id").over(along), "next_chunk_id": F.lead("chunk_id").over(along),
         "chunker_name": F.lit(name), "chunker_version": F.lit(version)})
+
+
+def render_families(plan: DataFrame, c: ChunkingConfig = ChunkingConfig(), name: str = "semantic_max_min", version: str = "1", count: Count | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) of a plan with parents (see plan_chunks): chunks of two levels, linked both ways.
+
+    Children are the chunks of render_chunks with their ``parent_chunk_id``;
+    parents are chunks of their own with ``child_chunk_ids`` in order, a row as
+    large as a parent's bound allows. Only finished chunks are joined, by
+    document and index.
+    """
+    by = ["document_id", "document_version"]
+    parents = render_chunks(plan.withColumn("runs", F.col("parents")), c, f"{name}_parents", version, count)
+    spans = plan.select(*by, F.posexplode("parents").alias("parent_index", "p"))
+    links = spans.select(*by, "parent_index", F.explode(F.sequence(F.col("p.child"), F.col("p.child") + F.col("p.children") - 1)).alias("chunk_index"))
+    ids = parents.select(*by, F.col("chunk_index").alias("parent_index"), F.col("chunk_id").alias("parent_chunk_id"))
+    children = render_chunks(plan, c, name, version, count).drop("parent_chunk_id").join(links.join(ids, [*by, "parent_index"]).drop("parent_index"), [*by, "chunk_index"])
+    own = children.groupBy("parent_chunk_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))).alias("held"))
+    own = own.select(F.col("parent_chunk_id").alias("chunk_id"), F.transform("held", lambda x: x["chunk_id"]).alias("child_chunk_ids"))
+    return parents.join(own, "chunk_id"), children

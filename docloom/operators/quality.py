@@ -34,10 +34,10 @@ def order_violations(elements: Column) -> Column:
 
 def chunk_violations() -> Column:
     start, end = F.col("page_start"), F.col("page_end")
-    other = [F.col(c).isNull() | (F.col(c) != F.col("chunk_id")) for c in ("previous_chunk_id", "next_chunk_id")]
+    other = [F.col(c).isNull() | (F.col(c) != F.col("chunk_id")) for c in ("parent_chunk_id", "previous_chunk_id", "next_chunk_id")]
     return violations(
         empty_content=F.length("content") >= 1, negative_index=F.col("chunk_index") >= 0, token_count=F.col("token_count") >= 1,
-        half_pages=both_or_neither(start, end), page_order=start.isNull() | end.isNull() | (end >= start), self_link=other[0] & other[1])
+        half_pages=both_or_neither(start, end), page_order=start.isNull() | end.isNull() | (end >= start), self_link=other[0] & other[1] & other[2])
 
 
 def outcome_violations() -> Column:

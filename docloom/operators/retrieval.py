@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -114,6 +114,16 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def search_parents(children: DataFrame, queries: DataFrame, parent: str, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(query_id, rank, parent, vec_id, score): the top_k nearest parents of each query, each once with its best child.
+
+    ``children`` have (vec_id, embedding) and the column ``parent``, a number;
+    a parent scores as its nearest child does (see search).
+    """
+    hits = search(children, queries, replace(config, max_per_document=1), parent)
+    return hits.join(children.select("vec_id", F.col(parent).alias("parent")), "vec_id").select("query_id", "rank", "parent", "vec_id", "score")
+
+
 def embed_texts(rows: DataFrame, text: str, embed: Embed, batch: int = 32) -> DataFrame:
     """``rows`` with ``embedding``: the vectors of a text column, asked for ``batch`` at a time; empty and null texts have none, nor have those whose vector cannot be used."""
     def usable(texts: list[str]) -> list:

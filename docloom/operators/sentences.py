@@ -12,8 +12,9 @@ ABBREVIATIONS = ("dr.", "e.g.", "etc.", "fig.", "i.e.", "jr.", "mr.", "mrs.", "m
 ATOMIC_TYPES = ("title", "heading", "table", "caption", "code")
 _CLOSING = r"""["'’”)\]}]"""
 
-#: A noncharacter that marks the cuts; a text that holds it is cut there too.
+#: A noncharacter that marks the cuts, and others that stand for it in a text that holds it.
 _CUT = "\ufdd0"
+_ESCAPE, _OF_ESCAPE, _OF_CUT = "\ufdd1", "\ufdd1\ufdd2", "\ufdd1\ufdd3"
 #: Terminator and closing punctuation before white space or the end.
 _END = rf"[.!?]{_CLOSING}*+(?={SPACE}|\z)"
 #: The same after a run of letters and dots that is an abbreviation or a single letter.
@@ -31,7 +32,15 @@ def spaced_sentences(text: Column) -> Column:
     letter, and at a blank line. Three passes over the text mark the ends, take
     those of abbreviations back, and put the marks in front of the white space.
     """
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _END, f"$0{_CUT}"), _NO_END, "$1")
+    plain = F.coalesce(text, F.lit(""))
+    hidden = F.replace(F.replace(plain, F.lit(_ESCAPE), F.lit(_OF_ESCAPE)), F.lit(_CUT), F.lit(_OF_CUT))
+    shown = lambda s: F.replace(F.replace(s, F.lit(_OF_CUT), F.lit(_CUT)), F.lit(_OF_ESCAPE), F.lit(_ESCAPE))
+    kept = F.transform(_cut(hidden), lambda s: F.struct(s["gap"], shown(s["text"]).alias("text")))
+    return F.when(plain.rlike(f"[{_CUT}{_ESCAPE}]"), kept).otherwise(_cut(plain))
+
+
+def _cut(text: Column) -> Column:
+    marked = F.regexp_replace(F.regexp_replace(text, _END, f"$0{_CUT}"), _NO_END, "$1")
     pieces = F.split(F.regexp_replace(marked, _GAP, f"{_CUT}$1$2"), _CUT)
     return F.filter(F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, rf"\A{SPACE}*+", 0).alias("gap"), strip(p).alias("text"))), lambda s: s["text"] != "")
 

@@ -49,6 +49,12 @@ def scanned(text):
     return [(text[spans[n - 1][1] if n else 0:b], text[b:e]) for n, (b, e) in enumerate(spans)]
 
 
+def test_marks_in_a_text_are_kept(spark):
+    a, b, c = "\ufdd0", "\ufdd1", "\ufdd3"
+    assert [[t for _, t in x] for x in split(spark, f"Price {a} five. Next{a} one.", f"{b}{c} x{a}{b}. {b}", f"{a}. {b}{c}{b}")] == [
+        [f"Price {a} five.", f"Next{a} one."], [f"{b}{c} x{a}{b}.", b], [f"{a}.", f"{b}{c}{b}"]]
+
+
 def test_sentences_of_any_text(spark):
     rng = random.Random(3)
     parts = ["Dr.", "e.g.", "a.", "word", "x.Mr.", "..Mr.", "3.14", "end.", "no!", '"Yes."', "U.S.)", "wait...", "é.", "\n", "  ", "\n\n", "\t\n \n", "\u00a0", "z.\n", "(No.)", "!?", "’", ".", "\x1c"]
@@ -239,6 +245,25 @@ def one_paragraph(spark, *texts):
     return sentences.units(spark.createDataFrame([(f"d{i}", "v", [("e", "paragraph", t, [], None, 0)]) for i, t in enumerate(texts)], ELEMENTS))
 
 
+def test_parents_and_children(spark):
+    texts = [("e0", "heading", "Part one", ["One"], None, 0), ("e1", "paragraph", "aa bb. cc dd ee. ff gg. hh.", ["One", "x"], None, 1), ("e2", "heading", "Part two", ["Two"], None, 2), ("e3", "paragraph", "ii jj. kk.", ["Two"], None, 3)]
+    docs = spark.createDataFrame([("d", "v", texts), ("e", "v", texts[:1]), ("blank", "v", [])], ELEMENTS)
+    c = config(target_tokens=2, max_tokens=4)
+    with pytest.raises(ValueError):
+        maxmin.ParentConfig(0)
+    plan = maxmin.plan_chunks(sentences.units(docs), c, parents=maxmin.ParentConfig(6))
+    parents, children = (sorted(x.collect(), key=lambda r: (r.document_id, r.chunk_index)) for x in maxmin.render_families(plan, c))
+    of = {r.chunk_id: r for r in parents}
+    assert len(of) == len(parents) and {r.parent_chunk_id for r in children} == set(of) and all(r.token_count <= 6 and r.parent_chunk_id is None for r in parents)
+    for r in parents:
+        own = [x for x in children if x.parent_chunk_id == r.chunk_id]
+        assert [x.chunk_id for x in own] == list(r.child_chunk_ids) and own[0].unit_start == r.unit_start and own[-1].unit_end == r.unit_end
+        assert len({tuple(x.heading_path[:1]) for x in own}) == 1 and all(x.content in r.content for x in own)
+    assert len([r for r in parents if r.document_id == "d"]) >= 3 and not {r.chunk_id for r in children} & set(of)
+    single = maxmin.plan_chunks(sentences.units(docs), c, count=lambda ts: list(map(len, ts)), parents=maxmin.ParentConfig(12))
+    assert all(p["tokens"] <= 12 or p["children"] == 1 for r in single.collect() for p in r.parents)
+
+
 def test_chunks_keep_what_lies_between_sentences(spark):
     text = "Rain  fell.\nIt  stayed wet.\n\n \nThen sun. And\twind and more of it again."
     whole = maxmin.chunk_documents(one_paragraph(spark, text), config(), embed=lambda ts: [[1.0]] * len(ts)).collect()
@@ -330,6 +355,8 @@ def test_markdown_files(spark, tmp_path):
 @pytest.mark.parametrize("source, want", [
     ("a `x < y` b", "a x &lt; y b"), ("```\ncode & more\n```", "code &amp; more"), ("R&D &copy; 3 < 4", "R&amp;D &copy; 3 &lt; 4"), ("\\*no\\* *yes*", "*no* yes"),
     ("see <https://a.b/c> now<br>here", "see https://a.b/c nowhere"), ("Head\n====\n\nbody __bold\nline__", "Head\nbody bold\nline"), ("> quoted\n> [t](u) ![i](v)", "quoted\nt "),
+    ("see [the site][s] and [s] or [S][] or [x]\n\n[s]: https://a.b/c 'Title'\n[unused]:\n  <https://d>\nend", "see the site and s or S or [x]\nend"),
+    ("![an image][pic]\n\n[pic]: p.png", ""), ("[a]: b\n\n- item [a]", "item a"), ("no [def] here [1][2]", "no [def] here [1][2]"),
     ("1. one\n2. two\n\n***\n\n    kept <raw>", "one\ntwo\n\nkept &lt;raw&gt;"), ("a | b\n--|--\n1 | 2", "a | b\n--|--\n1 | 2")])
 def test_markdown_text(spark, source, want):
     from docloom.functions.text import flatten_html
