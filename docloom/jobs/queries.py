@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import identity, text, vectors
 from docloom.jobs import answering
-from docloom.operators import answers, chunking, context, documents, maxmin, quality, retrieval, sentences
+from docloom.operators import answers, chunking, context, documents, embedding, maxmin, quality, retrieval, sentences
 from docloom.sources.store import Store
 from docloom.sources.tables import materialize, read_table, shared_dir
 
@@ -655,6 +655,23 @@ def upsert_latest(spark, sf_dir):
     return retrieval.upsert(None, read_table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value")
 
 
+@query("embedding_once", """
+    SELECT doc_id, sha256(nfc_normalize(text)) || ':local:halves:2:cosine:none' AS key, CASE WHEN substr(text, 1, 1) < 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x, CASE WHEN substr(text, 1, 1) < 'N' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y,
+        (SELECT count(DISTINCT nfc_normalize(text)) FROM documents WHERE doc_id % 3 > 0 AND text <> '') AS first_asked,
+        (SELECT count(DISTINCT nfc_normalize(text)) FROM documents WHERE text <> '' AND nfc_normalize(text) NOT IN (SELECT nfc_normalize(text) FROM documents WHERE doc_id % 3 > 0)) AS then_asked
+    FROM documents WHERE text <> ''
+""")
+def embedding_once(spark, sf_dir):
+    """All documents embedded through a store that holds two thirds of them already; equal texts are asked for once."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text").filter("text <> ''")
+    config = embedding.EmbeddingConfig(model="halves", dimensions=2, upload=1_000_000)
+    store = embedding.embedding_store(f"{shared_dir(spark)}/embeddings-{uuid.uuid4().hex}", 16)
+    asked = [embedding.fill(store, d, "text", initial_halves, config) for d in (docs.filter("doc_id % 3 > 0"), docs)]
+    made = embedding.embed_once(docs, "text", store, initial_halves, config)
+    return made.select("doc_id", embedding.content_key(F.col("text"), config).alias("key"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"),
+                       *[F.lit(n).cast("long").alias(name) for n, name in zip(asked, ("first_asked", "then_asked"))])
+
+
 @query("parent_search", _search_sql("cosine", 6, cap=1, table="(SELECT vec_id, vec_id // 5 AS label, embedding FROM embeddings)").replace("SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM", "SELECT query_id, rank::INTEGER AS rank, vec_id // 5 AS parent, vec_id, score FROM"))
 def parent_search(spark, sf_dir):
     """Vectors as children, five to a parent: each parent once, by its nearest child."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +309,73 @@ def embedded(texts: list[str], embed: Embed, batch: int) -> np.ndarray:
     return out
 
 
+class _Asked:
+    """A document whose vectors are asked for: what came back so far, or why it cannot be used."""
+
+    def __init__(self, payload: object, texts: list[str], fault: str | None):
+        self.payload, self.left, self.fault = payload, 0 if fault else len(texts), fault
+        self.parts: list[np.ndarray] = []
+
+    def take(self, texts: list[str], ask: Callable[[list[str]], np.ndarray]) -> None:
+        self.left -= len(texts)
+        if self.fault is None:
+            try:
+                self.parts.append(ask(texts))
+            except ProviderFault as e:
+                self.fault = str(e)
+
+    def vectors(self) -> np.ndarray:
+        if len({p.shape[1] for p in self.parts}) > 1:
+            raise ProviderFault("inconsistent_dimensions")
+        return np.concatenate(self.parts) if self.parts else np.zeros((0, 0))
+
+
+def vectors_in_turn(documents: Iterator[tuple[object, list[str], str | None]], embed: Embed, batch: int) -> Iterator[tuple[object, np.ndarray | None, str | None]]:
+    """(payload, vectors, fault) of documents (payload, texts, fault) in their order; a document with a fault is not asked for.
+
+    Texts of one document after the other fill each call, so n texts take
+    ceil(n / batch) calls. If a call is answered in a way that cannot be used,
+    its texts are asked for document by document, which finds whose fault it is.
+    """
+    waiting: deque[_Asked] = deque()
+    queue: list[tuple[_Asked, str]] = []
+
+    def call(items: list[tuple[_Asked, str]]) -> None:
+        try:
+            got = embedded([t for _, t in items], embed, batch)
+        except ProviderFault:
+            for doc, own in groupby(items, key=lambda x: x[0]):
+                doc.take([t for _, t in own], lambda texts: embedded(texts, embed, batch))
+            return
+        at = 0
+        for doc, own in groupby(items, key=lambda x: x[0]):
+            texts = [t for _, t in own]
+            part, at = got[at:at + len(texts)], at + len(texts)
+            doc.take(texts, lambda _, part=part: part)
+
+    def done() -> Iterator[tuple[object, np.ndarray | None, str | None]]:
+        while waiting and not waiting[0].left:
+            doc = waiting.popleft()
+            try:
+                yield (doc.payload, None, doc.fault) if doc.fault else (doc.payload, doc.vectors(), None)
+            except ProviderFault as e:
+                yield doc.payload, None, str(e)
+
+    for payload, texts, fault in documents:
+        doc = _Asked(payload, texts, fault)
+        waiting.append(doc)
+        if fault is None:
+            queue += [(doc, t) for t in texts]
+        full = len(queue) // batch * batch
+        for at in range(0, full, batch):
+            call(queue[at:at + batch])
+        del queue[:full]
+        yield from done()
+    if queue:
+        call(queue)
+    yield from done()
+
+
 def counted(texts: list[str], count: Count) -> list[int]:
     got = list(count(texts))
     if len(got) != len(texts) or any(not isinstance(n, int) or isinstance(n, bool) or n < 1 for n in got):
@@ -400,7 +469,8 @@ def parent_runs(runs: Sequence[dict], units: Sequence[dict], counts: RunCounts,
 def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embeddings, count: Count | None = None, batch: int = 32, rising: bool = True, parents: ParentConfig | None = None) -> DataFrame:
     """(document_id, document_version, units, tokens, runs, parents, fault): the runs of units that are chunks, one row per document.
 
-    ``embed`` gives the vectors of the units, asked for ``batch`` at a time.
+    ``embed`` gives the vectors of the units, asked for ``batch`` at a time; the
+    units of a partition's documents fill each call (see vectors_in_turn).
     Without ``count`` tokens are words and units are cut as expressions; with it
     units are cut where they are counted, and a run's tokens are those of its
     text, which need not be the sum of its units' (see RunCounts). ``parents``
@@ -411,33 +481,43 @@ def plan_chunks(docs: DataFrame, c: ChunkingConfig, embed: Embed = hashed_embedd
         docs = docs.withColumn("units", split_oversized(c.max_tokens))
     kept = docs.select("document_id", "document_version", "units")
 
-    def one(units: list[dict]) -> tuple[list[dict], list[int], list[dict], list[dict]]:
+    def prepared(units: list[dict]) -> tuple[list[dict], RunCounts]:
         if count is not None:
             units = [u | ({"text": t, "separator": gap if i else u["separator"], "forced": True} if cut else {}) for u in units
                      for cut, pieces in [_pieces(u["text"], c.max_tokens, count)] for i, (gap, t) in enumerate(pieces)]
-        counts = RunCounts(units, count, rising)
-        if not units:
-            return units, counts.sizes, [], []
-        sizes = np.bincount(bounded_clusters(embedded([u["text"] for u in units], embed, batch), counts, c)).tolist()
+        return units, RunCounts(units, count, rising)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for i, value in enumerate(b.column("units")):
+                try:
+                    units, counts = prepared(value.as_py())
+                    yield (b, i, units, counts), [u["text"] for u in units], None
+                except ProviderFault as e:
+                    yield (b, i, [], None), [], str(e)
+
+    def planned(units: list[dict], counts: RunCounts, vectors: np.ndarray) -> tuple[list[dict], list[dict]]:
+        sizes = np.bincount(bounded_clusters(vectors, counts, c)).tolist() if units else []
         firsts = [int(stop) - size for stop, size in zip(np.cumsum(sizes), sizes)]
         held = counts.of([(first, first + size) for first, size in zip(firsts, sizes)])
         runs = [{"first": first, "size": size, "tokens": n} for first, size, n in zip(firsts, sizes, held)]
-        return units, counts.sizes, runs, parent_runs(runs, units, counts, parents) if parents else []
+        return runs, parent_runs(runs, units, counts, parents) if parents else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made, tokens, runs, families, faults = [], [], [], [], []
-            for units in b.column("units"):
-                try:
-                    row = *one(units.as_py()), None
-                except ProviderFault as e:
-                    row = [], [], [], [], str(e)
-                for to, x in zip((made, tokens, runs, families, faults), row):
-                    to.append(x)
-            column = b.column("units") if count is None else pa.array(made, b.schema.field("units").type)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("document_id"), b.column("document_version"), column, pa.array(tokens, pa.list_(pa.int32())), pa.array(runs, _RUNS), pa.array(families, _PARENTS), pa.array(faults, pa.string())],
-                names=["document_id", "document_version", "units", "tokens", "runs", "parents", "fault"])
+        rows: list[tuple] = []
+        for (b, i, units, counts), vectors, fault in vectors_in_turn(documents(batches), embed, batch):
+            try:
+                row = (units, counts.sizes, *planned(units, counts, vectors), None) if fault is None else ([], [], [], [], fault)
+            except ProviderFault as e:
+                row = [], [], [], [], str(e)
+            rows.append(row)
+            if i + 1 == b.num_rows:
+                made, tokens, runs, families, faults = zip(*rows)
+                column = b.column("units") if count is None else pa.array(made, b.schema.field("units").type)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("document_id"), b.column("document_version"), column, pa.array(tokens, pa.list_(pa.int32())), pa.array(runs, _RUNS), pa.array(families, _PARENTS), pa.array(faults, pa.string())],
+                    names=["document_id", "document_version", "units", "tokens", "runs", "parents", "fault"])
+                rows.clear()
 
     run_type = StructType().add("first", "integer").add("size", "integer").add("tokens", "integer")
     parent_type = StructType(list(run_type.fields)).add("child", "integer").add("children", "integer")
