@@ -10,19 +10,24 @@ from docloom.sources.tables import materialize
 _IN_PARTITION = (1 << 33) - 1
 
 
+def spread(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """``df`` in ``n`` sorted ranges of ``order``; rows equal in it are told apart by a hash of their place in the table, so any number of them is split like others."""
+    tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    return tied.repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+
+
 def positions(df: DataFrame, order: list[str], running: str | None = None, name: str = "pos") -> DataFrame:
     """Add ``name`` (gapless from 0 in the order of ``order``) to slim rows.
 
     With ``running``, also ``before``: the sum of that column over all rows in
     front. The rows are range-partitioned and sorted once, so a hot key is
-    spread over as many partitions as it needs; only one row per *partition*
+    spread over as many partitions as it needs, and so are equal rows (see spread); only one row per *partition*
     meets in a single task to make the offsets. Rows equal in ``order`` get
     adjacent positions in any order. The input must be cheap to read twice
     (range bounds are sampled from it), so pass a materialized table.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    pinned = spread.withColumn("_at", F.monotonically_increasing_id())
+    pinned = spread(df, order, n).withColumn("_at", F.monotonically_increasing_id())
     pinned = materialize(pinned.select(
         "*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit(_IN_PARTITION)).alias("_row")).drop("_at"), "ranked")
     totals = pinned.groupBy("_part").agg(

@@ -1,7 +1,10 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from docloom.llm import toxicity
+from docloom.llm import mixing, sharding, toxicity
+from docloom.llm.ranking import positions, spread
 from docloom.llm.texts import most_frequent
+from docloom.sources.tables import materialize
 
 
 def test_most_frequent_fills_up_from_equal_counts(spark):
@@ -28,3 +31,22 @@ def test_rare_buckets_count_for_less():
     model = toxicity.train(bags, np.array([1.0] * 10 + [0.0] * 10))
     rare, common = model.words(["zq", "bad"])
     assert 0 < rare < common
+
+
+def test_equal_rows_are_split_between_ranges(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") < 40_000, None).otherwise(F.col("id")).alias("doc_id"), F.lit("s").alias("source"))
+    rows = materialize(rows, "equal")
+    sizes = [r[1] for r in spread(rows, ["source", "doc_id"], 12).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 10_000
+    placed = positions(rows, ["source", "doc_id"])
+    assert placed.agg(F.min("pos"), F.max("pos"), F.count_distinct("pos")).first() == (0, 59_999, 60_000)
+    assert placed.filter("doc_id is null").agg(F.max("pos")).first()[0] == 39_999
+
+
+def test_repeated_null_rows_at_volume_are_sharded_and_mixed(spark):
+    null = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source"))
+    docs = null.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("a").alias("source")))
+    per_shard = [r.asDict() for r in sharding.interleave(docs, 24).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()]
+    assert len(per_shard) == 24 and all(r["n"] == r["slots"] == r["last"] + 1 in (416, 417) for r in per_shard)
+    taken = mixing.mix(docs).groupBy("source_size").agg(F.count("*"), F.sum("taken")).collect()
+    assert sorted(map(tuple, taken)) == [(0, 8000, 0), (4000, 2000, 6000)]
