@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.functions import identity
 from docloom.jobs.ingest import ingest
+from docloom.operators import quality
 from docloom.operators.documents import as_sources, relative_path
 from docloom.operators.maxmin import ChunkingConfig
 from docloom.sources.store import Store
@@ -22,8 +23,8 @@ def current_documents(out: str) -> Store:
 
 
 def current_chunks(spark: SparkSession, out: str) -> DataFrame:
-    """The chunks of the current version of every document that has one; those of superseded versions and removed files are not among them."""
-    chunks = spark.read.parquet(f"{out}/chunks")
+    """The chunks of the current version of every document that has one; those of superseded versions and removed files are not among them, nor are quarantined ones."""
+    chunks = spark.read.parquet(f"{out}/chunks").filter("not quarantined").drop("quarantined", "violations")
     state = current_documents(out).read(spark)
     held = state.filter(F.col("status").isin("completed", "partial")).select("document_id", "document_version", "batch")
     return chunks.withColumn("batch", F.col("batch").cast("string")).join(held, ["document_id", "document_version", "batch"], "left_semi")
@@ -47,8 +48,11 @@ def _take(files: DataFrame, folder: str, out: str, batch: str, parser: str, mime
     before = None if state is None else state.filter(F.col("batch") != batch)
     known = None if before is None else before.filter(F.col("status").isin("completed", "partial"))
     chunks, outcomes = ingest(as_sources(files, folder, mime_type), parser, known, config)
-    chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch}")
-    outcomes.write.mode("overwrite").parquet(f"{out}/outcomes/batch={batch}")
+    for name, rows, checks in (("chunks", chunks, quality.chunk_checks()), ("outcomes", outcomes, quality.outcome_checks())):
+        seen = Observation(f"{name} {batch}")
+        quality.observed(rows, checks, seen).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+        counts = spark.createDataFrame(sorted(seen.get.items()), "metric string, n long")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{out}/metrics/table={name}/batch={batch}")
     made = spark.read.schema(outcomes.schema).parquet(f"{out}/outcomes/batch={batch}").join(_named(files, folder).select("document_id", "modified"), "document_id")
     fresh = made.filter("status <> 'skipped'").withColumn("batch", F.lit(batch)).select(*_STATE)
     if before is not None:
@@ -61,7 +65,8 @@ def ingest_folder(spark: SparkSession, folder: str, out: str, parser: str, mime_
     """Chunk the files that arrive in ``folder``; start, process what is there, and stop.
 
     Each micro-batch writes its chunks to a folder of its own below
-    ``out/chunks``, its outcomes below ``out/outcomes``, and last its documents
+    ``out/chunks``, its outcomes below ``out/outcomes``, rows with violations marked
+    and counted as they are written (``out/metrics``), and last its documents
     to the store of current documents, which makes the batch count: a new version
     of a document retires the chunks of the old one, also if it is rejected.
     Identifiers come from content, a repeated batch overwrites its folders and

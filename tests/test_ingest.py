@@ -1,8 +1,11 @@
 import json
 import os
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from docloom.jobs.ingest import ingest
-from docloom.operators import documents
+from docloom.operators import documents, quality
 from docloom.operators.maxmin import ChunkingConfig
 from docloom.sources.tables import write_json
 from docloom.streaming.ingest import current_chunks, current_documents, ingest_folder, sync_folder
@@ -104,4 +107,20 @@ def test_superseded_and_removed_documents(spark, tmp_path):
     assert held() == ["Four five six.", "Nine ten.", "One two three."]
     assert states() == {"a.txt": ("completed", "sync-4"), "b.txt": ("completed", "sync-4"), "c.txt": ("rejected", "sync-2"), "d.txt": ("completed", "sync-2")}
     assert sync_folder(*arguments) == {"read": 0, "removed": 0}
-    assert spark.read.parquet(f"{out}/chunks").count() == 7  # nothing is lost of former versions
+    chunks, metrics = spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/metrics")
+    assert chunks.count() == 7 and chunks.filter("quarantined").count() == 0  # nothing is lost of former versions
+    counted = {(r.table, r.metric): r.n for r in metrics.groupBy("table", "metric").agg(F.sum("n").alias("n")).collect()}
+    assert counted["chunks", "rows"] == 7 and counted["outcomes", "rows"] == spark.read.parquet(f"{out}/outcomes").count() and counted["chunks", "quarantined"] == counted["outcomes", "missing_document"] == 0
+
+
+def test_violations_are_counted_in_the_pass_that_writes(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.when(F.col("id") % 5 == 0, "").otherwise("text").alias("content"), (F.col("id") % 4 - 1).alias("chunk_index"), (F.col("id") % 3).alias("token_count"), F.lit(None).cast("int").alias("page_start"),
+        F.lit(None).cast("int").alias("page_end"), F.col("id").alias("chunk_id"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("parent_chunk_id"), F.lit(None).cast("long").alias("previous_chunk_id"), F.lit(None).cast("long").alias("next_chunk_id"))
+    seen = Observation("chunks")
+    quality.observed(rows, quality.chunk_checks(), seen).write.parquet(f"{tmp_path}/out")
+    spark.read.parquet(f"{tmp_path}/out").createOrReplaceTempView("written")
+    sql = "SELECT count(*) AS rows, count_if(quarantined) AS quarantined, " + ", ".join(f"count_if(array_contains(violations, '{c}')) AS {c}" for c in quality.chunk_checks()) + " FROM written"
+    recount = spark.sql(sql).first().asDict()
+    assert seen.get == recount and recount["empty_content"] == 80 and recount["negative_index"] == 100 and recount["token_count"] == 134 and recount["self_link"] == 58 and recount["half_pages"] == 0
+    assert spark.sql("SELECT count(*) FROM written WHERE quarantined <> (size(violations) > 0)").first()[0] == 0
