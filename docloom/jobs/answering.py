@@ -20,10 +20,10 @@ def contexts(queries: DataFrame, chunks: DataFrame, config: retrieval.RetrievalC
     empty context.
     """
     stored = retrieval.embed_texts(chunks.select("chunk_id", "document_id", "content", "embedding_text", "token_count"), "embedding_text", embed)
-    stored = materialize(stored.withColumn("vec_id", F.monotonically_increasing_id()).withColumn("owner", F.xxhash64("document_id")), "stored")
+    stored = materialize(stored.withColumn("vec_id", F.monotonically_increasing_id()), "stored")
     # queries have negative ids, so that none is taken for a chunk
     asked = materialize(retrieval.embed_texts(queries.select("query_id", "query"), "query", embed).withColumn("vec_id", -1 - F.monotonically_increasing_id()), "asked")
-    owner = "owner" if config.max_per_document is not None else None
+    owner = "document_id" if config.max_per_document is not None else None
     hits = retrieval.search(stored, asked, config, owner).join(stored.select("vec_id", "chunk_id", "content", "token_count"), "vec_id")
     hits = materialize(hits, "hits")
     fit = assemble_context(hits, "query_id", "rank", "token_count", "chunk_id", max_tokens, max_chunks).withColumnRenamed("query_id", "vec_id")

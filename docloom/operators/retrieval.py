@@ -57,26 +57,28 @@ def _search_block(metric: str, k: int, cap: int | None):
     better = -1 if METRICS[metric] else 1
 
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": [], "owner": []}
+        out = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": [], "owner": []}
         if len(queries) and len(rows):
             q, v = np.stack(queries["v"].to_list()).astype(float), np.stack(rows["v"].to_list()).astype(float)
-            ids, qids, owners = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), rows["owner"].to_numpy()
+            ids, numbers, owners = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), rows["owner"].to_numpy()
+            qids, asked = queries["vec_id"].to_numpy(), queries["row"].to_numpy()
             for at in range(0, len(q), 64):
                 scores = np.round(_scores(q[at:at + 64], v, metric), 6) + 0.0
                 for i, s in enumerate(scores):
                     keep = ids != qids[at + i]
-                    order = np.lexsort((ids, better * s))
+                    order = np.lexsort((numbers, ids, better * s))
                     order = order[keep[order]]
                     if cap is not None:
                         # a row with k better ones within their owners' caps here has them everywhere
                         rank = pd.Series(owners[order]).groupby(owners[order]).cumcount().to_numpy()
                         order = order[rank < cap]
                     order = order[:k]
-                    out["query_id"].append(np.full(len(order), qids[at + i]))
-                    out["vec_id"].append(ids[order])
-                    out["score"].append(s[order])
-                    out["owner"].append(owners[order])
-        return pd.DataFrame({n: np.concatenate(x) if x else np.zeros(0) for n, x in out.items()})
+                    for column, values in (("query_row", asked[at + i]), ("query_id", qids[at + i])):
+                        out[column].append(np.full(len(order), values))
+                    for column, values in (("row", numbers), ("vec_id", ids), ("score", s), ("owner", owners)):
+                        out[column].append(values[order])
+        columns = {n: np.concatenate(x) if x else np.zeros(0) for n, x in out.items()}
+        return pd.DataFrame(columns | {"owner": pd.Series(columns["owner"], dtype=object)})
     return run
 
 
@@ -86,39 +88,42 @@ def search(vectors: DataFrame, queries: DataFrame, config: RetrievalConfig = Ret
     ``vectors`` and ``queries`` have (vec_id, embedding); filter them before the
     search. Scores are rounded to six decimals before they are ranked, ties go
     to the smaller id; distances rank from the smallest. ``owner`` names the
-    column that max_per_document counts by. Unusable vectors take no part.
+    column, of any type, that max_per_document counts by; null is an owner too.
+    Unusable vectors take no part. Rows of one id are rows of their own, queries
+    of one id are each answered.
 
-    Vectors and queries are dealt into bounded blocks; a pair of blocks is one
-    group and gives at most top_k rows a query.
+    Vectors and queries are dealt into bounded blocks by their place in the
+    table, so no id makes a block large; a pair of blocks is one group and gives
+    at most top_k rows a query.
     """
-    of = F.col(owner).cast("long") if owner else F.lit(0).cast("long")
+    of = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")) if owner else F.lit("")
     ready = lambda df, *more: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), *more).filter(
-        F.col("vec_id").isNotNull() & vector_fault(F.col("v")).isNull()).withColumn("dim", F.size("v"))
+        F.col("vec_id").isNotNull() & vector_fault(F.col("v")).isNull()).withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id())
     rows, asked = materialize(ready(vectors, of.alias("owner")), "vectors"), materialize(ready(queries), "queries")
     blocks, query_blocks = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    rows = rows.select("dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "vec_id", "v", "owner")
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "vec_id", "v")
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    query_block = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).cast("int")
+    rows = rows.select("dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"), "row", "vec_id", "v", "owner")
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), query_block.alias("query_block"), "row", "vec_id", "v")
     keys = ("dim", "block", "query_block")
     capped = config.max_per_document is not None
     hits = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(
-        _search_block(config.distance, config.top_k, config.max_per_document), "query_id long, vec_id long, score double, owner long")
+        _search_block(config.distance, config.top_k, config.max_per_document), "query_row long, query_id long, row long, vec_id long, score double, owner string")
     up = METRICS[config.distance]
     if config.score_threshold is not None:
         hits = hits.filter(F.col("score") >= config.score_threshold if up else F.col("score") <= config.score_threshold)
-    order = [F.desc("score") if up else F.asc("score"), F.asc("vec_id")]
+    order = [F.desc("score") if up else F.asc("score"), F.asc("vec_id"), F.asc("row")]
     if capped:
-        hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "owner").orderBy(*order))).filter(F.col("nth") <= config.max_per_document)
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= config.top_k)
+        hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_row", "owner").orderBy(*order))).filter(F.col("nth") <= config.max_per_document)
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(*order))).filter(F.col("rank") <= config.top_k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def search_parents(children: DataFrame, queries: DataFrame, parent: str, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """(query_id, rank, parent, vec_id, score): the top_k nearest parents of each query, each once with its best child.
 
-    ``children`` have (vec_id, embedding) and the column ``parent``, a number;
-    a parent scores as its nearest child does (see search).
+    ``children`` have (vec_id, embedding), each id once, and the column
+    ``parent``; a parent scores as its nearest child does (see search).
     """
     hits = search(children, queries, replace(config, max_per_document=1), parent)
     return hits.join(children.select("vec_id", F.col(parent).alias("parent")), "vec_id").select("query_id", "rank", "parent", "vec_id", "score")

@@ -445,6 +445,15 @@ def test_search_leaves_out_bad_vectors_and_itself(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (5, 0.0)]
 
 
+def test_rows_of_one_id_are_dealt_and_answered_each(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 100)
+    monkeypatch.setattr(retrieval, "QUERIES", 1)
+    rows = spark.range(1000).select(F.lit(7).alias("vec_id"), F.array(F.lit(1.0), F.col("id") / 1000.0).alias("embedding"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("d"), F.col("id") % 4)).alias("doc"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    found = retrieval.search(rows, asked, retrieval.RetrievalConfig(top_k=4, max_per_document=1), "doc").collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == sorted((1, k, 7) for k in (1, 2, 3) for _ in range(2))
+
+
 def test_upsert_and_rejections(spark):
     old = spark.createDataFrame([(1, "a", 9), (2, "b", 1)], "id int, v string, t int")
     new = spark.createDataFrame([(1, "c", 1), (1, "d", 2)], "id int, v string, t int")
