@@ -118,9 +118,13 @@ def train(bags: list[tuple[str, np.ndarray]], labels: np.ndarray, c: ToxicityCon
     # (word, bucket) likewise
     grams, grams_of = _bags(list(ids), c)
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), grams_of)
-    occurs = np.bincount(grams, in_texts[owner], minlength=c.buckets)
-    used, grams = np.unique(grams, return_inverse=True)
-    grams, trust = grams.astype(np.int32), (occurs[used] / (occurs[used] + c.half_texts)).astype(np.float32)
+    occurs = np.zeros(c.buckets)
+    for at in range(0, len(grams), 1 << 20):  # temporary arrays stay small
+        occurs += np.bincount(grams[at:at + (1 << 20)], in_texts[owner[at:at + (1 << 20)]], minlength=c.buckets)
+    used = np.flatnonzero(occurs)
+    place = np.zeros(c.buckets, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    grams, trust = place[grams], (occurs[used] / (occurs[used] + c.half_texts)).astype(np.float32)
     owner_by_gram = owner[np.argsort(grams, kind="stable")]
     buckets = _runs(np.bincount(grams, minlength=len(used)))
     starts = _runs(grams_of)
