@@ -53,10 +53,13 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame
     """Inner join of many rows with one fact per key; column ``n`` of the facts counts the rows of their key.
 
     The facts of hot keys, fewer than HOT rows, are broadcast; all other keys
-    are shuffled. Both sides are read more than once, so pass materialized tables.
+    are shuffled. Hot keys are told apart by a filter on their values. The rows
+    are read more than once, so pass materialized tables.
     """
     total = rows.count()
-    hot = facts.sparkSession.createDataFrame(facts.filter(F.col(n) * HOT > total).select(key).collect(), rows.select(key).schema)
-    hot = F.broadcast(hot)
-    few = rows.join(hot, key, "left_anti").join(facts, key)
-    return few.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(facts.join(hot, key, "left_semi")), key))
+    hot = [row[0] for row in facts.filter((F.col(n) * HOT > total) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(facts, key)
+    is_hot = F.col(key).isin(hot)
+    few = rows.filter(~is_hot).join(facts.filter(~is_hot), key)
+    return few.unionByName(rows.filter(is_hot).join(F.broadcast(facts.filter(is_hot)), key))

@@ -50,3 +50,17 @@ def test_repeated_null_rows_at_volume_are_sharded_and_mixed(spark):
     assert len(per_shard) == 24 and all(r["n"] == r["slots"] == r["last"] + 1 in (416, 417) for r in per_shard)
     taken = mixing.mix(docs).groupBy("source_size").agg(F.count("*"), F.sum("taken")).collect()
     assert sorted(map(tuple, taken)) == [(0, 8000, 0), (4000, 2000, 6000)]
+
+
+def test_hot_keys_are_filtered_and_not_joined(spark):
+    """Rows of a hot key and of others meet their fact once; no join holds rows against the hot keys."""
+    from docloom.llm.ranking import join_facts
+    from docloom.sources.tables import materialize
+
+    rows = materialize(spark.range(3000).selectExpr("id", "if(id < 1000, 7L, if(id = 1000, null, id)) AS k"))
+    facts = materialize(rows.groupBy("k").count())
+    made = join_facts(rows, facts, "k", "count")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    got = made.collect()
+    assert len(got) == 2999 and all(r["count"] == (1000 if r.k == 7 else 1) and r.k == (7 if r.id < 1000 else r.id) for r in got)
