@@ -33,3 +33,8 @@ def same_as_sql(spark, folder, name):
 def test_a_document_without_words_keeps_its_row(spark, folder):
     rows = same_as_sql(spark, folder, "forced_token_split")
     assert rows[(0, None, None, None, False)] == rows[(2, None, None, None, None)] == 1
+
+
+def test_documents_without_sentences_are_not_counted(spark, folder):
+    rows = same_as_sql(spark, folder, "sentence_stats")
+    assert {r[0]: r[3] for r in rows} == {None: 1, "es": 1, "en": 2, "de": 1}
