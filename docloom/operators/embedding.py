@@ -115,7 +115,7 @@ def fill(store: Store, texts: DataFrame, text: str, embed: Embed, config: Embedd
     """
     spark = texts.sparkSession
     wanted = texts.select(F.col(text).alias("text")).filter(F.coalesce(F.col("text"), F.lit("")) != "").select(content_key(F.col("text"), config).alias("key"), "text")
-    wanted = wanted.groupBy("key").agg(F.first("text").alias("text"))
+    wanted = wanted.groupBy("key").agg(F.min("text").alias("text"))
     held = store.read(spark)
     if held is not None and not force:
         wanted = wanted.join(held.filter("fault is null").select("key"), "key", "left_anti")
@@ -132,13 +132,19 @@ def fill(store: Store, texts: DataFrame, text: str, embed: Embed, config: Embedd
     return n
 
 
-def embed_once(rows: DataFrame, text: str, store: Store, embed: Embed, config: EmbeddingConfig = EmbeddingConfig(), force: bool = False) -> DataFrame:
-    """``rows`` with ``embedding`` and ``embedding_fault`` from the store, which is filled first (see fill); both are null for null and empty texts."""
+def embed_once(rows: DataFrame, text: str, store: Store, embed: Embed, config: EmbeddingConfig = EmbeddingConfig(), force: bool = False, key: str | None = None) -> DataFrame:
+    """``rows`` with ``embedding`` and ``embedding_fault`` from the store, which is filled first (see fill); both are null for null and empty texts.
+
+    ``key`` names a column for the key of each text (see content_key), null for
+    null and empty ones; whoever needs it takes it from here, as it costs a look
+    through the text, and texts that nobody reads any more are not joined.
+    """
     spark: SparkSession = rows.sparkSession
     fill(store, rows, text, embed, config, force)
-    held = store.read(spark)
+    held, name = store.read(spark), key or "_key"
+    keyed = rows.withColumn(name, F.when(F.col(text) != "", content_key(F.col(text), config)))
     if held is None:
-        return rows.withColumns({"embedding": F.lit(None).cast("array<double>"), "embedding_fault": F.lit(None).cast("string")})
-    held = held.select(F.col("key").alias("_key"), "embedding", F.col("fault").alias("embedding_fault"))
-    keyed = rows.withColumn("_key", F.when(F.col(text) != "", content_key(F.col(text), config)))
-    return keyed.join(held, "_key", "left").drop("_key")
+        made = keyed.withColumns({"embedding": F.lit(None).cast("array<double>"), "embedding_fault": F.lit(None).cast("string")})
+    else:
+        made = keyed.join(held.select(F.col("key").alias(name), "embedding", F.col("fault").alias("embedding_fault")), name, "left")
+    return made if key else made.drop("_key")

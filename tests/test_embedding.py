@@ -107,3 +107,21 @@ def test_units_of_several_documents_fill_each_call(batch):
     sound = lambda items: calls.append(len(items)) or [[1.0]] * len(items)
     assert sum(len(v) for _, v, f in maxmin.vectors_in_turn(iter([(d, t, None) for d, t, _ in docs]), sound, batch)) == 26
     assert len(calls) == -(-26 // batch) and np.sum(calls) == 26
+
+
+def test_the_key_of_a_text_comes_with_its_embedding(spark, tmp_path, calls):
+    rows = texts(spark, "a", "\u00e9", "e\u0301", "", None).withColumnRenamed("key", "id")
+    made = embedding.embed_once(rows, "text", embedding.embedding_store(f"{tmp_path}/s"), caller(calls), CONFIG, key="key")
+    assert sorted(made.columns) == ["embedding", "embedding_fault", "id", "key", "text"]
+    keys = {r.id: r.key for r in made.collect()}
+    assert keys[1] == keys[2] != keys[0] and keys[0].endswith(f":{CONFIG.fingerprint}") and keys[3] is keys[4] is None
+    assert asked(calls)[0] == ["a", "e\u0301"]
+
+
+def test_the_query_looks_through_each_text_once_for_its_rows(spark):
+    """The key is made once, and only it goes into the join."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["embedding_once"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Project" in line)
+    assert plan.count("sha2(") == 1 and "text" not in join
